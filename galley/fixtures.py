@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.session import configure
+from galley.session import configure, spread
 
 FRONT_ROWS = 12
 
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "txt"))
 
 
@@ -40,7 +40,8 @@ def _front() -> str:
       '') ELSE array() END"""
 
 
-_BODY = """
+# SQL text of the projections, in the subset that other SQL engines read alike.
+BODY = """
     CASE WHEN (doc_id * 3 + ln) % 31 = 0 THEN '' ELSE
     CASE ln % 10
       WHEN 0 THEN concat(CAST(1 + CAST(floor(ln / 10) AS INT) + CASE WHEN doc_id % 7 = 0 AND ln >= 20 THEN 1 ELSE 0 END AS STRING), ' ', substr(txt, 1, 40))
@@ -50,7 +51,7 @@ _BODY = """
       WHEN 4 THEN concat(txt, ' см. рисунок ', CAST(1 + ln % 4 AS STRING), ' и таблица 1, 2')
       WHEN 5 THEN concat('y = ax + ', CAST(ln AS STRING), ' (', CAST(1 + CAST(floor(ln / 10) AS INT) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS STRING), ')')
       WHEN 6 THEN CASE WHEN doc_id % 12 = 1 AND ln = 6 THEN '1.1 Методы. Итоги части:'
-                       WHEN doc_id % 6 = 1 AND (doc_id + ln) % 4 = 0 THEN concat('1.', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), ' Методы. Итоги части')
+                       WHEN doc_id % 6 = 1 AND (doc_id + ln + 3) % 4 = 0 THEN concat('1.', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), ' Методы. Итоги части')
                        WHEN doc_id % 6 = 1 THEN concat('1.', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), ' Раздел метода')
                        WHEN doc_id % 3 = 0 THEN concat('тогда ', txt) ELSE concat('где ', txt) END
       WHEN 7 THEN CASE WHEN doc_id % 2 = 1 THEN concat('Листинг ', CAST(1 + ln % 5 AS STRING), ' — ', substr(txt, 1, 20)) ELSE concat(txt, ' [2-', CAST(3 + ln % 40 AS STRING), ']') END
@@ -73,46 +74,51 @@ def _tail() -> str:
         ELSE array() END)"""
 
 
+LAYOUT = {
+    "alignment": """CASE WHEN pos < -6 THEN 'center' ELSE CASE (doc_id + idx) % 5 WHEN 0 THEN 'center'
+            WHEN 1 THEN 'left' ELSE 'justify' END END""",
+    "first_line_indent_cm": "CASE WHEN (doc_id + idx) % 19 = 0 THEN CAST(0.0 AS DOUBLE) WHEN (doc_id + idx) % 43 = 0 THEN CAST(-0.5 AS DOUBLE) ELSE CAST(1.25 AS DOUBLE) END",
+    "max_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN CAST(16.0 AS DOUBLE) WHEN (doc_id + idx) % 13 = 0 THEN CAST(12.0 AS DOUBLE) ELSE CAST(14.0 AS DOUBLE) END",
+    "modal_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN CAST(16.0 AS DOUBLE) WHEN (doc_id + idx) % 13 = 0 THEN CAST(12.0 AS DOUBLE) ELSE CAST(14.0 AS DOUBLE) END",
+    "font_family": "CASE WHEN (doc_id + idx) % 23 = 0 THEN 'Arial' ELSE 'Times New Roman' END",
+    "bold_ratio": "CAST((doc_id * 7 + idx * 3) % 11 AS DOUBLE) / 10",
+    "in_table": "(doc_id * 5 + idx) % 37 = 0",
+    "style_name": """CASE WHEN pos % 10 = 1 AND (doc_id % 2 = 0 OR doc_id % 6 = 1) THEN 'Heading 1'
+            WHEN pos % 10 = 7 AND doc_id % 6 = 1 AND (doc_id + pos + 2) % 4 <> 0 AND NOT (pos = 7 AND doc_id % 12 = 1) THEN 'Heading 2'
+            WHEN pos % 10 = 9 AND doc_id % 4 = 2 THEN 'List Paragraph' ELSE 'Normal' END""",
+    "has_tab": "instr(text, chr(9)) > 0 OR (doc_id + idx) % 4 = 0",
+    "numpr_ilvl": "CASE WHEN pos % 10 IN (8, 9) AND doc_id % 4 = 0 THEN CAST(idx % 3 AS INT) END",
+    "numpr_num_id": "CASE WHEN pos % 10 IN (8, 9) AND doc_id % 4 = 0 THEN CAST(1 + doc_id % 3 AS INT) END",
+    "outline_level": "CASE WHEN pos % 10 = 1 AND doc_id % 3 = 0 THEN 0 END",
+    "has_page_break_before": "(doc_id + idx) % 29 = 0",
+    "has_image": "pos % 10 = 3 AND doc_id % 3 = 0",
+    "table_follows": "pos % 10 = 0 AND pos > 0",
+    "next_is_table": "pos % 10 = 0 AND pos > 0",
+    "mono": "pos % 10 = 9 AND doc_id % 4 = 1",
+    "space_after_pt": "CASE WHEN doc_id % 10 = 3 THEN CAST(8.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END",
+    "line_spacing": "CASE WHEN doc_id % 10 = 7 THEN CAST(1.0 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END",
+    "elem_no": "idx + CASE WHEN pos > 0 THEN CAST(floor((pos - 1) / 10) AS INT) ELSE 0 END",
+}
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manuscript paragraphs with text and layout, from one pass over the documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.split("text", "\n").alias("lines"))
     texts = docs.select(
         "doc_id",
         F.posexplode(
             F.expr(
                 f"""concat({_front()},
                 array(CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END),
-                transform(lines, (txt, ln) -> {_BODY}), {_tail()})"""
+                transform(lines, (txt, ln) -> {BODY}), {_tail()})"""
             )
         ).alias("idx", "text"),
     )
     rows = texts.withColumn("pos", F.expr(f"idx - CASE WHEN doc_id % 5 = 0 THEN {FRONT_ROWS} ELSE 0 END"))
-    layout = {
-        "alignment": """CASE WHEN pos < -6 THEN 'center' ELSE CASE (doc_id + idx) % 5 WHEN 0 THEN 'center'
-            WHEN 1 THEN 'left' ELSE 'justify' END END""",
-        "first_line_indent_cm": "CASE WHEN (doc_id + idx) % 19 = 0 THEN 0.0D WHEN (doc_id + idx) % 43 = 0 THEN -0.5D ELSE 1.25D END",
-        "max_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN 16.0D WHEN (doc_id + idx) % 13 = 0 THEN 12.0D ELSE 14.0D END",
-        "modal_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN 16.0D WHEN (doc_id + idx) % 13 = 0 THEN 12.0D ELSE 14.0D END",
-        "font_family": "CASE WHEN (doc_id + idx) % 23 = 0 THEN 'Arial' ELSE 'Times New Roman' END",
-        "bold_ratio": "CAST((doc_id * 7 + idx * 3) % 11 AS DOUBLE) / 10",
-        "in_table": "(doc_id * 5 + idx) % 37 = 0",
-        "style_name": """CASE WHEN pos % 10 = 1 AND (doc_id % 2 = 0 OR doc_id % 6 = 1) THEN 'Heading 1'
-            WHEN pos % 10 = 7 AND doc_id % 6 = 1 AND (doc_id + pos) % 4 <> 1 AND pos <> 7 THEN 'Heading 2'
-            WHEN pos % 10 = 9 AND doc_id % 4 = 2 THEN 'List Paragraph' ELSE 'Normal' END""",
-        "has_tab": "instr(text, chr(9)) > 0 OR (doc_id + idx) % 4 = 0",
-        "numpr_ilvl": "CASE WHEN pos % 10 IN (8, 9) AND doc_id % 4 = 0 THEN CAST(idx % 3 AS INT) END",
-        "numpr_num_id": "CASE WHEN pos % 10 IN (8, 9) AND doc_id % 4 = 0 THEN CAST(1 + doc_id % 3 AS INT) END",
-        "outline_level": "CASE WHEN pos % 10 = 1 AND doc_id % 3 = 0 THEN 0 END",
-        "has_page_break_before": "(doc_id + idx) % 29 = 0",
-        "has_image": "pos % 10 = 3 AND doc_id % 3 = 0",
-        "table_follows": "pos % 10 = 0 AND pos > 0",
-        "next_is_table": "pos % 10 = 0 AND pos > 0",
-        "run_fonts": "CASE WHEN pos % 10 = 9 AND doc_id % 4 = 1 THEN array('courier new') ELSE array('times new roman') END",
-        "space_after_pt": "CASE WHEN doc_id % 10 = 3 THEN 8.0D ELSE 0.0D END",
-        "line_spacing": "CASE WHEN doc_id % 10 = 7 THEN 1.0D ELSE 1.5D END",
-        "elem_no": "idx + CASE WHEN pos > 0 THEN CAST(floor((pos - 1) / 10) AS INT) ELSE 0 END",
-    }
-    return rows.select("doc_id", "idx", "text", "pos", *[F.expr(v).alias(k) for k, v in layout.items()])
+    fonts = "CASE WHEN mono THEN array('courier new') ELSE array('times new roman') END"
+    rows = rows.select("doc_id", "idx", "text", "pos", *[F.expr(v).alias(k) for k, v in LAYOUT.items()])
+    return rows.withColumn("run_fonts", F.expr(fonts)).drop("mono")
 
 
 def hidden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Blanks that count as white space at paragraph edges.
-_EDGE_CODES = (0xA0, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000)
-_EDGE_BLANK = r"[\s" + "".join(map(chr, _EDGE_CODES)) + "]"
+_WHITE = "".join(
+    map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+_EDGES = _WHITE + chr(0x200B)
+_WHITE_RUN = f"[{_WHITE}]{{2,}}|[{_WHITE.replace(' ', '')}]"
 
 # Chapter words that may stand before a heading number.
 CHAPTER_WORDS = ("глава", "раздел", "часть", "chapter", "section", "part")
@@ -45,12 +48,12 @@ def is_true(condition: Column) -> Column:
 
 def strip_blank(text: Column) -> Column:
     """Trim white space of any kind from both ends."""
-    return F.regexp_replace(text, rf"(?U)^{_EDGE_BLANK}+|{_EDGE_BLANK}+$", "")
+    return F.trim(text, F.lit(_EDGES))
 
 
 def norm_text(text: Column) -> Column:
     """Trimmed, lower-case, single spaces."""
-    return F.trim(F.lower(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.trim(F.lower(F.regexp_replace(text, _WHITE_RUN, " ")))
 
 
 def squash_text(text: Column) -> Column:
@@ -59,8 +62,13 @@ def squash_text(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    trimmed = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " ")))
+    return count_words(norm_text(text))
+
+
+def count_words(norm: Column) -> Column:
+    """Words of a text that is normalised already: its spaces plus one."""
+    spaces = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
+    return F.when(norm == "", 0).otherwise(spaces + 1)
 
 
 def ends_sentence(text: Column) -> Column:
@@ -71,6 +79,12 @@ def is_all_caps(text: Column) -> Column:
     return (F.upper(text) == text) & (F.lower(text) != text)
 
 
+def ends_with_number(text: Column) -> Column:
+    """A digit is the last character before closing dots and blanks; cheap test before patterns."""
+    tail = F.right(F.rtrim(text, F.lit(_WHITE + ".")), F.lit(1))
+    return tail.rlike(r"(?U)\d")
+
+
 def starts_upper(text: Column) -> Column:
     return text.rlike(r"^\p{Lu}")
 

@@ -23,7 +23,8 @@ def basic_features(paragraphs: DataFrame) -> DataFrame:
     return (
         paragraphs.withColumn("stripped", tx.strip_blank(F.col("text")))
         .withColumn("length", F.length(stripped))
-        .withColumn("word_count", tx.word_count(stripped))
+        .withColumn("norm", tx.norm_text(stripped))
+        .withColumn("word_count", tx.count_words(F.col("norm")))
         .withColumn("ends_with_period", tx.ends_sentence(stripped))
         .withColumn("is_upper", tx.is_all_caps(stripped))
         .withColumn("is_empty", stripped == "")
@@ -36,7 +37,6 @@ def enrich(paragraphs: DataFrame) -> DataFrame:
     """Full layout plus every row-local feature the detectors use."""
     return (
         basic_features(conform(paragraphs))
-        .withColumn("norm", tx.norm_text(F.col("stripped")))
         .withColumn("prefix", tx.heading_prefix(F.col("stripped")))
         .withColumn("native_level", tx.native_heading_level(F.col("style_name")))
         .withColumn("dense", tx.dense_text(F.col("stripped")))

@@ -108,7 +108,7 @@ def early_reject(rules: dict) -> Column:
         | (~native & F.col("style_lower").isin(_LIST_STYLES))
     )
     contents = tx.any_of([F.col("style_lower").startswith(s) for s in _CONTENTS_STYLES])
-    tabbed = (F.col("has_tab") | text.contains("\t")) & text.rlike(_PAGE_TAIL)
+    tabbed = (F.col("has_tab") | text.contains("\t")) & tx.ends_with_number(text) & text.rlike(_PAGE_TAIL)
     outline = tx.is_true(F.col("outline_level").between(0, 2))
     return (
         F.when(F.col("is_empty") & (F.col("skip") | F.col("in_table") | ~native), "empty")

@@ -75,7 +75,7 @@ def is_contents_line() -> Column:
     text = F.col("stripped")
     styled = F.lower(tx.strip_blank(F.col("style_name"))).rlike(_CONTENTS_STYLE)
     linked = F.col("has_page_reference") & (text != "") & (F.length("stripped") < 200)
-    return styled | linked | ((text != "") & text.rlike(_LEADER))
+    return styled | linked | (tx.ends_with_number(text) & text.rlike(_LEADER))
 
 
 def is_structural_boundary(rules: dict) -> Column:
@@ -120,17 +120,23 @@ def contents_lines(features: DataFrame, rules: dict) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_d"))
         .agg(F.min("idx").alias("head"))
     )
-    flagged = features.select(
-        "doc_id",
-        "idx",
-        "norm",
-        "is_empty",
-        is_contents_line().alias("entry"),
-        is_structural_boundary(rules).alias("structural"),
-        is_body_paragraph().alias("body"),
-        F.col("table_follows"),
+    columns = ["doc_id", "idx", "stripped", "norm", "length", "is_empty", "style_name", "outline_level",
+               "has_page_reference", "table_follows"]
+    after = (
+        features.select(*columns)
+        .join(heads, (F.col("doc_id") == F.col("_d")) & (F.col("idx") >= F.col("head")))
+        .select(
+            "doc_id",
+            "idx",
+            "head",
+            "norm",
+            "is_empty",
+            "table_follows",
+            is_contents_line().alias("entry"),
+            is_structural_boundary(rules).alias("structural"),
+            is_body_paragraph().alias("body"),
+        )
     )
-    after = flagged.join(heads, (F.col("doc_id") == F.col("_d")) & (F.col("idx") >= F.col("head"))).drop("_d")
     repeats = (
         features.where(~F.col("is_empty"))
         .groupBy(F.col("doc_id").alias("_d"), F.col("norm").alias("_n"))

@@ -230,9 +230,7 @@ def _rewritten(rows: DataFrame, changes: list[DataFrame]) -> DataFrame:
     for change in changes:
         out = structure.apply_text(out, change)
     fresh = features.basic_features(out)
-    return fresh.withColumn("norm", tx.norm_text(F.col("stripped"))).withColumn(
-        "prefix", tx.heading_prefix(F.col("stripped"))
-    ).select(*rows.columns)
+    return fresh.withColumn("prefix", tx.heading_prefix(F.col("stripped"))).select(*rows.columns)
 
 
 def recheck_headings(paragraphs: DataFrame, rules: dict | None = None) -> DataFrame:
