@@ -1,0 +1,239 @@
+"""Text revision and whole reports."""
+
+from pyspark.sql import functions as F
+
+from catalog.core import FINDING, RULES, query
+from galley.operators import revision as rv
+from galley.plans import reports
+from oracle.base import CHAPTER, NOTWORD, WS, norm, strip
+
+_CAPITAL = " OR ".join(f"starts_with(n, '{k}')" for k in rv.CAPITAL_TITLES)
+_UPPER = "regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]')"
+
+
+def _case(words: str) -> str:
+    return (
+        f"array_to_string(list_transform({words}, lambda w, i: CASE WHEN i = 1 THEN concat(upper(w[1]), lower(w[2:])) "
+        f"WHEN length(w) = 1 AND regexp_matches(w, '\\p{{L}}') AND lower({words}[i - 1]) IN ('приложение', 'часть', 'раздел') THEN upper(w) ELSE lower(w) END), ' ')"
+    )
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+_BARE = "CASE WHEN pk = 'chapter_word' THEN CASE WHEN ptitle <> '' THEN concat(pnum, ' ', ptitle) ELSE pnum END ELSE {} END"
+_NORMALISED = f"""
+    SELECT doc_id, idx, CASE WHEN regexp_matches(flat, '^\\s*приложение{NOTWORD}', 'i') THEN {_case(_words('flat'))}
+      WHEN {_CAPITAL} THEN upper(flat)
+      ELSE concat(lead, CASE WHEN rest = '' OR NOT regexp_matches(rest, '\\p{{L}}') THEN rest WHEN {_UPPER.format('rest')} THEN {_case(_words('rest'))}
+        WHEN regexp_matches(rest, '^\\p{{Ll}}') THEN concat(upper(rest[1]), rest[2:]) ELSE rest END) END AS new_text
+    FROM (SELECT *, substr(flat, length(lead) + 1) AS rest, {norm('flat')} AS n FROM (SELECT *, regexp_extract(flat, '^([\\d.]+\\s+)', 1) AS lead FROM (
+      SELECT *, regexp_replace(regexp_replace(regexp_replace(plain, '^(\\d+(?:\\.\\d+)*)[.)]?[{WS}]+', '\\1 '), '[{WS}]+', ' ', 'g'), '\\.+$', '') AS flat FROM (
+        SELECT *, {_BARE.format(f"regexp_replace(text, '^[{WS}]+', '')")} AS plain FROM %s))))"""
+
+
+@query("X1_normalise_heading_text", "doc_id:l idx:l new_text:s", _NORMALISED % "heads")
+def _(f):
+    return rv.normalise_headings(f.headings)
+
+
+@query("X2_normalise_spaces", "doc_id:l idx:l new_text:s", """
+    SELECT doc_id, idx, trim(regexp_replace(text, ' {2,}', ' ', 'g')) AS new_text FROM zone z WHERE NOT in_title AND text <> trim(regexp_replace(text, ' {2,}', ' ', 'g'))
+      AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = z.doc_id AND h.idx = z.idx) AND NOT EXISTS (SELECT 1 FROM code_lines c WHERE c.doc_id = z.doc_id AND c.idx = z.idx)""")
+def _(f):
+    from galley.operators.zones import listing_code_lines
+    return rv.space_changes(f.zoned, f.headings, listing_code_lines(f.zoned))
+
+
+@query("X3_strip_chapter_word", "doc_id:l idx:l new_text:s", f"""
+    SELECT doc_id, idx, {_BARE.format('stripped')} AS new_text FROM zone WHERE NOT in_title AND length <= 140 AND pk = 'chapter_word'""")
+def _(f):
+    return rv.chapter_word_changes(f.zoned)
+
+
+@query("X4_drop_empty_paragraphs", "doc_id:l idx:l old_idx:l text:s", """
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS idx, idx AS old_idx, text FROM (
+      SELECT *, coalesce(lag(table_follows) OVER (PARTITION BY doc_id ORDER BY idx), false) AS after_table FROM zone)
+    WHERE in_title OR NOT is_empty OR has_image OR after_table""")
+def _(f):
+    return rv.drop_empty_paragraphs(f.zoned)
+
+
+@query("X5_toc_outline", "doc_id:l idx:l level:l text:s", """
+    SELECT doc_id, idx, outline_level + 1 AS level, stripped AS text FROM zone
+    WHERE NOT in_title AND NOT is_empty AND outline_level BETWEEN 0 AND 2 AND norm NOT IN ('содержание', 'оглавление')""")
+def _(f):
+    return rv.toc_outline(f.zoned, RULES)
+
+
+def _outline(f):
+    return f.headings.select("doc_id", "idx", "text")
+
+
+@query("X6_heading_pages", "doc_id:l idx:l page:l")
+def _(f):
+    return rv.heading_pages(f.pages, _outline(f))
+
+
+_PLACED = "SELECT doc_id, idx, idx // 12 + {} AS page FROM heads"
+
+
+@query("X7_page_numbers_changed", "doc_id:l changed:l", """
+    SELECT doc_id, count(*) AS changed FROM (SELECT doc_id, idx // 12 + 1 AS a, (idx + doc_id % 3) // 12 + 1 AS b FROM heads) WHERE a <> b GROUP BY doc_id""")
+def _(f):
+    before = f.headings.select("doc_id", "idx", F.floor(F.col("idx") / 12).cast("int").alias("page"))
+    after = f.headings.select("doc_id", "idx", F.floor((F.col("idx") + F.col("doc_id") % 3) / 12).cast("int").alias("page"))
+    return rv.page_numbers_changed(before, after)
+
+
+_DIFF = """
+    WITH d AS (SELECT doc_id, idx, text AS old, CASE WHEN idx % 9 = 4 THEN upper(text) ELSE text END AS new, idx % 9 <> 4 OR upper(text) = text AS same,
+        (doc_id + idx) % 23 = 0 AS dropped FROM paras),
+    c AS (SELECT *, NOT same OR dropped AS changed FROM d),
+    n AS (SELECT *, bool_or(changed) OVER (PARTITION BY doc_id ORDER BY idx RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM c),
+    h AS (SELECT *, sum(CASE WHEN idx - coalesce(prev, -9) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS hunk FROM (
+      SELECT *, lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM n WHERE near))
+    SELECT doc_id, hunk, idx, ' ' AS op, new AS text FROM h WHERE NOT changed UNION ALL SELECT doc_id, hunk, idx, '-', old FROM h WHERE changed
+    UNION ALL SELECT doc_id, hunk, idx, '+', new FROM h WHERE changed AND NOT dropped"""
+
+
+@query("X8_revision_diff", "doc_id:l hunk:l idx:l op:s text:s", _DIFF)
+def _(f):
+    old = f.paragraphs.select("doc_id", "idx", "text")
+    shout = F.when(F.col("idx") % 9 == 4, F.upper("text")).otherwise(F.col("text"))
+    new = old.where("(doc_id + idx) % 23 <> 0").withColumn("text", shout)
+    return rv.revision_diff(old, new)
+
+
+@query("X9_check_report", FINDING)
+def _(f):
+    return reports.check_report(reports.Manuscripts(f.paragraphs, hidden=f.hidden_texts), RULES, f.found)
+
+
+@query("X9_revise_findings", FINDING)
+def _(f):
+    return reports.revise(reports.Manuscripts(f.paragraphs, hidden=f.hidden_texts), RULES).findings
+
+
+@query("X10_appendix_title_rows", "doc_id:l label_idx:l idx:l new_text:s", f"""
+    SELECT doc_id, idx AS label_idx, CASE WHEN mark THEN i2 ELSE i1 END AS idx,
+      CASE WHEN regexp_matches(t, '^\\p{{Ll}}') THEN concat(upper(t[1]), t[2:]) ELSE t END AS new_text FROM (
+      SELECT *, CASE WHEN mark THEN t2 ELSE t1 END AS t, {norm('CASE WHEN mark THEN t2 ELSE t1 END')} AS n FROM (
+        SELECT *, coalesce(regexp_matches(t1, '^\\s*\\(?\\s*(обязательн|справочн|рекомендуем|информацион)', 'i'), false) AS mark FROM (
+          SELECT *, lead(idx) OVER w AS i1, lead(stripped) OVER w AS t1, lead(idx, 2) OVER w AS i2, lead(stripped, 2) OVER w AS t2 FROM zone WHERE NOT is_empty
+          WINDOW w AS (PARTITION BY doc_id ORDER BY idx)))
+      WHERE regexp_matches(stripped, '^\\s*приложение{NOTWORD}', 'i') AND length(stripped) < 40) WHERE t IS NOT NULL AND NOT ({_CAPITAL})""")
+def _(f):
+    return rv.appendix_title_rows(f.zoned)
+
+
+def _edits(f):
+    # Two edits of every seventh paragraph, and some far behind the end of the manuscript.
+    rows = f.paragraphs.select("doc_id", "idx").where("(doc_id + idx) % 7 = 0")
+    return rows.select(
+        "doc_id", F.expr("CASE WHEN (doc_id + idx) % 14 = 0 THEN idx ELSE idx + 100000 END").alias("idx"),
+        F.explode(F.array(F.struct(F.lit(1).alias("edited_at"), F.lit("old").alias("new_text")),
+                          F.struct(F.lit(2).alias("edited_at"), F.expr("concat(' edit ', idx, ' ')").alias("new_text")))).alias("e"),
+    ).select("doc_id", "idx", "e.*")
+
+
+@query("X11_apply_paragraph_edits", "doc_id:l idx:l text:s", """
+    SELECT doc_id, idx, CASE WHEN (doc_id + idx) % 14 = 0 THEN concat('edit ', idx) ELSE text END AS text FROM paras""")
+def _(f):
+    return rv.apply_paragraph_edits(f.paragraphs.select("doc_id", "idx", "text"), _edits(f))[0]
+
+
+@query("X11_rejected_edits", "doc_id:l idx:l edited_at:l", """
+    SELECT doc_id, idx + 100000 AS idx, unnest([1, 2]) AS edited_at FROM paras WHERE (doc_id + idx) % 14 = 7""")
+def _(f):
+    return rv.apply_paragraph_edits(f.paragraphs.select("doc_id", "idx", "text"), _edits(f))[1]
+
+
+@query("X12_replace_heading_number", "doc_id:l idx:l new_text:s", f"""
+    SELECT doc_id, idx, CASE WHEN regexp_matches(text, '^\\d+(\\.\\d+)*[.)]?\\s+') THEN regexp_replace(text, '^\\d+(\\.\\d+)*[.)]?\\s+', '7.1 ')
+      WHEN regexp_matches(text, '^(?:{CHAPTER})\\s+(?:\\d+(?:\\.\\d+)*|[ivxlcdm]+)[.:\\s]+', 'i') THEN regexp_replace(text, '^(?:{CHAPTER})\\s+(?:\\d+(?:\\.\\d+)*|[ivxlcdm]+)[.:\\s]+', '7.1 ', 'i')
+      WHEN starts_with(text, 'ВВ') THEN concat('7.1 ', substr(text, 3)) END AS new_text FROM (SELECT doc_id, idx, stripped AS text FROM heads)""")
+def _(f):
+    new = rv.replace_heading_number(F.col("text"), F.lit("7.1."), F.lit("ВВ"))
+    return f.headings.select("doc_id", "idx", new.alias("new_text"))
+
+
+@query("X13_promote_heading", "doc_id:l idx:l level:l new_text:s", f"""
+    SELECT doc_id, idx, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS level,
+      CASE WHEN doc_id % 3 = 0 THEN new_text ELSE rtrim(concat('2.', idx, ' ', ltrim(regexp_replace(new_text, '^\\s*\\d+(?:\\.\\d+){{0,2}}[.)]?\\s+', '')))) END AS new_text
+    FROM ({_NORMALISED % "(SELECT * FROM scored WHERE tier = 'medium')"})""")
+def _(f):
+    actions = f.scored.where("tier = 'medium'").select(
+        "doc_id", "idx", F.expr("CASE WHEN doc_id % 3 <> 0 THEN concat('2.', idx) END").alias("chosen_number"),
+        F.lit(None).cast("int").alias("level"),
+    )
+    return rv.promote_headings(f.zoned, actions)
+
+
+def _demoted(f):
+    return f.headings.where("(doc_id + idx) % 5 = 0").select(
+        "doc_id", "idx", F.expr("CASE WHEN idx % 2 = 0 THEN 'list' ELSE 'text' END").alias("as_kind")
+    )
+
+
+@query("X14_demote_heading", "doc_id:l idx:l new_text:s", """
+    SELECT doc_id, idx, CASE WHEN d = '' THEN text WHEN rest = '' THEN concat(d, '.') ELSE concat(d, '. ', ltrim(rest)) END AS new_text FROM (
+      SELECT doc_id, idx, text, regexp_extract(text, '^(\\d+(?:\\.\\d+){0,2})[.)]?\\s*', 1) AS d, regexp_replace(text, '^(\\d+(?:\\.\\d+){0,2})[.)]?\\s*', '') AS rest
+      FROM heads WHERE (doc_id + idx) % 5 = 0 AND idx % 2 = 0)""")
+def _(f):
+    return rv.demote_headings(f.zoned, f.headings, _demoted(f))[1]
+
+
+@query("X14_headings_left", "doc_id:l idx:l", "SELECT doc_id, idx FROM heads WHERE (doc_id + idx) % 5 <> 0")
+def _(f):
+    return rv.demote_headings(f.zoned, f.headings, _demoted(f))[0]
+
+
+@query("X15_revert_caption", "doc_id:l idx:l new_text:s", """
+    SELECT doc_id, min(idx) AS idx, 'was here' AS new_text FROM zone WHERE stripped = 'ЗАКЛЮЧЕНИЕ' AND doc_id % 2 = 0 GROUP BY doc_id""")
+def _(f):
+    reverted = f.docs.where("doc_id % 2 = 0").select(
+        F.col("doc_id").alias("finding_id"), "doc_id", F.lit("was here ").alias("original_text"), F.lit(" ЗАКЛЮЧЕНИЕ").alias("fixed_text")
+    )
+    return rv.revert_captions(f.paragraphs, reverted)[0]
+
+
+@query("X16_revert_auto_fix", "doc_id:l idx:l text:s max_font_size_pt:d space_after_pt:d style_name:s", """
+    SELECT doc_id, idx, CASE WHEN doc_id % 4 = 1 AND idx = 2 THEN text WHEN doc_id % 4 = 0 AND idx = 1 THEN 'Старое' ELSE upper(text) END AS text,
+      CASE WHEN doc_id % 4 = 3 AND idx < 8 THEN max_font_size_pt ELSE 14 END AS max_font_size_pt, CASE WHEN doc_id % 4 = 2 AND idx < 8 THEN space_after_pt ELSE 0 END AS space_after_pt,
+      CASE WHEN doc_id % 4 = 1 AND idx = 3 THEN 'Normal' ELSE 'Heading 1' END AS style_name FROM paras""")
+def _(f):
+    original = f.paragraphs.where("idx < 8").withColumn("space_before_pt", F.lit(0.0))
+    revised = f.paragraphs.select("doc_id", "idx", F.upper("text").alias("text"), F.lit(14.0).alias("max_font_size_pt"), F.lit(0.0).alias("space_before_pt"),
+                                  F.lit(0.0).alias("space_after_pt"), F.lit("Heading 1").alias("style_name"), "outline_level")
+    kinds = F.expr("""CASE doc_id % 4 WHEN 0 THEN array(struct('forbidden_heading' AS type, 1 AS paragraph_index, 'Старое ' AS original_text))
+        WHEN 1 THEN array(struct('citation_separator_missing' AS type, 2 AS paragraph_index, '' AS original_text), struct('heading_recovered' AS type, 3 AS paragraph_index, '' AS original_text))
+        WHEN 2 THEN array(struct('paragraph_spacing' AS type, CAST(NULL AS INT) AS paragraph_index, '' AS original_text))
+        ELSE array(struct('font_size_inconsistency' AS type, CAST(NULL AS INT) AS paragraph_index, '' AS original_text)) END""")
+    return rv.revert_auto_fixes(revised, original, f.docs.select("doc_id", F.inline(kinds)))
+
+
+@query("X17_keep_list_number", "doc_id:l idx:l new_text:s", """
+    SELECT z.doc_id, z.idx, concat(a.auto_number, '. ', ltrim(text)) AS new_text FROM zone z JOIN list_numbers a ON z.doc_id = a.doc_id AND z.idx = a.idx
+    WHERE NOT in_title AND NOT is_empty AND NOT regexp_matches(text, '^\\s*\\d') AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = z.doc_id AND h.idx = z.idx)""")
+def _(f):
+    return rv.keep_list_numbers(f.numbered, f.headings)
+
+
+@query("X18_one_blank_after_blocks", "doc_id:l elem_no:l kind:s text:s added:b new_pos:l", """
+    WITH e AS (SELECT doc_id, elem_no, 'p' AS kind, text FROM paras UNION ALL SELECT doc_id, elem_no + 1, 'tbl', NULL FROM paras WHERE table_follows),
+    n AS (SELECT *, coalesce(lead(kind = 'p' AND trim(text) = '') OVER (PARTITION BY doc_id ORDER BY elem_no), false) AS blank_next FROM e),
+    a AS (SELECT *, (kind = 'tbl' OR regexp_matches(text, '^\\s*рисунок\\s+\\d+(\\.\\d+)*\\s*[–—\\-]\\s*\\S', 'i')) AND NOT blank_next AS needs FROM n),
+    x AS (SELECT doc_id, elem_no, kind, text, false AS added FROM a UNION ALL SELECT doc_id, elem_no, 'p', '', true FROM a WHERE needs)
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY elem_no, added) - 1 AS new_pos FROM x""")
+def _(f):
+    return rv.one_blank_after_blocks(f.body_elements)
+
+
+@query("X19_page_break_plan", "doc_id:l idx:l", f"""
+    SELECT h.doc_id, h.idx FROM heads h JOIN zone b ON b.doc_id = h.doc_id AND b.idx = h.idx - 1
+    WHERE h.level = 1 AND NOT b.table_follows AND NOT b.has_page_break_before AND NOT regexp_matches(b.stripped, '^\\s*приложение{NOTWORD}', 'i')
+      AND NOT regexp_matches(b.stripped, '^\\s*\\(?\\s*(обязательн|справочн|рекомендуем|информацион)', 'i')""")
+def _(f):
+    return rv.page_break_plan(f.zoned, f.headings)

@@ -398,18 +398,18 @@ CTES["caps_raw"] = " UNION ALL ".join(
     _caption(w, k) for w, k in (("рисунок", "figure"), ("таблица", "table"), ("листинг", "listing"))
 )
 CTES["segments"] = """
-    SELECT doc_id, idx AS at, chapter FROM (SELECT *, coalesce(lag(chapter) OVER (PARTITION BY doc_id ORDER BY idx), 0) AS before FROM breaks)
+    SELECT doc_id, idx AS spot, chapter FROM (SELECT *, coalesce(lag(chapter) OVER (PARTITION BY doc_id ORDER BY idx), 0) AS before FROM breaks)
     WHERE before <> chapter"""
 CTES["marks"] = """
-    SELECT doc_id, idx AS at, upper(regexp_extract(stripped, '^приложение\\s+([а-яё])(?:[^\\p{L}\\p{N}_]|$)', 1, 'i')) AS letter FROM zone
+    SELECT doc_id, idx AS spot, upper(regexp_extract(stripped, '^приложение\\s+([а-яё])(?:[^\\p{L}\\p{N}_]|$)', 1, 'i')) AS letter FROM zone
     WHERE NOT in_title AND regexp_matches(stripped, '^приложение\\s+[а-яё](?:[^\\p{L}\\p{N}_]|$)', 'i')"""
 CTES["caps"] = """
     SELECT doc_id, idx, kind, text, original_number, title,
       CASE WHEN letter IS NOT NULL THEN concat(letter, '.', n) WHEN chapter > 0 THEN concat(chapter, '.', n) ELSE CAST(n AS VARCHAR) END AS new_number
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, letter IS NOT NULL, at ORDER BY idx) AS n FROM (
-      SELECT c.*, m.letter, coalesce(s.chapter, 0) AS chapter, CASE WHEN m.letter IS NOT NULL THEN m.at ELSE coalesce(s.at, -1) END AS at
-      FROM caps_raw c ASOF LEFT JOIN segments s ON c.doc_id = s.doc_id AND c.idx >= s.at
-      ASOF LEFT JOIN (SELECT 'listing' AS kind, * FROM marks) m ON c.doc_id = m.doc_id AND c.kind = m.kind AND c.idx >= m.at))"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, letter IS NOT NULL, spot ORDER BY idx) AS n FROM (
+      SELECT c.*, m.letter, coalesce(s.chapter, 0) AS chapter, CASE WHEN m.letter IS NOT NULL THEN m.spot ELSE coalesce(s.spot, -1) END AS spot
+      FROM caps_raw c ASOF LEFT JOIN segments s ON c.doc_id = s.doc_id AND c.idx >= s.spot
+      ASOF LEFT JOIN (SELECT 'listing' AS kind, * FROM marks) m ON c.doc_id = m.doc_id AND c.kind = m.kind AND c.idx >= m.spot))"""
 _REF = "(рисунок|рисунк[\\p{L}\\p{N}_]*|рис\\.?|таблица|таблиц[\\p{L}\\p{N}_]*|табл\\.?)([№ \\x{A0}]*)(\\d+(?:\\.\\d+)*(?:[ \\x{A0}]*(?:,|и)[ \\x{A0}]*\\d+(?:\\.\\d+)*)*)"
 REF = _REF
 CTES["refs"] = f"""
