@@ -33,7 +33,7 @@ _NORMALISED = f"""
         SELECT *, {_BARE.format(f"regexp_replace(text, '^[{WS}]+', '')")} AS plain FROM %s))))"""
 
 
-@query("X1_normalise_heading_text", "doc_id:l idx:l new_text:s", _NORMALISED % "heads")
+@query("X1_normalise_heading_text", "doc_id:l idx:l new_text:s", _NORMALISED % "(SELECT * REPLACE (stripped AS text) FROM heads)")
 def _(f):
     return rv.normalise_headings(f.headings)
 
@@ -88,7 +88,7 @@ def _(f):
 
 
 _DIFF = """
-    WITH d AS (SELECT doc_id, idx, text AS old, CASE WHEN idx % 9 = 4 THEN upper(text) ELSE text END AS new, idx % 9 <> 4 OR upper(text) = text AS same,
+    WITH d AS (SELECT doc_id, idx, text AS old, CASE WHEN idx % 9 = 4 THEN lower(text) ELSE text END AS new, idx % 9 <> 4 OR lower(text) = text AS same,
         (doc_id + idx) % 23 = 0 AS dropped FROM paras),
     c AS (SELECT *, NOT same OR dropped AS changed FROM d),
     n AS (SELECT *, bool_or(changed) OVER (PARTITION BY doc_id ORDER BY idx RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM c),
@@ -101,8 +101,8 @@ _DIFF = """
 @query("X8_revision_diff", "doc_id:l hunk:l idx:l op:s text:s", _DIFF)
 def _(f):
     old = f.paragraphs.select("doc_id", "idx", "text")
-    shout = F.when(F.col("idx") % 9 == 4, F.upper("text")).otherwise(F.col("text"))
-    new = old.where("(doc_id + idx) % 23 <> 0").withColumn("text", shout)
+    quiet = F.when(F.col("idx") % 9 == 4, F.lower("text")).otherwise(F.col("text"))
+    new = old.where("(doc_id + idx) % 23 <> 0").withColumn("text", quiet)
     return rv.revision_diff(old, new)
 
 
@@ -200,12 +200,12 @@ def _(f):
 
 
 @query("X16_revert_auto_fix", "doc_id:l idx:l text:s max_font_size_pt:d space_after_pt:d style_name:s", """
-    SELECT doc_id, idx, CASE WHEN doc_id % 4 = 1 AND idx = 2 THEN text WHEN doc_id % 4 = 0 AND idx = 1 THEN 'Старое' ELSE upper(text) END AS text,
+    SELECT doc_id, idx, CASE WHEN doc_id % 4 = 1 AND idx = 2 THEN text WHEN doc_id % 4 = 0 AND idx = 1 THEN 'Старое' ELSE lower(text) END AS text,
       CASE WHEN doc_id % 4 = 3 AND idx < 8 THEN max_font_size_pt ELSE 14 END AS max_font_size_pt, CASE WHEN doc_id % 4 = 2 AND idx < 8 THEN space_after_pt ELSE 0 END AS space_after_pt,
       CASE WHEN doc_id % 4 = 1 AND idx = 3 THEN 'Normal' ELSE 'Heading 1' END AS style_name FROM paras""")
 def _(f):
     original = f.paragraphs.where("idx < 8").withColumn("space_before_pt", F.lit(0.0))
-    revised = f.paragraphs.select("doc_id", "idx", F.upper("text").alias("text"), F.lit(14.0).alias("max_font_size_pt"), F.lit(0.0).alias("space_before_pt"),
+    revised = f.paragraphs.select("doc_id", "idx", F.lower("text").alias("text"), F.lit(14.0).alias("max_font_size_pt"), F.lit(0.0).alias("space_before_pt"),
                                   F.lit(0.0).alias("space_after_pt"), F.lit("Heading 1").alias("style_name"), "outline_level")
     kinds = F.expr("""CASE doc_id % 4 WHEN 0 THEN array(struct('forbidden_heading' AS type, 1 AS paragraph_index, 'Старое ' AS original_text))
         WHEN 1 THEN array(struct('citation_separator_missing' AS type, 2 AS paragraph_index, '' AS original_text), struct('heading_recovered' AS type, 3 AS paragraph_index, '' AS original_text))

@@ -512,7 +512,7 @@ def _(f):
 @query("T8_merge_fragments", "doc_id:l whole_tbl:l whole_row:l cell_1:s", f"""
     SELECT r.doc_id, 0 AS whole_tbl, r.row_no AS whole_row, r.cell_1 FROM table_rows r JOIN ({_ELIGIBLE}) e ON r.doc_id = e.doc_id""")
 def _(f):
-    parts = tables.table_fragments(_rows(f), _eligible(f))
+    parts = f._written("fragments", lambda: tables.table_fragments(_rows(f), _eligible(f)))
     split = parts.select(
         "doc_id", (F.col("part") - 1).cast("int").alias("tbl_no"), F.col("place").cast("int").alias("row_no"), "cell_1", "label"
     )

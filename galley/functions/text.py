@@ -127,7 +127,7 @@ def roman_to_int(text: Column) -> Column:
     )
     for first, low in (("i[vx]", 1), ("x[lc]", 10), ("c[dm]", 100)):
         total = total - F.when(t.rlike(first), 2 * low).otherwise(0)
-    return F.when(t.rlike(_ROMAN) & (total > 0), total.cast("long"))
+    return F.when((t != "") & t.rlike(_ROMAN), total.cast("long"))
 
 
 def heading_prefix(text: Column) -> Column:

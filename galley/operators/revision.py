@@ -40,40 +40,53 @@ _FOOTER = r"(?U)^\s*(\d{1,4})\s*$"
 PREFIX_CUTS = (40, 30, 20)
 
 
-def is_capital_title(text: Column) -> Column:
-    norm = tx.norm_text(text)
-    return tx.any_of([norm.startswith(k) for k in CAPITAL_TITLES])
-
-
-def strip_chapter_word(text: Column) -> Column:
-    """``Глава 1 Название`` becomes ``1 Название``."""
-    prefix = tx.heading_prefix(tx.strip_blank(text))
-    title = prefix["title"]
-    bare = F.when(title != "", F.concat_ws(" ", prefix["number"], title)).otherwise(prefix["number"])
-    return F.when(prefix["kind"] == "chapter_word", bare).otherwise(text)
-
-
-def normalise_heading_text(text: Column) -> Column:
-    """Heading text in its final form: number tidied, chapter word dropped, case settled."""
-    plain = strip_chapter_word(F.regexp_replace(text, r"(?U)^\s+", ""))
-    numbered = F.regexp_replace(plain, _STRICT_NUMBER, "$1 ")
-    flat = F.regexp_replace(F.regexp_replace(numbered, r"(?U)\s+", " "), r"\.+$", "")
-    words = F.filter(F.split(flat, " "), lambda w: w != "")
-    lead = F.regexp_extract(flat, r"(?U)^([\d.]+\s+)", 1)
-    rest = flat.substr(F.length(lead) + 1, F.length(flat))
-    rest_words = F.filter(F.split(rest, " "), lambda w: w != "")
+def starts_capital_title(norm: Column) -> Column:
+    """Normalised text that starts with a name set in capitals."""
+    return norm.rlike("^(?:" + "|".join(CAPITAL_TITLES) + ")")
+
+
+def strip_chapter_word(rows: DataFrame, column: str = "text") -> DataFrame:
+    """``Глава 1 Название`` becomes ``1 Название``; other texts stay."""
+    prefix = rows.withColumn("_prefix", tx.heading_prefix(tx.strip_blank(F.col(column))))
+    title, number = F.col("_prefix.title"), F.col("_prefix.number")
+    bare = F.when(title != "", F.concat_ws(" ", number, title)).otherwise(number)
+    chapter = tx.is_true(F.col("_prefix.kind") == "chapter_word")
+    return prefix.withColumn(column, F.when(chapter, bare).otherwise(F.col(column))).drop("_prefix")
+
+
+def normalise_heading_text(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Bring headings to their final form: number tidied, chapter word dropped, case settled.
+
+    Works in named steps, so that each intermediate text is computed once.
+    """
+    text, lead, rest = F.col(column), F.col("_lead"), F.col("_rest")
+    steps = strip_chapter_word(rows.withColumn(column, F.regexp_replace(text, r"(?U)^\s+", "")), column)
+    flat = F.regexp_replace(F.regexp_replace(text, _STRICT_NUMBER, "$1 "), r"(?U)\s+", " ")
+    steps = (
+        steps.withColumn(column, F.regexp_replace(flat, r"\.+$", ""))
+        .withColumn("_norm", tx.norm_text(text))
+        .withColumn("_lead", F.regexp_extract(text, r"(?U)^([\d.]+\s+)", 1))
+        .withColumn("_rest", text.substr(F.length("_lead") + 1, F.length(column)))
+        .withColumn("_label", text.rlike(_APPENDIX_LABEL))
+        .withColumn(
+            "_words",
+            F.filter(F.split(F.when(F.col("_label"), text).otherwise(rest), " "), lambda w: w != ""),
+        )
+        .withColumn("_cased", tx.sentence_case(F.col("_words")))
+    )
     raised = F.concat(F.upper(F.substring(rest, 1, 1)), rest.substr(F.lit(2), F.length(rest)))
     body = (
         F.when((rest == "") | ~rest.rlike(r"\p{L}"), rest)
-        .when(tx.letters_all_upper(rest), tx.sentence_case(rest_words))
+        .when(tx.letters_all_upper(rest), F.col("_cased"))
         .when(tx.starts_lower(rest), raised)
         .otherwise(rest)
     )
-    return (
-        F.when(flat.rlike(_APPENDIX_LABEL), tx.sentence_case(words))
-        .when(is_capital_title(flat), F.upper(flat))
+    final = (
+        F.when(F.col("_label"), F.col("_cased"))
+        .when(starts_capital_title(F.col("_norm")), F.upper(text))
         .otherwise(F.concat(lead, body))
     )
+    return steps.withColumn(column, final).drop("_norm", "_lead", "_rest", "_label", "_words", "_cased")
 
 
 def normalise_headings(headings: DataFrame, derived: bool = False) -> DataFrame:
@@ -82,7 +95,7 @@ def normalise_headings(headings: DataFrame, derived: bool = False) -> DataFrame:
     if derived:
         automatic = F.col("numpr_ilvl").isNotNull() & F.col("derived_number").isNotNull() & ~text.rlike(_LEADING_NUMBER)
         text = F.when(automatic, F.concat_ws(" ", "derived_number", text)).otherwise(text)
-    return headings.select("doc_id", "idx", normalise_heading_text(text).alias("new_text"))
+    return normalise_heading_text(headings.select("doc_id", "idx", text.alias("new_text")), "new_text")
 
 
 def normalise_spaces(text: Column) -> Column:
@@ -103,12 +116,12 @@ def space_changes(zoned: DataFrame, headings: DataFrame, code: DataFrame, skip:
 
 def chapter_word_changes(zoned: DataFrame, skip: str = "in_title") -> DataFrame:
     """Short paragraphs that start with a chapter word and number, without the word."""
-    new = strip_chapter_word(F.col("stripped"))
-    return zoned.where(
+    rows = zoned.where(
         ~F.col(skip)
         & (F.col("length") <= CHAPTER_LINE)
         & tx.is_true(F.col("prefix.kind") == "chapter_word")
-    ).select("doc_id", "idx", new.alias("new_text")).where("new_text IS NOT NULL")
+    )
+    return strip_chapter_word(rows.select("doc_id", "idx", F.col("stripped").alias("new_text")), "new_text")
 
 
 def drop_empty_paragraphs(zoned: DataFrame, skip: str = "in_title") -> DataFrame:
@@ -196,7 +209,7 @@ def appendix_title_rows(zoned: DataFrame) -> DataFrame:
     marked = F.col("_one.stripped").rlike(_APPENDIX_MARKER)
     title = F.when(marked, F.col("_two._one")).otherwise(F.col("_one"))
     rows = rows.where(label).select("doc_id", F.col("idx").alias("label_idx"), title.alias("t"))
-    rows = rows.where(F.col("t").isNotNull() & ~is_capital_title(F.col("t.stripped")))
+    rows = rows.where(F.col("t").isNotNull() & ~starts_capital_title(tx.norm_text(F.col("t.stripped"))))
     words = F.col("t.stripped")
     raised = F.when(
         tx.starts_lower(words), F.concat(F.upper(F.substring(words, 1, 1)), words.substr(F.lit(2), F.length(words)))
@@ -244,7 +257,8 @@ def promote_headings(paragraphs: DataFrame, actions: DataFrame) -> DataFrame:
         F.col("level").isNull() | F.col("level").between(1, 3)
     )
     rows = paragraphs.select("doc_id", "idx", "text").join(actions.where(good), ["doc_id", "idx"])
-    norm = normalise_heading_text(F.col("text"))
+    rows = normalise_heading_text(rows)
+    norm = F.col("text")
     bare = F.ltrim(F.regexp_replace(norm, r"(?U)^\s*\d+(?:\.\d+){0,2}[.)]?\s+", ""))
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     return rows.select(

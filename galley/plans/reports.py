@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import text as tx
@@ -37,13 +37,17 @@ class Detection:
 
 
 def zoned(paragraphs: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Features and zones of every paragraph."""
-    return zones.mark_zones(features.enrich(paragraphs), rules or default_rules())
+    """Features and zones of every paragraph.
+
+    The features are written once: finding the zones takes several passes over
+    a few of their columns.
+    """
+    return zones.mark_zones(stage(features.enrich(paragraphs), "features"), rules or default_rules())
 
 
 def numbered(paragraphs: DataFrame, rules: dict | None = None) -> DataFrame:
     """Zones plus the derived list numbers."""
-    return features.derived_numbers(zoned(paragraphs, rules))
+    return features.derived_numbers(stage(zoned(paragraphs, rules), "zoned"))
 
 
 def detect(paragraphs: DataFrame, rules: dict | None = None) -> Detection:
@@ -169,67 +173,78 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
     heading numbers on the final one.
     """
     rules = rules or default_rules()
-    layout_columns = data.paragraphs.columns
-    first = zones.mark_zones(features.enrich(data.paragraphs), rules)
-    malformed = structure.malformed_headings(first, rules)
-    cleaned = structure.apply_text(
-        data.paragraphs, malformed.select("doc_id", "idx", F.col("cleaned").alias("new_text"))
+    given = data.paragraphs
+    first = zoned(given, rules)
+    malformed = stage(structure.malformed_headings(first, rules), "malformed")
+    cleaned = stage(
+        structure.apply_text(given, malformed.select("doc_id", "idx", F.col("cleaned").alias("new_text"))), "cleaned"
     )
-    found = detect(stage(cleaned, "cleaned"), rules)
+    found = detect(cleaned, rules)
     parts = common_findings(Manuscripts(cleaned, data.cells, data.hidden), found, rules, full=True)[1:]
     parts.append(structure.structural_heading_malformed(malformed, True))
 
-    work = found.scored
-    heads = headings.may_apply(found.headings)
-    bounds = zones.references_range(work, found.headings, rules)
-    typed = bibliography.autonumber(bibliography.in_references(work, bounds))
-    renamed = structure.title_fixes(found.headings, rules)
-    own = work.select("doc_id", "idx", "text", "numpr_ilvl", "derived_number")
-    titled = structure.apply_text(own.join(heads.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi"), renamed)
-    new_titles = revision.normalise_headings(titled, derived=True)
-    body_numbers = revision.keep_list_numbers(work, found.headings)
-    step = _rewritten(work, [typed.select("doc_id", "idx", "new_text"), body_numbers, new_titles])
-    step = stage(step, "titled")
-    step = stage(_rewritten(step, [revision.chapter_word_changes(step)]), "chapters")
-
-    shown = stage(
-        captions.all_captions(step, found.headings, rules, kinds=("figure", "table", "listing")), "captions"
-    )
+    work, heads = found.scored, found.headings
+    titled = structure.apply_text(work, _title_changes(work, heads, rules))
+    words = revision.chapter_word_changes(stage(_refreshed(titled), "renamed"))
+    titled = stage(_refreshed(structure.apply_text(titled, stage(words, "chapter-words"))), "titled")
+    shown = stage(captions.all_captions(titled, heads, rules, kinds=("figure", "table", "listing")), "captions")
     parts.append(captions.caption_renumbered(shown))
-    step = _rewritten(step, [shown.select("doc_id", "idx", captions.caption_text().alias("new_text"))])
-    step = stage(step, "captioned")
     referable = shown.where("kind <> 'listing'")
-    changes, links = captions.rewrite_references(step.where("NOT in_title"), referable)
-    step = stage(_rewritten(step, [changes]), "references")
-    parts += _reference_findings(step, referable)
+    changes, links = captions.rewrite_references(titled.where("NOT in_title"), referable)
+    changes = changes.unionByName(shown.select("doc_id", "idx", captions.caption_text().alias("new_text")))
+    equations = formulas.fix_alignment(formulas.formulas(work, heads)).select("doc_id", "idx")
+    plain = zones.listing_code_lines(titled).unionByName(heads.select("doc_id", "idx"))
+    tidied = _mark(_mark(titled, stage(equations, "equations"), "_formula"), stage(plain, "untouched"), "_keep")
+    tidied = structure.apply_text(tidied, stage(changes, "caption-changes")).withColumn("text", _tidy(F.col("text")))
+    tidied = stage(_refreshed(tidied.drop("_formula", "_keep")), "tidied")
+    parts += _reference_findings(tidied, referable)
     if data.table_pairs is not None and data.cells is not None:
-        pairs = data.table_pairs
         parts += [
-            tables.table_mass_bold_removed(data.cells, pairs),
-            tables.long_table_split_warning(data.cells, pairs),
+            tables.table_mass_bold_removed(data.cells, data.table_pairs),
+            tables.long_table_split_warning(data.cells, data.table_pairs),
         ]
-
-    tidy = citations.fix_separators(citations.fix_combined(F.col("text")))
-    step = step.withColumn("text", F.when(F.col("skip"), F.col("text")).otherwise(tidy))
-    equations = formulas.formulas(work, found.headings).where("number IS NOT NULL AND NOT has_tab")
-    aligned = formulas.fix_alignment(equations)
-    step = stage(_rewritten(step.select(*work.columns), [aligned]), "aligned")
-    code = zones.listing_code_lines(step)
-    step = _rewritten(step, [revision.space_changes(step, found.headings, code)])
-    final = stage(revision.drop_empty_paragraphs(step), "revised")
-    revised = final.select(*[c for c in layout_columns if c in final.columns], "old_idx")
-
-    again = detect(final.select(*[c for c in PARAGRAPH if c in final.columns]), rules)
-    parts.append(headings.heading_number_conflict(again.headings))
+    final = stage(revision.drop_empty_paragraphs(tidied), "revised")
+    parts.append(recheck_headings(final.select(*PARAGRAPH), rules))
+    revised = final.select(*[c for c in given.columns if c in final.columns], "old_idx")
     return Revision(revised, _union(parts), links)
 
 
-def _rewritten(rows: DataFrame, changes: list[DataFrame]) -> DataFrame:
-    """Apply text changes (later lists win) and refresh the text features."""
-    out = rows
-    for change in changes:
-        out = structure.apply_text(out, change)
-    fresh = features.basic_features(out)
+def _title_changes(work: DataFrame, heads: DataFrame, rules: dict) -> DataFrame:
+    """New text of headings, unnumbered sources and list items; headings count first."""
+    bounds = zones.references_range(work, heads, rules)
+    typed = bibliography.autonumber(bibliography.in_references(work, bounds))
+    own = work.select("doc_id", "idx", "text", "numpr_ilvl", "derived_number")
+    titles = own.join(headings.may_apply(heads).select("doc_id", "idx"), ["doc_id", "idx"], "left_semi")
+    titles = structure.apply_text(titles, structure.title_fixes(heads, rules))
+    ranked = [
+        revision.normalise_headings(titles, derived=True),
+        typed.select("doc_id", "idx", "new_text"),
+        revision.keep_list_numbers(work, heads),
+    ]
+    rows = _union([part.withColumn("rank", F.lit(i)) for i, part in enumerate(ranked)])
+    first = rows.groupBy("doc_id", "idx").agg(F.min_by("new_text", "rank").alias("new_text"))
+    return stage(first, "title-changes")
+
+
+def _mark(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """Add a flag for the rows named in ``places(doc_id, idx)``."""
+    at = places.select(F.col("doc_id").alias("_md"), F.col("idx").alias("_mi")).distinct()
+    joined = rows.join(at, (F.col("doc_id") == F.col("_md")) & (F.col("idx") == F.col("_mi")), "left")
+    return joined.withColumn(name, F.col("_mi").isNotNull()).drop("_md", "_mi")
+
+
+def _tidy(text: Column) -> Column:
+    """Citations, formula numbers and spaces, each only where it may be touched."""
+    cited = F.when(
+        ~F.col("skip") & text.contains("["), citations.fix_separators(citations.fix_combined(text))
+    ).otherwise(text)
+    aligned = F.when(F.col("_formula"), formulas.align_number(cited)).otherwise(cited)
+    return F.when(F.col("_keep") | F.col("in_title"), aligned).otherwise(revision.normalise_spaces(aligned))
+
+
+def _refreshed(rows: DataFrame) -> DataFrame:
+    """Recompute the text features after a change of text."""
+    fresh = features.basic_features(rows)
     return fresh.withColumn("prefix", tx.heading_prefix(F.col("stripped"))).select(*rows.columns)
 
 
