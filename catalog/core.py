@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley import fixtures as fx
-from galley.operators import bibliography, captions, citations, headings, zones
+from galley.operators import bibliography, captions, citations, features, headings, zones
 from galley.plans import reports
 from galley.rules import default_rules
 from galley.session import configure, stage
@@ -87,18 +87,16 @@ class Frames:
         return source(self.spark, self.dir)
 
     @property
-    def zoned(self) -> DataFrame:
-        return self._written("zoned", lambda: reports.zoned(self.paragraphs, RULES))
+    def features(self) -> DataFrame:
+        return self._written("features", lambda: features.enrich(self.paragraphs))
 
     @property
-    def numbered(self) -> DataFrame:
-        from galley.operators.features import derived_numbers
-
-        return self._written("numbered", lambda: derived_numbers(self.zoned))
+    def zoned(self) -> DataFrame:
+        return self._written("zoned", lambda: zones.mark_zones(self.features, RULES))
 
     @property
     def scored(self) -> DataFrame:
-        return self._written("scored", lambda: headings.score(self.numbered, RULES))
+        return self._written("scored", lambda: headings.score(self.features, RULES))
 
     @property
     def headings(self) -> DataFrame:

@@ -15,14 +15,14 @@ def _signals(rows):
 
 @query("H1_heading_rejects", "doc_id:l idx:l reject:s", "SELECT doc_id, idx, early AS reject FROM sig1 WHERE early IS NOT NULL")
 def _(f):
-    rows = hd.scoring_input(f.numbered).withColumn("reject", hd.early_reject(RULES))
+    rows = hd.candidates(f.features, RULES).withColumn("reject", hd.early_reject(RULES))
     return rows.where("reject IS NOT NULL")
 
 
 @query("H2_heading_signals", "doc_id:l idx:l score:l level:l signals:s",
        "SELECT doc_id, idx, score, level, array_to_string(signals, '|') AS signals FROM scored WHERE reject IS NULL")
 def _(f):
-    rows = hd.score(f.numbered, RULES).where("reject IS NULL")
+    rows = hd.score(f.features, RULES).where("reject IS NULL")
     return rows.withColumn("signals", F.array_join("signals", "|"))
 
 

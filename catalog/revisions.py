@@ -218,7 +218,7 @@ def _(f):
     SELECT z.doc_id, z.idx, concat(a.auto_number, '. ', ltrim(text)) AS new_text FROM zone z JOIN list_numbers a ON z.doc_id = a.doc_id AND z.idx = a.idx
     WHERE NOT in_title AND NOT is_empty AND NOT regexp_matches(text, '^\\s*\\d') AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = z.doc_id AND h.idx = z.idx)""")
 def _(f):
-    return rv.keep_list_numbers(f.numbered, f.headings)
+    return rv.keep_list_numbers(f.scored, f.headings)
 
 
 @query("X18_one_blank_after_blocks", "doc_id:l elem_no:l kind:s text:s added:b new_pos:l", """

@@ -43,8 +43,11 @@ def enrich(paragraphs: DataFrame) -> DataFrame:
     )
 
 
-def derived_numbers(features: DataFrame) -> DataFrame:
-    """Visible number of a paragraph: from its text, else from list counters.
+def derived_numbers(features: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """Add ``derived_number``: from the text, else from list counters.
+
+    ``onto`` gets the column where it is not ``features`` itself, so that the
+    counters are taken from the plain table and not from a costlier one.
 
     A list restarts when other text stands between two of its items, so the
     counters of one unbroken run of list paragraphs are independent of all
@@ -100,9 +103,10 @@ def derived_numbers(features: DataFrame) -> DataFrame:
         F.col("idx").alias("_i"),
         F.array_join(F.array(*[counter(k) for k in levels]), ".").alias("_number"),
     )
-    out = features.join(numbers, (F.col("doc_id") == F.col("_d")) & (F.col("idx") == F.col("_i")), "left")
+    rows = features if onto is None else onto
+    out = rows.join(numbers, (F.col("doc_id") == F.col("_d")) & (F.col("idx") == F.col("_i")), "left")
     return out.select(
-        *features.columns,
+        *rows.columns,
         F.when(F.col("numbered"), tx.join_tokens(F.col("numbering_tokens")))
         .otherwise(F.col("_number"))
         .alias("derived_number"),

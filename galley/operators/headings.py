@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from galley import rules as ru
 from galley.functions import text as tx
-from galley.operators.features import DOC, body_sizes, neighbour_features, numid_group_sizes, visible_tokens
+from galley.operators.features import DOC, body_sizes, derived_numbers, neighbour_features, numid_group_sizes
+from galley.operators.zones import mark_zones
 from galley.scan import Step, following, last, prev, remaining_min, scan
 from galley.schema import findings
 
@@ -62,14 +63,23 @@ def has_signal(names, column: str = "signals") -> Column:
     return F.exists(F.col(column), lambda s: _name(s).isin(list(names)))
 
 
-def scoring_input(zoned: DataFrame) -> DataFrame:
-    """Zone-marked features with neighbours, list sizes and the usual body size."""
-    groups = numid_group_sizes(zoned).select(
+def candidates(features: DataFrame, rules: dict) -> DataFrame:
+    """Features with all that scoring needs: neighbours, list and body sizes, zones, numbers.
+
+    Every side table is taken from the plain (written) features and joined once.
+    """
+    rows = mark_zones(features, rules, onto=_with_context(features))
+    rows = derived_numbers(features, onto=rows)
+    return rows.withColumn("shown_number", F.coalesce("prefix.number", "derived_number"))
+
+
+def _with_context(features: DataFrame) -> DataFrame:
+    groups = numid_group_sizes(features).select(
         F.col("doc_id").alias("_gd"), F.col("numpr_num_id").alias("_gn"), "group_size"
     )
-    sizes = body_sizes(zoned).select(F.col("doc_id").alias("_sd"), "body_size")
+    sizes = body_sizes(features).select(F.col("doc_id").alias("_sd"), "body_size")
     return (
-        neighbour_features(zoned)
+        neighbour_features(features)
         .join(groups, (F.col("doc_id") == F.col("_gd")) & (F.col("numpr_num_id") == F.col("_gn")), "left")
         .join(sizes, F.col("doc_id") == F.col("_sd"), "left")
         .drop("_gd", "_gn", "_sd")
@@ -81,7 +91,6 @@ def scoring_input(zoned: DataFrame) -> DataFrame:
                 F.col("numbering_tokens")
             ),
         )
-        .withColumn("shown_number", F.coalesce("prefix.number", "derived_number"))
         .withColumn("is_chapter", tx.is_true(F.col("prefix.kind") == "chapter_word"))
     )
 
@@ -275,13 +284,13 @@ def late_reject(rules: dict) -> Column:
     )
 
 
-def score(zoned: DataFrame, rules: dict) -> DataFrame:
-    """Add reject, score, level, signals and tier to every paragraph."""
+def score(features: DataFrame, rules: dict) -> DataFrame:
+    """Zones, numbers, reject, score, level, signals and tier of every paragraph."""
     table = _signal_table(rules)
     raw_signals = F.array_compact(F.array(*[F.when(test, label) for test, _, label in table]))
     raw_score = sum((F.when(test, points).otherwise(0) for test, points, _ in table if points), F.lit(0))
     rows = (
-        scoring_input(zoned)
+        candidates(features, rules)
         .withColumn("reject", early_reject(rules))
         .withColumn(
             "signals",

@@ -177,17 +177,18 @@ def contents_lines(features: DataFrame, rules: dict) -> DataFrame:
     return after.select("doc_id", "idx", phase.alias("phase")).where("phase IS NOT NULL")
 
 
-def mark_zones(features: DataFrame, rules: dict) -> DataFrame:
-    """Add ``in_title``, ``in_contents`` and their union ``skip``."""
+def mark_zones(features: DataFrame, rules: dict, onto: DataFrame | None = None) -> DataFrame:
+    """Add ``in_title``, ``in_contents`` and their union ``skip`` to ``onto`` or ``features``."""
+    rows = features if onto is None else onto
     titles = title_page_end(features, rules).select(F.col("doc_id").alias("_d"), "title_end")
     lines = contents_lines(features, rules).select(
         F.col("doc_id").alias("_ld"), F.col("idx").alias("_li"), F.lit(True).alias("_line")
     )
     return (
-        features.join(titles, F.col("doc_id") == F.col("_d"), "left")
+        rows.join(titles, F.col("doc_id") == F.col("_d"), "left")
         .join(lines, (F.col("doc_id") == F.col("_ld")) & (F.col("idx") == F.col("_li")), "left")
         .select(
-            *features.columns,
+            *rows.columns,
             (F.col("idx") < F.col("title_end")).alias("in_title"),
             F.col("_line").isNotNull().alias("in_contents"),
         )

@@ -45,15 +45,10 @@ def zoned(paragraphs: DataFrame, rules: dict | None = None) -> DataFrame:
     return zones.mark_zones(stage(features.enrich(paragraphs), "features"), rules or default_rules())
 
 
-def numbered(paragraphs: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Zones plus the derived list numbers."""
-    return features.derived_numbers(stage(zoned(paragraphs, rules), "zoned"))
-
-
 def detect(paragraphs: DataFrame, rules: dict | None = None) -> Detection:
     """Score the corpus once, write it, and accept headings from the written table."""
     rules = rules or default_rules()
-    base = stage(numbered(paragraphs, rules), "paragraphs")
+    base = stage(features.enrich(paragraphs), "features")
     scored = stage(headings.score(base, rules), "scored")
     accepted = stage(headings.detect(scored), "headings")
     return Detection(scored, accepted, scored.select("doc_id").distinct())
