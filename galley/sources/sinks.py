@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,26 +26,35 @@ def _bucket(doc_id="doc_id"):
     return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
 
 
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Stored findings, without the marker rows of ``write_findings``."""
+    return spark.read.parquet(path).where("type IS NOT NULL").drop("bucket")
+
+
 def write_findings(spark: SparkSession, fresh: DataFrame, docs: DataFrame, path: str) -> None:
     """Replace all findings of ``docs`` in the table at ``path``.
 
     The table is partitioned by a hash bucket of the document. Only buckets of
     re-processed documents are read and overwritten, so a repeated batch gives
     the same table. The new content of those buckets is staged first, because
-    they are also the input.
+    they are also the input. A marker row per touched bucket makes sure that a
+    bucket left without findings is overwritten too.
     """
     touched = docs.select("doc_id").distinct()
     buckets = touched.select(_bucket().alias("bucket")).distinct()
     new = fresh.withColumn("bucket", _bucket())
     try:
         stored = spark.read.parquet(path)
-    except Exception as error:  # no table yet: Spark names the missing path
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
+    except AnalysisException:  # no table yet
         stored = None
     if stored is not None:
-        kept = stored.join(F.broadcast(buckets), "bucket", "left_semi").join(touched, "doc_id", "left_anti")
+        kept = (
+            stored.where("type IS NOT NULL")
+            .join(F.broadcast(buckets), "bucket", "left_semi")
+            .join(touched, "doc_id", "left_anti")
+        )
         new = new.unionByName(kept.select(*new.columns))
+    new = new.unionByName(buckets, allowMissingColumns=True)
     (
         stage(new, "findings")
         .write.mode("overwrite")
