@@ -98,10 +98,13 @@ def derived_numbers(features: DataFrame, onto: DataFrame | None = None) -> DataF
         count = F.col(f"_n{k}") - F.coalesce(F.col(f"_b{k}.n"), F.lit(0)) + (opened_by > k).cast("long")
         return F.when(level >= k, count.cast("string"))
 
-    numbers = items.select(
-        F.col("doc_id").alias("_d"),
-        F.col("idx").alias("_i"),
-        F.array_join(F.array(*[counter(k) for k in levels]), ".").alias("_number"),
+    numbers = stage(
+        items.select(
+            F.col("doc_id").alias("_d"),
+            F.col("idx").alias("_i"),
+            F.array_join(F.array(*[counter(k) for k in levels]), ".").alias("_number"),
+        ),
+        "list-numbers",
     )
     rows = features if onto is None else onto
     out = rows.join(numbers, (F.col("doc_id") == F.col("_d")) & (F.col("idx") == F.col("_i")), "left")

@@ -9,6 +9,7 @@ from galley import rules as ru
 from galley.functions import text as tx
 from galley.operators.features import DOC
 from galley.scan import last, prev, scan
+from galley.session import stage
 
 TITLE_SCAN, TITLE_MAX = 60, 25
 
@@ -181,7 +182,8 @@ def mark_zones(features: DataFrame, rules: dict, onto: DataFrame | None = None)
     """Add ``in_title``, ``in_contents`` and their union ``skip`` to ``onto`` or ``features``."""
     rows = features if onto is None else onto
     titles = title_page_end(features, rules).select(F.col("doc_id").alias("_d"), "title_end")
-    lines = contents_lines(features, rules).select(
+    # Few lines, found in several passes: written before they meet the wide rows.
+    lines = stage(contents_lines(features, rules).select("doc_id", "idx"), "contents-lines").select(
         F.col("doc_id").alias("_ld"), F.col("idx").alias("_li"), F.lit(True).alias("_line")
     )
     return (
