@@ -80,6 +80,10 @@ class Frames:
             self._tables[name] = stage(build(), name)
         return self._tables[name]
 
+    def adopt(self, **tables: DataFrame) -> None:
+        """Use tables that a caller has written already."""
+        self._tables.update(tables)
+
     def __getattr__(self, name: str):
         source = getattr(fx, name, None)
         if source is None:
