@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.session import configure, stage
 
-__all__ = ["crc_mod", "keep_listed", "read_table", "stage", "text_column", "words_pattern"]
+__all__ = ["crc_mod", "keep_listed", "prepare", "read_table", "stage", "text_column", "words_pattern"]
 
 #: Python workers get Arrow batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS = 2000
@@ -17,10 +21,30 @@ BATCH_BYTES = 16 << 20
 words_pattern = r"[^\x20\x09-\x0D]+"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ship_code(spark: SparkSession) -> None:
+    """Give the Python workers this package and its helpers, wherever they run."""
+    context = spark.sparkContext
+    if any(name.startswith("llm-code") for name in context._python_includes):
+        return
+    top = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp()) / "llm-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in ("llm", "galley"):
+            for file in sorted((top / package).rglob("*.py")):
+                out.write(file, file.relative_to(top))
+    context.addPyFile(str(archive))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings, bounded Arrow batches, and this package on the workers."""
     configure(spark)
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

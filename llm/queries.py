@@ -6,9 +6,10 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, mixing, simhash
-from llm.common import read_table
+from llm import bpe, exact_dedup, mixing, simhash, toxicity
+from llm.common import crc_mod, read_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), crc_mod(3) == 1
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
