@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from galley.session import configure, stage
 
-__all__ = ["crc_mod", "keep_listed", "prepare", "read_table", "stage", "text_column", "words_pattern"]
+__all__ = ["crc_mod", "keep_listed", "prepare", "read_table", "short_lived_shuffles", "stage", "text_column", "words_pattern"]
 
 #: Python workers get Arrow batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS = 2000
@@ -48,6 +50,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside drop their shuffle files once they are written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_column(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, mixing, simhash, toxicity
+from llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -21,6 +21,10 @@ def vocabulary_path() -> str:
     return os.environ.get("TOKENIZER_FILE") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
@@ -54,6 +59,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
 }
