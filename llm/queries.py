@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, toxicity
+from llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, top_k, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -37,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary_path())
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op7_top_k": op7_top_k,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
@@ -62,4 +67,5 @@ SQL = {
     "op1_suffix_dedup": suffix_dedup.SQL,
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_top_k": top_k.SQL,
 }
