@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, top_k, toxicity
+from llm import bpe, exact_dedup, kneser_ney, mixing, simhash, suffix_dedup, top_k, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -41,6 +41,11 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), crc_mod(7) == 2
+    return kneser_ney.scores(docs, kneser_ney.train(docs.where(~held_out)), held_out)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_top_k": op7_top_k,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
