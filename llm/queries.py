@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, kneser_ney, mixing, simhash, suffix_dedup, top_k, toxicity
+from llm import bpe, exact_dedup, html_text, kneser_ney, mixing, simhash, suffix_dedup, top_k, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -33,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.marked(documents(spark, sf_dir))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary_path())
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html": op4_html,
     "op6_bpe": op6_bpe,
     "op7_top_k": op7_top_k,
     "op8_kneser_ney": op8_kneser_ney,
