@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, html_text, kneser_ney, mixing, simhash, suffix_dedup, top_k, toxicity
+from llm import bpe, exact_dedup, html_text, kneser_ney, mixing, quality, simhash, suffix_dedup, top_k, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -37,6 +37,14 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), crc_mod(5) == 0
+    network = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return quality.scores(docs, network).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary_path())
 
@@ -67,6 +75,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_html": op4_html,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_top_k": op7_top_k,
     "op8_kneser_ney": op8_kneser_ney,
