@@ -95,7 +95,7 @@ def _(f):
     SELECT doc_id, idx, round(coalesce(sum(CASE WHEN bold THEN n ELSE 0 END) / nullif(sum(n), 0), 0), 6) AS bold_ratio,
       round(coalesce(sum(CASE WHEN italic THEN n ELSE 0 END) / nullif(sum(n), 0), 0), 6) AS italic_ratio FROM (
       SELECT doc_id, ln AS idx, CASE WHEN trim(substr(txt, k * 20 + 1, 20)) = '' THEN 0 ELSE length(substr(txt, k * 20 + 1, 20)) END AS n,
-        (doc_id + ln + k) % 3 = 0 AS bold, (doc_id + k) % 4 = 0 AS italic FROM (SELECT *, unnest(range(3)) AS k FROM base_lines))
+        (doc_id + ln + k) % 3 = 0 AS bold, (doc_id + k) % 4 = 0 AS italic FROM (SELECT *, unnest(range(0, (greatest(length(txt), 1) - 1) // 20 + 1)) AS k FROM base_lines))
     GROUP BY doc_id, idx""")
 def _(f):
     rows = features.run_ratios(f.runs)
@@ -106,7 +106,7 @@ def _(f):
     SELECT doc_id, idx, max(size) AS max_font_size_pt, arg_max(round(size, 1), [n, -first]) AS modal_font_size_pt FROM (
       SELECT *, count(*) OVER (PARTITION BY doc_id, idx, round(size, 1)) AS n, min(k) OVER (PARTITION BY doc_id, idx, round(size, 1)) AS first FROM (
         SELECT doc_id, ln AS idx, k, CASE WHEN (doc_id + ln * 2 + k) % 7 = 0 THEN NULL WHEN (doc_id + k) % 5 = 0 THEN 12.04::DOUBLE ELSE 14.0::DOUBLE END AS size
-        FROM (SELECT *, unnest(range(3)) AS k FROM base_lines)) WHERE size IS NOT NULL) GROUP BY doc_id, idx""")
+        FROM (SELECT *, unnest(range(0, (greatest(length(txt), 1) - 1) // 20 + 1)) AS k FROM base_lines)) WHERE size IS NOT NULL) GROUP BY doc_id, idx""")
 def _(f):
     return features.run_font_sizes(f.runs)
 

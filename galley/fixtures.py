@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.session import configure, spread
+from galley.session import configure
 
 FRONT_ROWS = 12
 
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "txt"))
 
 
@@ -55,14 +55,34 @@ BODY = """
                        WHEN doc_id % 6 = 1 THEN concat('1.', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), ' Раздел метода')
                        WHEN doc_id % 3 = 0 THEN concat('тогда ', txt) ELSE concat('где ', txt) END
       WHEN 7 THEN CASE WHEN doc_id % 2 = 1 THEN concat('Листинг ', CAST(1 + ln % 5 AS STRING), ' — ', substr(txt, 1, 20)) ELSE concat(txt, ' [2-', CAST(3 + ln % 40 AS STRING), ']') END
-      WHEN 8 THEN CASE WHEN doc_id % 2 = 1 THEN 'def f(x):' ELSE concat(txt, ' (приложение А)') END
+      WHEN 8 THEN CASE WHEN doc_id % 2 = 1 THEN 'def f(x):'
+                       WHEN doc_id % 18 = 0 AND ln = 8 THEN concat(txt, ' (приложение В)') ELSE concat(txt, ' (приложение А)') END
       ELSE CASE WHEN doc_id % 8 = 5 THEN concat('Глава ', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), CASE WHEN ln % 20 = 9 THEN '' ELSE concat('. ', substr(txt, 1, 12)) END)
                 ELSE concat('Таблица ', CAST(1 + ln % 7 AS STRING), ' — ', substr(txt, 1, 25)) END END END"""
 
 
+# What BODY leaves out of a line: it follows as a paragraph of its own, so no text is lost.
+REST = """
+    CASE WHEN (doc_id * 3 + ln) % 31 = 0 THEN txt ELSE
+    CASE ln % 10
+      WHEN 0 THEN substr(txt, 41)
+      WHEN 3 THEN substr(txt, 31)
+      WHEN 5 THEN txt
+      WHEN 6 THEN CASE WHEN doc_id % 6 = 1 THEN txt ELSE '' END
+      WHEN 7 THEN CASE WHEN doc_id % 2 = 1 THEN substr(txt, 21) ELSE '' END
+      WHEN 8 THEN CASE WHEN doc_id % 2 = 1 THEN txt ELSE '' END
+      WHEN 9 THEN CASE WHEN doc_id % 8 = 5 THEN CASE WHEN ln % 20 = 9 THEN txt ELSE substr(txt, 13) END ELSE substr(txt, 26) END
+      ELSE '' END END"""
+
+# Bold short lines after the introduction of every 21st manuscript; their position marks them.
+LISTED_POS = -105
+LISTED = ("Первый пункт перечня", "Второй пункт перечня", "Третий пункт перечня")
+
+
 def _tail() -> str:
     return """concat(
-      CASE WHEN doc_id % 9 <> 0 THEN array('ЗАКЛЮЧЕНИЕ') ELSE array() END,
+      CASE WHEN doc_id % 19 = 7 THEN array('Термины и определения') ELSE array() END,
+      CASE WHEN doc_id % 9 <> 0 AND doc_id % 19 <> 6 THEN array('ЗАКЛЮЧЕНИЕ') ELSE array() END,
       CASE WHEN doc_id % 13 <> 0 THEN concat(
         array(CASE doc_id % 8 WHEN 0 THEN 'Список литературы' WHEN 1 THEN 'Список литературы ........ 41' ELSE 'СПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ' END),
         transform(sequence(1, 6), k -> CASE
@@ -70,7 +90,10 @@ def _tail() -> str:
           WHEN doc_id % 10 = 4 AND k >= 4 THEN concat('Автор В. В. Статья номер ', CAST(k AS STRING), ', 2019. 5 с.')
           ELSE concat(CAST(k + CASE WHEN doc_id % 11 = 0 AND k > 3 THEN 1 ELSE 0 END AS STRING), '. Автор А. А. Работа о методах',
             CASE WHEN (doc_id + k) % 6 = 0 THEN '' ELSE concat(', ', CAST(2010 + k AS STRING), '. 10 с.') END) END)) ELSE array() END,
-      CASE WHEN doc_id % 2 = 0 THEN array('ПРИЛОЖЕНИЕ А', CASE WHEN doc_id % 6 = 0 THEN 'ПРИЛОЖЕНИЕ В' WHEN doc_id % 14 = 2 THEN 'ПРИЛОЖЕНИЕ З' ELSE 'ПРИЛОЖЕНИЕ Б' END)
+      CASE WHEN doc_id % 19 = 6 THEN array('ЗАКЛЮЧЕНИЕ') ELSE array() END,
+      CASE WHEN doc_id % 2 = 0 THEN concat(array('ПРИЛОЖЕНИЕ А'),
+        CASE WHEN doc_id % 14 = 6 THEN array('схема данных') ELSE array() END,
+        array(CASE WHEN doc_id % 6 = 0 THEN 'ПРИЛОЖЕНИЕ В' WHEN doc_id % 14 = 2 THEN 'ПРИЛОЖЕНИЕ З' ELSE 'ПРИЛОЖЕНИЕ Б' END))
         ELSE array() END)"""
 
 
@@ -81,9 +104,10 @@ LAYOUT = {
     "max_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN CAST(16.0 AS DOUBLE) WHEN (doc_id + idx) % 13 = 0 THEN CAST(12.0 AS DOUBLE) ELSE CAST(14.0 AS DOUBLE) END",
     "modal_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN CAST(16.0 AS DOUBLE) WHEN (doc_id + idx) % 13 = 0 THEN CAST(12.0 AS DOUBLE) ELSE CAST(14.0 AS DOUBLE) END",
     "font_family": "CASE WHEN (doc_id + idx) % 23 = 0 THEN 'Arial' ELSE 'Times New Roman' END",
-    "bold_ratio": "CAST((doc_id * 7 + idx * 3) % 11 AS DOUBLE) / 10",
-    "in_table": "(doc_id * 5 + idx) % 37 = 0",
-    "style_name": """CASE WHEN pos % 10 = 1 AND (doc_id % 2 = 0 OR doc_id % 6 = 1) THEN 'Heading 1'
+    "bold_ratio": f"CASE WHEN pos = {LISTED_POS} THEN CAST(0.9 AS DOUBLE) ELSE CAST((doc_id * 7 + idx * 3) % 11 AS DOUBLE) / 10 END",
+    "in_table": f"pos <> {LISTED_POS} AND (doc_id * 5 + idx) % 37 = 0",
+    "style_name": """CASE WHEN pos = 11 AND doc_id % 11 = 4 THEN 'Normal'
+            WHEN pos % 10 = 1 AND (doc_id % 2 = 0 OR doc_id % 6 = 1) THEN 'Heading 1'
             WHEN pos % 10 = 7 AND doc_id % 6 = 1 AND (doc_id + pos + 2) % 4 <> 0 AND NOT (pos = 7 AND doc_id % 12 = 1) THEN 'Heading 2'
             WHEN pos % 10 = 9 AND doc_id % 4 = 2 THEN 'List Paragraph' ELSE 'Normal' END""",
     "has_tab": "instr(text, chr(9)) > 0 OR (doc_id + idx) % 4 = 0",
@@ -97,25 +121,30 @@ LAYOUT = {
     "mono": "pos % 10 = 9 AND doc_id % 4 = 1",
     "space_after_pt": "CASE WHEN doc_id % 10 = 3 THEN CAST(8.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END",
     "line_spacing": "CASE WHEN doc_id % 10 = 7 THEN CAST(1.0 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END",
-    "elem_no": "idx + CASE WHEN pos > 0 THEN CAST(floor((pos - 1) / 10) AS INT) ELSE 0 END",
+    "elem_no": "idx + tables_before",
 }
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manuscript paragraphs with text and layout, from one pass over the documents."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    docs = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    texts = docs.select(
-        "doc_id",
-        F.posexplode(
-            F.expr(
-                f"""concat({_front()},
-                array(CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END),
-                transform(lines, (txt, ln) -> {BODY}), {_tail()})"""
-            )
-        ).alias("idx", "text"),
+    """Manuscript paragraphs with text and layout, from one pass over the documents.
+
+    ``pos`` is the place of a dressed line (0: introduction and what is left of
+    lines, negative: front matter), ``tables_before`` the tables so far.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    listed = ", ".join(f"'{x}'" for x in LISTED)
+    made = F.expr(
+        f"""concat(
+        transform({_front()}, (t, i) -> struct(t AS text, i - {FRONT_ROWS} AS pos, 0 AS tables_before)),
+        array(struct(CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END AS text, 0 AS pos, 0 AS tables_before)),
+        transform(CASE WHEN doc_id % 21 = 8 THEN array({listed}) ELSE array() END,
+          t -> struct(t AS text, {LISTED_POS} AS pos, 0 AS tables_before)),
+        filter(flatten(transform(lines, (txt, ln) -> array(
+          struct({BODY} AS text, ln + 1 AS pos, CAST(floor(ln / 10) AS INT) AS tables_before),
+          struct({REST} AS text, 0 AS pos, CAST(floor((ln + 1) / 10) AS INT) AS tables_before)))), p -> p.pos > 0 OR p.text <> ''),
+        transform({_tail()}, (t, i) -> struct(t AS text, size(lines) + 1 + i AS pos, CAST(floor((size(lines) + i) / 10) AS INT) AS tables_before)))"""
     )
-    rows = texts.withColumn("pos", F.expr(f"idx - CASE WHEN doc_id % 5 = 0 THEN {FRONT_ROWS} ELSE 0 END"))
+    rows = docs.select("doc_id", F.posexplode(made).alias("idx", "p")).select("doc_id", "idx", "p.*")
     fonts = "CASE WHEN mono THEN array('courier new') ELSE array('times new roman') END"
     rows = rows.select("doc_id", "idx", "text", "pos", *[F.expr(v).alias(k) for k, v in LAYOUT.items()])
     return rows.withColumn("run_fonts", F.expr(fonts)).drop("mono")
@@ -146,9 +175,10 @@ def body_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs per line of the documents with emphasis and sizes."""
+    """Runs of twenty characters of every line of the documents, to its end, with emphasis and sizes."""
     lines = base_lines(spark, sf_dir).withColumnsRenamed({"ln": "idx"})
-    run = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run_no")
+    last = F.expr("CAST(floor((greatest(length(txt), 1) - 1) / 20) AS INT)")
+    run = F.explode(F.sequence(F.lit(0), last)).alias("run_no")
     rows = lines.select("doc_id", "idx", "txt", run)
     return rows.select(
         "doc_id",

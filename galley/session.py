@@ -43,15 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that has fewer splits than the session has cores.
-
-    A large input has far more splits than cores and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from galley.fixtures import BODY, LAYOUT
+from galley.fixtures import BODY, LAYOUT, LISTED, LISTED_POS, REST
 from galley import rules as ru
 
 RULES = ru.default_rules()
@@ -117,8 +117,11 @@ CTES["base_lines"] = """
       FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 CTES["line_basic"] = BASIC % f"(SELECT doc_id, ln AS idx, txt AS text, {strip('txt')} AS stripped FROM base_lines)"
 CTES["para_text"] = f"""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, k) - 1 AS idx, text FROM (
-      SELECT doc_id, 1 AS part, k, CASE k WHEN 0 THEN 'Государственный университет' WHEN 1 THEN 'Факультет наук'
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, k, r) - 1 AS idx, text,
+      CASE part WHEN 1 THEN k - 12 WHEN 2 THEN 0 WHEN 3 THEN CASE r WHEN 0 THEN k + 1 ELSE 0 END WHEN 2.5 THEN {LISTED_POS} ELSE tail END AS pos,
+      CAST(CASE part WHEN 3 THEN (k + r) // 10 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 2.5 THEN 0 ELSE (tail - 1) // 10 END AS INT) AS tables_before
+    FROM (SELECT *, n_lines + row_number() OVER (PARTITION BY doc_id, part > 3 ORDER BY part, k) AS tail FROM (
+      SELECT doc_id, 1 AS part, k, 0 AS r, CASE k WHEN 0 THEN 'Государственный университет' WHEN 1 THEN 'Факультет наук'
         WHEN 2 THEN 'Кафедра методов'
         WHEN 3 THEN CASE WHEN doc_id % 10 = 0 THEN 'Выпускная квалификационная работа' ELSE 'Отчёт по теме исследования' END
         WHEN 5 THEN 'Город 2024' WHEN 6 THEN CASE WHEN doc_id % 3 = 0 THEN 'Оглавление' ELSE 'СОДЕРЖАНИЕ' END
@@ -128,24 +131,30 @@ CTES["para_text"] = f"""
         WHEN 10 THEN CASE doc_id % 15 WHEN 0 THEN 'Список литературы    12' WHEN 5 THEN '' ELSE 'Термины и определения' END
         ELSE '' END AS text
       FROM (SELECT doc_id, unnest(range(12)) AS k FROM documents WHERE doc_id % 5 = 0)
-      UNION ALL SELECT doc_id, 2, 0, CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END FROM documents
-      UNION ALL SELECT doc_id, 3, ln, {BODY} FROM base_lines
-      UNION ALL SELECT doc_id, 4, 0, 'ЗАКЛЮЧЕНИЕ' FROM documents WHERE doc_id % 9 <> 0
-      UNION ALL SELECT doc_id, 5, 0, CASE doc_id % 8 WHEN 0 THEN 'Список литературы' WHEN 1 THEN 'Список литературы ........ 41'
+      UNION ALL SELECT doc_id, 2, 0, 0, CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END FROM documents
+      UNION ALL SELECT doc_id, 2.5, k, 0, ([{', '.join(repr(x) for x in LISTED)}])[k + 1] FROM (SELECT doc_id, unnest(range(3)) AS k FROM documents WHERE doc_id % 21 = 8)
+      UNION ALL SELECT doc_id, 3, ln, 0, {BODY} FROM base_lines
+      UNION ALL SELECT doc_id, 3, ln, 1, {REST} FROM base_lines WHERE {REST} <> ''
+      UNION ALL SELECT doc_id, 3.5, 0, 0, 'Термины и определения' FROM documents WHERE doc_id % 19 = 7
+      UNION ALL SELECT doc_id, 4, 0, 0, 'ЗАКЛЮЧЕНИЕ' FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 19 <> 6
+      UNION ALL SELECT doc_id, 6.5, 0, 0, 'ЗАКЛЮЧЕНИЕ' FROM documents WHERE doc_id % 19 = 6
+      UNION ALL SELECT doc_id, 5, 0, 0, CASE doc_id % 8 WHEN 0 THEN 'Список литературы' WHEN 1 THEN 'Список литературы ........ 41'
         ELSE 'СПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ' END FROM documents WHERE doc_id % 13 <> 0
-      UNION ALL SELECT doc_id, 6, k, CASE
+      UNION ALL SELECT doc_id, 6, k, 0, CASE
         WHEN doc_id % 17 = 0 AND k = 2 THEN '18-32. Автор Б. Б. Сборник трудов'
         WHEN doc_id % 10 = 4 AND k >= 4 THEN concat('Автор В. В. Статья номер ', CAST(k AS STRING), ', 2019. 5 с.')
         ELSE concat(CAST(k + CASE WHEN doc_id % 11 = 0 AND k > 3 THEN 1 ELSE 0 END AS STRING), '. Автор А. А. Работа о методах',
           CASE WHEN (doc_id + k) % 6 = 0 THEN '' ELSE concat(', ', CAST(2010 + k AS STRING), '. 10 с.') END) END
         FROM (SELECT doc_id, unnest(range(1, 7)) AS k FROM documents WHERE doc_id % 13 <> 0)
-      UNION ALL SELECT doc_id, 7, k, CASE WHEN k = 0 THEN 'ПРИЛОЖЕНИЕ А' WHEN doc_id % 6 = 0 THEN 'ПРИЛОЖЕНИЕ В'
+      UNION ALL SELECT doc_id, 7, 1, 0, 'схема данных' FROM documents WHERE doc_id % 14 = 6
+      UNION ALL SELECT doc_id, 7, 2 * k, 0, CASE WHEN k = 0 THEN 'ПРИЛОЖЕНИЕ А' WHEN doc_id % 6 = 0 THEN 'ПРИЛОЖЕНИЕ В'
         WHEN doc_id % 14 = 2 THEN 'ПРИЛОЖЕНИЕ З' ELSE 'ПРИЛОЖЕНИЕ Б' END
-        FROM (SELECT doc_id, unnest(range(2)) AS k FROM documents WHERE doc_id % 2 = 0))"""
+        FROM (SELECT doc_id, unnest(range(2)) AS k FROM documents WHERE doc_id % 2 = 0))
+    JOIN (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents) USING (doc_id))"""
 CTES["paras"] = (
     "SELECT *, "
     + ", ".join(f"{v} AS {k}" for k, v in LAYOUT.items())
-    + " FROM (SELECT doc_id, idx, text, idx - CASE WHEN doc_id % 5 = 0 THEN 12 ELSE 0 END AS pos FROM para_text)"
+    + " FROM para_text"
 )
 CTES["feat"] = f"""
     SELECT *, CASE WHEN regexp_extract(lower({strip('style_name')}), '^(?:heading|заголовок)\\s*(\\d+)$', 1) <> ''
