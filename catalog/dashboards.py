@@ -12,14 +12,12 @@ SUPERVISOR = 1000003
 
 @query("citation_findings_by_severity", "doc_id:l total:l critical:l warning:l info:l", r"""
     SELECT doc_id, count(*) AS total, 0 AS critical, count(*) FILTER (sev = 'warning') AS warning, count(*) FILTER (sev = 'info') AS info FROM (
-      SELECT doc_id, 'info' AS sev FROM feat WHERE NOT is_empty AND regexp_matches(stripped, '\[\d+(?:\s*[,\-‒–—−]\s*\d+)*\]\s*\[\d+(?:\s*[,\-‒–—−]\s*\d+)*\]')
-      UNION ALL SELECT doc_id, 'info' FROM feat WHERE NOT is_empty AND regexp_matches(stripped, '\[\d+(\s*,\s*\d+)+\]')
-      UNION ALL SELECT doc_id, 'warning' FROM (SELECT doc_id, unnest(regexp_extract_all(stripped, '\[\d+-\d+\]')) AS t FROM feat)
+      SELECT doc_id, 'info' AS sev FROM zone WHERE NOT skip AND NOT is_empty AND regexp_matches(stripped, '\[\d+(?:\s*[,\-‒–—−]\s*\d+)*\]\s*\[\d+(?:\s*[,\-‒–—−]\s*\d+)*\]')
+      UNION ALL SELECT doc_id, 'info' FROM zone WHERE NOT skip AND NOT is_empty AND regexp_matches(stripped, '\[\d+(\s*,\s*\d+)+\]')
+      UNION ALL SELECT doc_id, 'warning' FROM (SELECT doc_id, unnest(regexp_extract_all(stripped, '\[\d+-\d+\]')) AS t FROM zone WHERE NOT skip)
         WHERE CAST(regexp_extract(t, '-(\d+)', 1) AS BIGINT) - CAST(regexp_extract(t, '(\d+)-', 1) AS BIGINT) > 20) GROUP BY doc_id""")
 def _(f):
-    from galley.operators.features import basic_features
-    rows = basic_features(f.paragraphs).withColumn("skip", F.lit(False))
-    found = [citations.citation_separators(rows), citations.citation_combined(rows), citations.citation_range_suspicious(rows)]
+    found = [check(f.zoned) for check in (citations.citation_separators, citations.citation_combined, citations.citation_range_suspicious)]
     return db.finding_counts(reduce(lambda a, b: a.unionByName(b), found))
 
 

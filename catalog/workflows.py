@@ -341,22 +341,32 @@ def _(f):
     return wf.document_timeline(f.submissions)
 
 
-_MOVES = """SELECT event_id AS seq, user_id, CASE event_type WHEN 'signup' THEN 'assign' WHEN 'error' THEN 'unassign' WHEN 'purchase' THEN 'role' END AS kind,
-    CASE WHEN event_id % 8 = 0 THEN 'dean' ELSE 'student' END AS value, 1000000 + event_id % 3 AS actor_id FROM events WHERE event_type IN ('signup', 'error', 'purchase')"""
+# Every fifth role event concerns one of the actors, so that they stop and start being staff.
+_MOVE_COLUMNS = {
+    "seq": "event_id",
+    "user_id": "CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 1000000 + event_id % 3 ELSE user_id END",
+    "kind": "CASE event_type WHEN 'signup' THEN 'assign' WHEN 'error' THEN 'unassign' WHEN 'purchase' THEN 'role' END",
+    "value": "CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'supervisor' ELSE 'student' END WHEN event_id % 8 = 0 THEN 'dean' ELSE 'student' END",
+    "actor_id": "1000000 + event_id % 3",
+}
+_MOVES = f"""SELECT {', '.join(f'{v} AS {k}' for k, v in _MOVE_COLUMNS.items())} FROM events WHERE event_type IN ('signup', 'error', 'purchase')"""
 
 
 @query("W30_assignment_updates", "user_id:l role:s supervisor_id:l", f"""
-    WITH m AS ({_MOVES}),
-    u AS (SELECT p.user_id, coalesce(r.value, p.role) AS role, p.supervisor_id FROM people p LEFT JOIN (SELECT user_id, arg_max(value, seq) AS value FROM m WHERE kind = 'role' GROUP BY user_id) r ON p.user_id = r.user_id),
-    a AS (SELECT m.*, u.supervisor_id AS stored, last_value(CASE WHEN kind = 'assign' THEN actor_id END IGNORE NULLS) OVER (PARTITION BY m.user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder
-      FROM m JOIN u ON m.user_id = u.user_id WHERE u.role = 'student' AND kind <> 'role'),
-    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM a WHERE kind = 'assign' OR coalesce(holder, stored) = actor_id) WHERE rn = 1)
-    SELECT u.user_id, u.role, CASE WHEN l.user_id IS NULL THEN u.supervisor_id WHEN l.kind = 'assign' THEN l.actor_id END AS supervisor_id FROM u LEFT JOIN l ON u.user_id = l.user_id""")
+    WITH m AS ({_MOVES}), r AS (SELECT user_id, seq, value FROM m WHERE kind = 'role'),
+    j AS (SELECT m.user_id, m.seq, m.kind, m.actor_id, coalesce(t.value, p.role) AS user_role, coalesce(a.value, q.role) AS actor_role, p.supervisor_id AS stored
+      FROM (SELECT * FROM m WHERE kind <> 'role') m JOIN people p ON p.user_id = m.user_id LEFT JOIN people q ON q.user_id = m.actor_id
+      ASOF LEFT JOIN r t ON m.user_id = t.user_id AND m.seq > t.seq ASOF LEFT JOIN r a ON m.actor_id = a.user_id AND m.seq > a.seq),
+    h AS (SELECT *, last_value(CASE WHEN kind = 'assign' THEN actor_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder
+      FROM j WHERE actor_role IN ('supervisor', 'dean', 'admin') AND (kind = 'unassign' OR user_role = 'student')),
+    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM h WHERE kind = 'assign' OR coalesce(holder, stored) = actor_id) WHERE rn = 1),
+    n AS (SELECT user_id, arg_max(value, seq) AS value FROM r GROUP BY user_id)
+    SELECT p.user_id, coalesce(n.value, p.role) AS role, CASE WHEN l.user_id IS NULL THEN p.supervisor_id WHEN l.kind = 'assign' THEN l.actor_id END AS supervisor_id
+    FROM people p LEFT JOIN n ON p.user_id = n.user_id LEFT JOIN l ON p.user_id = l.user_id""")
 def _(f):
     from galley.fixtures import table
-    return wf.assignment_updates(f.users, table(f.spark, f.dir, "events").selectExpr(
-        "event_id AS seq", "user_id", "CASE event_type WHEN 'signup' THEN 'assign' WHEN 'error' THEN 'unassign' WHEN 'purchase' THEN 'role' END AS kind",
-        "CASE WHEN event_id % 8 = 0 THEN 'dean' ELSE 'student' END AS value", "1000000 + event_id % 3 AS actor_id").where("kind IS NOT NULL"))
+    rows = table(f.spark, f.dir, "events").selectExpr(*[f"{v} AS {k}" for k, v in _MOVE_COLUMNS.items()])
+    return wf.assignment_updates(f.users, rows.where("kind IS NOT NULL"))
 
 
 @query("W32_filter_findings", "finding_id:s", "SELECT finding_id FROM found WHERE severity = 'critical' AND status = 'manual_required'")

@@ -203,7 +203,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galley.scan import running_sum, scan
 
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", *_ROW_ORDER)
-    numbered = scan(lines, ["l_partkey"], _ROW_ORDER, row_no=running_sum(F.lit(1), inclusive=False))
+    numbered = scan(lines, ["l_partkey"], _ROW_ORDER, ranged=True, row_no=running_sum(F.lit(1), inclusive=False))
     rows = numbered.select(
         F.col("l_partkey").alias("doc_id"),
         F.lit(0).alias("tbl_no"),

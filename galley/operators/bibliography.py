@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galley.functions import text as tx
 from galley.operators.citations import first_mentions
 from galley.operators.features import DOC
+from galley.session import stage
 from galley.scan import last, prev, running_sum, scan
 from galley.schema import findings
 
@@ -221,7 +222,7 @@ def autonumber(listed: DataFrame) -> DataFrame:
     rows = listed.select(
         "doc_id", "idx", "stripped", explicit.alias("explicit"), needs.alias("needs"), moves.alias("moves")
     )
-    rows = scan(rows, DOC, ["idx"], _moved=running_sum(F.col("moves").cast("long")))
+    rows = stage(scan(rows, DOC, ["idx"], _moved=running_sum(F.col("moves").cast("long"))), "moved-entries")
     rows = scan(
         rows, DOC, ["idx"], _seed=last(F.when(F.col("explicit").isNotNull(), F.struct("explicit", "_moved")))
     )

@@ -142,4 +142,4 @@ def finding_report_rows(findings: DataFrame, order: list[str]) -> DataFrame:
         .withColumn("severity_label", F.coalesce("severity_label", "severity"))
         .withColumn("status_label", F.coalesce("status_label", "status"))
     )
-    return scan(named, ["doc_id"], order, row_number=running_sum(F.lit(1).cast("long")))
+    return scan(named, ["doc_id"], order, ranged=True, row_number=running_sum(F.lit(1).cast("long")))

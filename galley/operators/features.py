@@ -83,7 +83,7 @@ def derived_numbers(features: DataFrame, onto: DataFrame | None = None) -> DataF
         **{f"_n{k}": running_sum((level == k).cast("long")) for k in levels},
     )
     items = scan(
-        items,
+        stage(items, "list-items"),
         run,
         ["idx"],
         _first=last(F.when(F.col("_place") == 1, level)),

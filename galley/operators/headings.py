@@ -11,6 +11,7 @@ from galley import rules as ru
 from galley.functions import text as tx
 from galley.operators.features import DOC, body_sizes, derived_numbers, neighbour_features, numid_group_sizes
 from galley.operators.zones import mark_zones
+from galley.session import stage
 from galley.scan import Step, following, last, prev, remaining_min, scan
 from galley.schema import findings
 
@@ -619,7 +620,7 @@ def number_sequence(headings: DataFrame) -> DataFrame:
 
 def with_cascade_root(sequence: DataFrame) -> DataFrame:
     """Add ``caused_by``: first conflict of an unbroken run of conflicts, null for that one."""
-    rows = scan(sequence, DOC, ["idx"], _before=prev(F.col("conflict")))
+    rows = stage(scan(stage(sequence, "heading-sequence"), DOC, ["idx"], _before=prev(F.col("conflict"))), "conflicts")
     starts = F.col("conflict") & ~tx.is_true(F.col("_before"))
     rows = scan(rows, DOC, ["idx"], _root=last(F.when(starts, F.col("idx"))))
     return rows.withColumn(

@@ -122,7 +122,7 @@ def match_findings(detected: DataFrame, expected: DataFrame, tolerance: int = TO
         return frame.join(wanted, keys, "left_semi").select(*keys, F.col("seq").alias(name), "paragraph_index")
 
     ranked = [
-        scan(part(f, "rank", name), keys, [name], rank=running_sum(F.lit(1))).select(*keys, "rank", name)
+        scan(part(f, "rank", name), keys, [name], ranged=True, rank=running_sum(F.lit(1))).select(*keys, "rank", name)
         for f, name in ((exp, "exp_seq"), (det, "det_seq"))
     ]
     pairs = ranked[0].join(ranked[1], [*keys, "rank"]).select(*keys, "exp_seq", "det_seq")
@@ -144,14 +144,14 @@ def _match_placed(detected: DataFrame, expected: DataFrame, tolerance: int) -> D
     """
     keys, group = ["doc_id", "type"], ["doc_id", "type", "spot"]
     at = F.coalesce(F.col("paragraph_index"), F.lit(_ANYWHERE))
-    state = scan(expected.withColumn("spot", at), group, ["exp_seq"], turn=running_sum(F.lit(1)))
+    state = scan(expected.withColumn("spot", at), group, ["exp_seq"], ranged=True, turn=running_sum(F.lit(1)))
     state = stage(state.select(*group, "exp_seq", "turn", F.col("turn").alias("rank")), "match-expected")
     spots = state.select(*group).distinct()
     reach = F.array_append(
         F.sequence(F.col("paragraph_index") - tolerance, F.col("paragraph_index") + tolerance), F.lit(_ANYWHERE)
     )
     lists = detected.withColumn("spot", F.explode(reach)).join(spots, group, "left_semi")
-    lists = scan(lists, group, ["det_seq"], rank=running_sum(F.lit(1)))
+    lists = scan(lists, group, ["det_seq"], ranged=True, rank=running_sum(F.lit(1)))
     lists = stage(lists.select(*group, "rank", "det_seq"), "match-candidates")
     while True:
         offers = state.join(lists, [*group, "rank"])
@@ -162,7 +162,7 @@ def _match_placed(detected: DataFrame, expected: DataFrame, tolerance: int) -> D
         if judged.where("refused").isEmpty():
             return judged.select(*keys, "exp_seq", "det_seq")
         ahead = F.col("rank") + F.col("refused").cast("int") - F.col("turn")
-        state = scan(judged.withColumn("_ahead", ahead), group, ["exp_seq"], _most=running_max(F.col("_ahead")))
+        state = scan(judged.withColumn("_ahead", ahead), group, ["exp_seq"], ranged=True, _most=running_max(F.col("_ahead")))
         state = state.select(*group, "exp_seq", "turn", (F.col("turn") + F.col("_most")).alias("rank"))
 
 
@@ -205,7 +205,7 @@ def _next_candidate(state: DataFrame, detected: DataFrame, keys: list[str]) -> D
         F.lit(None).cast(state.schema["exp_seq"].dataType).alias("exp_seq"),
     )
     candidate = F.when(F.col("asks") == 0, F.col("at_seq"))
-    seen = scan(asking.unionByName(offered), keys, ["at_seq", "asks", "exp_seq"], det_seq=following(candidate))
+    seen = scan(asking.unionByName(offered), keys, ["at_seq", "asks", "exp_seq"], ranged=True, det_seq=following(candidate))
     return seen.where("asks = 1 AND det_seq IS NOT NULL").select("doc_id", "type", "exp_seq", "det_seq")
 
 
@@ -299,13 +299,38 @@ def step_timings(timings: DataFrame) -> DataFrame:
     return per_run.groupBy("file_id", "step").agg(*_statistics("ms"))
 
 
-def corpus_timings(steps: DataFrame) -> DataFrame:
-    """Statistics over the per-file medians of each step.
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles per group, by ranks among counted distinct values.
 
-    ``percentile`` keeps counts of distinct values per group, merged map-side;
-    medians carry four digits, which bounds the state of a step.
+    A group of any size is spread: its values are counted, the counts summed up
+    in order, and only the values at the two ranks of each share are taken.
     """
-    return steps.groupBy("step").agg(*_statistics("median"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    placed = scan(counted, keys, ["_value"], ranged=True, _end=running_sum(F.col("_n"))).join(totals, keys)
+    picks = []
+    for name, share in shares.items():
+        rank = F.lit(share) * (F.col("_total") - 1)
+        for side, at in (("low", F.floor(rank)), ("high", F.ceil(rank))):
+            here = (F.col("_end") - F.col("_n") <= at) & (at < F.col("_end"))
+            picks.append(F.max(F.when(here, F.col("_value"))).alias(f"_{name}_{side}"))
+        picks.append(F.max(rank - F.floor(rank)).alias(f"_{name}_part"))
+    found = placed.groupBy(*keys).agg(*picks)
+    return found.select(*keys, *[
+        (F.col(f"_{n}_low") + F.col(f"_{n}_part") * (F.col(f"_{n}_high") - F.col(f"_{n}_low"))).alias(n) for n in shares
+    ])
+
+
+def corpus_timings(steps: DataFrame) -> DataFrame:
+    """Statistics over the per-file medians of each step."""
+    value = F.col("median")
+    plain = steps.groupBy("step").agg(
+        F.count("*").alias("runs"), F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max"), F.round(F.avg(value), 4).alias("mean")
+    )
+    ranks = percentiles(steps, ["step"], "median", {"median": 0.5, "p95": 0.95})
+    return plain.join(ranks, "step").select(
+        "step", "runs", "min", "max", F.round("median", 4).alias("median"), "mean", F.round("p95", 4).alias("p95")
+    )
 
 
 def slowest_steps(corpus: DataFrame, n: int = TOP) -> DataFrame:

@@ -135,7 +135,7 @@ def drop_empty_paragraphs(zoned: DataFrame, skip: str = "in_title") -> DataFrame
     removable = (
         ~F.col(skip) & F.col("is_empty") & ~F.col("has_image") & ~F.col("has_section_break") & ~after_table
     )
-    rows = rows.where(~removable).drop("_before")
+    rows = stage(rows.where(~removable).drop("_before"), "kept-paragraphs")
     rows = scan(rows, DOC, ["idx"], _n=running_sum(F.lit(1)))
     return rows.withColumn("old_idx", F.col("idx")).withColumn("idx", (F.col("_n") - 1).cast("int")).drop("_n")
 
@@ -204,7 +204,7 @@ def appendix_title_rows(zoned: DataFrame) -> DataFrame:
     text = F.col("stripped")
     label = text.rlike(_APPENDIX_LABEL) & (F.length("stripped") < LABEL_LENGTH)
     line = F.struct("idx", "stripped")
-    rows = scan(solid, DOC, ["idx"], _one=following(line))
+    rows = stage(scan(solid, DOC, ["idx"], _one=following(line)), "following-lines")
     rows = scan(rows, DOC, ["idx"], _two=following(F.struct("_one")))
     marked = F.col("_one.stripped").rlike(_APPENDIX_MARKER)
     title = F.when(marked, F.col("_two._one")).otherwise(F.col("_one"))
@@ -390,11 +390,11 @@ def revision_diff(original: DataFrame, revised: DataFrame, context: int = 3) ->
     rows = a.join(b, ["doc_id", "idx"], "full")
     rows = rows.withColumn("_changed", ~F.col("_old").eqNullSafe(F.col("_new")))
     mark = F.when(F.col("_changed"), F.col("idx"))
-    rows = scan(rows, DOC, ["idx"], _before=last(mark), _after=following(mark))
+    rows = scan(stage(rows, "aligned"), DOC, ["idx"], _before=last(mark), _after=following(mark))
     near = (F.col("idx") - F.col("_before") <= context) | (F.col("_after") - F.col("idx") <= context)
-    rows = rows.where(tx.is_true(near))
+    rows = stage(rows.where(tx.is_true(near)), "near-changes")
     rows = scan(rows, DOC, ["idx"], _prev=prev(F.col("idx")))
-    rows = rows.withColumn("_opens", F.col("_prev").isNull() | (F.col("idx") - F.col("_prev") > 1))
+    rows = stage(rows.withColumn("_opens", F.col("_prev").isNull() | (F.col("idx") - F.col("_prev") > 1)), "hunk-starts")
     rows = scan(rows, DOC, ["idx"], hunk=running_sum(F.col("_opens").cast("long")))
     kept = F.array(F.struct(F.lit(" ").alias("op"), F.col("_new").alias("text")))
     changed = F.array_compact(

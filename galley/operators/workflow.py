@@ -115,7 +115,7 @@ def judge_decisions(events: DataFrame, docs: DataFrame, users: DataFrame) -> Dat
     )
     rows = rows.withColumn("comment", comment).withColumn("_form", form)
     rows = scan(
-        rows, ["doc_id"], ["event_id"], _before=prev(F.when(F.col("_form").isNull(), F.col("action")))
+        rows, ["doc_id"], ["event_id"], ranged=True, _before=prev(F.when(F.col("_form").isNull(), F.col("action")))
     )
     pending = F.coalesce(F.col("_before") == "submit", F.col("approval_status") == "pending_review", F.lit(False))
     outcome = (
@@ -574,35 +574,53 @@ def document_timeline(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.array_compact(events)))
 
 
+STAFF = ("supervisor", "dean", "admin")
+
+
 def assignment_updates(users: DataFrame, events: DataFrame) -> DataFrame:
     """Role and supervisor of every user after the events.
 
     ``events(seq, kind, user_id, value, actor_id)``: ``role`` sets a role,
     ``assign`` gives a student to the actor, ``unassign`` takes a student from
-    the actor who holds it. Roles apply first; assignments need the final role
-    ``student``. An unassignment counts if the last assignment before it (or
-    the stored supervisor) is the actor's own.
+    the actor who holds it. Both need an actor who is staff at that time, an
+    assignment also a user who is a student at that time; a later role leaves
+    the supervisor as it is.
     """
-    roles = events.where("kind = 'role'").groupBy("user_id").agg(F.max_by("value", "seq").alias("_role"))
-    rows = users.join(roles, "user_id", "left").withColumn("role", F.coalesce("_role", "role")).drop("_role")
-    moves = (
-        events.where(F.col("kind").isin("assign", "unassign"))
-        .join(rows.where("role = 'student'").select("user_id", F.col("supervisor_id").alias("_stored")), "user_id")
+    changes = events.where("kind = 'role'")
+    moves = events.where(F.col("kind").isin("assign", "unassign")).join(users.select("user_id"), "user_id", "left_semi")
+    nothing = F.lit(None).cast("string")
+
+    def asked(who: str) -> DataFrame:
+        return moves.select(F.col(who).alias("who"), "seq", F.lit(who).alias("part"), "kind", "user_id", "actor_id", nothing.alias("value"))
+
+    timeline = asked("user_id").unionByName(asked("actor_id")).unionByName(
+        changes.select(F.col("user_id").alias("who"), "seq", nothing.alias("part"), "value"), allowMissingColumns=True
     )
+    timeline = timeline.where("who IS NOT NULL").join(
+        users.select(F.col("user_id").alias("who"), F.col("role").alias("_stored")), "who"
+    )
+    timeline = scan(timeline, ["who"], ["seq"], ranged=True, _role=prev(F.col("value")))
+    role = F.coalesce("_role", "_stored")
+    judged = timeline.where("part IS NOT NULL").groupBy("user_id", "seq", "kind", "actor_id").agg(
+        F.max(F.when(F.col("part") == "user_id", role)).alias("user_role"),
+        F.max(F.when(F.col("part") == "actor_id", role)).alias("actor_role"),
+    )
+    allowed = F.col("actor_role").isin(*STAFF) & ((F.col("kind") == "unassign") | (F.col("user_role") == "student"))
+    moves = judged.where(allowed).join(users.select("user_id", F.col("supervisor_id").alias("_stored")), "user_id")
     assigned = F.when(F.col("kind") == "assign", F.col("actor_id"))
     # A refused or repeated unassignment changes nothing, so the holder before an
     # event is the last assignment unless an accepted unassignment came after it.
-    moves = scan(moves, ["user_id"], ["seq"], _holder=prev(assigned))
+    moves = scan(moves, ["user_id"], ["seq"], ranged=True, _holder=prev(assigned))
     holder = F.coalesce("_holder", "_stored")
     counts = (F.col("kind") == "assign") | tx.is_true(holder == F.col("actor_id"))
-    value = F.when(F.col("kind") == "assign", F.col("actor_id"))
-    final = moves.where(counts).groupBy("user_id").agg(
-        F.max(F.struct("seq", value.alias("supervisor"))).alias("_last")
-    )
+    final = moves.where(counts).groupBy("user_id").agg(F.max(F.struct("seq", assigned.alias("supervisor"))).alias("_last"))
+    roles = changes.groupBy("user_id").agg(F.max_by("value", "seq").alias("_role"))
     return (
-        rows.join(final, "user_id", "left")
+        users.join(roles, "user_id", "left")
+        .join(final, "user_id", "left")
+        .withColumn("role", F.coalesce("_role", "role"))
         .withColumn("supervisor_id", F.when(F.col("_last").isNotNull(), F.col("_last.supervisor")).otherwise(F.col("supervisor_id")))
-        .drop("_last")
+        .drop("_last", "_role")
     )
 
 

@@ -6,6 +6,11 @@ pulls all rows of one manuscript into one task. ``scan`` cuts every key into
 blocks of consecutive positions, runs the windows per (key, block), reduces
 each block to one summary row, carries the summaries across blocks, and joins
 them back. A key of any size is spread over as many tasks as it has blocks.
+
+Blocks of a dense order (paragraph numbers) are ranges of the order itself. Where
+the order is sparse (ids, hashes) or crowded (many rows in one place), ``ranged``
+takes the blocks from the data: the rows are range-partitioned by key and order
+and written once, so their block is the partition that they were written from.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.session import stage
+
 BLOCK_ROWS = 32768
 _BLOCK_CONF = "galley.scan.blockRows"
 
@@ -61,17 +68,19 @@ def block_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(_BLOCK_CONF, str(BLOCK_ROWS)))
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], ranged: bool = False, **steps: Step) -> DataFrame:
     """Add one column per step to ``df``.
 
-    Keys must not be null; ``order[0]`` must be a whole number.
+    Keys must not be null; ``order[0]`` must be a whole number unless ``ranged``.
     """
-    size = block_rows(df)
-    carried = df.select(
-        "*",
-        F.floor(F.col(order[0]) / F.lit(size)).cast("long").alias("_block"),
-        *[step.value.alias(f"_v_{name}") for name, step in steps.items()],
-    )
+    values = [step.value.alias(f"_v_{name}") for name, step in steps.items()]
+    if ranged:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.select("*", *values).repartitionByRange(parts, *keys, *order)
+        carried = stage(rows.withColumn("_block", F.spark_partition_id().cast("long")), "scan")
+    else:
+        block = F.floor(F.col(order[0]) / F.lit(block_rows(df))).cast("long").alias("_block")
+        carried = df.select("*", block, *values)
     block_keys = [*keys, "_block"]
     ascending = Window.partitionBy(*block_keys).orderBy(*[F.col(c).asc() for c in order])
     descending = Window.partitionBy(*block_keys).orderBy(*[F.col(c).desc() for c in order])

@@ -45,8 +45,10 @@ def write_findings(spark: SparkSession, fresh: DataFrame, docs: DataFrame, path:
     new = fresh.withColumn("bucket", _bucket())
     try:
         stored = spark.read.parquet(path)
-    except AnalysisException:  # no table yet
-        stored = None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None  # no table yet
     if stored is not None:
         kept = (
             stored.where("type IS NOT NULL")
