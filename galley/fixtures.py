@@ -45,8 +45,8 @@ BODY = """
     CASE WHEN (doc_id * 3 + ln) % 31 = 0 THEN '' ELSE
     CASE ln % 10
       WHEN 0 THEN concat(CAST(1 + CAST(floor(ln / 10) AS INT) + CASE WHEN doc_id % 7 = 0 AND ln >= 20 THEN 1 ELSE 0 END AS STRING), ' ', substr(txt, 1, 40))
-      WHEN 1 THEN concat(txt, ' [', CAST(1 + (doc_id + ln) % 8 AS STRING), ']')
-      WHEN 2 THEN concat(txt, ' [', CAST(1 + doc_id % 5 AS STRING), '][', CAST(2 + doc_id % 5 AS STRING), '] [1,', CAST(2 + ln % 3 AS STRING), ']')
+      WHEN 1 THEN concat(txt, ' [', CAST(1 + (doc_id + ln) % 8 AS STRING), ']', CASE WHEN doc_id % 18 = 0 THEN ' (приложение В)' ELSE '' END)
+      WHEN 2 THEN concat(txt, ' [', CAST(1 + doc_id % 5 AS STRING), '][', CAST(2 + doc_id % 5 AS STRING), '] [1,', CAST(2 + ln % 3 AS STRING), ']', CASE WHEN doc_id % 18 = 0 THEN ' (приложение А)' ELSE '' END)
       WHEN 3 THEN concat('Рисунок ', CAST(1 + (doc_id + ln) % 9 AS STRING), CASE WHEN doc_id % 4 = 3 THEN ' ' ELSE ' — ' END, substr(txt, 1, 30))
       WHEN 4 THEN concat(txt, ' см. рисунок ', CAST(1 + ln % 4 AS STRING), ' и таблица 1, 2')
       WHEN 5 THEN concat('y = ax + ', CAST(ln AS STRING), ' (', CAST(1 + CAST(floor(ln / 10) AS INT) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS STRING), ')')
@@ -55,8 +55,7 @@ BODY = """
                        WHEN doc_id % 6 = 1 THEN concat('1.', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), ' Раздел метода')
                        WHEN doc_id % 3 = 0 THEN concat('тогда ', txt) ELSE concat('где ', txt) END
       WHEN 7 THEN CASE WHEN doc_id % 2 = 1 THEN concat('Листинг ', CAST(1 + ln % 5 AS STRING), ' — ', substr(txt, 1, 20)) ELSE concat(txt, ' [2-', CAST(3 + ln % 40 AS STRING), ']') END
-      WHEN 8 THEN CASE WHEN doc_id % 2 = 1 THEN 'def f(x):'
-                       WHEN doc_id % 18 = 0 AND ln = 8 THEN concat(txt, ' (приложение В)') ELSE concat(txt, ' (приложение А)') END
+      WHEN 8 THEN CASE WHEN doc_id % 2 = 1 THEN 'def f(x):' ELSE concat(txt, ' (приложение А)') END
       ELSE CASE WHEN doc_id % 8 = 5 THEN concat('Глава ', CAST(1 + CAST(floor(ln / 10) AS INT) AS STRING), CASE WHEN ln % 20 = 9 THEN '' ELSE concat('. ', substr(txt, 1, 12)) END)
                 ELSE concat('Таблица ', CAST(1 + ln % 7 AS STRING), ' — ', substr(txt, 1, 25)) END END END"""
 
@@ -74,9 +73,14 @@ REST = """
       WHEN 9 THEN CASE WHEN doc_id % 8 = 5 THEN CASE WHEN ln % 20 = 9 THEN txt ELSE substr(txt, 13) END ELSE substr(txt, 26) END
       ELSE '' END END"""
 
-# Bold short lines after the introduction of every 21st manuscript; their position marks them.
-LISTED_POS = -105
-LISTED = ("Первый пункт перечня", "Второй пункт перечня", "Третий пункт перечня")
+# Lines after the introduction of some manuscripts, by doc_id % 21; their position marks their layout:
+# bold short lines, and a chapter of which two headings carry no style.
+LISTED_POS, CHAPTER_POS, SECTION_POS, PLAIN_POS = -105, -111, -112, -113
+EXTRA = {
+    8: (("Первый пункт перечня", LISTED_POS), ("Второй пункт перечня", LISTED_POS), ("Третий пункт перечня", LISTED_POS)),
+    9: (("4 Анализ данных", CHAPTER_POS), ("4.1 Методы. Итоги части", PLAIN_POS), ("4.2 Раздел метода", SECTION_POS),
+        ("4.3 Методы. Итоги", PLAIN_POS), ("4.4 Раздел выводов", SECTION_POS)),
+}
 
 
 def _tail() -> str:
@@ -98,7 +102,7 @@ def _tail() -> str:
 
 
 LAYOUT = {
-    "alignment": """CASE WHEN pos < -6 THEN 'center' ELSE CASE (doc_id + idx) % 5 WHEN 0 THEN 'center'
+    "alignment": """CASE WHEN pos BETWEEN -12 AND -7 THEN 'center' ELSE CASE (doc_id + idx) % 5 WHEN 0 THEN 'center'
             WHEN 1 THEN 'left' ELSE 'justify' END END""",
     "first_line_indent_cm": "CASE WHEN (doc_id + idx) % 19 = 0 THEN CAST(0.0 AS DOUBLE) WHEN (doc_id + idx) % 43 = 0 THEN CAST(-0.5 AS DOUBLE) ELSE CAST(1.25 AS DOUBLE) END",
     "max_font_size_pt": "CASE WHEN (doc_id + idx) % 17 = 0 THEN CAST(16.0 AS DOUBLE) WHEN (doc_id + idx) % 13 = 0 THEN CAST(12.0 AS DOUBLE) ELSE CAST(14.0 AS DOUBLE) END",
@@ -106,7 +110,7 @@ LAYOUT = {
     "font_family": "CASE WHEN (doc_id + idx) % 23 = 0 THEN 'Arial' ELSE 'Times New Roman' END",
     "bold_ratio": f"CASE WHEN pos = {LISTED_POS} THEN CAST(0.9 AS DOUBLE) ELSE CAST((doc_id * 7 + idx * 3) % 11 AS DOUBLE) / 10 END",
     "in_table": f"pos <> {LISTED_POS} AND (doc_id * 5 + idx) % 37 = 0",
-    "style_name": """CASE WHEN pos = 11 AND doc_id % 11 = 4 THEN 'Normal'
+    "style_name": f"""CASE WHEN pos = {CHAPTER_POS} THEN 'Heading 1' WHEN pos = {SECTION_POS} THEN 'Heading 2'
             WHEN pos % 10 = 1 AND (doc_id % 2 = 0 OR doc_id % 6 = 1) THEN 'Heading 1'
             WHEN pos % 10 = 7 AND doc_id % 6 = 1 AND (doc_id + pos + 2) % 4 <> 0 AND NOT (pos = 7 AND doc_id % 12 = 1) THEN 'Heading 2'
             WHEN pos % 10 = 9 AND doc_id % 4 = 2 THEN 'List Paragraph' ELSE 'Normal' END""",
@@ -132,13 +136,14 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, negative: front matter), ``tables_before`` the tables so far.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    listed = ", ".join(f"'{x}'" for x in LISTED)
+    extra = "CASE doc_id % 21 " + " ".join(
+        f"WHEN {k} THEN array({', '.join(f'struct({t!r} AS text, {p} AS pos, 0 AS tables_before)' for t, p in lines)})" for k, lines in EXTRA.items()
+    ) + " ELSE array() END"
     made = F.expr(
         f"""concat(
         transform({_front()}, (t, i) -> struct(t AS text, i - {FRONT_ROWS} AS pos, 0 AS tables_before)),
         array(struct(CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END AS text, 0 AS pos, 0 AS tables_before)),
-        transform(CASE WHEN doc_id % 21 = 8 THEN array({listed}) ELSE array() END,
-          t -> struct(t AS text, {LISTED_POS} AS pos, 0 AS tables_before)),
+        {extra},
         filter(flatten(transform(lines, (txt, ln) -> array(
           struct({BODY} AS text, ln + 1 AS pos, CAST(floor(ln / 10) AS INT) AS tables_before),
           struct({REST} AS text, 0 AS pos, CAST(floor((ln + 1) / 10) AS INT) AS tables_before)))), p -> p.pos > 0 OR p.text <> ''),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from galley.fixtures import BODY, LAYOUT, LISTED, LISTED_POS, REST
+from galley.fixtures import BODY, EXTRA, LAYOUT, REST
 from galley import rules as ru
 
 RULES = ru.default_rules()
@@ -116,9 +116,10 @@ CTES["base_lines"] = """
       SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i
       FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 CTES["line_basic"] = BASIC % f"(SELECT doc_id, ln AS idx, txt AS text, {strip('txt')} AS stripped FROM base_lines)"
+_EXTRA = ", ".join(f"({m}, {k}, {p}, {t!r})" for m, lines in EXTRA.items() for k, (t, p) in enumerate(lines))
 CTES["para_text"] = f"""
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, k, r) - 1 AS idx, text,
-      CASE part WHEN 1 THEN k - 12 WHEN 2 THEN 0 WHEN 3 THEN CASE r WHEN 0 THEN k + 1 ELSE 0 END WHEN 2.5 THEN {LISTED_POS} ELSE tail END AS pos,
+      CASE part WHEN 1 THEN k - 12 WHEN 2 THEN 0 WHEN 3 THEN CASE r WHEN 0 THEN k + 1 ELSE 0 END WHEN 2.5 THEN r ELSE tail END AS pos,
       CAST(CASE part WHEN 3 THEN (k + r) // 10 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 2.5 THEN 0 ELSE (tail - 1) // 10 END AS INT) AS tables_before
     FROM (SELECT *, n_lines + row_number() OVER (PARTITION BY doc_id, part > 3 ORDER BY part, k) AS tail FROM (
       SELECT doc_id, 1 AS part, k, 0 AS r, CASE k WHEN 0 THEN 'Государственный университет' WHEN 1 THEN 'Факультет наук'
@@ -132,7 +133,7 @@ CTES["para_text"] = f"""
         ELSE '' END AS text
       FROM (SELECT doc_id, unnest(range(12)) AS k FROM documents WHERE doc_id % 5 = 0)
       UNION ALL SELECT doc_id, 2, 0, 0, CASE WHEN doc_id % 4 = 0 THEN 'Предисловие' ELSE 'ВВЕДЕНИЕ' END FROM documents
-      UNION ALL SELECT doc_id, 2.5, k, 0, ([{', '.join(repr(x) for x in LISTED)}])[k + 1] FROM (SELECT doc_id, unnest(range(3)) AS k FROM documents WHERE doc_id % 21 = 8)
+      UNION ALL SELECT doc_id, 2.5, x.k, x.pos, x.text FROM documents JOIN (VALUES {_EXTRA}) x(m, k, pos, text) ON doc_id % 21 = x.m
       UNION ALL SELECT doc_id, 3, ln, 0, {BODY} FROM base_lines
       UNION ALL SELECT doc_id, 3, ln, 1, {REST} FROM base_lines WHERE {REST} <> ''
       UNION ALL SELECT doc_id, 3.5, 0, 0, 'Термины и определения' FROM documents WHERE doc_id % 19 = 7

@@ -25,3 +25,43 @@ def test_scan_equals_brute_force(spark, blocks):
         assert r.m == (max(upto) if upto else None)
         assert r.b == (max(before) if before else None)
         assert r.lo == (min(after) if after else None)
+
+
+def _check_ranged(spark, data, order):
+    names = ["d", *order, "v"]
+    df = spark.createDataFrame(data, ", ".join(f"{n} long" for n in names))
+    out = scan(
+        df, ["d"], order, ranged=True, p=prev(F.col("v")), n=following(F.col("v")), s=running_sum(F.col("v")), m=running_max(F.col("v"))
+    ).collect()
+    assert len(out) == len(data)
+    for r in out:
+        own = sorted((row[1:-1], row[-1]) for row in data if row[0] == r.d)
+        here = tuple(r[c] for c in order)
+        upto = [v for at, v in own if at <= here and v is not None]
+        before = [v for at, v in own if at < here and v is not None]
+        after = [v for at, v in own if at > here and v is not None]
+        assert (r.p, r.n) == (before[-1] if before else None, after[0] if after else None)
+        assert (r.s, r.m) == (sum(upto), max(upto) if upto else None)
+
+
+def test_ranged_scan_over_hash_order(spark):
+    rng = random.Random(8)
+    _check_ranged(spark, [(d, rng.getrandbits(48), rng.choice([None, 1, 5, 9])) for d in (1, 1, 1, 2) for _ in range(60)], ["at"])
+
+
+def test_ranged_scan_with_all_rows_in_one_place(spark):
+    rng = random.Random(9)
+    _check_ranged(spark, [(1, 0, i, rng.choice([None, 2, 3])) for i in rng.sample(range(10**6), 150)], ["place", "seq"])
+
+
+def test_ranged_scan_uses_several_blocks(spark):
+    from galley import scan as module
+
+    seen = []
+    staged = module.stage
+    module.stage = lambda df, label: seen.append(staged(df, label)) or seen[-1]
+    try:
+        scan(spark.range(400).selectExpr("1 AS d", "id * 7919 AS at"), ["d"], ["at"], ranged=True, s=running_sum(F.lit(1)))
+    finally:
+        module.stage = staged
+    assert seen[0].select("_block").distinct().count() > 1
