@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,10 +11,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from galley.session import configure, stage
+from galley.session import configure, shared_folder, stage
 
-__all__ = ["crc_mod", "keep_listed", "prepare", "read_table", "short_lived_shuffles", "stage", "text_column", "words_pattern"]
+__all__ = ["crc_mod", "discard", "prepare", "read_table", "short_lived_shuffles", "stage", "stage_split", "text_column", "words_pattern"]
 
 #: Python workers get Arrow batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS = 2000
@@ -50,6 +52,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage_split(df: DataFrame, column: str, values: list, label: str) -> list[DataFrame]:
+    """Write ``df`` once and read it back as one table per value of ``column``, which they keep."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.withColumn("_part", F.col(column)).write.partitionBy("_part").parquet(path)
+    whole = spark.read.schema(StructType([*df.schema, StructField("_part", df.schema[column].dataType)])).parquet(path)
+    present = {row[0] for row in whole.select("_part").distinct().collect()}
+    read = spark.read.schema(df.schema)
+    return [read.parquet(f"{path}/_part={v}") if v in present else spark.createDataFrame([], df.schema) for v in values]
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that is no longer needed."""
+    spark = df.sparkSession
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside drop their shuffle files once they are written."""
@@ -70,9 +91,3 @@ def text_column(name: str = "text") -> Column:
 def crc_mod(divisor: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % divisor
-
-
-def keep_listed(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``listed`` (one column, doc_id), nulls alike."""
-    ids = listed.select(F.col("doc_id").alias("_listed"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_listed"]), "left_semi")

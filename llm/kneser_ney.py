@@ -2,8 +2,8 @@
 
 Counting. Workers hash words to 64 bits and reduce a portion of text to its
 distinct bigrams and words, packed per shard; a shard adds up what all portions
-send. Bigrams are sharded by history and a few bits of the word, so a frequent
-history is split; what a history or a word needs from all its bigrams (how often
+send. Bigrams are sharded by history, frequent histories also by a few bits of the
+word, so that they are split; what a history or a word needs from all its bigrams (how often
 followed, by how many words once, twice, more often; by how many words preceded)
 goes on to the shard of the word.
 
@@ -37,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import short_lived_shuffles, stage, text_column
+from llm.common import discard, short_lived_shuffles, stage, stage_split, text_column
 
 #: Bytes of text that one task of a shard or group stands for, and that workers hash at a time.
 PORTION = 1 << 22
 WORD_PORTION = 1 << 24
-BYTES_AT_ONCE = 1 << 21
-#: A history is split over so many shards.
-SPLIT = np.uint64(16)
+BYTES_AT_ONCE = 1 << 22
+#: Histories with more than this share of a sample of the texts are split over so many shards. The sample
+#: (texts by hash) only decides where rows go; all counts are over all rows.
+HOT_SHARE = 1 / 2000
+HOT_SAMPLE = 64
+SPLIT = np.uint64(64)
 
 _BASE = 0xD6E8FEB86659FD93
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -123,8 +126,42 @@ def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mixed(u * np.uint64(0x9E3779B97F4A7C15) ^ w)
 
 
-def _shard_of_pair(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    return (_mixed(u * SPLIT + w % SPLIT) % np.uint64(shards)).astype(np.int64)
+def _shard_of_pair(u: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    part = np.where(np.isin(u, hot), w % SPLIT, np.uint64(0))
+    return (_mixed(u * SPLIT + part) % np.uint64(shards)).astype(np.int64)
+
+
+def frequent(texts: DataFrame) -> np.ndarray:
+    """Histories (48 bits) that hold a large share of a sample's tokens; at most 1 / ``HOT_SHARE`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text_parts(t.as_py().encode() for t in batch.column(0)):
+                words, number = np.unique(np.append(token_hashes(part)[0] >> np.uint64(16), START >> np.uint64(16)), return_counts=True)
+                large = number > HOT_SHARE * number.sum() / 4
+                columns = [pa.array(words[large].astype(np.int64)), pa.array(number[large]), pa.array(np.full(large.sum(), number.sum()))]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "total"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    found = sample.mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.max(F.col("n") / F.col("total")).alias("share"))
+    rows = found.where(F.col("share") > HOT_SHARE).orderBy(F.col("share").desc(), "word").limit(int(1 / HOT_SHARE)).collect()
+    return np.sort(np.array([r.word for r in rows] + [int(START >> np.uint64(16)), int(END >> np.uint64(16))], dtype=np.uint64))
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them."""
+    most = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, in four bytes each where these suffice."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return steps.astype(np.uint32) if steps.max(initial=0) < 1 << 32 else steps
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
 
 
 def _shard_of_word(top: np.ndarray, shards: int) -> np.ndarray:
@@ -173,7 +210,7 @@ def _distinct_bigrams(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndar
     return u[heads], w[heads], np.diff(np.append(heads, len(u)))
 
 
-def _counted(texts: DataFrame, shards: int, word_shards: int) -> DataFrame:
+def _counted(texts: DataFrame, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
     """Distinct bigrams and words of portions of text, packed per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +220,10 @@ def _counted(texts: DataFrame, shards: int, word_shards: int) -> DataFrame:
                 rows: list[tuple] = []
                 words, number = np.unique(tokens, return_counts=True)
                 for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-                    rows.append((WORD, shard, pickle.dumps((words[at], number[at].astype(np.uint32)), 5)))
+                    rows.append((WORD, shard, pickle.dumps((words[at], _small(number[at])), 5)))
                 u, w, number = _distinct_bigrams(_histories(tokens, counts) >> np.uint64(16), tokens >> np.uint64(16))
-                for shard, at in _by(_shard_of_pair(u, w, shards)):
-                    rows.append((BIGRAM, shard, pickle.dumps((*_split(u[at]), *_split(w[at]), number[at].astype(np.uint32)), 5)))
+                for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
+                    rows.append((BIGRAM, shard, pickle.dumps((*_split(u[at]), *_split(w[at]), _small(number[at])), 5)))
                 yield from _rows(rows).to_batches()
 
     return texts.select("text").mapInArrow(run, _ROWS)
@@ -200,10 +237,11 @@ def _added(counted: DataFrame, word_shards: int) -> DataFrame:
         parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
         if kind == WORD:
             words, number = (np.concatenate(c) for c in zip(*parts))
-            return _rows([(WORD, shard, pickle.dumps(("tokens", *_summed(words, number.astype(np.int64))), 5))])
+            words, number = _summed(words, number.astype(np.int64))
+            return _rows([(WORD, shard, pickle.dumps(("tokens", words, _small(number)), 5))])
         u = np.concatenate([_joined(p[:2]) for p in parts])
         w = np.concatenate([_joined(p[2:4]) for p in parts])
-        number = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        number = np.concatenate([p[4].astype(np.int64) for p in parts])
         order = np.lexsort((w, u))
         u, w, number = u[order], w[order], number[order]
         heads = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
@@ -211,15 +249,15 @@ def _added(counted: DataFrame, word_shards: int) -> DataFrame:
         low = _pair(u, w) & _LOW40
         by_hash = np.argsort(low)
         tally = np.array([(number == i).sum() for i in range(1, 5)])
-        model = pickle.dumps((low[by_hash].astype(np.uint64), number[by_hash].astype(np.uint32), tally), 5)
+        model = pickle.dumps((_steps(low[by_hash]), _small(number[by_hash]), tally), 5)
         rows = [(BIGRAM, shard, model)]
         ones = np.ones(len(u), dtype=np.int64)
         before, preceded = _summed(w, ones)
         history, total, n1, n2, n3 = _summed(u, number, (number == 1) * ones, (number == 2) * ones, (number > 2) * ones)
         for to, at in _by(_shard_of_word(before, word_shards)):
-            rows.append((WORD, to, pickle.dumps(("before", before[at], preceded[at].astype(np.uint32)), 5)))
+            rows.append((WORD, to, pickle.dumps(("before", *_split(before[at]), _small(preceded[at])), 5)))
         for to, at in _by(_shard_of_word(history, word_shards)):
-            rows.append((WORD, to, pickle.dumps(("history", history[at], *(x[at].astype(np.uint32) for x in (total, n1, n2, n3))), 5)))
+            rows.append((WORD, to, pickle.dumps(("history", *_split(history[at]), *(_small(x[at]) for x in (total, n1, n2, n3))), 5)))
         return _rows(rows)
 
     return counted.groupBy("kind", "shard").applyInArrow(run, _ROWS)
@@ -235,22 +273,22 @@ def _word_tables(added: DataFrame) -> DataFrame:
         parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
 
         def all_of(name: str, width: int) -> list[np.ndarray]:
-            chosen = [p[1:] for p in parts if p[0] == name]
-            return [np.concatenate(c) for c in zip(*chosen)] if chosen else [np.zeros(0, dtype=np.uint64)] * width
+            chosen = [p[1:] if name == "tokens" else (_joined(p[1:3]), *p[3:]) for p in parts if p[0] == name]
+            return [np.concatenate([x.astype(np.uint64) for x in c]) for c in zip(*chosen)] if chosen else [np.zeros(0, dtype=np.uint64)] * width
 
         words, number = all_of("tokens", 2)
-        before, preceded = _summed(*(x.astype(np.uint64) for x in all_of("before", 2)))
-        history = _summed(*(x.astype(np.uint64) for x in all_of("history", 5)))
+        before, preceded = _summed(*all_of("before", 2))
+        history = _summed(*all_of("history", 5))
         preceded = preceded.astype(np.int64)
         tally = [int((preceded == i).sum()) for i in range(1, 5)] + [int(preceded.sum())]
         tally += [int((preceded > 2).sum())]
-        blob = pickle.dumps((words, number.astype(np.int64), before, preceded, [h.astype(np.uint64) for h in history]), 5)
+        blob = pickle.dumps((words, _small(number), before, _small(preceded), [history[0], *map(_small, history[1:])]), 5)
         return pa.table({
             "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary()),
             "tokens": pa.array([int(number.sum())], pa.int64()), "words": pa.array([len(words)], pa.int64()), "tally": pa.array([tally], pa.list_(pa.int64())),
         })
 
-    return added.where(F.col("kind") == WORD).groupBy("shard").applyInArrow(run, _TABLE)
+    return added.groupBy("shard").applyInArrow(run, _TABLE)
 
 
 def discounts(tally: list[int]) -> list[float]:
@@ -264,8 +302,8 @@ def discounts(tally: list[int]) -> list[float]:
 class Model:
     """Tables of the shards, and the few numbers that all of them share."""
 
-    def __init__(self, bigrams: DataFrame, words: DataFrame, shards: int, word_shards: int):
-        self.bigrams, self.words, self.shards, self.word_shards = bigrams, words, shards, word_shards
+    def __init__(self, bigrams: DataFrame, words: DataFrame, shards: int, word_shards: int, hot: np.ndarray):
+        self.bigrams, self.words, self.shards, self.word_shards, self.hot = bigrams, words, shards, word_shards, hot
         sums = words.agg(
             F.sum("tokens").alias("n"), F.sum("words").alias("v"), *[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(6)]
         ).first()
@@ -295,10 +333,12 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select(text_column().cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, word_shards = max(32, total // PORTION), max(32, total // WORD_PORTION)
+    hot = frequent(texts)
     with short_lived_shuffles(docs.sparkSession):
-        added = stage(_added(_counted(texts, shards, word_shards), word_shards), "lm-counts")
-        words = stage(_word_tables(added), "lm-words")
-    return Model(added.where(F.col("kind") == BIGRAM).select("shard", "blob"), words, shards, word_shards)
+        bigrams, passed = stage_split(_added(_counted(texts, shards, word_shards, hot), word_shards), "kind", [BIGRAM, WORD], "lm-counts")
+        words = stage(_word_tables(passed), "lm-words")
+    discard(passed)
+    return Model(bigrams.select("shard", "blob"), words, shards, word_shards, hot)
 
 
 def _mapped(*arrays: np.ndarray) -> list[np.ndarray]:
@@ -335,15 +375,15 @@ def _distinct_of_group(texts: list[bytes]) -> tuple:
 
 def _ask(docs: DataFrame, model: Model) -> DataFrame:
     """The distinct bigrams and words of every group, packed per shard."""
-    shards, word_shards = model.shards, model.word_shards
+    shards, word_shards, hot = model.shards, model.word_shards, model.hot
 
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
         _, _, words, u, w = _distinct_of_group([t.as_py().encode() for t in table.column("text")])
         rows = []
-        for shard, at in _by(_shard_of_pair(u, w, shards)):
+        for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
             low = np.sort(_pair(u[at], w[at]) & _LOW40)
-            rows.append((BIGRAM, shard, g, pickle.dumps(_split(low), 5)))
+            rows.append((BIGRAM, shard, g, pickle.dumps(_steps(low), 5)))
         for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
             rows.append((WORD, shard, g, pickle.dumps(words[at], 5)))
         columns = list(zip(*rows))
@@ -365,19 +405,18 @@ def _answer(asked: DataFrame, model: Model) -> DataFrame:
         stored = pickle.loads(held.column("blob")[0].as_py()) if held.num_rows else None
         if kinds[0] == BIGRAM:
             none = np.zeros(0, dtype=np.uint64)
-            keys, number = _mapped(*(stored[:2] if stored else (none, none)))
+            keys, number = _mapped(*((_keys(stored[0]), stored[1]) if stored else (none, none)))
             for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
-                at, there = _found(keys, _joined(pickle.loads(blob)))
+                at, there = _found(keys, _keys(pickle.loads(blob)))
                 counts = np.where(there, number[at], 0) if len(number) else np.zeros(len(at))
-                small = np.uint8 if counts.max(initial=0) < 256 else np.uint32
-                rows.append((g, BIGRAM, shard, pickle.dumps(counts.astype(small), 5)))
+                rows.append((g, BIGRAM, shard, pickle.dumps(_small(counts), 5)))
             return _answers(rows)
         if stored:
             words, number, before, preceded, history = stored
             words, number, before, preceded, *history = _mapped(words, number, before, preceded, *history)
         for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
             wanted = pickle.loads(blob)
-            counts, follows, back = np.zeros(len(wanted), np.uint32), np.zeros(len(wanted), np.uint32), np.ones(len(wanted), np.float32)
+            counts, follows, back = np.zeros(len(wanted), np.uint64), np.zeros(len(wanted), np.uint64), np.ones(len(wanted), np.float32)
             p = np.full(len(wanted), rest / (types + 1))
             if stored:
                 top = wanted >> np.uint64(16)
@@ -390,7 +429,7 @@ def _answer(asked: DataFrame, model: Model) -> DataFrame:
                 at = at[there]
                 follows[there] = history[1][at]
                 back[there] = sum(history[i + 2][at] * upper[i] for i in range(3)) / history[1][at]
-            rows.append((g, WORD, shard, pickle.dumps((counts, follows, back, p), 5)))
+            rows.append((g, WORD, shard, pickle.dumps((_small(counts), _small(follows), back, p.astype(np.float32)), 5)))
         return _answers(rows)
 
     tables = model.bigrams.select(F.lit(BIGRAM).alias("kind"), "shard", "blob").unionByName(
@@ -410,7 +449,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _score(docs: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     total, types, _, _, _, upper = model.constants()
-    shards, word_shards = model.shards, model.word_shards
+    shards, word_shards, hot = model.shards, model.word_shards, model.hot
 
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -423,7 +462,7 @@ def _score(docs: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
         replies = {(k, s): b for k, s, b in zip(*(answered.column(c).to_pylist() for c in ("kind", "shard", "blob")))}
         for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
             known[at], follows[at], back[at], p[at] = pickle.loads(replies[WORD, shard])
-        for shard, at in _by(_shard_of_pair(u, w, shards)):
+        for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
             order = np.argsort(_pair(u[at], w[at]) & _LOW40, kind="stable")
             number[at[order]] = pickle.loads(replies[BIGRAM, shard])
         place = np.searchsorted(words, tokens)
