@@ -122,6 +122,10 @@ class Frames:
     def cited(self) -> DataFrame:
         return self._written("cited", lambda: citations.citations(self.zoned, self.bounds))
 
+    @property
+    def ranges(self) -> DataFrame:
+        return self._written("cited-ranges", lambda: citations.citation_ranges(self.zoned, self.bounds))
+
     @property
     def listed(self) -> DataFrame:
         return self._written("listed", lambda: bibliography.in_references(self.zoned, self.bounds))

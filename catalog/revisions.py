@@ -106,14 +106,23 @@ def _(f):
     return rv.revision_diff(old, new)
 
 
+def _whole(f):
+    """Manuscripts with their tables; the runs of a row count with its first cell."""
+    cells = f.rows_of_tables.selectExpr(
+        "doc_id", "tbl_no", "row_no",
+        "inline(array(struct(0 AS col_no, cell_1 AS text, total_runs, bold_runs), struct(1 AS col_no, cell_2 AS text, 0 AS total_runs, 0 AS bold_runs)))",
+    )
+    return reports.Manuscripts(f.paragraphs, cells, f.hidden_texts, f.table_pairs)
+
+
 @query("X9_check_report", FINDING)
 def _(f):
-    return reports.check_report(reports.Manuscripts(f.paragraphs, hidden=f.hidden_texts), RULES, f.found)
+    return reports.check_report(_whole(f), RULES, f.found)
 
 
 @query("X9_revise_findings", FINDING)
 def _(f):
-    return reports.revise(reports.Manuscripts(f.paragraphs, hidden=f.hidden_texts), RULES).findings
+    return reports.revise(_whole(f), RULES).findings
 
 
 @query("X10_appendix_title_rows", "doc_id:l label_idx:l idx:l new_text:s", f"""

@@ -168,7 +168,7 @@ def _(f):
     SELECT DISTINCT e.doc_id, concat('Источник ', number, ' присутствует в списке, но не цитируется в тексте.') AS description FROM entries e
     WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.doc_id = e.doc_id AND c.n = e.number)""")
 def _(f):
-    return bibliography.source_not_cited(f.cited, f.entries)
+    return bibliography.source_not_cited(f.ranges, f.entries)
 
 
 @query("B6_bib_incomplete", FINDING, _finding("bibliography_entry_incomplete", "warning", "manual_required", "idx", "body",

@@ -31,8 +31,10 @@ def _(f):
 def _(f):
     # Each rule with the number of paragraphs that read like it.
     table = ru.rule_table(f.spark, RULES).withColumn("name", F.substring_index("key", ":", -1))
-    used = f.zoned.groupBy("norm").agg(F.count("*").alias("n"))
-    rows = used.join(F.broadcast(table), F.col("norm") == F.col("name"), "right")
+    # Only paragraphs that read like a rule are counted; the rules are one small dictionary.
+    names = F.broadcast(table.select(F.col("name").alias("norm")).distinct())
+    used = f.zoned.select("norm").join(names, "norm", "left_semi").groupBy("norm").agg(F.count("*").alias("n"))
+    rows = table.join(used, F.col("norm") == F.col("name"), "left")
     return rows.select("kind", "key", "value", F.coalesce("n", F.lit(0)).alias("paragraphs"))
 
 

@@ -9,7 +9,7 @@ from galley.functions import text as tx
 from galley.operators.citations import first_mentions
 from galley.operators.features import DOC
 from galley.session import stage
-from galley.scan import last, prev, running_sum, scan
+from galley.scan import last, prev, running_max, running_sum, scan
 from galley.schema import findings
 
 # Shapes of entries, continuations, broken numbers and group headers.
@@ -171,12 +171,18 @@ def citation_without_source(cited: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def source_not_cited(cited: DataFrame, entries: DataFrame) -> DataFrame:
-    """Listed numbers that are never cited."""
-    known = entries.select("doc_id", F.col("number").alias("n")).distinct()
-    used = cited.select("doc_id", "n").distinct()
+def source_not_cited(ranges: DataFrame, entries: DataFrame) -> DataFrame:
+    """Listed numbers that no cited range ``ranges(doc_id, lo, hi)`` covers.
+
+    Walking up the numbers of a manuscript, a listed one is cited if some range
+    that began at or before it reaches it; no range is expanded.
+    """
+    known = entries.select("doc_id", F.col("number").cast("long").alias("n"), F.lit(1).alias("_listed")).distinct()
+    begun = ranges.groupBy("doc_id", F.col("lo").alias("n")).agg(F.max("hi").alias("_reach")).withColumn("_listed", F.lit(0))
+    both = known.unionByName(begun, allowMissingColumns=True)
+    walked = scan(both, DOC, ["n", "_listed"], ranged=True, _covered=running_max(F.col("_reach")))
     return findings(
-        known.join(used, ["doc_id", "n"], "left_anti"),
+        walked.where("_listed = 1 AND (_covered IS NULL OR _covered < n)"),
         "source_not_cited",
         "п. 6.16",
         description=F.concat(

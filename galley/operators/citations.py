@@ -21,15 +21,16 @@ _RANGE_SPLIT = rf"(?U)\s*[{_DASH}]\s*"
 LONG_RANGE = 20
 ORDER_LIMIT = 0.3
 SHOWN_NUMBERS = 15
+#: A range expands level by level, so that no array holds more than this many steps (one level more at the top).
 _EXPAND_STEP = 4096
+_EXPAND_LEVELS = 4
 
 
-def citations(zoned: DataFrame, starts: DataFrame | None = None, skip: str = "in_title") -> DataFrame:
-    """One row per cited number: doc_id, idx, token_no, raw_token, n_pos, n.
+def citation_ranges(zoned: DataFrame, starts: DataFrame | None = None, skip: str = "in_title") -> DataFrame:
+    """One row per cited range or number: doc_id, idx, token_no, raw_token, part_no, lo, hi.
 
     ``starts(doc_id, start)``: first paragraph of the source list, where the
-    search ends. Ranges expand in two steps, so even an absurd range never
-    becomes one huge array.
+    search ends.
     """
     rows = zoned.where(~F.col(skip) & ~F.col("is_empty"))
     if starts is not None:
@@ -44,22 +45,27 @@ def citations(zoned: DataFrame, starts: DataFrame | None = None, skip: str = "in
     parts = tokens.select("*", F.posexplode(F.split(inner, ",")).alias("part_no", "part"))
     ends = F.split(F.trim(F.col("part")), _RANGE_SPLIT, 2)
     first, final = F.get(ends, 0).try_cast("long"), F.coalesce(F.get(ends, 1), F.get(ends, 0)).try_cast("long")
-    ranges = parts.select(
-        "doc_id", "idx", "token_no", "raw_token", "part_no", first.alias("lo"), final.alias("hi")
+    return parts.select(
+        "doc_id", "idx", F.col("token_no").cast("long").alias("token_no"), "raw_token", F.col("part_no").cast("long").alias("part_no"),
+        first.alias("lo"), final.alias("hi"),
     ).where("lo <= hi")
-    steps = ranges.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / _EXPAND_STEP))).alias("step")
-    )
-    at = F.col("lo") + F.col("step") * _EXPAND_STEP
-    return steps.select(
-        "doc_id",
-        "idx",
-        F.col("token_no").cast("long").alias("token_no"),
-        "raw_token",
-        F.col("part_no").cast("long").alias("part_no"),
-        F.explode(F.sequence(at, F.least(at + (_EXPAND_STEP - 1), F.col("hi")))).alias("n"),
-        "lo",
-    ).select("doc_id", "idx", "token_no", "raw_token", "part_no", (F.col("n") - F.col("lo")).alias("n_pos"), "n")
+
+
+def citations(zoned: DataFrame, starts: DataFrame | None = None, skip: str = "in_title") -> DataFrame:
+    """One row per cited number: doc_id, idx, token_no, raw_token, part_no, n_pos, n.
+
+    An absurd range gives as many rows as it names, but never one huge array.
+    """
+    rows = citation_ranges(zoned, starts, skip).withColumns({"n": F.col("lo"), "_last": F.col("hi") - F.col("lo")})
+    for level in range(_EXPAND_LEVELS, -1, -1):
+        size = _EXPAND_STEP**level
+        steps = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_last div {size}"))).alias("_step")
+        rows = rows.select("*", steps)
+        passed = F.col("_step") * size
+        rows = rows.withColumns(
+            {"n": F.col("n") + passed, "_last": F.least(F.col("_last") - passed, F.lit(size - 1))}
+        ).drop("_step")
+    return rows.select("doc_id", "idx", "token_no", "raw_token", "part_no", (F.col("n") - F.col("lo")).alias("n_pos"), "n")
 
 
 def first_mentions(cited: DataFrame) -> DataFrame:

@@ -257,6 +257,9 @@ def replace_caption_findings(findings: DataFrame, changes: DataFrame, docs: Data
     return kept.select(*columns).unionByName(new.select(*columns))
 
 
+_GRAM = 8
+
+
 def relocate_anchors(paragraphs: DataFrame, findings: DataFrame) -> DataFrame:
     """Where the heading of a finding stands now: finding_id, target (null: gone).
 
@@ -301,29 +304,20 @@ def relocate_anchors(paragraphs: DataFrame, findings: DataFrame) -> DataFrame:
     equal = open_.join(outline.withColumnRenamed("norm", "title"), ["doc_id", "title"]).select(
         "finding_id", F.lit(3).alias("rank"), "idx"
     )
-    word = F.explode(F.array_distinct(F.split(F.col("norm"), " "))).alias("_word")
-    title_words = F.filter(F.split("title", " "), lambda w: F.length(w) > 0)
-    # A contained title shows its inner words whole, so the pair meets on one of them.
-    inner = F.when(F.size(title_words) > 2, F.get(title_words, 1))
+    # A contained title shows its own eight characters whole, so the pair meets on them.
+    gram = F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("norm") - (_GRAM - 1)), lambda i: F.substring(F.col("norm"), i, F.lit(_GRAM))
+    ))).alias("_gram")
     containing = (
         open_.where(F.length("title") > 10)
-        .withColumn("_word", inner)
-        .where("_word IS NOT NULL")
-        .join(outline.select("doc_id", "norm", "idx", word), ["doc_id", "_word"])
-        .where(F.contains(F.col("norm"), F.col("title")))
-        .select("finding_id", F.lit(3).alias("rank"), "idx")
-    )
-    # Titles of one or two words have no inner word: compare with the outline by doc.
-    brief = (
-        open_.where((F.length("title") > 10) & inner.isNull())
-        .join(outline, "doc_id")
+        .withColumn("_gram", F.substring("title", 2, _GRAM))
+        .join(outline.where(F.length("norm") >= _GRAM).select("doc_id", "norm", "idx", gram), ["doc_id", "_gram"])
         .where(F.contains(F.col("norm"), F.col("title")))
         .select("finding_id", F.lit(3).alias("rank"), "idx")
     )
     best = (
         close.unionByName(equal)
         .unionByName(containing)
-        .unionByName(brief)
         .groupBy("finding_id")
         .agg(F.min(F.struct("rank", "idx")).alias("_best"))
     )

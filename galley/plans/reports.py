@@ -79,6 +79,7 @@ def common_findings(data: Manuscripts, found: Detection, rules: dict, full: bool
     """Checks on the original paragraphs, shared by both reports."""
     rows, heads, docs = found.scored, found.headings, found.docs
     bounds = stage(zones.references_range(rows, heads, rules), "references")
+    ranges = stage(citations.citation_ranges(rows, bounds), "cited-ranges")
     cited = stage(citations.citations(rows, bounds), "citations")
     listed = stage(bibliography.in_references(rows, bounds), "sources")
     parts = [structure.structural_heading_malformed(structure.malformed_headings(rows, rules), full)]
@@ -100,7 +101,7 @@ def common_findings(data: Manuscripts, found: Detection, rules: dict, full: bool
         bibliography.bib_missing(docs, bounds, entries),
         bibliography.bib_numbering_gap(entries),
         bibliography.citation_without_source(cited, entries),
-        bibliography.source_not_cited(cited, entries),
+        bibliography.source_not_cited(ranges, entries),
         bibliography.bib_incomplete(entries),
     ]
     positions = stage(structure.section_positions(rows, heads, _hidden(data), rules), "sections")
@@ -152,20 +153,23 @@ def check_report(data: Manuscripts, rules: dict | None = None, found: Detection
 
 @dataclass
 class Revision:
-    """Revised paragraphs (``idx`` is the place in the original) and all findings."""
+    """Revised paragraphs (``idx`` is the new place, ``old_idx`` the one in the original), findings, links and contents."""
 
     paragraphs: DataFrame
     findings: DataFrame
     links: DataFrame
+    outline: DataFrame
 
 
 def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
     """Rewrite the corpus and report: fixed findings, and checks on the new text.
 
     Order: section titles cleaned, headings normalised and renamed, chapter
-    words dropped, captions renumbered, references rewritten, citations,
-    formulas and spaces tidied. References are checked on the revised text and
-    heading numbers on the final one.
+    words dropped, appendix titles raised, captions renumbered, references
+    rewritten, citations, formulas and spaces tidied, blank paragraphs dropped;
+    accepted headings get the style and outline level of their level, and other
+    paragraphs lose theirs. References are checked on the revised text, heading
+    numbers on the final one.
     """
     rules = rules or default_rules()
     given = data.paragraphs
@@ -181,7 +185,9 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
     work, heads = found.scored, found.headings
     titled = structure.apply_text(work, _title_changes(work, heads, rules))
     words = revision.chapter_word_changes(stage(_refreshed(titled), "renamed"))
-    titled = stage(_refreshed(structure.apply_text(titled, stage(words, "chapter-words"))), "titled")
+    titled = stage(_refreshed(structure.apply_text(titled, stage(words, "chapter-words"))), "numbered")
+    raised = stage(revision.appendix_title_rows(titled).groupBy("doc_id", "idx").agg(F.min("new_text").alias("new_text")), "appendix-titles")
+    titled = stage(_refreshed(structure.apply_text(titled, raised)), "titled")
     shown = stage(captions.all_captions(titled, heads, rules, kinds=("figure", "table", "listing")), "captions")
     parts.append(captions.caption_renumbered(shown))
     referable = shown.where("kind <> 'listing'")
@@ -198,10 +204,24 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
             tables.table_mass_bold_removed(data.cells, data.table_pairs),
             tables.long_table_split_warning(data.cells, data.table_pairs),
         ]
-    final = stage(revision.drop_empty_paragraphs(tidied), "revised")
+    final = stage(_restyled(revision.drop_empty_paragraphs(tidied), heads), "revised")
     parts.append(recheck_headings(final.select(*PARAGRAPH), rules))
     revised = final.select(*[c for c in given.columns if c in final.columns], "old_idx")
-    return Revision(revised, _union(parts), links)
+    return Revision(revised, _union(parts), links, revision.toc_outline(final, rules))
+
+
+def _restyled(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Style and outline level as the accepted headings have them, whose ``idx`` is the old place."""
+    levels = headings.may_apply(heads).select(F.col("doc_id").alias("_hd"), F.col("idx").alias("_hi"), F.col("level").alias("_level"))
+    joined = rows.join(levels, (F.col("doc_id") == F.col("_hd")) & (F.col("old_idx") == F.col("_hi")), "left")
+    styled = F.lower(F.coalesce("style_name", F.lit(""))).rlike(r"^(heading|заголовок)\s*\d+$")
+    style = (
+        F.when(F.col("_level").isNotNull(), F.concat(F.lit("Heading "), F.col("_level").cast("string")))
+        .when(styled, F.lit("Normal"))
+        .otherwise(F.col("style_name"))
+    )
+    outline = (F.col("_level") - 1).cast(rows.schema["outline_level"].dataType)
+    return joined.withColumn("style_name", style).withColumn("outline_level", outline).select(*rows.columns)
 
 
 def _title_changes(work: DataFrame, heads: DataFrame, rules: dict) -> DataFrame:

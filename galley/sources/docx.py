@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -49,36 +50,38 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def gate_uploads(files: DataFrame) -> DataFrame:
     """Add ``reason``: why a file is not accepted (null: accepted).
 
-    Name, size and signature are plain columns; only files that pass them are
-    opened to look for the main document part.
+    Name and size are judged from the listing alone, so the content of such
+    files is never read; of the others each is opened once, on its way through.
+    Content that was refused is dropped.
     """
-    early = (
-        F.when(~F.lower("path").endswith(EXTENSION), "extension")
-        .when(F.col("length") > MAX_BYTES, "too_large")
-        .when(F.substring(F.hex(F.substring("content", 1, 4)), 1, 8) != "504B0304", "signature")
-    )
-    rows = files.withColumn("reason", early)
-    opened = rows.where("reason IS NULL").select("path", "content").mapInPandas(
-        _check_archives, "path string, broken string"
-    )
-    return (
-        rows.join(opened, "path", "left")
-        .withColumn("reason", F.coalesce("reason", "broken"))
-        .drop("broken")
+    early = F.when(~F.lower("path").endswith(EXTENSION), "extension").when(F.col("length") > MAX_BYTES, "too_large")
+    fields = ", ".join(f"{name} {kind}" for name, kind in files.dtypes)
+    refused = files.where(early.isNotNull()).select(
+        *[F.lit(None).cast("binary").alias(c) if c == "content" else F.col(c) for c in files.columns], early.alias("reason")
     )
+    opened = files.where(early.isNull()).mapInPandas(_judge_content, f"{fields}, reason string")
+    return refused.unionByName(opened)
 
 
-def _check_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"path": batch["path"], "broken": [_archive_problem(c) for c in batch["content"]]})
+        reasons = pd.Series([_content_problem(c) for c in batch["content"]], index=batch.index, dtype="object")
+        yield batch.assign(reason=reasons, content=batch["content"].where(reasons.isna(), None))
 
 
-def _archive_problem(content: bytes) -> str | None:
+def _content_problem(content: bytes) -> str | None:
+    if bytes(content[:4]) != b"PK\x03\x04":
+        return "signature"
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            return None if MAIN_PART in archive.namelist() else "no_main_part"
-    except zipfile.BadZipFile:
+            if MAIN_PART not in archive.namelist():
+                return "no_main_part"
+            ElementTree.fromstring(archive.read(MAIN_PART))
+    except (zipfile.BadZipFile, zlib.error, EOFError, ElementTree.ParseError):
         return "damaged"
+    except (RuntimeError, NotImplementedError):
+        return "encrypted"
+    return None
 
 
 def read_manuscripts(files: DataFrame) -> dict[str, DataFrame]:
@@ -93,7 +96,7 @@ def read_manuscripts(files: DataFrame) -> dict[str, DataFrame]:
 
 def _part(files: DataFrame, name: str) -> DataFrame:
     columns = _PARTS[name]
-    schema = "doc_id long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
+    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in columns.items())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,7 +128,7 @@ def _parse(content: bytes) -> dict[str, list[dict]]:
             names = set(archive.namelist())
             body = ElementTree.fromstring(archive.read(MAIN_PART)).find(f"{_W}body")
             styles = _styles(archive.read("word/styles.xml")) if "word/styles.xml" in names else {}
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, KeyError, ElementTree.ParseError):
         return {}
     return _walk(body, styles) if body is not None else {}
 
@@ -316,8 +319,8 @@ def _walk(body, styles: dict) -> dict[str, list[dict]]:
 
 
 def with_doc_id(files: DataFrame) -> DataFrame:
-    """Add ``doc_id``, a 64-bit hash of the file path."""
-    return files.withColumn("doc_id", F.xxhash64("path"))
+    """Add ``doc_id``, a 256-bit hash of the file path, so that no two files are taken for one."""
+    return files.withColumn("doc_id", F.sha2("path", 256))
 
 
 def paragraphs_from_text(docs: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.operators.dashboard import finding_counts
-from galley.session import stage
-
-BUCKETS = 64
 
 
 def report_rows(findings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -22,48 +20,30 @@ def replace_findings(stored: DataFrame, fresh: DataFrame, docs: DataFrame) -> Da
     return stored.join(docs.select("doc_id"), "doc_id", "left_anti").unionByName(fresh.select(*stored.columns))
 
 
-def _bucket(doc_id="doc_id"):
-    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
-
-
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Stored findings, without the marker rows of ``write_findings``."""
-    return spark.read.parquet(path).where("type IS NOT NULL").drop("bucket")
+    """Findings of the latest batch of every document."""
+    stored = spark.read.parquet(path)
+    latest = stored.where("type IS NULL").groupBy("doc_id").agg(F.max("batch").alias("_latest"))
+    rows = stored.where("type IS NOT NULL").join(latest, "doc_id")
+    return rows.where("batch = _latest").drop("batch", "_latest")
 
 
 def write_findings(spark: SparkSession, fresh: DataFrame, docs: DataFrame, path: str) -> None:
-    """Replace all findings of ``docs`` in the table at ``path``.
+    """Let ``fresh`` take the place of all findings of ``docs`` in the table at ``path``.
 
-    The table is partitioned by a hash bucket of the document. Only buckets of
-    re-processed documents are read and overwritten, so a repeated batch gives
-    the same table. The new content of those buckets is staged first, because
-    they are also the input. A marker row per touched bucket makes sure that a
-    bucket left without findings is overwritten too.
+    A batch is only added: its findings, and one marker row per document, so a
+    document without findings counts too. Nothing stored is read or rewritten;
+    readers take the latest batch of each document. ``compact_findings`` leaves
+    old batches behind.
     """
-    touched = docs.select("doc_id").distinct()
-    buckets = touched.select(_bucket().alias("bucket")).distinct()
-    new = fresh.withColumn("bucket", _bucket())
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = None  # no table yet
-    if stored is not None:
-        kept = (
-            stored.where("type IS NOT NULL")
-            .join(F.broadcast(buckets), "bucket", "left_semi")
-            .join(touched, "doc_id", "left_anti")
-        )
-        new = new.unionByName(kept.select(*new.columns))
-    new = new.unionByName(buckets, allowMissingColumns=True)
-    (
-        stage(new, "findings")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    markers = docs.select("doc_id").distinct()
+    fresh.unionByName(markers, allowMissingColumns=True).write.parquet(f"{path}/batch={time.time_ns()}")
+
+
+def compact_findings(spark: SparkSession, path: str, target: str) -> None:
+    """Write the current findings of the table at ``path`` as the only batch of a new table."""
+    documents = spark.read.parquet(path).where("type IS NULL")
+    write_findings(spark, read_findings(spark, path), documents, target)
 
 
 def export_table(rows: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +18,25 @@ PROGRESS = {"started": 10, "checked": 75, "reported": 85, "rendered": 92, "done"
 
 
 def intake_stream(
-    spark: SparkSession, source: DataFrame, findings_path: str, checkpoint: str, rules: dict | None = None
+    spark: SparkSession, source: DataFrame, findings_path: str, paragraphs_path: str, checkpoint: str, rules: dict | None = None
 ) -> StreamingQuery:
-    """Check every new manuscript and store its findings.
+    """Check every manuscript of which paragraphs arrive, and store its findings.
 
-    ``source`` streams whole manuscripts (all paragraphs of a document in one
-    file). A repeated batch replaces the findings of the same documents, so
-    at-least-once delivery leaves one result per document.
+    Paragraphs are stored first, and touched manuscripts are checked from the
+    store, so a manuscript may arrive in several batches. A paragraph that comes
+    again replaces the earlier one; a repeated batch leaves one result per document.
     """
 
     def check(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        found = check_report(Manuscripts(batch), rules)
-        write_findings(batch.sparkSession, found, batch.select("doc_id").distinct(), findings_path)
+        session = batch.sparkSession
+        batch.write.parquet(f"{paragraphs_path}/batch={time.time_ns()}")
+        touched = batch.select("doc_id").distinct()
+        fields = [c for c in batch.columns if c not in ("doc_id", "idx")]
+        stored = session.read.parquet(paragraphs_path).join(touched, "doc_id", "left_semi")
+        latest = stored.groupBy("doc_id", "idx").agg(F.max_by(F.struct(*fields), "batch").alias("p")).select("doc_id", "idx", "p.*")
+        write_findings(session, check_report(Manuscripts(latest.select(batch.columns)), rules), touched, findings_path)
 
     return (
         source.writeStream.foreachBatch(check)
@@ -41,30 +47,29 @@ def intake_stream(
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Latest status per document; works on a stream (update mode) and on a table.
-
-    ``events(doc_id, step, message, ts)``.
-    """
+    """Latest status per document with its time: ``events(doc_id, step, message, ts)``."""
     value = F.col("step")
     progress = F.coalesce(*[F.when(value == s, n) for s, n in PROGRESS.items()], F.lit(0))
     status = F.when(value == "done", "done").when(value == "error", "error").otherwise("processing")
     # Of events with one time stamp, the one furthest along counts.
-    latest = F.max_by(F.struct("step", "message", progress.alias("progress"), status.alias("status")),
+    latest = F.max_by(F.struct("step", "message", "ts", progress.alias("progress"), status.alias("status")),
                       F.struct("ts", progress.alias("at")))
     return events.groupBy("doc_id").agg(latest.alias("l")).select(
         "doc_id",
         "l.status",
         "l.progress",
         F.when(F.col("l.status") == "error", F.col("l.message")).alias("error"),
+        "l.ts",
     )
 
 
 def job_status(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Keep the latest status per document from a stream of status events."""
+    """Hand the latest status per document of every batch of events to ``sink``.
+
+    The stream keeps no state; ``ts`` tells the sink which of two states is newer.
+    """
     return (
-        latest_status(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(sink)
+        events.writeStream.foreachBatch(lambda batch, number: sink(latest_status(batch), number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -35,9 +35,10 @@ def test_gate_and_read(spark, tmp_path):
     (tmp_path / "plain.docx").write_bytes(b"hello")
     (tmp_path / "cut.docx").write_bytes(b"PK\x03\x04broken")
     (tmp_path / "notes.txt").write_bytes(b"x")
+    (tmp_path / "torn.docx").write_bytes(archive("<w:p>"))
     gated = docx.gate_uploads(docx.read_files(spark, str(tmp_path)))
     reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in gated.select("path", "reason").collect()}
-    assert reasons == {"good.docx": None, "spoof.docx": "no_main_part", "plain.docx": "signature", "cut.docx": "damaged", "notes.txt": "extension"}
+    assert reasons == {"good.docx": None, "spoof.docx": "no_main_part", "plain.docx": "signature", "cut.docx": "damaged", "torn.docx": "damaged", "notes.txt": "extension"}
     parts = docx.read_manuscripts(docx.with_doc_id(gated.where("reason IS NULL")))
     p = parts["paragraphs"].orderBy("idx").collect()
     assert [r.text for r in p] == ["Глава 1", "Таблица 1 — Итоги", "Пункт"]
@@ -57,6 +58,8 @@ def test_write_findings_replaces(spark, tmp_path):
     for _ in range(2):
         sinks.write_findings(spark, again, docs, path)
         assert rows(sinks.read_findings(spark, path)) == [(1, "a"), (2, "x"), (2, "y")]
+    sinks.compact_findings(spark, path, str(tmp_path / "compact"))
+    assert rows(sinks.read_findings(spark, str(tmp_path / "compact"))) == [(1, "a"), (2, "x"), (2, "y")]
 
 
 def test_export(spark, tmp_path):
@@ -80,11 +83,22 @@ def test_intake_stream_is_idempotent(spark, tmp_path):
     data.write.parquet(source)
     for run in range(2):
         stream = spark.readStream.schema(data.schema).parquet(source)
-        jobs.intake_stream(spark, stream, out, str(tmp_path / f"cp{run}")).awaitTermination()
+        jobs.intake_stream(spark, stream, out, str(tmp_path / "paragraphs"), str(tmp_path / f"cp{run}")).awaitTermination()
         found = sinks.read_findings(spark, out)
         assert found.where("type = 'citation_separator_missing'").count() == 1
 
 
+def test_intake_stream_checks_a_manuscript_that_arrives_in_parts(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id long, idx int, text string"
+    for part in ([(1, 0, "ВВЕДЕНИЕ"), (1, 1, "текст [1][2]")], [(1, 2, "ещё [3][4]")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.intake_stream(spark, stream, out, str(tmp_path / "paragraphs"), str(tmp_path / "cp")).awaitTermination()
+    found = sinks.read_findings(spark, out).where("type = 'citation_separator_missing'")
+    assert rows(found.select("paragraph_index")) == [(1,), (2,)]
+
+
 def test_status_stream(spark, tmp_path):
     source = str(tmp_path / "ev")
     rows_ = [(1, "started", None, "2024-01-01 10:00:00"), (1, "done", None, "2024-01-01 10:05:00"), (2, "error", "bad", "2024-01-01 10:00:00")]
