@@ -83,13 +83,15 @@ def _(f):
 
 
 @query("D9_finding_report_rows", "doc_id:l row_number:l label:s severity_label:s status_label:s original_text:s fixed_text:s", f"""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, finding_id) AS row_number, coalesce(l.label, 'Замечание оформления') AS label,
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index NULLS LAST, finding_id) AS row_number, coalesce(l.label, 'Замечание оформления') AS label,
       CASE severity WHEN 'critical' THEN 'Критично' WHEN 'warning' THEN 'Предупреждение' ELSE 'Информация' END AS severity_label,
       CASE status WHEN 'auto_fixed' THEN 'Автоисправлено' WHEN 'manual_required' THEN 'Требует проверки' WHEN 'accepted' THEN 'Принято' ELSE 'Отклонено' END AS status_label,
-      original_text, fixed_text FROM (SELECT *, coalesce(paragraph_index, 100000) AS place FROM found) f LEFT JOIN (VALUES {_LABELS}) l(type, label) ON f.type = l.type""")
+      original_text, fixed_text FROM found f LEFT JOIN (VALUES {_LABELS}) l(type, label) ON f.type = l.type""")
 def _(f):
-    rows = f.findings.withColumn("place", F.coalesce("paragraph_index", F.lit(100000)))
-    return db.finding_report_rows(rows, ["place", "finding_id"])
+    # Findings without a place come last.
+    place = F.col("paragraph_index")
+    rows = f.findings.withColumns({"placeless": place.isNull().cast("int"), "place": F.coalesce(place, F.lit(0))})
+    return db.finding_report_rows(rows, ["placeless", "place", "finding_id"])
 
 
 def _levels(f, column):

@@ -141,7 +141,7 @@ def _edits(f):
     # Two edits of every seventh paragraph, and some far behind the end of the manuscript.
     rows = f.paragraphs.select("doc_id", "idx").where("(doc_id + idx) % 7 = 0")
     return rows.select(
-        "doc_id", F.expr("CASE WHEN (doc_id + idx) % 14 = 0 THEN idx ELSE idx + 100000 END").alias("idx"),
+        "doc_id", F.expr("CASE WHEN (doc_id + idx) % 14 = 0 THEN idx ELSE idx + 1000000000 END").alias("idx"),
         F.explode(F.array(F.struct(F.lit(1).alias("edited_at"), F.lit("old").alias("new_text")),
                           F.struct(F.lit(2).alias("edited_at"), F.expr("concat(' edit ', idx, ' ')").alias("new_text")))).alias("e"),
     ).select("doc_id", "idx", "e.*")
@@ -154,7 +154,7 @@ def _(f):
 
 
 @query("X11_rejected_edits", "doc_id:l idx:l edited_at:l", """
-    SELECT doc_id, idx + 100000 AS idx, unnest([1, 2]) AS edited_at FROM paras WHERE (doc_id + idx) % 14 = 7""")
+    SELECT doc_id, idx + 1000000000 AS idx, unnest([1, 2]) AS edited_at FROM paras WHERE (doc_id + idx) % 14 = 7""")
 def _(f):
     return rv.apply_paragraph_edits(f.paragraphs.select("doc_id", "idx", "text"), _edits(f))[1]
 
