@@ -183,6 +183,36 @@ def repeats(data: np.ndarray, starts: np.ndarray, digit: np.ndarray, docs: np.nd
     return repeated
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def whole_repeats(data: np.ndarray, start: np.ndarray, count: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Runs of suffixes equal, byte for byte, to a whole run of a smaller document: all their suffixes repeat."""
+    settled = np.zeros(len(start), dtype=bool)
+    if not len(start):
+        return settled
+    size = count + LENGTH - 1
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)))])
+    key = (sums[start + size] - sums[start]) * _powers(pow(_BASE, -1, 1 << 64), len(data))[start] ^ size.astype(np.uint64)
+    order = np.lexsort((docs, key))
+    heads = _group_starts(key[order])
+    head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    later = docs[order] > docs[head]
+    row, head = order[later], head[later]
+    for part in np.array_split(np.arange(len(row)), len(row) // (1 << 15) + 1):
+        if len(part):
+            a, b = row[part], head[part]
+            same = size[a] == size[b]
+            a, b = a[same], b[same]
+            if len(a):
+                equal = data[_expand(start[a], size[a])] == data[_expand(start[b], size[a])]
+                settled[a] = np.logical_and.reduceat(equal, np.cumsum(size[a]) - size[a])
+    return settled
+
+
 def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, … for each run."""
     ends = np.cumsum(count)
@@ -283,10 +313,10 @@ def _surviving(entries: DataFrame) -> DataFrame:
 # ---- further digits: the bytes of the remaining suffixes --------------------------------------------------------
 
 
-def _pack_strings(hashes, offsets, docs, tags, first, count, data) -> bytes:
+def _pack_strings(offsets, docs, tags, first, count, data) -> bytes:
     """Entries with the bytes of their suffixes, laid end to end."""
     return b"".join([
-        np.int64(len(docs)).tobytes(), hashes.astype(np.uint64).tobytes(), docs.astype(np.int64).tobytes(), tags.astype(np.uint32).tobytes(),
+        np.int64(len(docs)).tobytes(), docs.astype(np.int64).tobytes(), tags.astype(np.uint32).tobytes(),
         first.astype(np.uint32).tobytes(), offsets.astype(np.uint8).tobytes(), count.astype(np.uint8).tobytes(), data.tobytes(),
     ])
 
@@ -294,12 +324,23 @@ def _pack_strings(hashes, offsets, docs, tags, first, count, data) -> bytes:
 def _unpack_strings(blob: bytes) -> tuple:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     at, out = 8, []
-    for kind in (np.uint64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8):
+    for kind in (np.int64, np.uint32, np.uint32, np.uint8, np.uint8):
         out.append(np.frombuffer(blob, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return *out, np.frombuffer(blob, np.uint8, offset=at)
 
 
+def _tagged(pairs: Iterator[tuple], texts: pa.Table) -> Iterator[tuple]:
+    """(doc_id, bytes, tag): texts of a repeated doc_id are told apart by a checksum, others have tag 0.
+
+    All rows of a doc_id are in one group, so both users of the groups agree.
+    """
+    counted = texts.column("doc_id").value_counts()
+    several = {c["values"].as_py() for c in counted if c["counts"].as_py() > 1}
+    for doc, raw in pairs:
+        yield doc, raw, crc32(raw) if doc in several else 0
+
+
 _FOUND = "doc_id long, tag long, first long, last long"
 
 
@@ -332,7 +373,7 @@ def _strings(docs: DataFrame, surviving: DataFrame, buckets: int, groups: int) -
             named = np.unique(ids)
             pairs = zip(texts.column("doc_id").to_pylist(), texts.column("text"))
             chosen = ((d, t.as_py().encode()) for d, t in pairs if (i := np.searchsorted(named, d)) < len(named) and named[i] == d)
-            tagged = (((d, crc32(t)), t) for d, t in chosen)
+            tagged = (((d, tag), t) for d, t, tag in _tagged(chosen, texts))
             for part in portions(tagged, PORTION):
                 rows += local(part, ids, first)
         return pa.Table.from_batches([_blobs(rows)])
@@ -355,8 +396,10 @@ def _strings(docs: DataFrame, surviving: DataFrame, buckets: int, groups: int) -
         docs_, tags_ = owners[text], tags[text]
         every = _expand(start, count)
         owner = np.repeat(np.arange(len(count)), count)
-        digit = _digit(hashes[owner], strings.place[keep][owner] - every)
-        seen = repeats(strings.data, every, digit, docs_[owner])
+        seen = whole_repeats(strings.data, start, count, docs_)[owner]
+        fresh = np.flatnonzero(~seen)
+        digit = _digit(hashes[owner[fresh]], strings.place[keep][owner[fresh]] - every[fresh])
+        seen[fresh] = repeats(strings.data, every[fresh], digit, docs_[owner[fresh]])
         out = []
         if seen.any():
             found = _runs(seen, docs_, tags_, begin, count)
@@ -375,7 +418,7 @@ def _strings(docs: DataFrame, surviving: DataFrame, buckets: int, groups: int) -
             size = high[at] - low[at] + 1
             data = strings.data[_expand(start[at] + low[at], size + LENGTH - 1)]
             # Offset of the smallest run from the first suffix that is sent; the digit of suffix i has offset - i.
-            out.append((bucket, ASK, _pack_strings(hashes[at], offset[at] - low[at] + SPAN, docs_[at], tags_[at], begin[at] + low[at], size, data)))
+            out.append((bucket, ASK, _pack_strings(offset[at] - low[at], docs_[at], tags_[at], begin[at] + low[at], size, data)))
         return out
 
     def keyed(rows: DataFrame) -> DataFrame:
@@ -392,10 +435,14 @@ def _repeated(strings: DataFrame) -> DataFrame:
         out = [pa.ipc.open_stream(b).read_all() for b, k in zip(blobs, kinds) if k == KNOWN]
         asked = [_unpack_strings(b) for b, k in zip(blobs, kinds) if k == ASK]
         if asked:
-            hashes, docs, tags, first, offset, count, data = (np.concatenate(c) for c in zip(*asked))
-            first, count, offset = first.astype(np.int64), count.astype(np.int64), offset.astype(np.int64) - SPAN
+            docs, tags, first, offset, count, data = (np.concatenate(c) for c in zip(*asked))
+            first, count, offset = first.astype(np.int64), count.astype(np.int64), offset.astype(np.int64)
             lengths = count + LENGTH - 1
             start = np.cumsum(lengths) - lengths
+            whole = whole_repeats(data, start, count, docs)
+            out.append(_runs(np.ones(count[whole].sum(), dtype=bool), docs[whole], tags[whole], first[whole], count[whole]))
+            docs, tags, first, count, offset, start = (x[~whole] for x in (docs, tags, first, count, offset, start))
+            hashes = run_hashes(data)[start + offset]
             every = _expand(start, count)
             owner = np.repeat(np.arange(len(count)), count)
             digit = _digit(hashes[owner], offset[owner] - (every - start[owner]))
@@ -417,13 +464,12 @@ def _cut(docs: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
         ids, tags = ids[order], tags[order]
         first, last = found.column("first").to_numpy()[order], found.column("last").to_numpy()[order]
         rows = []
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text")):
-            raw = text.as_py().encode()
+        pairs = zip(texts.column("doc_id").to_pylist(), texts.column("text"))
+        for doc, raw, tag in _tagged(((d, t.as_py().encode()) for d, t in pairs), texts):
             low = high = 0
             if doc is not None and len(ids):
                 low, high = np.searchsorted(ids, [doc, doc + 1])
                 if low < high:
-                    tag = crc32(raw)
                     low, high = low + np.searchsorted(tags[low:high], [tag, tag + 1])
             if low == high:
                 rows.append((doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), []))
