@@ -97,9 +97,13 @@ class Network:
         """Largest and summed outputs over all chunks of a text, and their number, part by part."""
         high, total, count = np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN), 0
         data = np.frombuffer(padded(text), dtype=np.uint8)
-        for start in range(0, max(1, len(data) - BLOCK), PART_BYTES):
-            part = data[start : start + PART_BYTES + BLOCK]
-            second = self.chunks(part, np.array([len(part) // STEP - 1]))[-1]
+        for start in range(0, len(data) - BLOCK, PART_BYTES):
+            # A part sees two blocks before it and one behind its last chunk, so its edges do not show.
+            low = max(0, start - 2 * BLOCK)
+            part = data[low : start + PART_BYTES + 2 * BLOCK]
+            own = min(PART_BYTES, len(data) - BLOCK - start) // BLOCK
+            first = (start - low) // BLOCK
+            second = self.chunks(part, np.array([len(part) // STEP - 1]))[-1][first : first + own]
             high = np.maximum(high, second.max(axis=0))
             total += second.sum(axis=0)
             count += len(second)
