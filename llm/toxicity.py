@@ -44,6 +44,8 @@ WINDOW = 12
 QUOTE_SPAN = 240
 TEXT_AT_ONCE = 1 << 20
 FEATURES = 5
+#: Keys that a worker counts before it passes them on.
+KEYS_AT_ONCE = 1 << 16
 #: A score from which a text counts as toxic.
 THRESHOLD = 0.7
 
@@ -257,16 +259,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 def _counted(sample: DataFrame, keys_of: Iterable, spec: str, fields: list[str]) -> DataFrame:
     """Texts of each class in which a key stands, counted by batch and then summed."""
 
+    kind = pa.string() if "string" in spec else pa.int64()
+
+    def rows(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = list(counts[0].keys() | counts[1].keys())
+        arrays = [pa.array([key[i] for key in keys], kind) for i in range(len(fields))]
+        arrays += [pa.array([counts[y][key] for key in keys], pa.int64()) for y in (0, 1)]
+        return pa.RecordBatch.from_arrays(arrays, [*fields, "clean", "toxic"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = (Counter(), Counter())
             for text, y in zip(batch.column(0), batch.column(1)):
                 counts[y.as_py()].update(keys_of(text.as_py()))
-            keys = list(counts[0].keys() | counts[1].keys())
-            columns = list(zip(*keys)) if keys else [[] for _ in fields]
-            arrays = [pa.array(list(c)) for c in columns] if keys else [pa.array([], pa.string() if "string" in spec else pa.int64()) for _ in fields]
-            arrays += [pa.array([counts[y][k] for k in keys], pa.int64()) for y in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, [*fields, "clean", "toxic"])
+                if len(counts[0]) + len(counts[1]) > KEYS_AT_ONCE:
+                    yield rows(counts)
+                    counts = (Counter(), Counter())
+            yield rows(counts)
 
     return sample.select("text", "y").mapInArrow(run, f"{spec}, clean long, toxic long").groupBy(*fields).agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
