@@ -68,17 +68,21 @@ def run_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per start of a string: place of its smallest run (leftmost), and the hash there; and all run hashes."""
-    hashes = run_hashes(data)
-    low, offset, size = hashes, np.zeros(len(hashes), dtype=np.uint8), 1
-    for step in (1, 2, 4, 8, SPAN - 16):
-        left, right = low[: len(low) - step], low[step:]
-        smaller = right < left
-        offset = np.where(smaller, offset[step:] + np.uint8(step), offset[: len(offset) - step])
-        low = np.where(smaller, right, left)
-        size += step
-    return np.arange(len(low), dtype=np.int64) + offset, low, hashes
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per start of a string: place of its smallest run (leftmost), and the hash there; worked out piece by piece."""
+    starts = len(data) - LENGTH + 1
+    place, hashes = np.empty(starts, dtype=np.int64), np.empty(starts, dtype=np.uint64)
+    for a in range(0, starts, BYTES_AT_ONCE):
+        b = min(starts, a + BYTES_AT_ONCE)
+        low = run_hashes(data[a : b + LENGTH - 1])
+        offset = np.zeros(len(low), dtype=np.uint8)
+        for step in (1, 2, 4, 8, SPAN - 16):
+            left, right = low[: len(low) - step], low[step:]
+            smaller = right < left
+            offset = np.where(smaller, offset[step:] + np.uint8(step), offset[: len(offset) - step])
+            low = np.where(smaller, right, left)
+        place[a:b], hashes[a:b] = np.arange(a, b) + offset, low
+    return place, hashes
 
 
 class Strings:
@@ -92,7 +96,7 @@ class Strings:
             self.first = self.count = self.text = self.place = np.zeros(0, dtype=np.int64)
             self.hash = np.zeros(0, dtype=np.uint64)
             return
-        place, hashes, _ = anchors(self.data)
+        place, hashes = anchors(self.data)
         # A start within the last 49 bytes of a text has no string of its own.
         tails = (self.bounds[1:, None] - np.arange(1, LENGTH)[None, :]).ravel()
         place[tails[(tails >= 0) & (tails < len(place))]] = -1
@@ -195,24 +199,40 @@ def whole_repeats(data: np.ndarray, start: np.ndarray, count: np.ndarray, docs:
     if not len(start):
         return settled
     size = count + LENGTH - 1
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)))])
-    key = (sums[start + size] - sums[start]) * _powers(pow(_BASE, -1, 1 << 64), len(data))[start] ^ size.astype(np.uint64)
+    key = np.zeros(len(start), dtype=np.uint64)
+    powers = _powers(_BASE, int(size.max()))
+    for part in _slices(len(start)):
+        place = _expand(np.zeros(len(part), dtype=np.int64), size[part])
+        weighted = (data[_expand(start[part], size[part])].astype(np.uint64) + np.uint64(1)) * powers[place]
+        key[part] = np.add.reduceat(weighted, np.cumsum(size[part]) - size[part]) ^ size[part].astype(np.uint64)
     order = np.lexsort((docs, key))
     heads = _group_starts(key[order])
     head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
     later = docs[order] > docs[head]
     row, head = order[later], head[later]
-    for part in np.array_split(np.arange(len(row)), len(row) // (1 << 15) + 1):
-        if len(part):
-            a, b = row[part], head[part]
-            same = size[a] == size[b]
-            a, b = a[same], b[same]
-            if len(a):
-                equal = data[_expand(start[a], size[a])] == data[_expand(start[b], size[a])]
-                settled[a] = np.logical_and.reduceat(equal, np.cumsum(size[a]) - size[a])
+    for part in _slices(len(row)):
+        a, b = row[part], head[part]
+        same = size[a] == size[b]
+        a, b = a[same], b[same]
+        if len(a):
+            equal = data[_expand(start[a], size[a])] == data[_expand(start[b], size[a])]
+            settled[a] = np.logical_and.reduceat(equal, np.cumsum(size[a]) - size[a])
     return settled
 
 
+def _slices(n: int, rows: int = 1 << 14) -> list[np.ndarray]:
+    """Places of 0 to n in portions that bound the memory of what is gathered for them."""
+    return [np.arange(a, min(n, a + rows)) for a in range(0, n, rows)]
+
+
+def hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Run hashes at some places only."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    for part in _slices(len(places)):
+        out[part] = run_hashes(data[places[part][:, None] + np.arange(RUN)].ravel())[::RUN]
+    return out
+
+
 def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, … for each run."""
     ends = np.cumsum(count)
@@ -442,7 +462,7 @@ def _repeated(strings: DataFrame) -> DataFrame:
             whole = whole_repeats(data, start, count, docs)
             out.append(_runs(np.ones(count[whole].sum(), dtype=bool), docs[whole], tags[whole], first[whole], count[whole]))
             docs, tags, first, count, offset, start = (x[~whole] for x in (docs, tags, first, count, offset, start))
-            hashes = run_hashes(data)[start + offset]
+            hashes = hashes_at(data, start + offset)
             every = _expand(start, count)
             owner = np.repeat(np.arange(len(count)), count)
             digit = _digit(hashes[owner], offset[owner] - (every - start[owner]))
