@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +149,15 @@ def frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.word for r in rows] + [int(START >> np.uint64(16)), int(END >> np.uint64(16))], dtype=np.uint64))
 
 
+def _dump(value) -> bytes:
+    """Arrays in one value; most of their bytes are small numbers, which shrink well."""
+    return zstandard.compress(pickle.dumps(value, 5), 1)
+
+
+def _load(blob: bytes):
+    return pickle.loads(zstandard.decompress(blob))
+
+
 def _small(counts: np.ndarray) -> np.ndarray:
     """Counts in the fewest bytes that hold them."""
     most = int(counts.max(initial=0))
@@ -220,10 +230,10 @@ def _counted(texts: DataFrame, shards: int, word_shards: int, hot: np.ndarray) -
                 rows: list[tuple] = []
                 words, number = np.unique(tokens, return_counts=True)
                 for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-                    rows.append((WORD, shard, pickle.dumps((words[at], _small(number[at])), 5)))
+                    rows.append((WORD, shard, _dump((words[at], _small(number[at])))))
                 u, w, number = _distinct_bigrams(_histories(tokens, counts) >> np.uint64(16), tokens >> np.uint64(16))
                 for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
-                    rows.append((BIGRAM, shard, pickle.dumps((*_split(u[at]), *_split(w[at]), _small(number[at])), 5)))
+                    rows.append((BIGRAM, shard, _dump((*_split(u[at]), *_split(w[at]), _small(number[at])))))
                 yield from _rows(rows).to_batches()
 
     return texts.select("text").mapInArrow(run, _ROWS)
@@ -234,11 +244,11 @@ def _added(counted: DataFrame, word_shards: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
+        parts = [_load(b) for b in table.column("blob").to_pylist()]
         if kind == WORD:
             words, number = (np.concatenate(c) for c in zip(*parts))
             words, number = _summed(words, number.astype(np.int64))
-            return _rows([(WORD, shard, pickle.dumps(("tokens", words, _small(number)), 5))])
+            return _rows([(WORD, shard, _dump(("tokens", words, _small(number))))])
         u = np.concatenate([_joined(p[:2]) for p in parts])
         w = np.concatenate([_joined(p[2:4]) for p in parts])
         number = np.concatenate([p[4].astype(np.int64) for p in parts])
@@ -249,15 +259,15 @@ def _added(counted: DataFrame, word_shards: int) -> DataFrame:
         low = _pair(u, w) & _LOW40
         by_hash = np.argsort(low)
         tally = np.array([(number == i).sum() for i in range(1, 5)])
-        model = pickle.dumps((_steps(low[by_hash]), _small(number[by_hash]), tally), 5)
+        model = _dump((_steps(low[by_hash]), _small(number[by_hash]), tally))
         rows = [(BIGRAM, shard, model)]
         ones = np.ones(len(u), dtype=np.int64)
         before, preceded = _summed(w, ones)
         history, total, n1, n2, n3 = _summed(u, number, (number == 1) * ones, (number == 2) * ones, (number > 2) * ones)
         for to, at in _by(_shard_of_word(before, word_shards)):
-            rows.append((WORD, to, pickle.dumps(("before", *_split(before[at]), _small(preceded[at])), 5)))
+            rows.append((WORD, to, _dump(("before", *_split(before[at]), _small(preceded[at])))))
         for to, at in _by(_shard_of_word(history, word_shards)):
-            rows.append((WORD, to, pickle.dumps(("history", *_split(history[at]), *(_small(x[at]) for x in (total, n1, n2, n3))), 5)))
+            rows.append((WORD, to, _dump(("history", *_split(history[at]), *(_small(x[at]) for x in (total, n1, n2, n3))))))
         return _rows(rows)
 
     return counted.groupBy("kind", "shard").applyInArrow(run, _ROWS)
@@ -270,7 +280,7 @@ def _word_tables(added: DataFrame) -> DataFrame:
     """Per word shard: tokens' hashes and counts; words before, and history figures, by the upper 48 bits."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
+        parts = [_load(b) for b in table.column("blob").to_pylist()]
 
         def all_of(name: str, width: int) -> list[np.ndarray]:
             chosen = [p[1:] if name == "tokens" else (_joined(p[1:3]), *p[3:]) for p in parts if p[0] == name]
@@ -282,7 +292,7 @@ def _word_tables(added: DataFrame) -> DataFrame:
         preceded = preceded.astype(np.int64)
         tally = [int((preceded == i).sum()) for i in range(1, 5)] + [int(preceded.sum())]
         tally += [int((preceded > 2).sum())]
-        blob = pickle.dumps((words, _small(number), before, _small(preceded), [history[0], *map(_small, history[1:])]), 5)
+        blob = _dump((words, _small(number), before, _small(preceded), [history[0], *map(_small, history[1:])]))
         return pa.table({
             "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary()),
             "tokens": pa.array([int(number.sum())], pa.int64()), "words": pa.array([len(words)], pa.int64()), "tally": pa.array([tally], pa.list_(pa.int64())),
@@ -317,7 +327,7 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for blob in batch.column(0):
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.loads(blob.as_py())[2].tolist()], pa.list_(pa.int64()))], ["t"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_load(blob.as_py())[2].tolist()], pa.list_(pa.int64()))], ["t"])
 
         sums = self.bigrams.select("blob").mapInArrow(run, "t array<long>").agg(*[F.sum(F.col("t")[i]) for i in range(4)]).first()
         return [x or 0 for x in sums]
@@ -383,9 +393,9 @@ def _ask(docs: DataFrame, model: Model) -> DataFrame:
         rows = []
         for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
             low = np.sort(_pair(u[at], w[at]) & _LOW40)
-            rows.append((BIGRAM, shard, g, pickle.dumps(_steps(low), 5)))
+            rows.append((BIGRAM, shard, g, _dump(_steps(low))))
         for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-            rows.append((WORD, shard, g, pickle.dumps(words[at], 5)))
+            rows.append((WORD, shard, g, _dump(words[at])))
         columns = list(zip(*rows))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "shard", "g", "blob"])
@@ -402,20 +412,20 @@ def _answer(asked: DataFrame, model: Model) -> DataFrame:
         kinds = asks.column("kind").to_pylist()
         if not kinds:
             return _answers(rows)
-        stored = pickle.loads(held.column("blob")[0].as_py()) if held.num_rows else None
+        stored = _load(held.column("blob")[0].as_py()) if held.num_rows else None
         if kinds[0] == BIGRAM:
             none = np.zeros(0, dtype=np.uint64)
             keys, number = _mapped(*((_keys(stored[0]), stored[1]) if stored else (none, none)))
             for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
-                at, there = _found(keys, _keys(pickle.loads(blob)))
+                at, there = _found(keys, _keys(_load(blob)))
                 counts = np.where(there, number[at], 0) if len(number) else np.zeros(len(at))
-                rows.append((g, BIGRAM, shard, pickle.dumps(_small(counts), 5)))
+                rows.append((g, BIGRAM, shard, _dump(_small(counts))))
             return _answers(rows)
         if stored:
             words, number, before, preceded, history = stored
             words, number, before, preceded, *history = _mapped(words, number, before, preceded, *history)
         for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
-            wanted = pickle.loads(blob)
+            wanted = _load(blob)
             counts, follows, back = np.zeros(len(wanted), np.uint64), np.zeros(len(wanted), np.uint64), np.ones(len(wanted), np.float32)
             p = np.full(len(wanted), rest / (types + 1))
             if stored:
@@ -429,7 +439,7 @@ def _answer(asked: DataFrame, model: Model) -> DataFrame:
                 at = at[there]
                 follows[there] = history[1][at]
                 back[there] = sum(history[i + 2][at] * upper[i] for i in range(3)) / history[1][at]
-            rows.append((g, WORD, shard, pickle.dumps((_small(counts), _small(follows), back, p.astype(np.float32)), 5)))
+            rows.append((g, WORD, shard, _dump((_small(counts), _small(follows), back, p.astype(np.float32)))))
         return _answers(rows)
 
     tables = model.bigrams.select(F.lit(BIGRAM).alias("kind"), "shard", "blob").unionByName(
@@ -461,10 +471,10 @@ def _score(docs: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
         number = np.zeros(len(u))
         replies = {(k, s): b for k, s, b in zip(*(answered.column(c).to_pylist() for c in ("kind", "shard", "blob")))}
         for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-            known[at], follows[at], back[at], p[at] = pickle.loads(replies[WORD, shard])
+            known[at], follows[at], back[at], p[at] = _load(replies[WORD, shard])
         for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
             order = np.argsort(_pair(u[at], w[at]) & _LOW40, kind="stable")
-            number[at[order]] = pickle.loads(replies[BIGRAM, shard])
+            number[at[order]] = _load(replies[BIGRAM, shard])
         place = np.searchsorted(words, tokens)
         histories = _histories(tokens, counts)
         held = np.searchsorted(words, histories)
