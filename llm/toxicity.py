@@ -3,9 +3,13 @@
 Learning, on a bounded sample of labelled rows: words that toxic texts use and
 others do not become the lexicon. The lexicon is a trie; the automaton of all
 words within one or two edits of its terms is the trie walked with an edit
-count, made deterministic state by state as texts need it. Each (term, edits)
-then gets a weight from how often it hits toxic and other texts, so a careless
-near match ("oron" for a term one letter longer) weighs nothing.
+count, made deterministic state by state as texts need it. A term weighs what it
+leans to toxic texts. A word some edits away from it inherits that weight, less a
+penalty for each edit and less the more different words of clean texts stand as
+near; so a misspelling counts that no labelled text holds. A near word that clean
+texts do use ("oron" for a term one letter longer) weighs no more than it leans
+itself. Terms of up to four letters are met by themselves only: at one edit most
+words that short meet another word.
 
 Scoring: every hit is looked at in its window. A hit between quotation marks is
 counted apart from a direct one, and direct hits that stand together add to
@@ -33,12 +37,16 @@ from llm.common import stage
 #: Labelled rows of each class that are learnt from, at most.
 SAMPLE_ROWS = 8000
 TERMS = 2000
+#: Longer words are no terms.
+TERM_CHARACTERS = 40
 #: A term leans this far to toxic texts, and so often that few of all words are expected to do so by chance.
 TERM_LEAN = 2.0
 CHANCE_MARGIN = -2.0
 #: Edits allowed for terms of at least so many characters.
 EDITS = ((9, 2), (5, 1), (0, 0))
 WEIGHT_FLOOR = 1.0
+#: What an edit takes from the weight of a term.
+EDIT_PENALTY = 1.0
 #: Words on either side of a hit, and characters between quotation marks.
 WINDOW = 12
 QUOTE_SPAN = 240
@@ -162,7 +170,8 @@ class Words:
     """Words of a text: runs between white space without marks at their ends."""
 
     def __init__(self, text: str):
-        self.points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+        self.lowered = text.lower()
+        self.points = np.frombuffer(self.lowered.encode("utf-32-le"), dtype=np.uint32)
         self.low = np.minimum(self.points, _LETTERS)
         edges = np.diff(np.concatenate([[True], _SPACE[self.low], [True]]).astype(np.int8))
         start, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
@@ -203,8 +212,8 @@ def hits_of(automaton: TermAutomaton, words: Words) -> tuple[np.ndarray, np.ndar
     return places, terms[places], edits[places]
 
 
-def features(automaton: TermAutomaton, weights: np.ndarray, text: str | None) -> list[float]:
-    """Log sums of direct and quoted hits, different direct terms, best window, and density."""
+def features(automaton: TermAutomaton, weights: np.ndarray, text: str | None, forms: dict[str, float] | None = None) -> list[float]:
+    """Log sums of direct and quoted hits, different direct terms, best window, and density; ``forms`` have weights of their own."""
     direct = quoted = best = 0.0
     different: set[int] = set()
     count = 0
@@ -213,6 +222,9 @@ def features(automaton: TermAutomaton, weights: np.ndarray, text: str | None) ->
         count += len(words.starts)
         places, terms, edits = hits_of(automaton, words)
         weight = weights[terms, edits]
+        for i in np.flatnonzero(edits).tolist() if forms else ():
+            form = words.lowered[words.starts[places[i]] : words.ends[places[i]]]
+            weight[i] = forms.get(form, weight[i])
         heavy = weight >= WEIGHT_FLOOR
         places, terms, weight = places[heavy], terms[heavy], weight[heavy]
         if not len(places):
@@ -285,8 +297,9 @@ def _counted(sample: DataFrame, keys_of: Iterable, spec: str, fields: list[str])
 def _words_in(text: str | None) -> set[tuple[str]]:
     found = set()
     for part in parts_of(text):
-        words, lowered = Words(part), part.lower()
-        found.update((lowered[a:b],) for a, b in zip(words.starts.tolist(), words.ends.tolist()) if b - a <= 40)
+        words = Words(part)
+        spans = zip(words.starts.tolist(), words.ends.tolist())
+        found.update((words.lowered[a:b],) for a, b in spans if b - a <= TERM_CHARACTERS + EDITS[0][1])
     return found
 
 
@@ -295,16 +308,16 @@ def _lean(toxic, clean, n_toxic: int, n_clean: int):
 
 
 class Model:
-    """Terms, weights by (term, edits), and the logistic function of the features."""
+    """Terms, weights by (term, edits) and of single near words, and the logistic function of the features."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, beta: np.ndarray):
-        self.terms, self.weights, self.beta = terms, weights, beta
+    def __init__(self, terms: list[str], weights: np.ndarray, beta: np.ndarray, forms: dict[str, float] | None = None):
+        self.terms, self.weights, self.beta, self.forms = terms, weights, beta, forms or {}
 
     def scorer(self):
         automaton = TermAutomaton(self.terms)
 
         def score(text: str | None) -> float:
-            z = float(np.dot(features(automaton, self.weights, text), self.beta[:-1]) + self.beta[-1])
+            z = float(np.dot(features(automaton, self.weights, text, self.forms), self.beta[:-1]) + self.beta[-1])
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -327,35 +340,50 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SA
         clean > 0, clean * F.log(clean / ((toxic + clean) * (1 - share)))
     ).otherwise(0.0)
     terms = (
-        counted.where((F.col("toxic") > 0) & (lean >= TERM_LEAN) & (unlikely >= np.log(max(1, n_words)) + CHANCE_MARGIN))
+        counted.where((F.length("word") <= TERM_CHARACTERS) & (F.col("toxic") > 0) & (lean >= TERM_LEAN) & (unlikely >= np.log(max(1, n_words)) + CHANCE_MARGIN))
         .orderBy(unlikely.desc(), "word").limit(TERMS).select("word")
     )
     terms = sorted(row.word for row in terms.collect())
 
     kept = sample.sparkSession.sparkContext.broadcast(terms)
 
-    def hit_keys(text: str | None) -> set[tuple[int, int]]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(kept.value)
-        found = set()
-        for part in parts_of(text):
-            _, hit, edits = hits_of(automaton, Words(part))
-            found.update(zip(hit.tolist(), edits.tolist()))
-        return found
-
+        for batch in batches:
+            words = Words(" ".join(batch.column(0).to_pylist()))
+            places, hit, edits = hits_of(automaton, words)
+            chosen = batch.take(pa.array(places))
+            yield pa.RecordBatch.from_arrays(
+                [*chosen.columns, pa.array(hit, pa.int64()), pa.array(edits, pa.int64())], ["word", "clean", "toxic", "term", "edits"]
+            )
+
+    found = counted.select("word", "clean", "toxic").mapInArrow(near, "word string, clean long, toxic long, term long, edits long")
     weights = np.zeros((len(terms), 3))
-    for row in _counted(sample, hit_keys, "term long, edits long", ["term", "edits"]).collect():
-        weights[row.term, row.edits] = _lean(row.toxic, row.clean, n_toxic, n_clean)
+    forms: dict[str, float] = {}
+    # Bounded: the terms, and words of the sample's clean texts within two edits of a term.
+    hits = found.where((F.col("edits") == 0) | (F.col("clean") > 0)).collect()
+    for row in hits:
+        if not row.edits:
+            weights[row.term] += _lean(row.toxic, row.clean, n_toxic, n_clean) - EDIT_PENALTY * np.arange(3)
+    used = Counter((row.term, row.edits) for row in hits if row.edits)
+    for (term, edits), different in used.items():
+        weights[term, edits] -= np.log1p(different)
+    weights = np.minimum.accumulate(weights, axis=1)
+    for row in hits:
+        own = _lean(row.toxic, row.clean, n_toxic, n_clean)
+        if row.edits and own < weights[row.term, row.edits]:
+            forms[row.word] = float(own)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(kept.value)
         for batch in batches:
-            rows = [features(automaton, weights, t.as_py()) for t in batch.column(0)]
+            rows = [features(automaton, weights, t.as_py(), forms) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
     measured = sample.select("text", "y").mapInArrow(measure, "y int, x array<double>").collect()
     x, y = np.array([r.x for r in measured]), np.array([r.y for r in measured], dtype=float)
     order = np.lexsort([*x.T, y])
-    return Model(terms, weights, fit_logistic(x[order], y[order]))
+    return Model(terms, weights, fit_logistic(x[order], y[order]), forms)
 
 
 _automata: dict[tuple, TermAutomaton] = {}

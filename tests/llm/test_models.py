@@ -181,6 +181,24 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scores(docs.limit(0), model).collect() == []
 
 
+def test_misspellings_that_no_labelled_text_holds(spark):
+    prepare(spark)
+    insults, kind = ["clown", "worthless", "disgusting"], "some kind words about the oron of the town and its clowny people in row"
+    rows = [(i, f"{kind} {i}" + (f" you are {insults[i % 3]} and so {insults[(i + 1) % 3]}" if i % 2 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    new = [
+        (1, "you are a cl0wn and so w0rthles"), (2, "what a clwn and what a disgustinng one"), (3, "such a wortles clovn"),
+        (4, "the oron of the clowny people"), (5, "nothing in it"),
+    ]
+    new = spark.createDataFrame(new, "doc_id long, text string")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert set(model.terms) >= set(insults)
+    got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.scores(new, model).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False}
+    assert {r.doc_id for r in toxicity.drop_toxic(new, model).collect()} == {4, 5}
+
+
 # ---- pipeline ---------------------------------------------------------------------------------------------------
 
 
