@@ -24,6 +24,8 @@ the share of the other; an empty table gives an empty result. Texts beyond
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -58,7 +60,7 @@ KEYS_AT_ONCE = 1 << 16
 THRESHOLD = 0.7
 
 DEAD, UNKNOWN = 0, -1
-_LETTERS = 0x250
+_LETTERS = sys.maxunicode
 
 
 def edits_allowed(term: str) -> int:
@@ -70,8 +72,9 @@ class TermAutomaton:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        alphabet = sorted({c for t in terms for c in t if ord(c) < _LETTERS})
-        self.classes = np.zeros(_LETTERS + 1, dtype=np.int64)
+        alphabet = sorted({c for t in terms for c in t})
+        # A class for every character of the terms; all others are in class 0, which always costs an edit.
+        self.classes = np.zeros(_LETTERS + 1, dtype=np.int32)
         for i, c in enumerate(alphabet):
             self.classes[ord(c)] = i + 1
         self.children: list[dict[int, int]] = [{}]
@@ -81,7 +84,7 @@ class TermAutomaton:
             node, k = 0, edits_allowed(term)
             self.most[0] = max(self.most[0], k)
             for c in term:
-                step = int(self.classes[min(ord(c), _LETTERS)])
+                step = int(self.classes[ord(c)])
                 if step not in self.children[node]:
                     self.children[node][step] = len(self.children)
                     self.children.append({})
@@ -92,7 +95,7 @@ class TermAutomaton:
             self.term_at[node] = number
         self.longest = max(map(len, terms), default=0) + self.most[0]
         self.width = len(alphabet) + 1
-        self.table = np.full((1024, self.width), UNKNOWN, dtype=np.int64)
+        self.table = np.full((1024, self.width), UNKNOWN, dtype=np.int32)
         self.accept = np.full(1024, -1, dtype=np.int64)
         self.cost = np.zeros(1024, dtype=np.int64)
         self.sets: list[tuple] = []
@@ -153,7 +156,7 @@ class TermAutomaton:
             now, symbol = states[live], symbols[starts[live] + t]
             after = self.table[now, symbol]
             if (unknown := after == UNKNOWN).any():
-                for key in np.unique(now[unknown] * self.width + symbol[unknown]).tolist():
+                for key in np.unique(now[unknown] * self.width + symbol[unknown].astype(np.int64)).tolist():
                     target = self._step(key // self.width, key % self.width)
                     self.table[key // self.width, key % self.width] = target
                 after = self.table[now, symbol]
@@ -162,8 +165,9 @@ class TermAutomaton:
 
 
 _QUOTES = np.array([ord(c) for c in "\"“”„«»‹›"])
-_SPACE = np.array([chr(c).isspace() for c in range(_LETTERS)] + [False])
-_ALNUM = np.array([chr(c).isalnum() for c in range(_LETTERS)] + [True])
+_SPACE = np.array([chr(c).isspace() for c in range(_LETTERS + 1)])
+# Signs that are written on a letter belong to it.
+_ALNUM = np.array([chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in range(_LETTERS + 1)])
 
 
 class Words:
@@ -172,10 +176,9 @@ class Words:
     def __init__(self, text: str):
         self.lowered = text.lower()
         self.points = np.frombuffer(self.lowered.encode("utf-32-le"), dtype=np.uint32)
-        self.low = np.minimum(self.points, _LETTERS)
-        edges = np.diff(np.concatenate([[True], _SPACE[self.low], [True]]).astype(np.int8))
+        edges = np.diff(np.concatenate([[True], _SPACE[self.points], [True]]).astype(np.int8))
         start, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        alnum = np.append(_ALNUM[self.low], True)
+        alnum = np.append(_ALNUM[self.points], True)
         while (odd := (start < end) & ~alnum[start]).any():
             start = start + odd
         while (odd := (start < end) & ~alnum[end - 1]).any():
@@ -188,7 +191,7 @@ class Words:
         marks = np.flatnonzero(np.isin(self.points, _QUOTES))
         if not len(marks) or not len(places):
             return np.zeros(len(places), dtype=bool)
-        opens = (marks == 0) | _SPACE[self.low[np.maximum(marks - 1, 0)]]
+        opens = (marks == 0) | _SPACE[self.points[np.maximum(marks - 1, 0)]]
         right = np.searchsorted(marks, self.starts[places])
         has = (right > 0) & (right < len(marks))
         left = np.maximum(right - 1, 0)
@@ -207,7 +210,7 @@ def parts_of(text: str | None) -> Iterator[str]:
 
 
 def hits_of(automaton: TermAutomaton, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    terms, edits = automaton.run(automaton.classes[words.low], words.starts, words.ends - words.starts)
+    terms, edits = automaton.run(automaton.classes[words.points], words.starts, words.ends - words.starts)
     places = np.flatnonzero(terms >= 0)
     return places, terms[places], edits[places]
 

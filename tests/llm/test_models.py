@@ -181,6 +181,19 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scores(docs.limit(0), model).collect() == []
 
 
+def test_characters_of_every_script():
+    terms = ["идиот", "ηλίθιος", "クソ野郎", "idiot"]
+    automaton = toxicity.TermAutomaton(terms)
+    words = toxicity.Words("Ты идиот… “idiot” ‘ηλίθιος’ クソ野郎。 идиат кот हिन्दी\u3000idiot")
+    places, hit, edits = toxicity.hits_of(automaton, words)
+    found = [(words.lowered[words.starts[p] : words.ends[p]], terms[t], e) for p, t, e in zip(places, hit, edits)]
+    assert found == [
+        ("идиот", "идиот", 0), ("idiot", "idiot", 0), ("ηλίθιος", "ηλίθιος", 0), ("クソ野郎", "クソ野郎", 0), ("идиат", "идиот", 1), ("idiot", "idiot", 0),
+    ]
+    assert words.quoted(places).tolist() == [False, True, False, False, False, False]
+    assert "हिन्दी" in {words.lowered[a:b] for a, b in zip(words.starts, words.ends)}
+
+
 def test_misspellings_that_no_labelled_text_holds(spark):
     prepare(spark)
     insults, kind = ["clown", "worthless", "disgusting"], "some kind words about the oron of the town and its clowny people in row"
