@@ -1,24 +1,29 @@
-"""Language-model scores by an interpolated modified Kneser-Ney bigram model.
+"""Language-model scores by an interpolated modified Kneser-Ney model of any order from 2 on.
 
 Counting. Workers hash words to 64 bits and reduce a portion of text to its
-distinct bigrams and words, packed per shard; a shard adds up what all portions
-send. Bigrams are sharded by history, frequent histories also by a few bits of the
-word, so that they are split; what a history or a word needs from all its bigrams (how often
-followed, by how many words once, twice, more often; by how many words preceded)
-goes on to the shard of the word.
-
-The model is two kinds of sorted hash arrays, one row per shard: bigrams with
+distinct n-grams of the highest order and its words, packed per shard; a shard adds
+up what all portions send. N-grams are sharded by history, frequent histories also by
+a few bits of the word, so that they are split. From each order to the next lower one
+goes on how many different words stand before an n-gram; that is its count there.
+What a word needs from all bigrams (how often followed, by how many words once, twice,
+more often; by how many words preceded) goes on to the shard of the word; longer
+histories keep these figures in their n-grams' shard, and the bounded number of
+frequent ones is added up by the driver.
+
+The model is sorted hash arrays, one row per shard: n-grams of each order with
 counts, and words with their counts and probabilities.
 
 Scoring. Documents come in groups of bounded size. A group asks the shards for
-its distinct bigrams and words; a shard's arrays are written to an unnamed
+its distinct n-grams and words; a shard's arrays are written to an unnamed
 temporary file, memory-mapped and answered by binary search; the group then adds
 up the log probabilities of its texts. No worker ever holds the whole model.
 
-    p(w|u) = (c(uw) - D(c(uw))) / c(u) + g(u) p(w)
-    p(w)   = (n(w) - d(n(w))) / n + g / (V + 1)
+    p(w|uv) = (c(uvw) - D(c(uvw))) / c(uv) + g(uv) p(w|v)
+    p(w|v)  = (n(vw) - D'(n(vw))) / n(v) + g(v) p(w)
+    p(w)    = (n(w) - d(n(w))) / n + g / (V + 1)
 
-with n(w) the number of different words before w, and V + 1 for unseen words.
+with n(..) the number of different words before, and V + 1 for unseen words. As many
+start marks as a history has words stand before a text.
 
 Nulls and odd rows: a null text is empty and has one token, the end; a null
 doc_id counts as an empty id for the split and is scored; repeated rows count and
@@ -40,6 +45,8 @@ from pyspark.sql import functions as F
 
 from llm.common import discard, short_lived_shuffles, stage, stage_split, text_column
 
+#: Order of the registered query.
+ORDER = 3
 #: Bytes of text that one task of a shard or group stands for, and that workers hash at a time.
 PORTION = 1 << 22
 WORD_PORTION = 1 << 24
@@ -55,7 +62,8 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 _LOW48, _LOW40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
-BIGRAM, WORD = 0, 1
+#: Kind of the rows of words; those of n-grams have n.
+WORD = 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -104,10 +112,21 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, words + 1
 
 
-def _histories(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _histories(tokens: np.ndarray, counts: np.ndarray, first: np.uint64 = START) -> np.ndarray:
     out = np.empty_like(tokens)
     out[1:] = tokens[:-1]
-    out[np.cumsum(counts) - counts] = START
+    out[np.cumsum(counts) - counts] = first
+    return out
+
+
+def _contexts(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """Histories (48 bits) of one word, two words, and so on, of every token."""
+    start = START >> np.uint64(16)
+    before = _histories(tokens >> np.uint64(16), counts, start)
+    out = [before]
+    for _ in range(order - 2):
+        before = _histories(before, counts, start)
+        out.append(_pair(out[-1], before) >> np.uint64(16))
     return out
 
 
@@ -132,21 +151,25 @@ def _shard_of_pair(u: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -
     return (_mixed(u * SPLIT + part) % np.uint64(shards)).astype(np.int64)
 
 
-def frequent(texts: DataFrame) -> np.ndarray:
-    """Histories (48 bits) that hold a large share of a sample's tokens; at most 1 / ``HOT_SHARE`` of them."""
+def frequent(texts: DataFrame, order: int) -> np.ndarray:
+    """Histories (48 bits) that hold a large share of a sample's tokens; at most 1 / ``HOT_SHARE`` of each length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text_parts(t.as_py().encode() for t in batch.column(0)):
-                words, number = np.unique(np.append(token_hashes(part)[0] >> np.uint64(16), START >> np.uint64(16)), return_counts=True)
-                large = number > HOT_SHARE * number.sum() / 4
-                columns = [pa.array(words[large].astype(np.int64)), pa.array(number[large]), pa.array(np.full(large.sum(), number.sum()))]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "total"])
+                tokens, counts = token_hashes(part)
+                for length, found in enumerate(_contexts(tokens, counts, order), 1):
+                    found = np.append(found, tokens >> np.uint64(16)) if length == 1 else found
+                    words, number = np.unique(found, return_counts=True)
+                    large = number > HOT_SHARE * number.sum() / 4
+                    columns = [pa.array(words[large].astype(np.int64)), pa.array(number[large]), pa.array(np.full(large.sum(), len(tokens)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["word", "n", "total"])
 
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text")
     found = sample.mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.max(F.col("n") / F.col("total")).alias("share"))
-    rows = found.where(F.col("share") > HOT_SHARE).orderBy(F.col("share").desc(), "word").limit(int(1 / HOT_SHARE)).collect()
-    return np.sort(np.array([r.word for r in rows] + [int(START >> np.uint64(16)), int(END >> np.uint64(16))], dtype=np.uint64))
+    rows = found.where(F.col("share") > HOT_SHARE).orderBy(F.col("share").desc(), "word").limit((order - 1) * int(1 / HOT_SHARE)).collect()
+    starts = [int(h[0]) for h in _contexts(np.array([END]), np.array([1]), order)]
+    return np.unique(np.array([r.word for r in rows] + [*starts, int(END >> np.uint64(16))], dtype=np.uint64))
 
 
 def _dump(value) -> bytes:
@@ -212,16 +235,30 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "shard", "blob"])
 
 
-def _distinct_bigrams(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams of 48-bit words and their numbers, by history."""
+def _heads(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of n-grams by history and word, and where in it each distinct one begins."""
     order = np.lexsort((w, u))
     u, w = u[order], w[order]
-    heads = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
-    return u[heads], w[heads], np.diff(np.append(heads, len(u)))
+    return order, np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
+
+
+def _distinct(histories: list[np.ndarray], w: np.ndarray, number: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct n-grams of 48-bit histories (the longest last, which tells the others) and words, and their sums of ``number``."""
+    order, heads = _heads(histories[-1], w)
+    first = order[heads]
+    if number is None:
+        sums = np.diff(np.append(heads, len(w)))
+    else:
+        sums = np.add.reduceat(number[order], heads) if len(w) else number[:0]
+    return [h[first] for h in histories], w[first], sums
 
 
-def _counted(texts: DataFrame, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
-    """Distinct bigrams and words of portions of text, packed per shard."""
+def _packed(histories: list[np.ndarray], w: np.ndarray, number: np.ndarray, at: np.ndarray) -> bytes:
+    return _dump(([_split(h[at]) for h in histories], _split(w[at]), _small(number[at])))
+
+
+def _counted(texts: DataFrame, order: int, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
+    """Distinct n-grams of the highest order and words of portions of text, packed per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,16 +268,16 @@ def _counted(texts: DataFrame, shards: int, word_shards: int, hot: np.ndarray) -
                 words, number = np.unique(tokens, return_counts=True)
                 for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
                     rows.append((WORD, shard, _dump((words[at], _small(number[at])))))
-                u, w, number = _distinct_bigrams(_histories(tokens, counts) >> np.uint64(16), tokens >> np.uint64(16))
-                for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
-                    rows.append((BIGRAM, shard, _dump((*_split(u[at]), *_split(w[at]), _small(number[at])))))
+                histories, w, number = _distinct(_contexts(tokens, counts, order), tokens >> np.uint64(16))
+                for shard, at in _by(_shard_of_pair(histories[-1], w, shards, hot)):
+                    rows.append((order, shard, _packed(histories, w, number, at)))
                 yield from _rows(rows).to_batches()
 
     return texts.select("text").mapInArrow(run, _ROWS)
 
 
-def _added(counted: DataFrame, word_shards: int) -> DataFrame:
-    """Per bigram shard the sorted array of bigrams, and what its histories and words pass on; words summed per shard."""
+def _added(counted: DataFrame, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
+    """Per shard of n-grams their sorted array, and what lower orders and words get from them; words summed per shard."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
@@ -249,25 +286,33 @@ def _added(counted: DataFrame, word_shards: int) -> DataFrame:
             words, number = (np.concatenate(c) for c in zip(*parts))
             words, number = _summed(words, number.astype(np.int64))
             return _rows([(WORD, shard, _dump(("tokens", words, _small(number))))])
-        u = np.concatenate([_joined(p[:2]) for p in parts])
-        w = np.concatenate([_joined(p[2:4]) for p in parts])
-        number = np.concatenate([p[4].astype(np.int64) for p in parts])
-        order = np.lexsort((w, u))
-        u, w, number = u[order], w[order], number[order]
-        heads = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        u, w, number = u[heads], w[heads], np.add.reduceat(number, heads)
+        histories = [np.concatenate([_joined(p[0][i]) for p in parts]) for i in range(kind - 1)]
+        w = np.concatenate([_joined(p[1]) for p in parts])
+        number = np.concatenate([p[2].astype(np.int64) for p in parts])
+        del parts
+        histories, w, number = _distinct(histories, w, number)
+        u = histories[-1]
         low = _pair(u, w) & _LOW40
         by_hash = np.argsort(low)
         tally = np.array([(number == i).sum() for i in range(1, 5)])
-        model = _dump((_steps(low[by_hash]), _small(number[by_hash]), tally))
-        rows = [(BIGRAM, shard, model)]
+        model = [_steps(low[by_hash]), _small(number[by_hash]), tally]
         ones = np.ones(len(u), dtype=np.int64)
+        history, *figures = _summed(u, number, (number == 1) * ones, (number == 2) * ones, (number > 2) * ones)
+        if kind > 2:
+            split = np.isin(history, hot)
+            keys, *whole = _summed(history[~split] & _LOW40, *(x[~split] for x in figures))
+            model += [[_steps(keys), *map(_small, whole)], [history[split], *(x[split] for x in figures)]]
+            rows = [(kind, shard, _dump(tuple(model)))]
+            lower, w, preceded = _distinct(histories[:-1], w)
+            for to, at in _by(_shard_of_pair(lower[-1], w, shards, hot)):
+                rows.append((kind - 1, to, _packed(lower, w, preceded, at)))
+            return _rows(rows)
+        rows = [(kind, shard, _dump(tuple(model)))]
         before, preceded = _summed(w, ones)
-        history, total, n1, n2, n3 = _summed(u, number, (number == 1) * ones, (number == 2) * ones, (number > 2) * ones)
         for to, at in _by(_shard_of_word(before, word_shards)):
             rows.append((WORD, to, _dump(("before", *_split(before[at]), _small(preceded[at])))))
         for to, at in _by(_shard_of_word(history, word_shards)):
-            rows.append((WORD, to, _dump(("history", *_split(history[at]), *(_small(x[at]) for x in (total, n1, n2, n3))))))
+            rows.append((WORD, to, _dump(("history", *_split(history[at]), *(_small(x[at]) for x in figures)))))
         return _rows(rows)
 
     return counted.groupBy("kind", "shard").applyInArrow(run, _ROWS)
@@ -312,43 +357,73 @@ def discounts(tally: list[int]) -> list[float]:
 class Model:
     """Tables of the shards, and the few numbers that all of them share."""
 
-    def __init__(self, bigrams: DataFrame, words: DataFrame, shards: int, word_shards: int, hot: np.ndarray):
-        self.bigrams, self.words, self.shards, self.word_shards, self.hot = bigrams, words, shards, word_shards, hot
+    def __init__(self, grams: dict[int, DataFrame], words: DataFrame, shards: int, word_shards: int, hot: np.ndarray):
+        self.grams, self.words, self.shards, self.word_shards, self.hot = grams, words, shards, word_shards, hot
+        self.order = max(grams)
         sums = words.agg(
             F.sum("tokens").alias("n"), F.sum("words").alias("v"), *[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(6)]
         ).first()
         self.tokens, self.types = sums["n"] or 0, sums["v"] or 0
         self.tally = [sums[f"t{i}"] or 0 for i in range(6)]
-        #: Discounts of bigram counts and of counts of words before.
-        self.upper = discounts([int(x) for x in self._bigram_tally()])
+        #: Discounts of n-gram counts by order, and of counts of words before.
+        self.upper: dict[int, list[float]] = {}
+        #: By order from 3 on, the frequent histories, how often they are followed, and what they leave to lower orders.
+        self.split: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in grams:
+            tally, found = self._figures(n)
+            self.upper[n] = discounts(tally)
+            if n > 2:
+                figures = np.array([f for _, f in found], dtype=np.float64).reshape(-1, 4)
+                keys = np.array([h for h, _ in found], dtype=np.uint64)
+                self.split[n] = keys, figures[:, 0], figures[:, 1:] @ np.array(self.upper[n]) / figures[:, 0]
         self.lower = discounts(self.tally)
 
-    def _bigram_tally(self) -> list[int]:
+    def _figures(self, n: int) -> tuple[list[int], list[tuple[int, list[int]]]]:
+        """How many n-grams are counted 1, 2, 3 and 4 times, and the figures of frequent histories, in order."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for blob in batch.column(0):
-                    yield pa.RecordBatch.from_arrays([pa.array([_load(blob.as_py())[2].tolist()], pa.list_(pa.int64()))], ["t"])
-
-        sums = self.bigrams.select("blob").mapInArrow(run, "t array<long>").agg(*[F.sum(F.col("t")[i]) for i in range(4)]).first()
-        return [x or 0 for x in sums]
+                    stored = _load(blob.as_py())
+                    keys, figures = [-1], [stored[2].tolist()]
+                    if n > 2:
+                        keys += stored[4][0].astype(np.int64).tolist()
+                        figures += np.stack(stored[4][1:], axis=1).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(figures, pa.list_(pa.int64()))], ["h", "f"])
+
+        read = self.grams[n].select("blob").mapInArrow(run, "h long, f array<long>")
+        # Bounded: one row, and one per frequent history.
+        sums = read.groupBy("h").agg(*[F.sum(F.col("f")[i]) for i in range(4)]).orderBy("h").collect()
+        found = [(r[0], list(r[1:])) for r in sums]
+        return next((f for h, f in found if h < 0), [0] * 4), [(h, f) for h, f in found if h >= 0]
 
     def constants(self) -> tuple:
         n = max(1, self.tally[4])
         d = self.lower
         rest = (d[0] * self.tally[0] + d[1] * self.tally[1] + d[2] * self.tally[5]) / n if self.tally[4] else 1.0
-        return self.tokens, self.types, n, rest, tuple(d), tuple(self.upper)
+        return self.tokens, self.types, n, rest, tuple(d), tuple(self.upper[2])
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 2) -> Model:
     texts = docs.select(text_column().cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, word_shards = max(32, total // PORTION), max(32, total // WORD_PORTION)
-    hot = frequent(texts)
+    hot = frequent(texts, order)
+    grams: dict[int, DataFrame] = {}
     with short_lived_shuffles(docs.sparkSession):
-        bigrams, passed = stage_split(_added(_counted(texts, shards, word_shards, hot), word_shards), "kind", [BIGRAM, WORD], "lm-counts")
-        words = stage(_word_tables(passed), "lm-words")
-    discard(passed)
-    return Model(bigrams.select("shard", "blob"), words, shards, word_shards, hot)
+        rows, passed = _counted(texts, order, shards, word_shards, hot), []
+        for n in range(order, 1, -1):
+            kinds = [n, n - 1] if n < order or n == 2 else [n, n - 1, WORD]
+            staged = dict(zip(kinds, stage_split(_added(rows, shards, word_shards, hot), "kind", kinds, "lm-counts")))
+            if n < order:
+                discard(rows)
+            grams[n], rows = staged[n].select("shard", "blob"), staged[n - 1]
+            if WORD in staged:
+                passed.append(staged[WORD])
+        words = stage(_word_tables(passed[0] if len(passed) == 1 else passed[0].unionByName(passed[1])), "lm-words")
+    for part in passed:
+        discard(part)
+    return Model(grams, words, shards, word_shards, hot)
 
 
 def _mapped(*arrays: np.ndarray) -> list[np.ndarray]:
@@ -376,24 +451,31 @@ _ASKED = "kind int, shard long, g long, blob binary"
 _ANSWERS = "g long, kind int, shard long, blob binary"
 
 
-def _distinct_of_group(texts: list[bytes]) -> tuple:
+def _distinct_of_group(texts: list[bytes], order: int) -> tuple:
+    """Tokens, their number per text, distinct words, and by n the histories and words of distinct n-grams and each token's place in them."""
     tokens, counts = token_hashes(texts)
-    words = np.unique(np.append(tokens, START))
-    u, w, _ = _distinct_bigrams(_histories(tokens, counts) >> np.uint64(16), tokens >> np.uint64(16))
-    return tokens, counts, words, u, w
+    words, top = np.unique(np.append(tokens, START)), tokens >> np.uint64(16)
+    grams = {}
+    for n, u in enumerate(_contexts(tokens, counts, order), 2):
+        by, heads = _heads(u, top)
+        place = np.empty(len(top), dtype=np.int64)
+        place[by] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(top))))
+        grams[n] = u[by[heads]], top[by[heads]], place
+    return tokens, counts, words, grams
 
 
 def _ask(docs: DataFrame, model: Model) -> DataFrame:
-    """The distinct bigrams and words of every group, packed per shard."""
-    shards, word_shards, hot = model.shards, model.word_shards, model.hot
+    """The distinct n-grams, longer histories and words of every group, packed per shard."""
+    order, shards, word_shards, hot = model.order, model.shards, model.word_shards, model.hot
 
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
-        _, _, words, u, w = _distinct_of_group([t.as_py().encode() for t in table.column("text")])
+        _, _, words, grams = _distinct_of_group([t.as_py().encode() for t in table.column("text")], order)
         rows = []
-        for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
-            low = np.sort(_pair(u[at], w[at]) & _LOW40)
-            rows.append((BIGRAM, shard, g, _dump(_steps(low))))
+        for n, (u, w, _) in grams.items():
+            for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
+                low = np.sort(_pair(u[at], w[at]) & _LOW40)
+                rows.append((n, shard, g, _dump((_steps(low), _steps(np.unique(u[at] & _LOW40)) if n > 2 else None))))
         for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
             rows.append((WORD, shard, g, _dump(words[at])))
         columns = list(zip(*rows))
@@ -404,8 +486,9 @@ def _ask(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _answer(asked: DataFrame, model: Model) -> DataFrame:
-    """Counts of the bigrams, and figures of the words, in the order asked."""
+    """Counts of the n-grams, and figures of longer histories and of the words, in the order asked."""
     _, types, n, rest, d, upper = model.constants()
+    discounts_of = model.upper
 
     def run(asks: pa.Table, held: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -413,13 +496,23 @@ def _answer(asked: DataFrame, model: Model) -> DataFrame:
         if not kinds:
             return _answers(rows)
         stored = _load(held.column("blob")[0].as_py()) if held.num_rows else None
-        if kinds[0] == BIGRAM:
+        if kinds[0] != WORD:
             none = np.zeros(0, dtype=np.uint64)
             keys, number = _mapped(*((_keys(stored[0]), stored[1]) if stored else (none, none)))
+            histories, *figures = _mapped(*((_keys(stored[3][0]), *stored[3][1:]) if stored and kinds[0] > 2 else (none,) * 5))
             for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
-                at, there = _found(keys, _keys(_load(blob)))
+                wanted, longer = _load(blob)
+                at, there = _found(keys, _keys(wanted))
                 counts = np.where(there, number[at], 0) if len(number) else np.zeros(len(at))
-                rows.append((g, BIGRAM, shard, _dump(_small(counts))))
+                reply = (_small(counts),)
+                if longer is not None:
+                    at, there = _found(histories, _keys(longer))
+                    follows, back = np.zeros(len(at), np.uint64), np.ones(len(at), np.float32)
+                    at = at[there]
+                    follows[there] = figures[0][at]
+                    back[there] = sum(figures[i + 1][at] * discounts_of[kinds[0]][i] for i in range(3)) / figures[0][at]
+                    reply += (_small(follows), back)
+                rows.append((g, kinds[0], shard, _dump(reply)))
             return _answers(rows)
         if stored:
             words, number, before, preceded, history = stored
@@ -442,9 +535,9 @@ def _answer(asked: DataFrame, model: Model) -> DataFrame:
             rows.append((g, WORD, shard, _dump((_small(counts), _small(follows), back, p.astype(np.float32)))))
         return _answers(rows)
 
-    tables = model.bigrams.select(F.lit(BIGRAM).alias("kind"), "shard", "blob").unionByName(
-        model.words.select(F.lit(WORD).alias("kind"), "shard", "blob")
-    )
+    tables = model.words.select(F.lit(WORD).alias("kind"), "shard", "blob")
+    for order, grams in model.grams.items():
+        tables = tables.unionByName(grams.select(F.lit(order).alias("kind"), "shard", "blob"))
     return asked.groupBy("kind", "shard").cogroup(tables.groupBy("kind", "shard")).applyInArrow(run, _ANSWERS)
 
 
@@ -458,34 +551,41 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _score(docs: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    total, types, _, _, _, upper = model.constants()
+    total, types = model.tokens, model.types
+    order, upper, split = model.order, model.upper, model.split
     shards, word_shards, hot = model.shards, model.word_shards, model.hot
 
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             return pa.table([pa.array([], k) for k in kinds], names=[c.split()[0] for c in _SCORES.split(", ")])
-        tokens, counts, words, u, w = _distinct_of_group([t.as_py().encode() for t in table.column("text")])
+        tokens, counts, words, grams = _distinct_of_group([t.as_py().encode() for t in table.column("text")], order)
         known = np.zeros(len(words), np.int64)
         follows, back, p = np.zeros(len(words)), np.ones(len(words)), np.zeros(len(words))
-        number = np.zeros(len(u))
         replies = {(k, s): b for k, s, b in zip(*(answered.column(c).to_pylist() for c in ("kind", "shard", "blob")))}
         for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
             known[at], follows[at], back[at], p[at] = _load(replies[WORD, shard])
-        for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
-            order = np.argsort(_pair(u[at], w[at]) & _LOW40, kind="stable")
-            number[at[order]] = _load(replies[BIGRAM, shard])
         place = np.searchsorted(words, tokens)
-        histories = _histories(tokens, counts)
-        held = np.searchsorted(words, histories)
-        c_u, g_u = follows[held], back[held]
-        order = np.lexsort((tokens >> np.uint64(16), histories >> np.uint64(16)))
-        hu, hw = (histories >> np.uint64(16))[order], (tokens >> np.uint64(16))[order]
-        heads = np.concatenate([[True], (hu[1:] != hu[:-1]) | (hw[1:] != hw[:-1])])
-        c_uw = np.empty(len(tokens))
-        c_uw[order] = number[np.cumsum(heads) - 1]
-        cut = np.choose(np.minimum(c_uw.astype(np.int64), 3), (0.0, *upper))
-        probability = np.where(c_u > 0, (c_uw - cut) / np.maximum(c_u, 1), 0.0) + g_u * p[place]
+        held = np.searchsorted(words, _histories(tokens, counts))
+        probability = p[place]
+        for n, (u, w, at_token) in grams.items():
+            number, c_u, g_u = np.zeros(len(u)), np.zeros(len(u)), np.ones(len(u))
+            for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
+                reply = _load(replies[n, shard])
+                number[at[np.argsort(_pair(u[at], w[at]) & _LOW40, kind="stable")]] = reply[0]
+                if n > 2:
+                    _, asked = np.unique(u[at] & _LOW40, return_inverse=True)
+                    c_u[at], g_u[at] = reply[1][asked], reply[2][asked]
+            if n > 2:
+                keys, follow, left = split[n]
+                at, there = _found(keys, u)
+                c_u[there], g_u[there] = follow[at[there]], left[at[there]]
+                c_u, g_u = c_u[at_token], g_u[at_token]
+            else:
+                c_u, g_u = follows[held], back[held]
+            c_uw = number[at_token]
+            cut = np.choose(np.minimum(c_uw.astype(np.int64), 3), (0.0, *upper[n]))
+            probability = np.where(c_u > 0, (c_uw - cut) / np.maximum(c_u, 1), 0.0) + g_u * probability
         base = np.log10((known[place] + 1) / (total + (types + 1)))
         heads = np.cumsum(counts) - counts
         return pa.table({

@@ -93,3 +93,56 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], FIELDS)
     row = kneser_ney.scores(docs, kneser_ney.train(docs.where("false")), F.lit(True)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def plain_score(train, texts, order):
+    """Sum of log10 p of each text by a plain model of this order; probabilities after a history add up to one."""
+    grams = {order: Counter()}
+    for d in map(tokens, train):
+        padded = ["<s>"] * (order - 1) + d
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(d)))
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    cut = {n: kneser_ney.discounts([sum(x == k for x in c.values()) for k in range(1, 5)]) for n, c in grams.items()}
+    follow, left = Counter(), Counter()
+    for n, c in grams.items():
+        for g, x in c.items():
+            follow[n, g[:-1]] += x
+            left[n, g[:-1]] += cut[n][min(x, 3) - 1]
+    words = {g[0] for g in grams[1]}
+
+    def p(h, w):
+        lower = p(h[1:], w) if h else 1 / (len(words) + 1)
+        n = len(h) + 1
+        if not follow[n, h]:
+            return lower
+        x = grams[n][(*h, w)]
+        return ((x - cut[n][min(x, 3) - 1] if x else 0) + left[n, h] * lower) / follow[n, h]
+
+    for h in [("<s>",) * (order - 1), next(iter(grams[order]))[:-1]]:
+        assert math.isclose(sum(p(h, w) for w in words) + p(h, "new word"), 1, rel_tol=1e-9)
+    out = []
+    for d in map(tokens, texts):
+        padded = ["<s>"] * (order - 1) + d
+        out.append(sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(d)))
+    return out
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_higher_orders_equal_the_plain_model(spark, order):
+    random.seed(order)
+    vocabulary = ["the", "of", "é", "a", "b"] + [f"w{i}" for i in range(12)]
+    texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 40))) for _ in range(80)] + ["", "the of " * 900, "new words here"]
+    prepare(spark)
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], FIELDS).repartition(3)
+    held_out = F.col("doc_id") % 4 == 1
+    model = kneser_ney.train(docs.where(~held_out), order)
+    got = {r.doc_id: r.score for r in kneser_ney.scores(docs, model, held_out).collect()}
+    want = plain_score([t for i, t in enumerate(texts) if i % 4 != 1], texts, order)
+    assert len(got) == len(want) and all(math.isclose(got[i], x, rel_tol=1e-6) for i, x in enumerate(want))
+
+
+def test_the_registered_query_is_of_order_three(spark):
+    assert kneser_ney.ORDER >= 3
+    empty = spark.createDataFrame([], FIELDS)
+    assert kneser_ney.train(empty, kneser_ney.ORDER).order == kneser_ney.ORDER
