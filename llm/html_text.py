@@ -5,7 +5,9 @@ nearly all of the page's plain text (or the article element around it), leaving
 out menus, forms, adverts and the like. Containers are written as generalised paths of tags and classes, with
 digits replaced, so pages of one host agree on them. Spark counts the votes per
 host and path, and every page is read again with its host's winning path; a page
-without such a container falls back on its own best one.
+without such a container falls back on its own best one. An element whose class, id
+or role speaks of something beside the article stays if it holds nearly all of the
+page's plain text, or if the page has no other text.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed, empty ones left out, and the rest joined in page order
@@ -32,6 +34,8 @@ from llm.common import stage
 #: A container holds the article if it has this share of the page's plain text.
 SHARE = 0.85
 DEPTH = 24
+#: So often a page is read again for elements named beside the article that hold it; then names count no more.
+READINGS = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -73,18 +77,32 @@ class Block:
     def __init__(self, text: str, linked: int, chain: tuple[int, ...]):
         self.text, self.linked, self.chain = text, linked, chain
 
+    @property
+    def plain(self) -> int:
+        return max(0, len(self.text) - 2 * self.linked)
+
 
 class Page:
     """Blocks of text outside dropped elements, and the containers above them."""
 
     def __init__(self, source: str | None):
-        self.paths: list[str] = []
-        self.blocks: list[Block] = []
-        self._read(source or "")
-
-    def _read(self, source: str) -> None:
-        # Open elements: name, number of the container (-1: none), whether it is left out.
-        stack: list[tuple[str, int, bool]] = []
+        kept: set[int] = set()
+        for reading in range(READINGS + 1):
+            self.paths: list[str] = []
+            self.blocks: list[Block] = []
+            beside = self._read(source or "", kept, reading < READINGS)
+            total = sum(b.plain for b in self.blocks) + sum(max(0, n) for n in beside.values())
+            holds = {start for start, n in beside.items() if n > 0 and (n >= SHARE * total or not self.blocks)}
+            if not holds:
+                break
+            kept |= holds
+
+    def _read(self, source: str, kept: set[int], by_name: bool) -> dict[int, int]:
+        """Fill paths and blocks; plain text of elements left out by their names, by place. ``kept`` ones stay, or all."""
+        beside: dict[int, int] = {}
+        named = tagged = 0
+        # Open elements: name, number of the container (-1: none), whether it is left out, and by its tag.
+        stack: list[tuple[str, int, bool, bool]] = []
         chain: tuple[int, ...] = ()
         held: list[str] = []
         linked = links = dropped = articles = at = 0
@@ -98,14 +116,15 @@ class Page:
             linked = 0
 
         def close() -> None:
-            nonlocal chain, links, dropped, articles
-            name, container, out = stack.pop()
+            nonlocal chain, links, dropped, tagged, articles
+            name, container, out, by_tag = stack.pop()
             if name not in INLINE:
                 flush()
             if container >= 0:
                 chain = chain[:-1]
             links -= name == "a"
             dropped -= out
+            tagged -= by_tag
             articles -= name in ("article", "main")
 
         while at < len(source):
@@ -114,6 +133,9 @@ class Page:
             if stop > at and not dropped:
                 held.append(source[at:stop])
                 linked += (stop - at) * (links > 0)
+            elif stop > at and not tagged:
+                size = len(" ".join(source[at:stop].split()))
+                beside[named] += -size if links else size
             if not found:
                 break
             at = found.end()
@@ -143,11 +165,14 @@ class Page:
                 at = end.end() if end else len(source)
                 continue
             attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(found[3])} if found[3].strip() else {}
-            out = name in DROPPED or (name == "header" and not articles)
-            if not out and attributes and name not in ("html", "body", "main"):
+            out = by_tag = name in DROPPED or (name == "header" and not articles)
+            if not out and by_name and attributes and found.start() not in kept and name not in ("html", "body", "main"):
                 words = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
                 marks = set(_PARTS.split(_CAMEL.sub(" ", words).lower()))
                 out = bool(marks & BESIDE) or (not articles and bool(marks & {"header"}) and name != "article")
+                if out and not dropped:
+                    named = found.start()
+                    beside[named] = 0
             container = -1
             if name in _CONTAINERS and not dropped and not out:
                 kind = attributes.get("class", "").split()
@@ -158,11 +183,13 @@ class Page:
                 chain = (*chain, container) if len(chain) < DEPTH else chain
                 if len(chain) == DEPTH and chain[-1] != container:
                     container = -1
-            stack.append((name, container, out))
+            stack.append((name, container, out, by_tag))
             links += name == "a"
             dropped += out
+            tagged += by_tag
             articles += name in ("article", "main")
         flush()
+        return beside
 
     @staticmethod
     def _close_open(stack, close, names, until) -> None:
@@ -180,10 +207,9 @@ class Page:
         weights: dict[str, float] = {}
         total = 0.0
         for block in self.blocks:
-            plain = max(0, len(block.text) - 2 * block.linked)
-            total += plain
+            total += block.plain
             for path in {self.paths[c] for c in block.chain}:
-                weights[path] = weights.get(path, 0.0) + plain
+                weights[path] = weights.get(path, 0.0) + block.plain
         if not total:
             return None, 0.0
         enough = [p for p, w in weights.items() if w >= SHARE * total]

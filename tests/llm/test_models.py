@@ -109,6 +109,21 @@ def test_quality_odd_rows(spark):
     assert quality.scores(docs.limit(0), quality.Network()).collect() == []
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<body><nav>menu</nav><div class='layout no-sidebar'><article><p>{t}</p></article></div></body>",
+        "<body><div class='x'>short</div><article class='post has-comments'><p>{t}</p><div class='ad'>buy</div></article></body>",
+        "<body><div class='widget'><div id='search-page'><p>{t}</p></div></div></body>",
+        "<body>" + "<div class='widget'>" * 30 + "<p>{t}</p></body>",
+    ],
+)
+def test_named_beside_the_article_but_holding_it(source):
+    text = "words of a long article that is the most of the page by far " * 3
+    page = html_text.Page(source.format(t=text))
+    assert page.text(page.best()[0]) == text.strip()
+
+
 # ---- toxicity ---------------------------------------------------------------------------------------------------
 
 
