@@ -23,6 +23,7 @@ from galley.schema import PARAGRAPH
 EXTENSION = ".docx"
 MAX_BYTES = 50 * 1024 * 1024
 MAIN_PART = "word/document.xml"
+STYLES_PART = "word/styles.xml"
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _ALIGN = {"both": "justify", "distribute": "justify", "start": "left", "end": "right"}
@@ -74,9 +75,13 @@ def _content_problem(content: bytes) -> str | None:
         return "signature"
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            if MAIN_PART not in archive.namelist():
+            names = archive.namelist()
+            if MAIN_PART not in names:
                 return "no_main_part"
-            ElementTree.fromstring(archive.read(MAIN_PART))
+            if ElementTree.fromstring(archive.read(MAIN_PART)).find(f"{_W}body") is None:
+                return "damaged"
+            if STYLES_PART in names:
+                ElementTree.fromstring(archive.read(STYLES_PART))
     except (zipfile.BadZipFile, zlib.error, EOFError, ElementTree.ParseError):
         return "damaged"
     except (RuntimeError, NotImplementedError):
@@ -127,7 +132,7 @@ def _parse(content: bytes) -> dict[str, list[dict]]:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             names = set(archive.namelist())
             body = ElementTree.fromstring(archive.read(MAIN_PART)).find(f"{_W}body")
-            styles = _styles(archive.read("word/styles.xml")) if "word/styles.xml" in names else {}
+            styles = _styles(archive.read(STYLES_PART)) if STYLES_PART in names else {}
     except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, KeyError, ElementTree.ParseError):
         return {}
     return _walk(body, styles) if body is not None else {}

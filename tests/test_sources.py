@@ -49,6 +49,18 @@ def test_gate_and_read(spark, tmp_path):
     assert parts["table_cells"].first().bold_runs == 1
 
 
+def test_gate_names_files_that_reading_would_skip(spark, tmp_path):
+    whole = archive(BODY)
+    for name, part, content in [("styles", "word/styles.xml", b"<w:styles"), ("bodiless", "word/document.xml", f'<w:document xmlns:w="{W}"/>'.encode())]:
+        with zipfile.ZipFile(io.BytesIO(whole)) as old, zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as new:
+            for item in old.namelist():
+                new.writestr(item, content if item == part else old.read(item))
+    (tmp_path / "good.docx").write_bytes(whole)
+    gated = docx.gate_uploads(docx.read_files(spark, str(tmp_path)))
+    reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in gated.select("path", "reason").collect()}
+    assert reasons == {"good.docx": None, "styles.docx": "damaged", "bodiless.docx": "damaged"}
+
+
 def test_write_findings_replaces(spark, tmp_path):
     path = str(tmp_path / "findings")
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, type string")
