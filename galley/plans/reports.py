@@ -170,6 +170,11 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
     accepted headings get the style and outline level of their level, and other
     paragraphs lose theirs. References are checked on the revised text, heading
     numbers on the final one.
+
+    Left out: captions below a table are not moved above it, first-level headings
+    get no page break, and tables and figure captions no blank after them.
+    ``move_captions_above``, ``page_break_plan`` and ``one_blank_after_blocks``
+    give these for body elements, but are not applied to the paragraphs here.
     """
     rules = rules or default_rules()
     given = data.paragraphs
