@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, html_text, kneser_ney, mixing, quality, simhash, suffix_dedup, top_k, toxicity
+from llm import bpe, exact_dedup, html_text, kneser_ney, mixing, quality, sentence_pieces, simhash, suffix_dedup, top_k, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -21,6 +21,11 @@ def vocabulary_path() -> str:
     return os.environ.get("TOKENIZER_FILE") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def model_path() -> str:
+    """The merge-type model; PIECE_MODEL_FILE names another one."""
+    return os.environ.get("PIECE_MODEL_FILE") or public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(documents(spark, sf_dir)).drop("spans")
 
@@ -70,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(documents(spark, sf_dir), model_path())
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -81,6 +90,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 SQL = {
