@@ -40,7 +40,7 @@ PORTION = 1 << 18
 WINDOW = 1 << 12
 #: Words and fragments up to this length are remembered, up to so many characters of each, of words twice.
 WORD = 48
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 22
 PAIRS_KEPT = 1 << 19
 
 _word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -117,8 +117,8 @@ class Model:
         if self.ids:
             self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._known: dict[str, tuple[bytes, int, bytes]] = {}
-        self._older: dict[str, tuple[bytes, int, bytes]] = {}
+        self._known: dict[str, tuple[bytes, bytes]] = {}
+        self._older: dict[str, tuple[bytes, bytes]] = {}
         self._held = 0
         self._fragments: dict[str, list[int]] = {}
         self._fragment_size = 0
@@ -283,13 +283,13 @@ class Model:
         first = next((self.plain[i] for i in ids if self.kinds[i] != CONTROL), None)
         return text[1:] if first and first[0] == " " else text
 
-    def _learn(self, word: str) -> tuple[bytes, int, bytes]:
-        """Packed ids of a word, their number, and the text that they decode to, with its first space."""
+    def _learn(self, word: str) -> tuple[bytes, bytes]:
+        """Packed ids of a word, and the text that they decode to, with its first space."""
         got = self._older.get(word)
         if got is None:
             ids = self.word_ids(word)
             texts = [self.plain[i] for i in ids]
-            got = (struct.pack(f"<{len(ids)}I", *ids), len(ids), "".join(self._decoded(ids) if None in texts else texts).encode())
+            got = (struct.pack(f"<{len(ids)}I", *ids), "".join(self._decoded(ids) if None in texts else texts).encode())
         if len(word) <= WORD:
             if self._held >= REMEMBERED:
                 self._older, self._known, self._held = self._known, {}, 0
@@ -306,11 +306,11 @@ class Model:
             got = list(map(self._known.get, words, repeat(None)))
             if None in got:
                 got = [known or self._known.get(word) or self._learn(word) for known, word in zip(got, words)]
-            ids, counts, decoded = zip(*got)
-            id_hash.update(b"".join(ids))
-            count += sum(counts)
+            packed = b"".join([ids for ids, _ in got])
+            id_hash.update(packed)
+            count += len(packed) // 4
             # The first word begins with the space that encoding adds.
-            text_hash.update(b"".join(decoded)[first:])
+            text_hash.update(b"".join([decoded for _, decoded in got])[first:])
             first = False
         id_hash.update(struct.pack("<I", self.end))
         return count, id_hash.hexdigest(), text_hash.hexdigest()
