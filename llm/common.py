@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from galley.session import configure, shared_folder, stage
 
-__all__ = ["crc_mod", "discard", "prepare", "read_table", "short_lived_shuffles", "stage", "stage_split", "text_column", "words_pattern"]
+__all__ = ["SQL_CRC32", "crc_mod", "discard", "prepare", "read_table", "short_lived_shuffles", "stage", "stage_split", "text_column", "words_pattern"]
 
 #: Python workers get Arrow batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS = 2000
@@ -91,3 +91,10 @@ def text_column(name: str = "text") -> Column:
 def crc_mod(divisor: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % divisor
+
+
+#: The same checksum in DuckDB, of a column written as text: bit by bit over its bytes (fixed polynomial).
+SQL_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT],
+  list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS UBIGINT))),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda k: CAST(k AS UBIGINT))),
+    lambda rest, k: xor(rest >> 1, 3988292384::UBIGINT * (rest & 1)))))"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, html_text, kneser_ney, mixing, quality, sentence_pieces, simhash, suffix_dedup, top_k, toxicity
+from llm import bpe, exact_dedup, html_text, kneser_ney, merkle, mixing, quality, sentence_pieces, simhash, suffix_dedup, top_k, toxicity
 from llm.common import crc_mod, read_table
 
 
@@ -75,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(documents(spark, sf_dir), model_path())
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle": op12_merkle,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 
@@ -98,4 +103,5 @@ SQL = {
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_top_k": top_k.SQL,
+    "op12_merkle": merkle.SQL,
 }
