@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact_dedup, html_text, kneser_ney, merkle, mixing, quality, sentence_pieces, simhash, suffix_dedup, top_k, toxicity
+from llm import bpe, exact_dedup, html_text, kneser_ney, merkle, mixing, quality, sentence_pieces, simhash, suffix_dedup, top_k, toxicity, turn_trie
 from llm.common import crc_mod, read_table
 
 
@@ -75,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.nodes_of(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_trie": op11_turn_trie,
     "op12_merkle": op12_merkle,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
@@ -103,5 +108,6 @@ SQL = {
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_top_k": top_k.SQL,
+    "op11_turn_trie": turn_trie.SQL,
     "op12_merkle": merkle.SQL,
 }
