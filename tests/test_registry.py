@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -27,3 +32,15 @@ def test_every_query_binds(db):
     for name, item in ENTRIES.items():
         if item.sql is not None:
             assert db.sql(item.oracle()).columns == [c for c, _ in item.columns()], name
+
+
+@pytest.mark.parametrize("absent", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_entry_without_training_data_operators(tmp_path, absent):
+    top = Path(__file__).resolve().parent.parent
+    for item in top.iterdir():
+        if item.suffix == ".py" and item.name not in absent:
+            shutil.copy(item, tmp_path)
+        elif item.name in {"galley", "catalog", "oracle"}:
+            shutil.copytree(item, tmp_path / item.name, ignore=shutil.ignore_patterns("__pycache__"))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 180 and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
