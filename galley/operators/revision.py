@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley import rules as ru
+from galley.compose import states_before
 from galley.functions import text as tx
 from galley.operators.features import DOC
 from galley.operators.structure import apply_text
@@ -37,7 +38,7 @@ REVERTABLE = (
 )
 NEEDS_ORIGINAL = ("citation_separator_missing", "paragraph_spacing", "font_size_inconsistency")
 _FOOTER = r"(?U)^\s*(\d{1,4})\s*$"
-PREFIX_CUTS = (40, 30, 20)
+PREFIX_CUT, KEY_LENGTH, NEAR_LENGTH = 20, 12, 12
 
 
 def starts_capital_title(norm: Column) -> Column:
@@ -436,7 +437,7 @@ def heading_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
     body = lines.where("squashed <> ''").join(page_info.where("NOT is_contents"), ["doc_id", "page_no"], "left_semi")
     entries = outline.select("doc_id", "idx", tx.squash_text(F.col("text")).alias("wanted")).where("wanted <> ''")
     found = _matching_pages(body, entries.join(several, "doc_id", "left_semi"))
-    picked = _first_pages(found)
+    picked = stage(_first_pages(found), "picked-pages")
     offsets = (
         picked.join(page_info.select("doc_id", "page_no", "footer"), ["doc_id", "page_no"])
         .where("footer IS NOT NULL")
@@ -455,32 +456,28 @@ def heading_pages(pages: DataFrame, outline: DataFrame) -> DataFrame:
 def _matching_pages(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Pages with a line that reads like the entry: doc_id, idx, page_no.
 
-    Lines and entries meet on the entry's first three characters, found at the
-    start of the line or, in lines short enough to hold the entry with at most
-    12 characters more, at one of its first 13 places.
+    Lines and entries meet on the entry's first twelve characters, or all of a
+    shorter one. They are looked for at the start of the line or, in lines short
+    enough to hold the entry with at most 12 characters more, at one of its first
+    13 places, in the lengths that the manuscript's entries have.
     """
-    longest = entries.groupBy("doc_id").agg(F.max(F.length("wanted")).alias("_longest"))
-    line, entry = F.col("squashed"), F.col("wanted")
-    short = F.length("squashed") <= F.col("_longest") + 12
-    offsets = F.when(short, F.sequence(F.lit(1), F.lit(13))).otherwise(F.array(F.lit(1)))
-    keys = F.flatten(
-        F.transform(
-            offsets,
-            lambda at: F.array(*[F.substring(F.col("squashed"), at, F.lit(n)) for n in (1, 2, 3)]),
-        )
-    )
-    keyed = lines.join(longest, "doc_id").select(
-        "doc_id", "page_no", "squashed", F.explode(F.array_distinct(keys)).alias("_key")
+    key_length = F.least(F.length("wanted"), F.lit(KEY_LENGTH))
+    entries = stage(entries.withColumn("_key", F.substring("wanted", F.lit(1), key_length)), "wanted-headings")
+    kept = entries.groupBy("doc_id").agg(
+        F.max(F.length("wanted")).alias("_longest"), F.collect_set(F.length("_key")).alias("_lengths")
     )
-    wanted = entries.withColumn("_key", F.substring("wanted", 1, 3))
+    line, entry = F.col("squashed"), F.col("wanted")
+    short = F.length("squashed") <= F.col("_longest") + NEAR_LENGTH
+    offsets = F.when(short, F.sequence(F.lit(1), F.lit(NEAR_LENGTH + 1))).otherwise(F.array(F.lit(1)))
+    keys = F.flatten(F.transform(offsets, lambda at: F.transform("_lengths", lambda n: F.substring(F.col("squashed"), at, n))))
+    keyed = lines.join(kept, "doc_id").select("doc_id", "page_no", "squashed", F.explode(F.array_distinct(keys)).alias("_key"))
     same = F.startswith(line, entry)
-    wrapped = (F.length("squashed") >= 12) & F.startswith(entry, line)
-    inside = F.contains(line, entry) & (F.length("squashed") <= F.length("wanted") + 12)
-    cut = tx.any_of(
-        [(F.length("wanted") > n) & F.startswith(line, F.substring("wanted", 1, n)) for n in PREFIX_CUTS]
-    )
+    wrapped = (F.length("squashed") >= KEY_LENGTH) & F.startswith(entry, line)
+    inside = F.contains(line, entry) & (F.length("squashed") <= F.length("wanted") + NEAR_LENGTH)
+    # A line that begins with a longer piece of the entry begins with the shortest one, too.
+    cut = (F.length("wanted") > PREFIX_CUT) & F.startswith(line, F.substring("wanted", 1, PREFIX_CUT))
     return (
-        keyed.join(wanted, ["doc_id", "_key"])
+        keyed.join(entries, ["doc_id", "_key"])
         .where(same | wrapped | inside | cut)
         .select("doc_id", "idx", "page_no")
         .distinct()
@@ -488,32 +485,22 @@ def _matching_pages(lines: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _first_pages(found: DataFrame) -> DataFrame:
-    """Monotone choice of one page per entry, in entry order.
+    """Page of every entry, going through the entries in order: the first one with a match that is not before the
+    page of the entry before. An entry without such a page has none and leaves the place as it is.
 
-    Written without state: starting from every entry's own earliest page, an
-    entry that would go back moves on to its first page not before the
-    running maximum; this is repeated until nothing moves. Each round is a
-    scan plus a join, and an entry only ever moves forward.
+    An entry is a step function of the page reached before it; these are composed over blocks of entries.
     """
-    found = stage(found, "heading-pages")
-    chosen = found.groupBy("doc_id", "idx").agg(F.min("page_no").alias("page_no"))
-    while True:
-        chosen = stage(chosen, "heading-choice")
-        floor = scan(chosen, DOC, ["idx"], _floor=running_max(F.col("page_no"), inclusive=False))
-        late = floor.where("page_no < _floor").select("doc_id", "idx", "_floor")
-        if late.isEmpty():
-            return chosen
-        moved = (
-            late.join(found, ["doc_id", "idx"], "left")
-            .groupBy("doc_id", "idx")
-            .agg(F.min(F.when(F.col("page_no") >= F.col("_floor"), F.col("page_no"))).alias("_new"))
-            .select("doc_id", "idx", "_new", F.lit(True).alias("_late"))
-        )
-        chosen = (
-            chosen.join(moved, ["doc_id", "idx"], "left")
-            .where("_late IS NULL OR _new IS NOT NULL")
-            .select("doc_id", "idx", F.coalesce("_new", "page_no").alias("page_no"))
-        )
+    entries = stage(
+        found.groupBy("doc_id", "idx").agg(F.sort_array(F.collect_list(F.col("page_no").cast("long"))).alias("upto"))
+        .select("doc_id", F.col("idx").cast("long").alias("place"), "upto", F.col("upto").alias("gives")),
+        "heading-pages",
+    )
+    reached = states_before(entries, "doc_id", 0)
+    return (
+        entries.join(reached, ["doc_id", "place"])
+        .select("doc_id", F.col("place").alias("idx"), F.array_min(F.filter("upto", lambda page: page >= F.col("before"))).alias("page_no"))
+        .where("page_no IS NOT NULL")
+    )
 
 
 def page_numbers_changed(before: DataFrame, after: DataFrame) -> DataFrame:

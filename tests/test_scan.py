@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from galley import compose
 from galley.scan import Step, following, last, prev, remaining_min, running_max, running_sum, scan
+from tests.conftest import rows
 
 
 def test_scan_equals_brute_force(spark, blocks):
@@ -65,3 +67,18 @@ def test_ranged_scan_uses_several_blocks(spark):
     finally:
         module.stage = staged
     assert seen[0].select("_block").distinct().count() > 1
+
+def test_composed_choices_equal_the_plain_walk(spark):
+    random.seed(8)
+    items, want = [], []
+    for key in (1, 2, 3):
+        state = 0
+        for place in sorted(random.sample(range(3000), 200 if key == 1 else 3)):
+            pages = sorted(random.sample(range(1, 60), random.randint(1, 9)))
+            items.append((key, place, pages, pages))
+            want.append((key, place, state))
+            state = min((p for p in pages if p >= state), default=state)
+    table = spark.createDataFrame(items, "doc_id long, place long, upto array<long>, gives array<long>").repartition(3)
+    for width in (4, 37, 256, 5000):
+        assert rows(compose.states_before(table, "doc_id", 0, width).select("doc_id", "place", "before")) == sorted(want, key=repr)
+    assert compose.states_before(table.limit(0), "doc_id", 0).collect() == []
