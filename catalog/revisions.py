@@ -125,23 +125,60 @@ def _(f):
     return rv.page_numbers_changed(before, after)
 
 
+# The longest block of equal lines splits every region, one recursion step for all regions of all documents. Of versions
+# with 200 lines or more, lines that are more than a hundredth of the new one only lengthen blocks that others begin.
 _DIFF = """
-    WITH d AS (SELECT doc_id, idx, text AS old, CASE WHEN idx % 9 = 4 THEN lower(text) ELSE text END AS new, idx % 9 <> 4 OR lower(text) = text AS same,
-        (doc_id + idx) % 23 = 0 AS dropped FROM paras),
-    c AS (SELECT *, NOT same OR dropped AS changed FROM d),
-    n AS (SELECT *, bool_or(changed) OVER (PARTITION BY doc_id ORDER BY idx RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM c),
-    h AS (SELECT *, sum(CASE WHEN idx - coalesce(prev, -9) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS hunk FROM (
-      SELECT *, lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM n WHERE near))
-    SELECT doc_id, hunk, idx, ' ' AS op, new AS text FROM h WHERE NOT changed UNION ALL SELECT doc_id, hunk, idx, '-', old FROM h WHERE changed
-    UNION ALL SELECT doc_id, hunk, idx, '+', new FROM h WHERE changed AND NOT dropped"""
+    WITH RECURSIVE old_lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS i, text FROM paras),
+    new_lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS j, text FROM (
+      SELECT doc_id, idx * 4 + CASE WHEN idx % 31 = 7 THEN 18 ELSE 0 END AS k, CASE WHEN idx % 9 = 4 THEN lower(text) ELSE text END AS text
+      FROM paras WHERE (doc_id + idx) % 23 <> 0
+      UNION ALL SELECT doc_id, idx * 4 + 1, concat('Вставка ', idx % 5) FROM paras WHERE idx % 17 = 3)),
+    lengths AS (SELECT doc_id, n_a, n_b FROM (SELECT doc_id, count(*) AS n_a FROM old_lines GROUP BY doc_id)
+      JOIN (SELECT doc_id, count(*) AS n_b FROM new_lines GROUP BY doc_id) USING (doc_id)),
+    popular AS (SELECT doc_id, text FROM new_lines JOIN lengths USING (doc_id) WHERE n_b >= 200 GROUP BY doc_id, text, n_b HAVING count(*) > n_b // 100 + 1),
+    pairs AS (SELECT a.doc_id, a.i, b.j, p.text IS NOT NULL AS pop FROM old_lines a JOIN new_lines b ON a.doc_id = b.doc_id AND a.text = b.text
+      LEFT JOIN popular p ON p.doc_id = b.doc_id AND p.text = b.text),
+    walk AS (
+      SELECT doc_id, CAST(0 AS BIGINT) AS alo, n_a AS ahi, CAST(0 AS BIGINT) AS blo, n_b AS bhi, false AS is_block FROM lengths
+      UNION ALL
+      SELECT doc_id, c.alo, c.ahi, c.blo, c.bhi, c.is_block FROM (
+        SELECT doc_id, unnest([{'alo': b.lo, 'ahi': b.hi + 1, 'blo': b.lo - b.d, 'bhi': b.hi + 1 - b.d, 'is_block': true},
+          {'alo': alo, 'ahi': b.lo, 'blo': blo, 'bhi': b.lo - b.d, 'is_block': false},
+          {'alo': b.hi + 1, 'ahi': ahi, 'blo': b.hi + 1 - b.d, 'bhi': bhi, 'is_block': false}]) AS c
+        FROM (SELECT doc_id, alo, ahi, blo, bhi, arg_max({'lo': lo, 'hi': hi, 'd': d}, (size, -i, -j)) AS b FROM (
+          SELECT doc_id, alo, ahi, blo, bhi, d, lo, hi, CASE WHEN pop THEN 0 ELSE count(*) END AS size, min(i) AS i, min(j) AS j FROM (
+            SELECT *, min(i) OVER (PARTITION BY doc_id, alo, blo, d, run) AS lo, max(i) OVER (PARTITION BY doc_id, alo, blo, d, run) AS hi FROM (
+              SELECT w.doc_id, w.alo, w.ahi, w.blo, w.bhi, p.i, p.j, p.pop, p.i - p.j AS d,
+                p.i - row_number() OVER (PARTITION BY w.doc_id, w.alo, w.blo, p.i - p.j ORDER BY p.i) AS run,
+                p.i - row_number() OVER (PARTITION BY w.doc_id, w.alo, w.blo, p.i - p.j, p.pop ORDER BY p.i) AS sub
+              FROM walk w JOIN pairs p ON p.doc_id = w.doc_id AND p.i >= w.alo AND p.i < w.ahi AND p.j >= w.blo AND p.j < w.bhi WHERE NOT w.is_block))
+          WHERE NOT pop OR (i = alo AND j = blo) GROUP BY doc_id, alo, ahi, blo, bhi, d, lo, hi, pop, sub)
+        GROUP BY doc_id, alo, ahi, blo, bhi))
+      WHERE c.is_block OR (c.alo < c.ahi AND c.blo < c.bhi)),
+    matched AS (SELECT doc_id, unnest(range(alo, ahi)) AS i, unnest(range(blo, bhi)) AS j FROM walk WHERE is_block),
+    script AS (
+      SELECT doc_id, i + j AS place, ' ' AS op, i AS old_no, j AS new_no, text FROM matched JOIN old_lines USING (doc_id, i)
+      UNION ALL
+      SELECT doc_id, i + coalesce(max(mj) OVER (PARTITION BY doc_id ORDER BY i) + 1, 0), '-', i, NULL, text FROM (
+        SELECT o.*, m.j AS mj FROM old_lines o LEFT JOIN matched m ON m.doc_id = o.doc_id AND m.i = o.i) QUALIFY mj IS NULL
+      UNION ALL
+      SELECT doc_id, j + coalesce(min(mi) OVER (PARTITION BY doc_id ORDER BY j DESC), n_a), '+', NULL, j, text FROM (
+        SELECT n.*, m.i AS mi FROM new_lines n LEFT JOIN matched m ON m.doc_id = n.doc_id AND m.j = n.j) JOIN lengths USING (doc_id) QUALIFY mi IS NULL),
+    near_lines AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS ln,
+        bool_or(op <> ' ') OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS is_near FROM script),
+    opened AS (SELECT *, CASE WHEN ln - coalesce(lag(ln) OVER (PARTITION BY doc_id ORDER BY ln), -9) > 1 THEN 1 ELSE 0 END AS opens FROM near_lines WHERE is_near)
+    SELECT doc_id, sum(opens) OVER (PARTITION BY doc_id ORDER BY ln ROWS UNBOUNDED PRECEDING) AS hunk, place, old_no, new_no, op, text FROM opened"""
 
 
-@query("X8_revision_diff", "doc_id:l hunk:l idx:l op:s text:s", _DIFF)
+@query("X8_revision_diff", "doc_id:l hunk:l place:l old_no:l new_no:l op:s text:s", _DIFF)
 def _(f):
     old = f.paragraphs.select("doc_id", "idx", "text")
     quiet = F.when(F.col("idx") % 9 == 4, F.lower("text")).otherwise(F.col("text"))
-    new = old.where("(doc_id + idx) % 23 <> 0").withColumn("text", quiet)
-    return rv.revision_diff(old, new)
+    moved = F.col("idx") * 4 + F.when(F.col("idx") % 31 == 7, 18).otherwise(0)
+    kept = old.where("(doc_id + idx) % 23 <> 0").select("doc_id", moved.alias("idx"), quiet.alias("text"))
+    added = old.where("idx % 17 = 3").select("doc_id", (F.col("idx") * 4 + 1).alias("idx"), F.concat(F.lit("Вставка "), F.col("idx") % 5).alias("text"))
+    return rv.revision_diff(old, kept.unionByName(added))
 
 
 def _whole(f):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley import rules as ru
+from galley.align import edit_script
 from galley.compose import states_before
 from galley.functions import text as tx
 from galley.operators.features import DOC
@@ -380,33 +381,31 @@ def keep_list_numbers(numbered: DataFrame, headings: DataFrame, skip: str = "in_
 
 
 def revision_diff(original: DataFrame, revised: DataFrame, context: int = 3) -> DataFrame:
-    """Changed paragraphs with ``context`` lines around, in hunks.
+    """Changed paragraphs with ``context`` lines around, in hunks, as a unified diff has them.
 
-    Both frames have (doc_id, idx, text); a revised row keeps the ``idx`` of
-    the paragraph it comes from. Returns doc_id, hunk, idx, op, text where op
-    is ' ', '-' or '+'.
+    Both frames have (doc_id, idx, text); ``idx`` only orders the paragraphs of its own frame. Returns doc_id, hunk
+    (from 1), place (order in the diff), old_no and new_no (places from 0 in the two versions, null where the line is
+    not in one), op (' ', '-' or '+') and text. A document that only one frame has is removed or added as a whole.
     """
-    a = original.select("doc_id", "idx", F.col("text").alias("_old"))
-    b = revised.select("doc_id", "idx", F.col("text").alias("_new"))
-    rows = a.join(b, ["doc_id", "idx"], "full")
-    rows = rows.withColumn("_changed", ~F.col("_old").eqNullSafe(F.col("_new")))
-    mark = F.when(F.col("_changed"), F.col("idx"))
-    rows = scan(stage(rows, "aligned"), DOC, ["idx"], _before=last(mark), _after=following(mark))
-    near = (F.col("idx") - F.col("_before") <= context) | (F.col("_after") - F.col("idx") <= context)
+    def numbered(frame, name):
+        rows = scan(frame.select("doc_id", "idx", "text"), DOC, ["idx"], _no=running_sum(F.lit(1)))
+        return stage(rows.select("doc_id", (F.col("_no") - 1).alias(name), F.coalesce("text", F.lit("")).alias("text")), "numbered-lines")
+
+    rows = stage(edit_script(numbered(original, "i"), numbered(revised, "j")), "edit-script")
+    changed = F.col("op") != " "
+    # A line is near if at most ``context`` equal lines, itself included, lie between it and a change.
+    past = F.col("i") + (F.col("op") == "-").cast("int")
+    rows = scan(rows, DOC, ["place"], _before=last(F.when(changed, past)), _after=following(F.when(changed, F.col("i"))))
+    near = changed | (F.col("i") - F.col("_before") < context) | (F.col("_after") - F.col("i") <= context)
     rows = stage(rows.where(tx.is_true(near)), "near-changes")
-    rows = scan(rows, DOC, ["idx"], _prev=prev(F.col("idx")))
-    rows = stage(rows.withColumn("_opens", F.col("_prev").isNull() | (F.col("idx") - F.col("_prev") > 1)), "hunk-starts")
-    rows = scan(rows, DOC, ["idx"], hunk=running_sum(F.col("_opens").cast("long")))
-    kept = F.array(F.struct(F.lit(" ").alias("op"), F.col("_new").alias("text")))
-    changed = F.array_compact(
-        F.array(
-            F.when(F.col("_old").isNotNull(), F.struct(F.lit("-").alias("op"), F.col("_old").alias("text"))),
-            F.when(F.col("_new").isNotNull(), F.struct(F.lit("+").alias("op"), F.col("_new").alias("text"))),
-        )
-    )
+    done = F.col("i") + F.col("j") + F.when(changed, 1).otherwise(2)
+    rows = scan(rows, DOC, ["place"], _prev=prev(done))
+    rows = stage(rows.withColumn("_opens", F.col("_prev").isNull() | (F.col("place") != F.col("_prev"))), "hunk-starts")
+    rows = scan(rows, DOC, ["place"], hunk=running_sum(F.col("_opens").cast("long")))
     return rows.select(
-        "doc_id", "hunk", "idx", F.inline(F.when(F.col("_changed"), changed).otherwise(kept))
-    )
+        "doc_id", "hunk", "place", F.when(F.col("op") != "+", F.col("i")).alias("old_no"),
+        F.when(F.col("op") != "-", F.col("j")).alias("new_no"), "op", "text",
+    )
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
