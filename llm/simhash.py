@@ -23,6 +23,7 @@ result; further columns are ignored by ``components`` and kept by ``thin_out``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,8 +82,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return _narrow(docs).mapInArrow(run, "doc_id long, fp long")
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _prints_of_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text (a null one is empty) and fp: id and digest name a row up to repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            values = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
+            digests = pa.array([hashlib.sha256((t or "").encode()).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(values.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    return _narrow(docs).mapInArrow(run, "doc_id long, digest binary, fp long")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
@@ -181,12 +198,17 @@ def connected(edges: DataFrame) -> DataFrame:
         state = found
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp, …) with root, the fingerprint that names the component."""
+    roots = connected(links(distinct.select("fp")))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     marked = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = connected(links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = _rooted(distinct)
     # One row per root, for roots that have more than themselves; few beside all fingerprints.
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = stage(placed.join(least, "root").select("fp", "component_id"), "classes")
@@ -196,9 +218,18 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def thin_out(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the one with the smallest doc_id."""
-    kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    chosen = rows.join(kept, rows["_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    once = Window.partitionBy("_id").orderBy(F.lit(1))
+    """The rows of ``docs`` that stay, one per component: the one with the smallest doc_id.
+
+    A null doc_id comes after all others. Of rows with one doc_id the one with the smallest SHA-256 of its text stays,
+    of rows with one text as well the smallest by all columns.
+    """
+    marked = stage(_prints_of_texts(docs), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")).alias("first")
+    distinct = stage(marked.groupBy("fp").agg(first), "distinct-fingerprints")
+    winners = _rooted(distinct).groupBy("root").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_kept"), F.col("w.digest").alias("_of"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("_digest")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), digest)
+    chosen = rows.join(stage(winners, "winners"), (rows["_digest"] == F.col("_of")) & rows["_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    # Only rows that repeat both id and text are left to choose from.
+    once = Window.partitionBy("_digest", "_id").orderBy("_row")
     return chosen.select("_row", F.row_number().over(once).alias("_no")).where("_no = 1").select("_row.*")

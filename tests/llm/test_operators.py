@@ -257,7 +257,25 @@ def test_simhash(spark):
     want = plain_components(rows)
     assert as_rows(simhash.components(table(spark, rows)), ["doc_id", "fingerprint", "component_id"]) == sorted(map(repr, want))
     kept = simhash.thin_out(table(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want if c is not None})
+    assert sorted(repr((r.doc_id, r.text or "")) for r in kept.collect()) == sorted(map(repr, plain_thinned(rows)))
+
+
+def plain_thinned(rows):
+    """Of every component the row with the smallest id (null last), then the smallest digest."""
+    prints = [plain_fingerprint(t) for _, t, *_ in rows]
+    groups = []
+    for i, value in enumerate(prints):
+        near = [g for g in groups if any((value ^ prints[j]).bit_count() <= 3 for j in g)]
+        groups = [g for g in groups if g not in near] + [[i, *(j for g in near for j in g)]]
+    best = lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.sha256((rows[i][1] or "").encode()).digest())
+    return [(rows[i][0], rows[i][1] or "") for i in (min(g, key=best) for g in groups)]
+
+
+def test_thinning_keeps_a_row_of_every_component(spark):
+    texts = ["one two three four", "five six seven eight", "nine ten eleven twelve", None, "thirteen fourteen fifteen sixteen"]
+    rows = [(7, texts[0], "a"), (7, texts[1], "b"), (None, texts[2], "c"), (None, texts[3], "d"), (None, texts[4], "e"), (9, texts[0], "f"), (7, texts[0], "a")]
+    kept = simhash.thin_out(table(spark, rows)).collect()
+    assert sorted(repr((r.doc_id, r.text, r.source)) for r in kept) == sorted(map(repr, [rows[i] for i in (0, 1, 2, 3, 4)]))
 
 
 def test_simhash_forest_links_what_all_pairs_link():
