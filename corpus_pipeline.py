@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each written and read again."""
+"""A training corpus from ``documents``: five stages, each written and read again.
+
+Nulls and odd rows: a null text counts as empty and stays as long as the stages keep its group; a null doc_id stays
+only where no row with an id stands for the same text or component; of repeated rows one stays; a null source is a
+source of its own; an empty table gives an empty result; further columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
