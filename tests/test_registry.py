@@ -10,7 +10,8 @@ from catalog import ENTRIES
 from tools.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["citation_findings_by_severity", "P3_numbering_tokens", "Z1_title_page_end", "T5_row_page_groups", "W8_apply_decisions", "D4_violations_by_category", "Q4_prf"]
+SAMPLE = ["citation_findings_by_severity", "P3_numbering_tokens", "Z1_title_page_end", "T5_row_page_groups", "W8_apply_decisions", "D4_violations_by_category", "Q4_prf",
+          "X6_heading_pages", "X8_revision_diff", "Q7_error_examples"]
 
 
 @pytest.fixture(scope="module")
