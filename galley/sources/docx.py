@@ -25,6 +25,9 @@ MAX_BYTES = 50 * 1024 * 1024
 MAIN_PART = "word/document.xml"
 STYLES_PART = "word/styles.xml"
 
+#: Bytes of one part of an archive once unpacked; a part says little of its size before.
+MAX_UNPACKED = 64 * 1024 * 1024
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _ALIGN = {"both": "justify", "distribute": "justify", "start": "left", "end": "right"}
 _OFF = {"0", "false", "off", "none"}
@@ -70,6 +73,21 @@ def _judge_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(reason=reasons, content=batch["content"].where(reasons.isna(), None))
 
 
+class _TooLarge(Exception):
+    """A part of an archive unpacks to more than ``MAX_UNPACKED`` bytes."""
+
+
+def _unpacked(archive: zipfile.ZipFile, part: str) -> bytes:
+    """A part's content, of which never more than the limit is held."""
+    if archive.getinfo(part).file_size > MAX_UNPACKED:
+        raise _TooLarge(part)
+    with archive.open(part) as stream:
+        content = stream.read(MAX_UNPACKED + 1)
+    if len(content) > MAX_UNPACKED:
+        raise _TooLarge(part)
+    return content
+
+
 def _content_problem(content: bytes) -> str | None:
     if bytes(content[:4]) != b"PK\x03\x04":
         return "signature"
@@ -78,10 +96,12 @@ def _content_problem(content: bytes) -> str | None:
             names = archive.namelist()
             if MAIN_PART not in names:
                 return "no_main_part"
-            if ElementTree.fromstring(archive.read(MAIN_PART)).find(f"{_W}body") is None:
+            if ElementTree.fromstring(_unpacked(archive, MAIN_PART)).find(f"{_W}body") is None:
                 return "damaged"
             if STYLES_PART in names:
-                ElementTree.fromstring(archive.read(STYLES_PART))
+                ElementTree.fromstring(_unpacked(archive, STYLES_PART))
+    except _TooLarge:
+        return "too_large_unpacked"
     except (zipfile.BadZipFile, zlib.error, EOFError, ElementTree.ParseError):
         return "damaged"
     except (RuntimeError, NotImplementedError):
@@ -131,9 +151,9 @@ def _parse(content: bytes) -> dict[str, list[dict]]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             names = set(archive.namelist())
-            body = ElementTree.fromstring(archive.read(MAIN_PART)).find(f"{_W}body")
-            styles = _styles(archive.read(STYLES_PART)) if STYLES_PART in names else {}
-    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, KeyError, ElementTree.ParseError):
+            body = ElementTree.fromstring(_unpacked(archive, MAIN_PART)).find(f"{_W}body")
+            styles = _styles(_unpacked(archive, STYLES_PART)) if STYLES_PART in names else {}
+    except (_TooLarge, zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, KeyError, ElementTree.ParseError):
         return {}
     return _walk(body, styles) if body is not None else {}
 

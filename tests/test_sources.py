@@ -121,3 +121,14 @@ def test_status_stream(spark, tmp_path):
     query = jobs.job_status(stream, lambda batch, _: got.update({r.doc_id: (r.status, r.progress, r.error) for r in batch.collect()}), str(tmp_path / "cp"))
     query.awaitTermination()
     assert got == {1: ("done", 100, None), 2: ("error", 100, "bad")}
+
+
+def test_small_archives_that_unpack_large_are_refused(spark, tmp_path):
+    for part in ("word/document.xml", "word/styles.xml"):
+        with zipfile.ZipFile(io.BytesIO(archive(BODY))) as old, zipfile.ZipFile(tmp_path / f"{part[5:-4]}.docx", "w", zipfile.ZIP_DEFLATED) as new:
+            for item in {*old.namelist(), part}:
+                new.writestr(item, b"<a>" + b" " * (docx.MAX_UNPACKED + 1) if item == part else old.read(item))
+    assert all(file.stat().st_size < 1 << 20 for file in tmp_path.iterdir())
+    gated = docx.gate_uploads(docx.read_files(spark, str(tmp_path)))
+    assert {r.reason for r in gated.select("reason").collect()} == {"too_large_unpacked"}
+    assert docx.read_manuscripts(docx.with_doc_id(docx.read_files(spark, str(tmp_path))))["paragraphs"].collect() == []
