@@ -426,6 +426,6 @@ counted AS (
 subtrees AS (
   SELECT up.path, SUM((c.n_convs - 1) * c.words) AS saved_tokens, COUNT(*) FILTER (c.n_children = 0) AS n_leaves
   FROM counted c JOIN paths up ON up.conv = c.conv_id AND up.d <= c.depth GROUP BY up.path)
-SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
 FROM counted c JOIN subtrees s USING (path) LEFT JOIN counted p ON p.path = c.parent
 """
