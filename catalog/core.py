@@ -118,14 +118,14 @@ class Frames:
     def bounds(self) -> DataFrame:
         return self._written("bounds", lambda: zones.references_range(self.zoned, self.headings, RULES))
 
-    @property
-    def cited(self) -> DataFrame:
-        return self._written("cited", lambda: citations.citations(self.zoned, self.bounds))
-
     @property
     def ranges(self) -> DataFrame:
         return self._written("cited-ranges", lambda: citations.citation_ranges(self.zoned, self.bounds))
 
+    @property
+    def mentions(self) -> DataFrame:
+        return self._written("mentions", lambda: citations.first_mentions(self.ranges))
+
     @property
     def listed(self) -> DataFrame:
         return self._written("listed", lambda: bibliography.in_references(self.zoned, self.bounds))

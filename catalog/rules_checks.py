@@ -99,7 +99,7 @@ def _(f):
       SELECT *, lag(n) OVER w AS before, row_number() OVER w AS rk FROM first_cited WINDOW w AS (PARTITION BY doc_id ORDER BY idx, token_no, part_no, n_pos))
     GROUP BY doc_id HAVING count(*) > 1 AND count(*) FILTER (before > n) / (count(*) - 1) >= 0.3""")
 def _(f):
-    return citations.citation_sequence(f.cited)
+    return citations.citation_sequence(f.mentions)
 
 
 _IN = r"\d+(?:\s*[,\-‒–—−]\s*\d+)*"
@@ -161,7 +161,7 @@ def _(f):
        """FROM first_cited c WHERE c.doc_id IN (SELECT doc_id FROM entries)
           AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.doc_id = c.doc_id AND e.number = c.n)"""))
 def _(f):
-    return bibliography.citation_without_source(f.cited, f.entries)
+    return bibliography.citation_without_source(f.mentions, f.entries)
 
 
 @query("B5_source_not_cited", "doc_id:l description:s", """

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import text as tx
-from galley.operators.citations import first_mentions
 from galley.operators.features import DOC
 from galley.session import stage
-from galley.scan import last, prev, running_max, running_sum, scan
+from galley.scan import following, last, prev, running_max, running_sum, scan
 from galley.schema import findings
 
 # Shapes of entries, continuations, broken numbers and group headers.
@@ -24,6 +23,7 @@ _STANDARD = r"(?iU)\bГОСТ\b|\bISO\b|\bRFC\b|\bСНиП\b|\bСП\s+\d|\bФЗ\
 _STARTS_ENTRY = r"^[«\"“„(]?[A-ZА-ЯЁ]"
 _GROUP_HEADER = r"(?U)^[IVXLCDMivxlcdm]+[.)]\s+\S"
 SHORT_ENTRY = 20
+RUN_NUMBERS = 1000
 
 
 def in_references(features: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -148,24 +148,59 @@ def bib_numbering_gap(entries: DataFrame) -> DataFrame:
     )
 
 
-def citation_without_source(cited: DataFrame, entries: DataFrame) -> DataFrame:
-    """Cited numbers that are not listed, anchored at their first mention."""
-    known = entries.select("doc_id", F.col("number").alias("n")).distinct()
-    listed_docs = entries.select("doc_id").distinct()
-    rows = (
-        first_mentions(cited)
-        .join(listed_docs, "doc_id", "left_semi")
-        .join(known, ["doc_id", "n"], "left_anti")
+def missing_runs(mentions: DataFrame, entries: DataFrame) -> DataFrame:
+    """Runs of cited numbers that are not listed: doc_id, lo, hi, idx, raw_token.
+
+    Only manuscripts with a list count. Walking up the numbers, a run starts at
+    a piece of first mentions or behind a listed number, and ends before the next
+    listed one.
+    """
+    number = F.col("number").cast("long")
+    points = entries.select("doc_id", number.alias("n"), F.lit(1).alias("_listed"), number.alias("_point")).distinct()
+    pieces = mentions.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", F.col("lo").alias("n"), F.lit(0).alias("_listed"), F.struct("hi", "idx", "raw_token").alias("_piece")
+    )
+    walked = scan(
+        pieces.unionByName(points, allowMissingColumns=True),
+        DOC,
+        ["n", "_listed"],
+        ranged=True,
+        _over=last(F.col("_piece")),
+        _next=following(F.col("_point")),
+    )
+    inside = walked.where(F.col("n") <= F.col("_over.hi") - F.col("_listed"))
+    return inside.select(
+        "doc_id",
+        (F.col("n") + F.col("_listed")).alias("lo"),
+        F.least(F.col("_over.hi"), F.col("_next") - 1).alias("hi"),
+        "_over.idx",
+        "_over.raw_token",
+    ).where("lo <= hi")
+
+
+def citation_without_source(mentions: DataFrame, entries: DataFrame) -> DataFrame:
+    """Cited numbers that are not listed, anchored at their first mention.
+
+    One finding a number; a run of more than ``RUN_NUMBERS`` numbers of one range
+    is one finding that names both ends, however wide the range.
+    """
+    long_run = F.col("hi") - F.col("lo") >= RUN_NUMBERS
+    numbers = F.when(long_run, F.array("lo")).otherwise(F.sequence("lo", "hi"))
+    rows = missing_runs(mentions, entries).select("*", long_run.alias("_long"), F.explode(numbers).alias("n"))
+    one = F.concat(
+        F.lit("Ссылка ["), F.col("n").cast("string"),
+        F.lit("] встречается в тексте, но отсутствует в списке источников."),
+    )
+    many = F.concat(
+        F.lit("Ссылки ["), F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"),
+        F.lit("] встречаются в тексте, но отсутствуют в списке источников."),
     )
     return findings(
         rows,
         "citation_without_source",
         "п. 6.16",
         severity="critical",
-        description=F.concat(
-            F.lit("Ссылка ["), F.col("n").cast("string"),
-            F.lit("] встречается в тексте, но отсутствует в списке источников."),
-        ),
+        description=F.when(F.col("_long"), many).otherwise(one),
         paragraph_index=F.col("idx"),
         original_text=F.col("raw_token"),
     )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from galley.functions import text as tx
 from galley.operators.features import DOC
-from galley.scan import prev, running_sum, scan
+from galley.scan import following, prev, running_sum, scan
 from galley.schema import findings
+from galley.session import stage
 
 # The dashes that may join a range, and the limit of a plausible range.
 _DASH = r"\-‒–—−"
@@ -24,6 +25,9 @@ SHOWN_NUMBERS = 15
 #: A range expands level by level, so that no array holds more than this many steps (one level more at the top).
 _EXPAND_STEP = 4096
 _EXPAND_LEVELS = 4
+#: Segments per block grow by this many bits a level (hexadecimal digits); ends of ranges need one number beyond a long.
+_LEVEL_BITS = 4
+_WIDE = "decimal(20,0)"
 
 
 def citation_ranges(zoned: DataFrame, starts: DataFrame | None = None, skip: str = "in_title") -> DataFrame:
@@ -68,33 +72,75 @@ def citations(zoned: DataFrame, starts: DataFrame | None = None, skip: str = "in
     return rows.select("doc_id", "idx", "token_no", "raw_token", "part_no", (F.col("n") - F.col("lo")).alias("n_pos"), "n")
 
 
-def first_mentions(cited: DataFrame) -> DataFrame:
-    """First place of every cited number of a manuscript."""
-    place = F.struct("idx", "token_no", "part_no", "n_pos", "raw_token")
-    return cited.groupBy("doc_id", "n").agg(F.min(place).alias("_at")).select("doc_id", "n", "_at.*")
+def first_mentions(ranges: DataFrame) -> DataFrame:
+    """Cited numbers by first mention, in pieces: doc_id, lo, hi, idx, token_no, part_no, raw_token.
+
+    The pieces of a manuscript are disjoint, and all numbers of one have their
+    first mention in the same place. The ends of all ranges cut the numbers into
+    segments, and each segment takes the earliest place of the ranges over it. A
+    range goes to at most 17 blocks of 16, 256, … segments, which hand their
+    earliest place down level by level, so no range is expanded, and the number
+    of levels follows the logarithm of the segments that one range spans.
+    """
+    place = F.struct("idx", "token_no", "part_no", "raw_token")
+    spans = ranges.groupBy("doc_id", "lo", "hi").agg(F.min(place).alias("_at"))
+    spans = stage(
+        spans.select("doc_id", F.col("lo").cast(_WIDE).alias("_lo"), (F.col("hi").cast(_WIDE) + 1).cast(_WIDE).alias("_end"), "_at"), "cited-spans"
+    )
+    cuts = spans.select("doc_id", F.explode(F.array("_lo", "_end")).alias("_cut")).distinct()
+    cuts = stage(
+        scan(cuts, DOC, ["_cut"], ranged=True, _seg=running_sum(F.lit(1)), _next=following(F.col("_cut"))), "segments"
+    )
+    width = F.col("_last") - F.col("_first")
+    covers = (
+        spans.join(cuts.select("doc_id", F.col("_cut").alias("_lo"), F.col("_seg").alias("_first")), ["doc_id", "_lo"])
+        .join(cuts.select("doc_id", F.col("_cut").alias("_end"), F.col("_seg").alias("_last")), ["doc_id", "_end"])
+        .withColumn("_level", F.length(F.hex(width)) - 1)
+        .withColumn("_size", F.expr(f"shiftleft(1L, {_LEVEL_BITS} * _level)"))
+    )
+    whole = F.sequence(F.col("_first"), F.col("_last") - F.col("_size"), F.col("_size"))
+    blocks = covers.select("doc_id", "_level", "_at", F.explode(F.array_append(whole, F.col("_last") - F.col("_size"))).alias("_seg"))
+    blocks = stage(blocks.groupBy("doc_id", "_level", "_seg").agg(F.min("_at").alias("_at")), "segment-blocks")
+    top = blocks.agg(F.max("_level")).first()[0] or 0
+    owned = blocks.where(F.col("_level") == top).drop("_level")
+    for level in range(top - 1, -1, -1):
+        size = 1 << (_LEVEL_BITS * level)
+        parts = F.sequence(F.col("_seg"), F.col("_seg") + F.lit(((1 << _LEVEL_BITS) - 1) * size), F.lit(size).cast("long"))
+        handed = owned.select("doc_id", F.explode(parts).alias("_seg"), "_at")
+        own = blocks.where(F.col("_level") == level).select("doc_id", "_seg", "_at")
+        owned = handed.unionByName(own).groupBy("doc_id", "_seg").agg(F.min("_at").alias("_at"))
+    return owned.join(cuts, ["doc_id", "_seg"]).select(
+        "doc_id", F.col("_cut").cast("long").alias("lo"), (F.col("_next") - 1).cast("long").alias("hi"), "_at.*"
+    )
 
 
-def citation_order(cited: DataFrame) -> DataFrame:
-    """Inversions in the order of first mentions: doc_id, pairs, inversions, shown."""
+def citation_order(mentions: DataFrame) -> DataFrame:
+    """Inversions in the order of first mentions: doc_id, pairs, inversions, shown.
+
+    Numbers rise within a piece, so they fall at the borders of pieces only.
+    """
+    size = F.col("hi").cast(_WIDE) - F.col("lo").cast(_WIDE) + 1
+    few = F.least(size, F.lit(SHOWN_NUMBERS)).cast("long")
     ordered = scan(
-        first_mentions(cited),
+        mentions.withColumn("_few", few),
         DOC,
-        ["idx", "token_no", "part_no", "n_pos"],
-        before=prev(F.col("n")),
-        rank=running_sum(F.lit(1)),
+        ["idx", "token_no", "part_no", "lo"],
+        ranged=True,
+        before=prev(F.col("hi")),
+        rank=running_sum(F.col("_few"), inclusive=False),
     )
-    shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= SHOWN_NUMBERS, F.struct("rank", "n"))))
+    left = F.least(F.col("_few"), F.lit(SHOWN_NUMBERS) - F.col("rank"))
+    numbers = F.when(left > 0, F.struct("rank", F.sequence(F.col("lo"), F.col("lo") + (left - 1)).alias("n")))
+    shown = F.flatten(F.transform(F.sort_array(F.collect_list(numbers)), lambda s: s["n"]))
     return ordered.groupBy("doc_id").agg(
-        (F.count("*") - 1).alias("pairs"),
-        F.sum(F.when(F.col("before") > F.col("n"), 1).otherwise(0)).alias("inversions"),
-        F.concat(
-            F.lit("["), F.array_join(F.transform(shown, lambda s: s["n"].cast("string")), ", "), F.lit("]")
-        ).alias("shown"),
+        (F.sum(size) - 1).cast("double").alias("pairs"),
+        F.sum(F.when(F.col("before") > F.col("lo"), 1).otherwise(0)).alias("inversions"),
+        F.concat(F.lit("["), F.array_join(shown.cast("array<string>"), ", "), F.lit("]")).alias("shown"),
     )
 
 
-def citation_sequence(cited: DataFrame) -> DataFrame:
-    rows = citation_order(cited).where(
+def citation_sequence(mentions: DataFrame) -> DataFrame:
+    rows = citation_order(mentions).where(
         (F.col("pairs") > 0) & (F.col("inversions") / F.col("pairs") >= ORDER_LIMIT)
     )
     return findings(

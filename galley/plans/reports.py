@@ -80,12 +80,12 @@ def common_findings(data: Manuscripts, found: Detection, rules: dict, full: bool
     rows, heads, docs = found.scored, found.headings, found.docs
     bounds = stage(zones.references_range(rows, heads, rules), "references")
     ranges = stage(citations.citation_ranges(rows, bounds), "cited-ranges")
-    cited = stage(citations.citations(rows, bounds), "citations")
+    mentions = stage(citations.first_mentions(ranges), "first-mentions")
     listed = stage(bibliography.in_references(rows, bounds), "sources")
     parts = [structure.structural_heading_malformed(structure.malformed_headings(rows, rules), full)]
     parts += _heading_findings(found, rules)
     if (rules.get("numbering_rules") or {}).get("validate_citation_sequence", True):
-        parts.append(citations.citation_sequence(cited))
+        parts.append(citations.citation_sequence(mentions))
     parts += [
         citations.citation_separators(rows),
         citations.citation_combined(rows),
@@ -100,7 +100,7 @@ def common_findings(data: Manuscripts, found: Detection, rules: dict, full: bool
         bibliography.bib_malformed(listed),
         bibliography.bib_missing(docs, bounds, entries),
         bibliography.bib_numbering_gap(entries),
-        bibliography.citation_without_source(cited, entries),
+        bibliography.citation_without_source(mentions, entries),
         bibliography.source_not_cited(ranges, entries),
         bibliography.bib_incomplete(entries),
     ]

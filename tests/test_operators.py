@@ -88,6 +88,77 @@ def test_citation_range_and_reverse(spark):
     assert [r.n for r in citations.citations(df).orderBy("token_no", "part_no", "n_pos").collect()] == [2, 4, 5]
 
 
+def first_places(ranges):
+    """First place of every number, by walking through the numbers one by one."""
+    found = {}
+    for doc, idx, token, part, lo, hi in sorted(ranges, key=lambda r: r[:4]):
+        for n in range(lo, hi + 1):
+            found.setdefault((doc, n), (idx, token, part))
+    return found
+
+
+def random_ranges(rng, count, top):
+    out = []
+    for _ in range(count):
+        lo = rng.randint(0, top)
+        out.append((rng.randint(1, 2), rng.randint(0, 9), rng.randint(0, 2), rng.randint(0, 2), lo, lo + rng.choice([0, 0, 0, 2, 9, rng.randint(0, top)])))
+    return list({r[:4]: r for r in out}.values())
+
+
+RANGES = "doc_id long, idx int, token_no long, part_no long, lo long, hi long"
+
+
+def with_tokens(spark, ranges):
+    return spark.createDataFrame(ranges, RANGES).withColumn("raw_token", F.concat_ws("-", "idx", "token_no"))
+
+
+def test_first_mentions_equal_walk(spark):
+    for seed, count, top in ((1, 30, 12), (2, 60, 400)):
+        ranges = random_ranges(random.Random(seed), count, top)
+        want = first_places(ranges)
+        pieces = citations.first_mentions(with_tokens(spark, ranges)).collect()
+        got = [((r.doc_id, n), (r.idx, r.token_no, r.part_no)) for r in pieces for n in range(r.lo, r.hi + 1)]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_citation_order_equals_walk(spark):
+    ranges = random_ranges(random.Random(5), 40, 30)
+    want = {}
+    for doc in {r[0] for r in ranges}:
+        numbers = [n for (d, n), at in sorted(first_places(ranges).items(), key=lambda x: (x[1], x[0][1])) if d == doc]
+        falls = sum(a > b for a, b in zip(numbers, numbers[1:]))
+        want[doc] = (len(numbers) - 1, falls, "[" + ", ".join(map(str, numbers[:15])) + "]")
+    got = citations.citation_order(citations.first_mentions(with_tokens(spark, ranges))).collect()
+    assert {r.doc_id: (r.pairs, r.inversions, r.shown) for r in got} == want
+
+
+def test_missing_sources_equal_walk(spark):
+    rng = random.Random(8)
+    ranges = random_ranges(rng, 40, 60)
+    listed = [(1, rng.randint(0, 80)) for _ in range(30)]
+    entries = spark.createDataFrame(listed, "doc_id long, number long")
+    want = [(d, n, *at[:1]) for (d, n), at in first_places(ranges).items() if d == 1 and (d, n) not in set(listed)]
+    runs = bibliography.missing_runs(citations.first_mentions(with_tokens(spark, ranges)), entries).collect()
+    assert sorted((r.doc_id, n, r.idx) for r in runs for n in range(r.lo, r.hi + 1)) == sorted(want)
+
+
+def test_absurd_ranges_are_not_expanded(spark):
+    top = 2**63 - 1
+    ranges = with_tokens(spark, [(1, 0, 0, 0, 5, 5), (1, 1, 0, 0, 0, top), (1, 2, 0, 0, 3, 99999999999999), (2, 0, 0, 0, top, top)])
+    mentions = citations.first_mentions(ranges)
+    pieces = {(r.doc_id, r.lo, r.hi, r.idx) for r in mentions.collect()}
+    assert {p[3] for p in pieces} == {0, 1} and sum(hi - lo + 1 for d, lo, hi, _ in pieces if d == 1) == top + 1
+    order = {r.doc_id: r for r in citations.citation_order(mentions).collect()}
+    assert order[1].shown == "[5, 0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14]" and order[1].inversions == 1
+    assert order[2].pairs == 0
+    entries = spark.createDataFrame([(1, 3), (1, 99999999999999), (2, 1)], "doc_id long, number long")
+    found = bibliography.citation_without_source(mentions, entries).select("description").collect()
+    texts = {r.description for r in found}
+    assert f"Ссылки [100000000000000-{top}] встречаются в тексте, но отсутствуют в списке источников." in texts
+    assert f"Ссылка [{top}] встречается в тексте, но отсутствует в списке источников." in texts
+    assert len(texts) == 8 and not any("[3]" in t for t in texts)
+
+
 def test_long_range_expands_whole(spark):
     df = features.basic_features(manuscript(spark, ["[1-20000]"])).withColumn("in_title", F.lit(False))
     assert citations.citations(df).agg(F.count("*"), F.max("n")).first()[0:2] == (20000, 20000)
