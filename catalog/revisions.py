@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from catalog.core import FINDING, RULES, query
+from catalog.rules_checks import ABOVE
+from galley.operators import body
 from galley.operators import revision as rv
 from galley.plans import reports
 from oracle.base import CHAPTER, NOTWORD, WS, norm, strip
@@ -200,6 +202,39 @@ def _(f):
     return reports.revise(_whole(f), RULES).findings
 
 
+_ROW = "PARTITION BY doc_id ORDER BY new_pos ROWS BETWEEN"
+_PLACED = f"""
+    SELECT doc_id, CAST(idx AS INT) AS idx, CAST(elem_no AS INT) AS elem_no, text, table_follows, next_is_table, added FROM (
+      SELECT doc_id, kind, text, added, count(*) OVER ({_ROW} UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS elem_no,
+        count(*) FILTER (kind = 'p') OVER ({_ROW} UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS idx,
+        coalesce(lead(kind) OVER (PARTITION BY doc_id ORDER BY new_pos) = 'tbl', false) AS table_follows,
+        coalesce(first_value(CASE WHEN kind = 'tbl' OR trim(text) <> '' THEN kind END IGNORE NULLS) OVER ({_ROW} 1 FOLLOWING AND UNBOUNDED FOLLOWING) = 'tbl', false) AS next_is_table
+      FROM (%s)) WHERE kind = 'p'"""
+_PLACED_COLUMNS = "doc_id:l idx:l elem_no:l text:s table_follows:b next_is_table:b added:b"
+_BLANKED = """
+    WITH e AS (SELECT doc_id, elem_no, 'p' AS kind, text, in_title AND NOT is_empty AS quiet, trim(text) = '' AND NOT coalesce(in_title AND NOT is_empty, false) AS blank FROM zone
+      UNION ALL SELECT doc_id, elem_no + 1, 'tbl', NULL, false, false FROM zone WHERE table_follows),
+    n AS (SELECT *, coalesce(lead(blank) OVER (PARTITION BY doc_id ORDER BY elem_no), false) AS blank_next FROM e),
+    a AS (SELECT *, (kind = 'tbl' OR (NOT quiet AND regexp_matches(text, '^\\s*рисунок\\s+\\d+(\\.\\d+)*\\s*[–—\\-]\\s*\\S', 'i'))) AND NOT blank_next AS needs FROM n)
+    SELECT doc_id, elem_no * 2 AS new_pos, kind, text, false AS added FROM a UNION ALL SELECT doc_id, elem_no * 2 + 1, 'p', '', true FROM a WHERE needs"""
+
+
+@query("X9_captions_above", _PLACED_COLUMNS, _PLACED % f"""
+    SELECT k.*, k.moved AND k.text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM paras p WHERE p.doc_id = k.doc_id AND p.elem_no = k.elem_no) AS added FROM ({ABOVE}) k""")
+def _(f):
+    tables = f.paragraphs.where("table_follows")
+    text = F.when(F.col("doc_id") % 6 == 4, F.lit("\n Таблица 1 — Итоги")).otherwise(F.lit("Показатель"))
+    cells = tables.select("doc_id", (F.col("elem_no") + 1).alias("elem_no"), F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), text.alias("text"))
+    placed = body.with_captions_above(f.paragraphs.withColumn("given_idx", F.col("idx")), cells)[0]
+    return placed.withColumn("added", F.col("given_idx").isNull())
+
+
+@query("X9_blanks_after", _PLACED_COLUMNS, _PLACED % _BLANKED)
+def _(f):
+    tables = f.body_elements.where("kind = 'tbl'").select("doc_id", "elem_no")
+    return body.with_blanks_after(f.zoned.withColumn("given_idx", F.col("idx")), tables).withColumn("added", F.col("given_idx").isNull())
+
+
 @query("X10_appendix_title_rows", "doc_id:l label_idx:l idx:l new_text:s", f"""
     SELECT doc_id, idx AS label_idx, CASE WHEN mark THEN i2 ELSE i1 END AS idx,
       CASE WHEN regexp_matches(t, '^\\p{{Ll}}') THEN concat(upper(t[1]), t[2:]) ELSE t END AS new_text FROM (

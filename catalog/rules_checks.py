@@ -297,14 +297,17 @@ _ELEMENTS = """SELECT doc_id, elem_no, 'p' AS kind, text, idx, NULL AS tbl_no, N
 _CAPLINE = r"^(таблица|табл\.)\s+\d+(?:\.\d+)*(?:\s*[:–—-]\s*|\.\s+)\S"
 
 
-@query("K12_caption_above_table", "doc_id:l elem_no:l kind:s text:s new_pos:l moved:b", f"""
+ABOVE = f"""
     WITH e AS (SELECT *, kind = 'p' AND regexp_matches(coalesce(text, ''), '{_CAPLINE}', 'i') AS cap, kind = 'tbl' OR trim(text) <> '' AS solid FROM ({_ELEMENTS})),
     n AS (SELECT *, last_value(CASE WHEN solid THEN {{'no': elem_no, 'cap': cap, 'kind': kind}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY elem_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up,
       first_value(CASE WHEN solid THEN {{'no': elem_no, 'cap': cap}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY elem_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS down FROM e),
     t AS (SELECT *, kind = 'tbl' AND NOT coalesce(up.cap, false) AS free, kind = 'tbl' AND NOT coalesce(up.cap, false) AND coalesce(down.cap, false) AS takes FROM n),
     m AS (SELECT t.*, o.elem_no AS owner FROM t LEFT JOIN t o ON o.takes AND t.cap AND o.doc_id = t.doc_id AND o.elem_no = t.up.no)
     SELECT doc_id, elem_no, kind, text, CASE WHEN owner IS NOT NULL THEN owner * 2 - 1 ELSE elem_no * 2 END AS new_pos, owner IS NOT NULL AS moved FROM m
-    UNION ALL SELECT doc_id, elem_no, 'p', cell_caption, elem_no * 2 - 1, true FROM m WHERE free AND NOT takes AND cell_caption IS NOT NULL""")
+    UNION ALL SELECT doc_id, elem_no, 'p', cell_caption, elem_no * 2 - 1, true FROM m WHERE free AND NOT takes AND cell_caption IS NOT NULL"""
+
+
+@query("K12_caption_above_table", "doc_id:l elem_no:l kind:s text:s new_pos:l moved:b", ABOVE)
 def _(f):
     return captions.move_captions_above(f.body_elements)
 

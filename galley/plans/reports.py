@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import text as tx
 from galley.operators import (
-    appendix, bibliography, captions, citations, features, formulas, headings, layout, revision, structure, tables, zones,
+    appendix, bibliography, body, captions, citations, features, formulas, headings, layout, revision, structure, tables, zones,
 )
 from galley.rules import default_rules
 from galley.schema import PARAGRAPH
@@ -165,16 +165,15 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
     """Rewrite the corpus and report: fixed findings, and checks on the new text.
 
     Order: section titles cleaned, headings normalised and renamed, chapter
-    words dropped, appendix titles raised, captions renumbered, references
-    rewritten, citations, formulas and spaces tidied, blank paragraphs dropped;
-    accepted headings get the style and outline level of their level, and other
-    paragraphs lose theirs. References are checked on the revised text, heading
-    numbers on the final one.
-
-    Left out: captions below a table are not moved above it, first-level headings
-    get no page break, and tables and figure captions no blank after them.
-    ``move_captions_above``, ``page_break_plan`` and ``one_blank_after_blocks``
-    give these for body elements, but are not applied to the paragraphs here.
+    words dropped, appendix titles raised, table captions moved above their
+    tables, captions renumbered, references rewritten, citations, formulas and
+    spaces tidied, blank paragraphs dropped, one blank set after tables and figure
+    captions; accepted headings get the style and outline level of their level,
+    those of the first level a page break, and other paragraphs lose theirs.
+    References are checked on the revised text, heading numbers on the final one.
+
+    Paragraphs that the revision adds have no ``old_idx``. Captions typed in a
+    table need ``elem_no`` in ``data.cells``; the cells themselves stay as given.
     """
     rules = rules or default_rules()
     given = data.paragraphs
@@ -192,13 +191,17 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
     words = revision.chapter_word_changes(stage(_refreshed(titled), "renamed"))
     titled = stage(_refreshed(structure.apply_text(titled, stage(words, "chapter-words"))), "numbered")
     raised = stage(revision.appendix_title_rows(titled).groupBy("doc_id", "idx").agg(F.min("new_text").alias("new_text")), "appendix-titles")
-    titled = stage(_refreshed(structure.apply_text(titled, raised)), "titled")
+    titled = stage(_refreshed(structure.apply_text(titled, raised)).withColumn("given_idx", F.col("idx")), "titled")
+    titled, table_places = body.with_captions_above(titled, data.cells)
+    titled = stage(_refreshed(titled), "captions-above")
+    heads = stage(_placed(found.headings, titled), "placed-headings")
+    breaks = stage(_placed(revision.page_break_plan(work, headings.may_apply(found.headings)), titled), "page-breaks")
     shown = stage(captions.all_captions(titled, heads, rules, kinds=("figure", "table", "listing")), "captions")
     parts.append(captions.caption_renumbered(shown))
     referable = shown.where("kind <> 'listing'")
     changes, links = captions.rewrite_references(titled.where("NOT in_title"), referable)
     changes = changes.unionByName(shown.select("doc_id", "idx", captions.caption_text().alias("new_text")))
-    equations = formulas.fix_alignment(formulas.formulas(work, heads)).select("doc_id", "idx")
+    equations = _placed(formulas.fix_alignment(formulas.formulas(work, found.headings)).select("doc_id", "idx"), titled)
     plain = zones.listing_code_lines(titled).unionByName(heads.select("doc_id", "idx"))
     tidied = _mark(_mark(titled, stage(equations, "equations"), "_formula"), stage(plain, "untouched"), "_keep")
     tidied = structure.apply_text(tidied, stage(changes, "caption-changes")).withColumn("text", _tidy(F.col("text")))
@@ -209,12 +212,26 @@ def revise(data: Manuscripts, rules: dict | None = None) -> Revision:
             tables.table_mass_bold_removed(data.cells, data.table_pairs),
             tables.long_table_split_warning(data.cells, data.table_pairs),
         ]
-    final = stage(_restyled(revision.drop_empty_paragraphs(tidied), heads), "revised")
+    styled = _restyled(revision.drop_empty_paragraphs(_broken(tidied, breaks)), heads).drop("old_idx")
+    final = body.with_blanks_after(stage(styled, "styled"), table_places)
+    final = stage(_refreshed(final).withColumnRenamed("given_idx", "old_idx"), "revised")
     parts.append(recheck_headings(final.select(*PARAGRAPH), rules))
     revised = final.select(*[c for c in given.columns if c in final.columns], "old_idx")
     return Revision(revised, _union(parts), links, revision.toc_outline(final, rules))
 
 
+def _placed(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``found(doc_id, idx, …)`` of the given paragraphs with ``idx`` in the new order of ``rows``."""
+    new = rows.where("given_idx IS NOT NULL").select("doc_id", F.col("given_idx").alias("idx"), F.col("idx").alias("_new"))
+    return found.join(new, ["doc_id", "idx"]).withColumn("idx", F.col("_new")).select(*found.columns)
+
+
+def _broken(rows: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Page breaks before the paragraphs named in ``breaks(doc_id, idx)``."""
+    marked = _mark(rows, breaks, "_break")
+    return marked.withColumn("has_page_break_before", F.col("has_page_break_before") | F.col("_break")).drop("_break")
+
+
 def _restyled(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Style and outline level as the accepted headings have them, whose ``idx`` is the old place."""
     levels = headings.may_apply(heads).select(F.col("doc_id").alias("_hd"), F.col("idx").alias("_hi"), F.col("level").alias("_level"))
