@@ -11,9 +11,10 @@ Components become floor(scale * x), so scores are whole numbers. Sums are exact:
 in floating point while they stay below 2^53, else in 64-bit integers.
 
 Nulls and odd rows: vectors that are null or hold null or non-finite components
-and rows without an id take no part; rows with equal id count as one, the
-smallest vector; shorter vectors, empty ones included, count as filled up with
-zeros; ties go to the smaller id; fewer than k candidates give all of them; an
+and rows without an id take no part; rows with equal id all count, as queries
+(the k best of all of them together) and as candidates of every other id, equal
+rows as often as they stand there; shorter vectors, empty ones included, count as
+filled up with zeros; ties go to the smaller id; fewer than k candidates give all of them; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -35,12 +36,13 @@ BLOCK_QUERIES = 2048
 _EXACT = 2.0**52
 
 
-def whole_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """vec_id and v (array of long) of the rows that take part."""
+def whole_vectors(rows: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """vec_id and v (array of long) of the rows that take part; of equal rows the first k, as no more can be among k best."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     scaled = F.transform(vector, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long"))
     usable = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(~bad)
-    return usable.select(F.col(key).cast("long").alias("vec_id"), scaled.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    distinct = usable.select(F.col(key).cast("long").alias("vec_id"), scaled.alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -133,7 +135,7 @@ def trees(candidates: DataFrame, shards: int) -> DataFrame:
             "vectors": pa.array([tree.vectors.tobytes()], pa.binary()), "width": pa.array([vectors.shape[1]], pa.int32()),
         })
 
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     return candidates.select("vec_id", "v", shard.alias("shard")).groupBy("shard").applyInArrow(run, _TREE)
 
 
@@ -171,14 +173,14 @@ def _search(queries: DataFrame, forest: DataFrame, blocks: int, first: int, last
 
 def search(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """Per query (ids divisible by ``every``): query_id, rank, vec_id, score of the k best other rows."""
-    vectors = stage(whole_vectors(rows), "vectors")
+    vectors = stage(whole_vectors(rows, k), "vectors")
     total = vectors.count()
     shards = max(1, -(-total // SHARD_VECTORS))
     forest = stage(trees(vectors, shards), "ball-trees")
     asked = vectors.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     queries = asked.select(
-        F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+        F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     )
     first = stage(_search(queries.withColumn("least", F.lit(None).cast("long")), forest, blocks, 0, 0, k), "first-shard")
     # A k-th score is a bound only where the first shard gave k candidates.

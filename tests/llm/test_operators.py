@@ -200,16 +200,17 @@ def test_top_k(spark):
     rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(400)]
     rows += [(i + 1000, rows[5][1]) for i in range(30)] + [(500, None), (600, [1.0, None]), (700, [float("nan")] * 8), (800, [float("inf")])]
     rows += [(900, []), (901, [2.0]), (None, [1.0] * 8), (7, rows[7][1]), (-100, [1e3] * 8)]
+    rows += [(8, [2.0] * 8), (100, [1.0] * 8), (200, rows[200][1])] + [(9, [9e2] * 8)] * 14  # equal ids: other vectors, repeats
     prepare(spark)
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int").repartition(2)
-    held = {}
+    held = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             whole = np.floor(1024 * np.array(v, dtype=np.float32).astype(np.float64)).astype(np.int64)
-            held[i] = np.pad(whole, (0, 8 - len(whole)))
+            held.append((i, np.pad(whole, (0, 8 - len(whole)))))
     want = []
-    for q in (i for i in held if i % 100 == 0):
-        scored = sorted((-int(held[q] @ v), i) for i, v in held.items() if i != q)[:10]
+    for q in sorted({i for i, _ in held if i % 100 == 0}):
+        scored = sorted((-int(asked @ v), i) for own, asked in held if own == q for i, v in held if i != q)[:10]
         want += [repr((q, r + 1, i, -s)) for r, (s, i) in enumerate(scored)]
     import llm.top_k as module
 
