@@ -76,22 +76,56 @@ def _(f):
     return wf.comment_thread(f.comments)
 
 
-_JUDGED = """
+# Who acts on a document of user u, and the states of users from a time on.
+_ACTOR = """CASE WHEN action = 'submit' THEN CASE event_id % 6 WHEN 5 THEN 1000000 + u % 10 WHEN 4 THEN u + 1 ELSE u END
+    ELSE CASE event_id % 6 WHEN 0 THEN u WHEN 1 THEN 1000009 WHEN 2 THEN 1000000 + (u + 1) % 10 ELSE 1000000 + u % 10 END END"""
+_CHANGED = {
+    "user_id": "CASE WHEN event_type = 'view' THEN o_custkey ELSE 1000000 + event_id % 10 END",
+    "at": "CAST(ts AS TIMESTAMP)",
+    "seq": "event_id",
+    "role": "CASE WHEN event_type = 'view' THEN 'student' WHEN event_id % 3 = 0 THEN 'student' WHEN event_id % 3 = 1 THEN 'supervisor' ELSE 'dean' END",
+    "supervisor_id": "CASE WHEN event_type <> 'view' OR event_id % 3 = 0 THEN NULL ELSE 1000000 + (o_custkey + event_id % 3 - 1) % 10 END",
+}
+_CHANGES = "event_type = 'view' AND event_id % 5 = 0 OR event_type = 'click' AND event_id % 40 < 10"
+
+
+_JUDGED = f"""
     SELECT *, CASE WHEN form IS NOT NULL THEN form WHEN action <> 'submit' AND NOT coalesce(before = 'submit', approval_status = 'pending_review', false) THEN 'not_pending' ELSE 'done' END AS outcome
     FROM (SELECT *, last_value(CASE WHEN form IS NULL THEN action END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
-      SELECT e.event_id, e.doc_id, e.action, e.decided_at, nullif(e.comment, '') AS comment, s.approval_status,
-        CASE WHEN action = 'submit' AND s.status <> 'done' THEN 'not_processed' WHEN action = 'submit' AND p.supervisor_id IS NULL THEN 'no_supervisor'
-          WHEN action = 'reject' AND e.comment = '' THEN 'comment_required' END AS form
-      FROM verdicts e JOIN submissions s ON e.doc_id = s.doc_id LEFT JOIN people p ON s.user_id = p.user_id WHERE action <> 'comment'))"""
+      SELECT event_id, doc_id, action, decided_at, nullif(comment, '') AS comment, approval_status,
+        CASE WHEN action <> 'submit' AND coalesce(role, 'none') NOT IN ('supervisor', 'dean', 'admin') THEN 'not_staff'
+          WHEN action = 'reject' AND comment = '' THEN 'comment_required'
+          WHEN NOT coalesce(CASE role WHEN 'supervisor' THEN supervisor = actor_id WHEN 'student' THEN u = actor_id ELSE role IN ('dean', 'admin') END, false) THEN 'no_access'
+          WHEN action = 'submit' AND u <> actor_id THEN 'not_owner' WHEN action = 'submit' AND status <> 'done' THEN 'not_processed'
+          WHEN action = 'submit' AND supervisor IS NULL THEN 'no_supervisor' END AS form
+      FROM (SELECT a.*, CASE WHEN ca.user_id IS NOT NULL THEN ca.role ELSE pa.role END AS role,
+          CASE WHEN co.user_id IS NOT NULL THEN co.supervisor_id ELSE po.supervisor_id END AS supervisor
+        FROM (SELECT *, {_ACTOR} AS actor_id FROM (
+          SELECT e.*, s.user_id AS u, s.status, s.approval_status FROM verdicts e JOIN submissions s ON e.doc_id = s.doc_id WHERE action <> 'comment')) a
+        LEFT JOIN people pa ON pa.user_id = a.actor_id LEFT JOIN people po ON po.user_id = a.u
+        ASOF LEFT JOIN (SELECT {", ".join(f"{v} AS {k}" for k, v in _CHANGED.items())} FROM events e JOIN orders o ON e.user_id = o.o_orderkey WHERE {_CHANGES}) ca
+          ON ca.user_id = a.actor_id AND a.decided_at >= ca.at
+        ASOF LEFT JOIN (SELECT {", ".join(f"{v} AS {k}" for k, v in _CHANGED.items())} FROM events e JOIN orders o ON e.user_id = o.o_orderkey WHERE {_CHANGES}) co
+          ON co.user_id = a.u AND a.decided_at >= co.at)))"""
+
+
+def _judge(f):
+    from galley.fixtures import table
+    owners = f.submissions.select("doc_id", F.col("user_id").alias("u"))
+    events = f.decisions.join(owners, "doc_id").withColumn("actor_id", F.expr(_ACTOR)).drop("u")
+    orders = table(f.spark, f.dir, "orders").select(F.col("o_orderkey").alias("user_id"), "o_custkey")
+    logged = table(f.spark, f.dir, "events").where(_CHANGES).join(orders, "user_id")
+    changes = logged.selectExpr(*[f"{v} AS {k}" for k, v in _CHANGED.items()])
+    return wf.judge_decisions(events, f.submissions, f.users, changes)
 
 
 def _judged(f):
-    return f._written("judged", lambda: wf.judge_decisions(f.decisions, f.submissions, f.users))
+    return f._written("judged", lambda: _judge(f))
 
 
 @query("W8_apply_decisions", "event_id:l doc_id:l action:s outcome:s", _JUDGED)
 def _(f):
-    return wf.judge_decisions(f.decisions, f.submissions, f.users)
+    return _judge(f)
 
 
 @query("W8_approval_state", "doc_id:l approval_status:s approval_comment:s approval_decided_at:t", f"""

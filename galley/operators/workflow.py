@@ -9,6 +9,7 @@ from galley.functions import text as tx
 from galley.operators.labels import CHOICE_TYPES, FIXED_ANCHOR_TYPES
 from galley.operators.revision import NEEDS_ORIGINAL, REVERTABLE
 from galley.scan import prev, scan
+from galley.session import stage
 
 SNAPSHOT_LIMIT = 30
 ANCHOR_WINDOW = 20
@@ -96,22 +97,63 @@ def comment_thread(comments: DataFrame, doc_id: int | None = None) -> DataFrame:
     return rows.orderBy("doc_id", "created_at")
 
 
-def judge_decisions(events: DataFrame, docs: DataFrame, users: DataFrame) -> DataFrame:
+def states_at(asked: DataFrame, users: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """Role and supervisor of users at given times: ``asked(who, at)`` gives who, at, role, supervisor.
+
+    ``changes(user_id, at, seq, role, supervisor_id)``: what holds from a time on;
+    before the first change ``users`` holds. A user that neither names has no role.
+    """
+    asked = asked.where("who IS NOT NULL").distinct()
+    stored = users.select(F.col("user_id").alias("who"), F.struct("role", "supervisor_id").alias("_stored"))
+    if changes is None:
+        rows = asked.withColumn("_now", F.lit(None).cast("struct<role: string, supervisor_id: bigint>"))
+    else:
+        known = changes.select(
+            F.col("user_id").alias("who"), "at", F.lit(0).alias("_asked"), "seq",
+            F.struct("role", F.col("supervisor_id").cast("long").alias("supervisor_id")).alias("_state"),
+        )
+        timeline = known.unionByName(asked.withColumn("_asked", F.lit(1)), allowMissingColumns=True)
+        rows = scan(timeline, ["who"], ["at", "_asked", "seq"], ranged=True, _now=prev(F.col("_state"))).where("_asked = 1")
+    state = F.coalesce("_now", "_stored")
+    return rows.join(stored, "who", "left").select("who", "at", state["role"].alias("role"), state["supervisor_id"].alias("supervisor"))
+
+
+def judge_decisions(events: DataFrame, docs: DataFrame, users: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Each workflow event with ``outcome``: done, or why it was refused.
 
+    ``events(event_id, doc_id, action, actor_id, comment, decided_at)``. Only the
+    owner submits, a processed document and with a supervisor; only staff who may
+    see the document decide: the owner's supervisor, deans and admins. Roles and
+    supervisors count as they were at the event (``changes``, see ``states_at``).
+
     A decision counts only on a pending document, so it must directly follow a
     submission (or come first on a document that is pending already); a refused
     decision changes nothing, hence the previous well-formed event decides.
     """
-    owners = users.select("user_id", "supervisor_id")
     rows = events.where(F.col("action").isin("submit", "approve", "reject")).join(
         docs.select("doc_id", "user_id", "status", "approval_status"), "doc_id"
-    ).join(owners, "user_id", "left")
+    )
+    asked = [rows.select(F.col(name).alias("who"), F.col("decided_at").alias("at")) for name in ("user_id", "actor_id")]
+    states = stage(states_at(asked[0].unionByName(asked[1]), users, changes), "states-at")
+    for name, part in (("user_id", "owner"), ("actor_id", "actor")):
+        state = states.select(
+            F.col("who").alias(name), F.col("at").alias("decided_at"), F.struct("role", "supervisor").alias(f"_{part}")
+        )
+        rows = rows.join(state, [name, "decided_at"], "left")
+    owner, actor = F.col("user_id"), F.col("actor_id")
+    role, supervisor = F.col("_actor.role"), F.col("_owner.supervisor")
+    sees = tx.is_true(
+        F.when(role == "supervisor", supervisor == actor).when(role == "student", owner == actor).otherwise(role.isin("dean", "admin"))
+    )
     comment = F.nullif(tx.strip_blank(F.coalesce("comment", F.lit(""))), F.lit(""))
+    submits = F.col("action") == "submit"
     form = (
-        F.when((F.col("action") == "submit") & (F.col("status") != "done"), "not_processed")
-        .when((F.col("action") == "submit") & F.col("supervisor_id").isNull(), "no_supervisor")
+        F.when(~submits & ~tx.is_true(role.isin(*STAFF)), "not_staff")
         .when((F.col("action") == "reject") & F.col("comment").isNull(), "comment_required")
+        .when(~sees, "no_access")
+        .when(submits & (owner != actor), "not_owner")
+        .when(submits & (F.col("status") != "done"), "not_processed")
+        .when(submits & supervisor.isNull(), "no_supervisor")
     )
     rows = rows.withColumn("comment", comment).withColumn("_form", form)
     rows = scan(
