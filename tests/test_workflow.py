@@ -49,3 +49,21 @@ def test_guards_without_changes(spark):
 def test_no_events(spark):
     events, docs, users, changes = tables(spark)
     assert wf.judge_decisions(events.limit(0), docs, users, changes).isEmpty()
+
+
+def test_anchors_by_place_window_and_title(spark):
+    lines = [(1, i, f"раздел номер {i} о методах", True, False) for i in range(100)] + [(1, 100, "введение", True, False), (1, 101, "оглавление работы", True, True)]
+    asked = [
+        ("same", 1, 5, "раздел номер 5 о методах"), ("near", 1, 30, "раздел номер 12 о методах"), ("edge", 1, 32, "номер 12 о методах"),
+        ("far", 1, 3, "номер 77 о методах"), ("first", 1, 60, "раздел номер 1"), ("short", 1, 7, "введение"), ("none", 1, 9, "нет такого заголовка"),
+        ("blank", 1, None, "введение"), ("untitled", 1, 4, None), ("gone", 2, 4, "введение"), ("contents", 1, 101, "оглавление работы"),
+    ]
+    frames = (
+        spark.createDataFrame(lines, "doc_id long, idx int, norm string, has_outline boolean, is_contents boolean"),
+        spark.createDataFrame(asked, "finding_id string, doc_id long, paragraph_index int, section_title string"),
+    )
+    found = wf.relocate_anchors(*frames)
+    assert {r.finding_id: r.target for r in found.collect()} == {
+        "same": 5, "near": 12, "edge": 12, "far": 77, "first": 1, "short": 100, "none": 9, "blank": None, "untitled": 4, "gone": None, "contents": None,
+    }
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
