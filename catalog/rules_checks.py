@@ -366,12 +366,12 @@ def _(f):
 
 
 def _equations(f):
-    return f._written("equations", lambda: formulas.formulas(f.zoned, f.headings))
+    return f._written("equations", lambda: formulas.formulas(f.features, f.headings, f.marks))
 
 
 @query("M1_formulas", "doc_id:l idx:l number:s text:s has_tab:b explained:b", "SELECT doc_id, idx, number, text, has_tab, explained FROM equations")
 def _(f):
-    return formulas.formulas(f.zoned, f.headings)
+    return formulas.formulas(f.features, f.headings, f.marks)
 
 
 @query("M2_formula_number_not_right", FINDING, _finding("formula_number_not_right", "warning", "auto_fixed", "idx", "text",

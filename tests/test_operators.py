@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from galley.operators import bibliography, captions, citations, features, quality, revision, tables
+from galley.functions import text as tx
+from galley.operators import bibliography, captions, citations, features, formulas, headings, quality, revision, tables, zones
 from galley.operators.labels import TYPE_CATEGORIES
 from galley.plans import reports
 from galley.rules import default_rules
@@ -239,3 +240,58 @@ def test_pieces_of_lines_travel_without_their_text(spark):
     assert pieces.columns == ["doc_id", "page_no", "line_no", "_key"]
     assert "введение" in {r._key for r in pieces.collect()}
 
+
+
+def _small_corpus(spark):
+    texts = [
+        "Содержание", "1 Первая глава ........ 3", "ВВЕДЕНИЕ", "1 Первая глава", "Текст, текст, текст и ещё текст. " * 5, "1.1 Раздел",
+        "y = ax (1)", "", "где x — число", "2 Вторая глава:", "Итог:", "y = b", "3", "Глава 4. Итоги", "- пункт;", "2 Вторая глава", "ЗАКЛЮЧЕНИЕ",
+        "Список литературы", "1. Автор А. А. Работа", "ПРИЛОЖЕНИЕ А", "Таблица 1 — Итоги",
+    ]
+    data = [
+        (d, i, t, "center" if (d + i) % 3 == 0 else "left", (i * 3 % 11) / 10, "Heading 1" if (d + i) % 7 == 0 else "toc 1" if (d + i) % 11 == 0 else "Normal",
+         14.0, (d + i) % 8 == 0, i % 2 if (d + i) % 5 == 0 else None, 4 if (d + i) % 5 == 0 else None)
+        for d in range(1, 6) for i, t in enumerate(texts[d % 3:] + texts[: d % 3])
+    ]
+    columns = ("doc_id long, idx int, text string, alignment string, bold_ratio double, style_name string, modal_font_size_pt double, "
+               "in_table boolean, numpr_ilvl int, numpr_num_id int")
+    return features.stored(features.enrich(spark.createDataFrame(data, columns)), "small-corpus")
+
+
+def test_headings_found_among_possible_ones_only_are_those_of_all_scores(spark):
+    corpus = _small_corpus(spark)
+    scored = features.stored(headings.score(corpus, RULES), "small-scores")
+    wrong = scored.join(corpus.where(headings.own_reject(RULES)).select("doc_id", "idx"), ["doc_id", "idx"], "left_semi").where("reject IS NULL")
+    assert wrong.count() == 0
+    want = rows(headings.detect(scored))
+    assert want and rows(headings.find(corpus, RULES, scored.select("doc_id", "idx", "in_title", "in_contents", "skip"))) == want
+
+
+def test_formulas_take_zones_from_marks(spark, blocks):
+    corpus = _small_corpus(spark)
+    marks = corpus.select("doc_id", "idx", (F.col("idx") < 3 + F.col("doc_id")).alias("in_title"))
+    heads = corpus.where("idx % 10 = 0").select("doc_id", "idx")
+    want = rows(formulas.formulas(zones.with_marks(corpus, marks), heads))
+    assert want and rows(formulas.formulas(corpus, heads, marks)) == want
+
+
+def test_texts_are_stored_once_and_digests_stand_for_them(spark, monkeypatch):
+    written = {}
+    for module in (features, zones):
+        kept = module.stage
+        monkeypatch.setattr(module, "stage", lambda df, label, kept=kept: written.setdefault(label, kept(df, label)))
+    corpus = _small_corpus(spark)
+    zones.contents_lines(corpus, RULES)
+    assert {"stripped", "norm"}.isdisjoint(written["small-corpus"].columns)
+    assert [f.name for f in written["contents-rows"].schema if f.dataType.simpleString() == "string"] == []
+
+
+def test_short_cuts_in_text_functions_change_nothing(spark):
+    texts = ["a" + c + "b " + d for c in tx._WHITE for d in ("c", "", " c", c)] + ["a b", "", "İΣ ß", "abcdefghij", "ABCdefghij K", "Abcdefghijk", "АБВ", "1 ǅ", "a\nbc def ghij k"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.trim(tx.lower(F.regexp_replace(t, tx._WHITE_RUN, " ")))
+    small = F.length(F.regexp_replace(t, r"\P{Ll}+", "")) >= 10
+    upper = t.rlike(r"\p{Lu}") & ~t.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")
+    wrong = df.where((tx.norm_text(t) != plain) | (t.rlike(zones._TEN_SMALL) != small) | (tx.letters_all_upper(t) != upper))
+    assert rows(wrong) == []
