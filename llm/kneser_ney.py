@@ -1,22 +1,21 @@
 """Language-model scores by an interpolated modified Kneser-Ney model of any order from 2 on.
 
-Counting. Workers hash words to 64 bits and reduce a portion of text to its
-distinct n-grams of the highest order and its words, packed per shard; a shard adds
-up what all portions send. N-grams are sharded by history, frequent histories also by
-a few bits of the word, so that they are split. From each order to the next lower one
-goes on how many different words stand before an n-gram; that is its count there.
-What a word needs from all bigrams (how often followed, by how many words once, twice,
-more often; by how many words preceded) goes on to the shard of the word; longer
-histories keep these figures in their n-grams' shard, and the bounded number of
-frequent ones is added up by the driver.
-
-The model is sorted hash arrays, one row per shard: n-grams of each order with
-counts, and words with their counts and probabilities.
-
-Scoring. Documents come in groups of bounded size. A group asks the shards for
-its distinct n-grams and words; a shard's arrays are written to an unnamed
-temporary file, memory-mapped and answered by binary search; the group then adds
-up the log probabilities of its texts. No worker ever holds the whole model.
+Portions. Workers hash words to 64 bits and keep a portion of text as its distinct
+words and, per token, the place of its word among them. The shards of words count
+each word and number it, frequent words first, so that all that follows are small
+numbers; from here on no text is read.
+
+Counting and asking are one step. A portion sends its distinct n-grams of the highest
+order, with their counts in the texts to learn from, to the shards of their histories;
+frequent histories are also split by their word. A shard adds up what all portions
+send and answers each with the counts of its n-grams and the figures of its histories
+(how often followed, by how many words once, twice, more often). To the shards of the
+next lower order it passes how many different words stand before an n-gram; that is
+its count there. So no table of n-grams is written, and none travels twice. The figures
+of the bounded number of frequent histories are added up by the driver.
+
+Scoring. Portions meet their answers and add up the log probabilities of their
+texts. No worker ever holds the whole model.
 
     p(w|uv) = (c(uvw) - D(c(uvw))) / c(uv) + g(uv) p(w|v)
     p(w|v)  = (n(vw) - D'(n(vw))) / n(v) + g(v) p(w)
@@ -34,8 +33,8 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +46,14 @@ from llm.common import discard, short_lived_shuffles, stage, stage_split, text_c
 
 #: Order of the registered query.
 ORDER = 3
-#: Bytes of text that one task of a shard or group stands for, and that workers hash at a time.
-PORTION = 1 << 22
-WORD_PORTION = 1 << 24
+#: Bytes of text of a portion, and those that a shard of n-grams and one of words stand for.
+PORTION = 1 << 23
+SHARD = 1 << 23
+WORD_SHARD = 1 << 24
+#: Bytes that workers hash at a time.
 BYTES_AT_ONCE = 1 << 22
 #: Histories with more than this share of a sample of the texts are split over so many shards. The sample
-#: (texts by hash) only decides where rows go; all counts are over all rows.
+#: (texts by their place) only decides where rows go; all counts are over all rows.
 HOT_SHARE = 1 / 2000
 HOT_SAMPLE = 64
 SPLIT = np.uint64(64)
@@ -60,10 +61,10 @@ SPLIT = np.uint64(64)
 _BASE = 0xD6E8FEB86659FD93
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 END = np.uint64(0x5851F42D4C957F2D)
-START = np.uint64(0x14057B7EF767814F)
-_LOW48, _LOW40 = np.uint64((1 << 48) - 1), np.uint64((1 << 40) - 1)
-#: Kind of the rows of words; those of n-grams have n.
-WORD = 1
+#: Number of the start mark; those of words follow.
+START = 0
+#: Kinds of the rows that a step gives.
+ANSWER, PASSED, TALLY = 0, 1, 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -112,238 +113,345 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, words + 1
 
 
-def _histories(tokens: np.ndarray, counts: np.ndarray, first: np.uint64 = START) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.cumsum(counts) - counts] = first
-    return out
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mixed(u * np.uint64(0x9E3779B97F4A7C15) ^ w)
 
 
-def _contexts(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """Histories (48 bits) of one word, two words, and so on, of every token."""
-    start = START >> np.uint64(16)
-    before = _histories(tokens >> np.uint64(16), counts, start)
-    out = [before]
-    for _ in range(order - 2):
-        before = _histories(before, counts, start)
-        out.append(_pair(out[-1], before) >> np.uint64(16))
-    return out
+def _dump(value) -> bytes:
+    """Arrays in one value; most of their bytes are small numbers, which shrink well."""
+    return zstandard.compress(pickle.dumps(value, 5), 1)
 
 
-def _text_parts(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= BYTES_AT_ONCE:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _load(blob: bytes):
+    return pickle.loads(zstandard.decompress(blob))
 
 
-def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _mixed(u * np.uint64(0x9E3779B97F4A7C15) ^ w)
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order and their places, equal ones in the order of places; sorted as one number each where both fit."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort(keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _shard_of_pair(u: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    part = np.where(np.isin(u, hot), w % SPLIT, np.uint64(0))
-    return (_mixed(u * SPLIT + part) % np.uint64(shards)).astype(np.int64)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, the first place of each, and the place of each number among them."""
+    keys, order = _sorted(keys)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[new], order[new], place
 
 
-def frequent(texts: DataFrame, order: int) -> np.ndarray:
-    """Histories (48 bits) that hold a large share of a sample's tokens; at most 1 / ``HOT_SHARE`` of each length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _text_parts(t.as_py().encode() for t in batch.column(0)):
-                tokens, counts = token_hashes(part)
-                for length, found in enumerate(_contexts(tokens, counts, order), 1):
-                    found = np.append(found, tokens >> np.uint64(16)) if length == 1 else found
-                    words, number = np.unique(found, return_counts=True)
-                    large = number > HOT_SHARE * number.sum() / 4
-                    columns = [pa.array(words[large].astype(np.int64)), pa.array(number[large]), pa.array(np.full(large.sum(), len(tokens)))]
-                    yield pa.RecordBatch.from_arrays(columns, ["word", "n", "total"])
+def _by(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each shard, in their order."""
+    shards, order = _sorted(shards)
+    heads = np.flatnonzero(np.diff(shards.astype(np.int64), prepend=-1))
+    for a, b in zip(heads, np.append(heads[1:], len(order))):
+        yield int(shards[a]), order[a:b]
 
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text")
-    found = sample.mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.max(F.col("n") / F.col("total")).alias("share"))
-    rows = found.where(F.col("share") > HOT_SHARE).orderBy(F.col("share").desc(), "word").limit((order - 1) * int(1 / HOT_SHARE)).collect()
-    starts = [int(h[0]) for h in _contexts(np.array([END]), np.array([1]), order)]
-    return np.unique(np.array([r.word for r in rows] + [*starts, int(END >> np.uint64(16))], dtype=np.uint64))
 
+def _planes(x: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers as planes of their bytes, as many as the largest needs."""
+    x = np.ascontiguousarray(x, dtype="<u8")
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return len(x), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def _dump(value) -> bytes:
-    """Arrays in one value; most of their bytes are small numbers, which shrink well."""
-    return zstandard.compress(pickle.dumps(value, 5), 1)
 
+def _numbers(planes: tuple[int, bytes]) -> np.ndarray:
+    size, data = planes
+    out = np.zeros((size, 8), dtype=np.uint8)
+    if data:
+        out[:, : len(data) // size] = np.frombuffer(data, dtype=np.uint8).reshape(-1, size).T
+    return out.reshape(-1).view("<u8")
 
-def _load(blob: bytes):
-    return pickle.loads(zstandard.decompress(blob))
 
+def _table(names_kinds: dict, rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(names_kinds)
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, names_kinds.values())], names=list(names_kinds))
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Counts in the fewest bytes that hold them."""
-    most = int(counts.max(initial=0))
-    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
+_LONG, _BLOB = pa.int64(), pa.binary()
+_SENT = {"shard": _LONG, "g": _LONG, "blob": _BLOB}
+_SENT_SCHEMA = "shard long, g long, blob binary"
+_GIVEN = {"kind": pa.int32(), **_SENT, "figures": pa.list_(_LONG)}
+_GIVEN_SCHEMA = f"kind int, {_SENT_SCHEMA}, figures array<long>"
 
-def _steps(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, in four bytes each where these suffice."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.astype(np.uint32) if steps.max(initial=0) < 1 << 32 else steps
 
+def _portions(docs: DataFrame) -> DataFrame:
+    """Portions of the rows ``(doc_id, held_out, train, asked, text)``: their number, bytes of text, and one value with words and tokens."""
 
-def _keys(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        ids, held, train, asked, texts = zip(*rows)
+        tokens, counts = token_hashes(list(texts))
+        words, _, place = _distinct(tokens)
+        # Frequent words get small places, which shrink better.
+        order = np.argsort(-np.bincount(place), kind="stable")
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        words, place = words[order], rank[place]
+        learnt = np.bincount(place[np.repeat(np.array(train, dtype=bool), counts)], minlength=len(words))
+        blob = _dump((ids, held, np.array(train, dtype=bool), any(asked), _planes(counts), _planes(place), words, _planes(learnt)))
+        return pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))], _LONG), pa.array([blob], _BLOB)], ["size", "blob"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((*row, text.encode()))
+                size += len(rows[-1][-1])
+                if size >= PORTION:
+                    yield packed(rows)
+                    rows, size = [], 0
+        if rows:
+            yield packed(rows)
 
-def _shard_of_word(top: np.ndarray, shards: int) -> np.ndarray:
-    return (top % np.uint64(shards)).astype(np.int64)
+    rows = docs.select("doc_id", "held_out", "train", "asked", "text").mapInArrow(run, "size long, blob binary")
+    return rows.withColumn("g", F.monotonically_increasing_id())
 
 
-def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number of up to 48 bits in six bytes."""
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16)
+def _numbered(portions: DataFrame, shards: int) -> DataFrame:
+    """For every portion and shard of words, the words' numbers and counts; once a shard, how many tokens and words there are to learn from."""
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "blob"))):
+                *_, words, learnt = _load(blob)
+                learnt = _numbers(learnt)
+                rows = [(s, g, _dump((words[at], _planes(learnt[at])))) for s, at in _by((words % np.uint64(shards)).astype(np.int64))]
+                yield from _table(_SENT, rows).to_batches()
 
-def _joined(parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return parts[0].astype(np.uint64) | parts[1].astype(np.uint64) << np.uint64(32)
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        parts = [_load(b) for b in table.column("blob").to_pylist()]
+        words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([_numbers(p[1]) for p in parts])).astype(np.int64)
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[np.lexsort((words, -count))] = np.arange(len(words))
+        number = rank * shards + shard + 1
+        rows = [(TALLY, shard, None, None, [int(count.sum()), int((count > 0).sum())])]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        for g, end, part in zip(table.column("g").to_pylist(), ends, parts):
+            at = place[end - len(part[0]) : end]
+            rows.append((ANSWER, shard, g, _dump((_planes(number[at]), _planes(count[at]))), None))
+        return _table(_GIVEN, rows)
 
+    return portions.select("g", "blob").mapInArrow(sent, _SENT_SCHEMA).groupBy("shard").applyInArrow(run, _GIVEN_SCHEMA)
 
-def _by(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of each shard, in their order."""
-    order = np.argsort(shards, kind="stable")
-    heads = np.flatnonzero(np.diff(shards[order], prepend=-1))
-    for a, b in zip(heads, np.append(heads[1:], len(order))):
-        yield int(shards[order[a]]), order[a:b]
 
+def _coded(portions: DataFrame, numbered: DataFrame, shards: int) -> DataFrame:
+    """Portions with the numbers and counts of their words, which are put in the order of the numbers."""
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of the values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[heads], *[np.add.reduceat(v[order], heads) if len(keys) else v[:0] for v in values]
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table({"g": _LONG, "blob": _BLOB}, [])
+        *docs, place, words, _ = _load(table.column("blob")[0].as_py())
+        number, count = np.zeros(len(words), dtype=np.uint64), np.zeros(len(words), dtype=np.uint64)
+        replies = dict(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist()))
+        for shard, at in _by((words % np.uint64(shards)).astype(np.int64)):
+            number[at], count[at] = map(_numbers, _load(replies[shard]))
+        order = np.argsort(number)
+        rank = np.empty(len(words), dtype=np.uint64)
+        rank[order] = np.arange(len(words))
+        blob = _dump((*docs, _planes(rank[_numbers(place).astype(np.int64)]), _planes(np.diff(number[order], prepend=np.uint64(0))), _planes(count[order])))
+        return _table({"g": _LONG, "blob": _BLOB}, [(table.column("g")[0].as_py(), blob)])
+
+    rows = numbered.select("shard", "g", "blob")
+    return portions.select("g", "blob").groupBy("g").cogroup(rows.groupBy("g")).applyInArrow(run, "g long, blob binary")
+
+
+class _Portion:
+    """A coded portion: documents, tokens as places among its words, and its distinct n-grams by order."""
+
+    def __init__(self, blob: bytes):
+        self.ids, self.held, self.train, self.asked, counts, tokens, numbers, known = _load(blob)
+        self.counts, self.known = _numbers(counts).astype(np.int64), _numbers(known).astype(np.int64)
+        #: Place 0 is the start mark's.
+        self.tokens = _numbers(tokens).astype(np.int64) + 1
+        self.numbers = np.append(np.uint64(START), np.cumsum(_numbers(numbers), dtype=np.uint64))
+        self.heads = np.cumsum(self.counts) - self.counts
+
+    def grams(self, order: int) -> Iterator[tuple]:
+        """From order 2 on: each token's history and n-gram, and of the distinct n-grams in order the history (by its place) and word,
+        and the columns of numbers of the histories. Place 0 of histories is that of start marks only."""
+        here, columns = self.tokens, [self.numbers]
+        for n in range(2, order + 1):
+            before = np.empty_like(here)
+            before[1:] = here[:-1]
+            before[self.heads] = 0
+            span = len(self.numbers)
+            _, first, here = _distinct(before * span + self.tokens)
+            histories, words = before[first], self.tokens[first]
+            yield n, before, here, histories, words, columns
+            columns = [np.append(np.uint64(START), c) for c in (*(c[histories] for c in columns), self.numbers[words])]
+            here = here + 1
+
+
+def _history(columns: list[np.ndarray]) -> np.ndarray:
+    """Histories, given by the numbers of their words, in 48 bits; only tells where rows go."""
+    out = _mixed(columns[0] + np.uint64(1))
+    for column in columns[1:]:
+        out = _pair(out, column)
+    return out >> np.uint64(16)
+
+
+def _shards(u: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    part = np.where(np.isin(u, hot), w % SPLIT, np.uint64(0))
+    return (_mixed(u * SPLIT + part) % np.uint64(shards)).astype(np.int64)
 
 
-_ROWS = "kind int, shard long, blob binary"
+def frequent(coded: DataFrame, order: int) -> np.ndarray:
+    """Histories (48 bits) that hold a large share of a sample's tokens; at most 1 / ``HOT_SHARE`` of each length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                portion = _Portion(blob.as_py())
+                step = max(1, min(HOT_SAMPLE, len(portion.counts) // 8))
+                sample = np.arange(len(portion.counts)) % step == step // 2
+                chosen = np.repeat(sample, portion.counts)
+                portion.tokens, portion.counts = portion.tokens[chosen], portion.counts[sample]
+                portion.heads = np.cumsum(portion.counts) - portion.counts
+                for _, before, _, _, _, columns in portion.grams(order):
+                    number = np.bincount(before, minlength=len(columns[0]))
+                    large = number > HOT_SHARE * number.sum() / 4
+                    keys = _history([c[large] for c in columns]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(number[large] / max(1, number.sum()))], ["history", "share"])
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else ((), (), ())
-    kinds = (pa.int32(), pa.int64(), pa.binary())
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "shard", "blob"])
+    found = coded.select("blob").mapInArrow(run, "history long, share double").groupBy("history").agg(F.max("share").alias("share"))
+    rows = found.where(F.col("share") > HOT_SHARE).orderBy(F.col("share").desc(), "history").limit((order - 1) * int(1 / HOT_SHARE)).collect()
+    starts = [_history([np.array([START], dtype=np.uint64)] * n)[0] for n in range(1, order)]
+    return np.unique(np.array([*(r.history for r in rows), *starts], dtype=np.uint64))
 
 
-def _heads(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of n-grams by history and word, and where in it each distinct one begins."""
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    return order, np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
+def _packed(histories: list[np.ndarray], w: np.ndarray, number: np.ndarray) -> bytes:
+    """N-grams in the order of their histories, each of which is kept once."""
+    change = np.zeros(len(w), dtype=bool)
+    change[:1] = True
+    for column in histories:
+        change[1:] |= column[1:] != column[:-1]
+    heads = np.flatnonzero(change)
+    first, *others = (c[heads] for c in histories)
+    columns = [np.diff(first, prepend=np.uint64(0)), *others]
+    return _dump(([_planes(c) for c in columns], _planes(np.diff(np.append(heads, len(w)))), _planes(w), _planes(number)))
 
 
-def _distinct(histories: list[np.ndarray], w: np.ndarray, number: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct n-grams of 48-bit histories (the longest last, which tells the others) and words, and their sums of ``number``."""
-    order, heads = _heads(histories[-1], w)
-    first = order[heads]
-    if number is None:
-        sums = np.diff(np.append(heads, len(w)))
-    else:
-        sums = np.add.reduceat(number[order], heads) if len(w) else number[:0]
-    return [h[first] for h in histories], w[first], sums
+def _unpacked(blob: bytes) -> tuple:
+    (first, *others), *rest = _load(blob)
+    return [np.cumsum(_numbers(first), dtype=np.uint64), *map(_numbers, others)], *map(_numbers, rest)
 
 
-def _packed(histories: list[np.ndarray], w: np.ndarray, number: np.ndarray, at: np.ndarray) -> bytes:
-    return _dump(([_split(h[at]) for h in histories], _split(w[at]), _small(number[at])))
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows of numbers as one number each, in the same order."""
+    key = columns[0]
+    for column in columns[1:]:
+        span = int(column.max(initial=0)) + 1
+        if (int(key.max(initial=0)) + 1) * span >= 1 << 64:
+            key = _distinct(key)[2].astype(np.uint64)
+        key = key * np.uint64(span) + column
+    return key
 
 
-def _counted(texts: DataFrame, order: int, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
-    """Distinct n-grams of the highest order and words of portions of text, packed per shard."""
+def _sent(coded: DataFrame, n: int, order: int, shards: int, hot: np.ndarray) -> DataFrame:
+    """The portions' distinct n-grams of order ``n`` by shard, those of the highest order with their counts. A ``g`` below 0 asks nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text_parts(t.as_py().encode() for t in batch.column(0)):
-                tokens, counts = token_hashes(part)
-                rows: list[tuple] = []
-                words, number = np.unique(tokens, return_counts=True)
-                for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-                    rows.append((WORD, shard, _dump((words[at], _small(number[at])))))
-                histories, w, number = _distinct(_contexts(tokens, counts, order), tokens >> np.uint64(16))
-                for shard, at in _by(_shard_of_pair(histories[-1], w, shards, hot)):
-                    rows.append((order, shard, _packed(histories, w, number, at)))
-                yield from _rows(rows).to_batches()
-
-    return texts.select("text").mapInArrow(run, _ROWS)
+            for g, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "blob"))):
+                portion = _Portion(blob)
+                if n < order and not portion.asked:
+                    continue
+                for _, _, here, histories, words, columns in portion.grams(n):
+                    pass
+                learnt = np.repeat(portion.train, portion.counts) if n == order else np.zeros(len(here), dtype=bool)
+                number = np.bincount(here[learnt], minlength=len(words))
+                w, rows = portion.numbers[words], []
+                for shard, at in _by(_shards(_history(columns)[histories], w, shards, hot)):
+                    rows.append((shard, g if portion.asked else -1, _packed([c[histories[at]] for c in columns], w[at], number[at])))
+                    if len(rows) == 256:
+                        yield from _table(_SENT, rows).to_batches()
+                        rows = []
+                yield from _table(_SENT, rows).to_batches()
+
+    return coded.select("g", "blob").mapInArrow(run, _SENT_SCHEMA)
+
+
+def _counted(sent: DataFrame, n: int, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
+    """Per shard the answers to the portions, what the next lower order gets, and tallies: of counts 1 to 4, and the figures of split histories."""
 
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(b) for b in table.column("blob").to_pylist()]
+        columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts))]
+        _, first, history = _distinct(_key(columns))
+        columns = [c[first] for c in columns]
+        owner = np.repeat(history, np.concatenate([p[1] for p in parts]).astype(np.int64))
+        w = np.concatenate([p[2] for p in parts])
+        _, first, place = _distinct(_key([owner.astype(np.uint64), w]))
+        count = np.bincount(place, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
+        owner, w = owner[first], w[first]
+        size = len(columns[0])
+        figures = [np.bincount(owner, weights=count, minlength=size).astype(np.int64)]
+        figures += [np.bincount(owner[x], minlength=size) for x in (count == 1, count == 2, count > 2)]
+        rows: list[tuple] = [(TALLY, -1, None, None, [int((count == i).sum()) for i in range(1, 5)])]
+        keys = _history(columns)
+        for i in np.flatnonzero(np.isin(keys, hot)):
+            rows.append((TALLY, int(keys[i]), None, None, [int(f[i]) for f in figures]))
+        grams = histories = 0
+        for g, part in zip(table.column("g").to_pylist(), parts):
+            of_grams, of_histories = place[grams : grams + len(part[2])], history[histories : histories + len(part[1])]
+            grams, histories = grams + len(of_grams), histories + len(of_histories)
+            if g >= 0:
+                blob = _dump((_planes(count[of_grams]), [_planes(f[of_histories]) for f in figures]))
+                rows.append((ANSWER, table.column("shard")[0].as_py(), g, blob, None))
+        seen = count > 0
+        owner, w = owner[seen], w[seen]
+        if n > 2:
+            lower = [c[owner] for c in columns[1:]]
+            _, first, same = _distinct(_key([*lower, w]))
+            lower, w, number = [c[first] for c in lower], w[first], np.bincount(same)
+            for to, at in _by(_shards(_history(lower), w, shards, hot)):
+                rows.append((PASSED, to, -1, _packed([c[at] for c in lower], w[at], number[at]), None))
+        else:
+            w, number = np.unique(w, return_counts=True)
+            for to, at in _by((w % np.uint64(word_shards)).astype(np.int64)):
+                rows.append((PASSED, to, -1, _dump((_planes(w[at]), _planes(number[at]))), None))
+        return _table(_GIVEN, rows)
+
+    return sent.groupBy("shard").applyInArrow(run, _GIVEN_SCHEMA)
+
+
+def _sent_words(coded: DataFrame, shards: int) -> DataFrame:
+    """The portions' words by shard."""
 
-def _added(counted: DataFrame, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
-    """Per shard of n-grams their sorted array, and what lower orders and words get from them; words summed per shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "blob"))):
+                portion = _Portion(blob)
+                w = portion.numbers[1:] if portion.asked else portion.numbers[:0]
+                rows = [(s, g, _dump((_planes(w[at]), _planes(np.zeros(len(at)))))) for s, at in _by((w % np.uint64(shards)).astype(np.int64))]
+                yield from _table(_SENT, rows).to_batches()
 
-    def run(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        parts = [_load(b) for b in table.column("blob").to_pylist()]
-        if kind == WORD:
-            words, number = (np.concatenate(c) for c in zip(*parts))
-            words, number = _summed(words, number.astype(np.int64))
-            return _rows([(WORD, shard, _dump(("tokens", words, _small(number))))])
-        histories = [np.concatenate([_joined(p[0][i]) for p in parts]) for i in range(kind - 1)]
-        w = np.concatenate([_joined(p[1]) for p in parts])
-        number = np.concatenate([p[2].astype(np.int64) for p in parts])
-        del parts
-        histories, w, number = _distinct(histories, w, number)
-        u = histories[-1]
-        low = _pair(u, w) & _LOW40
-        by_hash = np.argsort(low)
-        tally = np.array([(number == i).sum() for i in range(1, 5)])
-        model = [_steps(low[by_hash]), _small(number[by_hash]), tally]
-        ones = np.ones(len(u), dtype=np.int64)
-        history, *figures = _summed(u, number, (number == 1) * ones, (number == 2) * ones, (number > 2) * ones)
-        if kind > 2:
-            split = np.isin(history, hot)
-            keys, *whole = _summed(history[~split] & _LOW40, *(x[~split] for x in figures))
-            model += [[_steps(keys), *map(_small, whole)], [history[split], *(x[split] for x in figures)]]
-            rows = [(kind, shard, _dump(tuple(model)))]
-            lower, w, preceded = _distinct(histories[:-1], w)
-            for to, at in _by(_shard_of_pair(lower[-1], w, shards, hot)):
-                rows.append((kind - 1, to, _packed(lower, w, preceded, at)))
-            return _rows(rows)
-        rows = [(kind, shard, _dump(tuple(model)))]
-        before, preceded = _summed(w, ones)
-        for to, at in _by(_shard_of_word(before, word_shards)):
-            rows.append((WORD, to, _dump(("before", *_split(before[at]), _small(preceded[at])))))
-        for to, at in _by(_shard_of_word(history, word_shards)):
-            rows.append((WORD, to, _dump(("history", *_split(history[at]), *(_small(x[at]) for x in figures)))))
-        return _rows(rows)
-
-    return counted.groupBy("kind", "shard").applyInArrow(run, _ROWS)
-
-
-_TABLE = "shard long, blob binary, tokens long, words long, tally array<long>"
-
-
-def _word_tables(added: DataFrame) -> DataFrame:
-    """Per word shard: tokens' hashes and counts; words before, and history figures, by the upper 48 bits."""
+    return coded.select("g", "blob").mapInArrow(run, _SENT_SCHEMA)
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_load(b) for b in table.column("blob").to_pylist()]
 
-        def all_of(name: str, width: int) -> list[np.ndarray]:
-            chosen = [p[1:] if name == "tokens" else (_joined(p[1:3]), *p[3:]) for p in parts if p[0] == name]
-            return [np.concatenate([x.astype(np.uint64) for x in c]) for c in zip(*chosen)] if chosen else [np.zeros(0, dtype=np.uint64)] * width
+def _counted_words(sent: DataFrame) -> DataFrame:
+    """Per shard of words the answers (how many different words stand before each), and tallies of counts 1 to 4, over 2, and all."""
 
-        words, number = all_of("tokens", 2)
-        before, preceded = _summed(*all_of("before", 2))
-        history = _summed(*all_of("history", 5))
-        preceded = preceded.astype(np.int64)
-        tally = [int((preceded == i).sum()) for i in range(1, 5)] + [int(preceded.sum())]
-        tally += [int((preceded > 2).sum())]
-        blob = _dump((words, _small(number), before, _small(preceded), [history[0], *map(_small, history[1:])]))
-        return pa.table({
-            "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary()),
-            "tokens": pa.array([int(number.sum())], pa.int64()), "words": pa.array([len(words)], pa.int64()), "tally": pa.array([tally], pa.list_(pa.int64())),
-        })
+    def run(table: pa.Table) -> pa.Table:
+        parts = [tuple(map(_numbers, _load(b))) for b in table.column("blob").to_pylist()]
+        _, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        rows = [(TALLY, -1, None, None, [*(int((count == i).sum()) for i in range(1, 5)), int((count > 2).sum()), int(count.sum())])]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        for g, end, part in zip(table.column("g").to_pylist(), ends, parts):
+            if g >= 0:
+                rows.append((ANSWER, table.column("shard")[0].as_py(), g, _dump(_planes(count[place[end - len(part[0]) : end]])), None))
+        return _table(_GIVEN, rows)
 
-    return added.groupBy("shard").applyInArrow(run, _TABLE)
+    return sent.groupBy("shard").applyInArrow(run, _GIVEN_SCHEMA)
 
 
 def discounts(tally: list[int]) -> list[float]:
@@ -354,257 +462,126 @@ def discounts(tally: list[int]) -> list[float]:
     return [float(min(max(d, 0.1), 0.95 * (i + 1))) for i, d in enumerate(raw)]
 
 
+def _sums(tallies: DataFrame, size: int) -> dict[int, list[int]]:
+    """Tallies added up; bounded: one row, and one per frequent history."""
+    rows = tallies.groupBy("shard").agg(*[F.sum(F.col("figures")[i]) for i in range(size)]).collect()
+    return {r[0]: list(r[1:]) for r in rows}
+
+
+@dataclass
 class Model:
-    """Tables of the shards, and the few numbers that all of them share."""
-
-    def __init__(self, grams: dict[int, DataFrame], words: DataFrame, shards: int, word_shards: int, hot: np.ndarray):
-        self.grams, self.words, self.shards, self.word_shards, self.hot = grams, words, shards, word_shards, hot
-        self.order = max(grams)
-        sums = words.agg(
-            F.sum("tokens").alias("n"), F.sum("words").alias("v"), *[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(6)]
-        ).first()
-        self.tokens, self.types = sums["n"] or 0, sums["v"] or 0
-        self.tally = [sums[f"t{i}"] or 0 for i in range(6)]
-        #: Discounts of n-gram counts by order, and of counts of words before.
-        self.upper: dict[int, list[float]] = {}
-        #: By order from 3 on, the frequent histories, how often they are followed, and what they leave to lower orders.
-        self.split: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in grams:
-            tally, found = self._figures(n)
-            self.upper[n] = discounts(tally)
-            if n > 2:
-                figures = np.array([f for _, f in found], dtype=np.float64).reshape(-1, 4)
-                keys = np.array([h for h, _ in found], dtype=np.uint64)
-                self.split[n] = keys, figures[:, 0], figures[:, 1:] @ np.array(self.upper[n]) / figures[:, 0]
-        self.lower = discounts(self.tally)
-
-    def _figures(self, n: int) -> tuple[list[int], list[tuple[int, list[int]]]]:
-        """How many n-grams are counted 1, 2, 3 and 4 times, and the figures of frequent histories, in order."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column(0):
-                    stored = _load(blob.as_py())
-                    keys, figures = [-1], [stored[2].tolist()]
-                    if n > 2:
-                        keys += stored[4][0].astype(np.int64).tolist()
-                        figures += np.stack(stored[4][1:], axis=1).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(figures, pa.list_(pa.int64()))], ["h", "f"])
-
-        read = self.grams[n].select("blob").mapInArrow(run, "h long, f array<long>")
-        # Bounded: one row, and one per frequent history.
-        sums = read.groupBy("h").agg(*[F.sum(F.col("f")[i]) for i in range(4)]).orderBy("h").collect()
-        found = [(r[0], list(r[1:])) for r in sums]
-        return next((f for h, f in found if h < 0), [0] * 4), [(h, f) for h, f in found if h >= 0]
-
-    def constants(self) -> tuple:
-        n = max(1, self.tally[4])
-        d = self.lower
-        rest = (d[0] * self.tally[0] + d[1] * self.tally[1] + d[2] * self.tally[5]) / n if self.tally[4] else 1.0
-        return self.tokens, self.types, n, rest, tuple(d), tuple(self.upper[2])
+    """A model is given by the texts it learns from and its order; their n-grams are counted together with those that are asked for."""
 
+    texts: DataFrame
+    order: int
 
-def train(docs: DataFrame, order: int = 2) -> Model:
-    texts = docs.select(text_column().cast("string").alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, word_shards = max(32, total // PORTION), max(32, total // WORD_PORTION)
-    hot = frequent(texts, order)
-    grams: dict[int, DataFrame] = {}
-    with short_lived_shuffles(docs.sparkSession):
-        rows, passed = _counted(texts, order, shards, word_shards, hot), []
-        for n in range(order, 1, -1):
-            kinds = [n, n - 1] if n < order or n == 2 else [n, n - 1, WORD]
-            staged = dict(zip(kinds, stage_split(_added(rows, shards, word_shards, hot), "kind", kinds, "lm-counts")))
-            if n < order:
-                discard(rows)
-            grams[n], rows = staged[n].select("shard", "blob"), staged[n - 1]
-            if WORD in staged:
-                passed.append(staged[WORD])
-        words = stage(_word_tables(passed[0] if len(passed) == 1 else passed[0].unionByName(passed[1])), "lm-words")
-    for part in passed:
-        discard(part)
-    return Model(grams, words, shards, word_shards, hot)
-
-
-def _mapped(*arrays: np.ndarray) -> list[np.ndarray]:
-    """The arrays in an unnamed temporary file, memory-mapped; the file goes with the last reference."""
-    with tempfile.TemporaryFile() as file:
-        places = []
-        for array in arrays:
-            places.append(file.tell())
-            file.write(np.ascontiguousarray(array).tobytes())
-        file.flush()
-        return [
-            np.memmap(file, dtype=a.dtype, mode="r", offset=p, shape=a.shape) if a.size else a for a, p in zip(arrays, places)
-        ]
-
-
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key in sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-_ASKED = "kind int, shard long, g long, blob binary"
-_ANSWERS = "g long, kind int, shard long, blob binary"
-
-
-def _distinct_of_group(texts: list[bytes], order: int) -> tuple:
-    """Tokens, their number per text, distinct words, and by n the histories and words of distinct n-grams and each token's place in them."""
-    tokens, counts = token_hashes(texts)
-    words, top = np.unique(np.append(tokens, START)), tokens >> np.uint64(16)
-    grams = {}
-    for n, u in enumerate(_contexts(tokens, counts, order), 2):
-        by, heads = _heads(u, top)
-        place = np.empty(len(top), dtype=np.int64)
-        place[by] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(top))))
-        grams[n] = u[by[heads]], top[by[heads]], place
-    return tokens, counts, words, grams
-
-
-def _ask(docs: DataFrame, model: Model) -> DataFrame:
-    """The distinct n-grams, longer histories and words of every group, packed per shard."""
-    order, shards, word_shards, hot = model.order, model.shards, model.word_shards, model.hot
 
-    def run(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        _, _, words, grams = _distinct_of_group([t.as_py().encode() for t in table.column("text")], order)
-        rows = []
-        for n, (u, w, _) in grams.items():
-            for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
-                low = np.sort(_pair(u[at], w[at]) & _LOW40)
-                rows.append((n, shard, g, _dump((_steps(low), _steps(np.unique(u[at] & _LOW40)) if n > 2 else None))))
-        for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-            rows.append((WORD, shard, g, _dump(words[at])))
-        columns = list(zip(*rows))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "shard", "g", "blob"])
-
-    return docs.select("g", "text").groupBy("g").applyInArrow(run, _ASKED)
-
-
-def _answer(asked: DataFrame, model: Model) -> DataFrame:
-    """Counts of the n-grams, and figures of longer histories and of the words, in the order asked."""
-    _, types, n, rest, d, upper = model.constants()
-    discounts_of = model.upper
-
-    def run(asks: pa.Table, held: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        kinds = asks.column("kind").to_pylist()
-        if not kinds:
-            return _answers(rows)
-        stored = _load(held.column("blob")[0].as_py()) if held.num_rows else None
-        if kinds[0] != WORD:
-            none = np.zeros(0, dtype=np.uint64)
-            keys, number = _mapped(*((_keys(stored[0]), stored[1]) if stored else (none, none)))
-            histories, *figures = _mapped(*((_keys(stored[3][0]), *stored[3][1:]) if stored and kinds[0] > 2 else (none,) * 5))
-            for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
-                wanted, longer = _load(blob)
-                at, there = _found(keys, _keys(wanted))
-                counts = np.where(there, number[at], 0) if len(number) else np.zeros(len(at))
-                reply = (_small(counts),)
-                if longer is not None:
-                    at, there = _found(histories, _keys(longer))
-                    follows, back = np.zeros(len(at), np.uint64), np.ones(len(at), np.float32)
-                    at = at[there]
-                    follows[there] = figures[0][at]
-                    back[there] = sum(figures[i + 1][at] * discounts_of[kinds[0]][i] for i in range(3)) / figures[0][at]
-                    reply += (_small(follows), back)
-                rows.append((g, kinds[0], shard, _dump(reply)))
-            return _answers(rows)
-        if stored:
-            words, number, before, preceded, history = stored
-            words, number, before, preceded, *history = _mapped(words, number, before, preceded, *history)
-        for g, shard, blob in zip(*(asks.column(c).to_pylist() for c in ("g", "shard", "blob"))):
-            wanted = _load(blob)
-            counts, follows, back = np.zeros(len(wanted), np.uint64), np.zeros(len(wanted), np.uint64), np.ones(len(wanted), np.float32)
-            p = np.full(len(wanted), rest / (types + 1))
-            if stored:
-                top = wanted >> np.uint64(16)
-                at, there = _found(words, wanted)
-                counts[there] = number[at[there]]
-                at, there = _found(before, top)
-                left = preceded[at[there]].astype(np.float64)
-                p[there] += (left - np.choose(np.minimum(left.astype(np.int64), 3) - 1, d)) / n
-                at, there = _found(history[0], top)
-                at = at[there]
-                follows[there] = history[1][at]
-                back[there] = sum(history[i + 2][at] * upper[i] for i in range(3)) / history[1][at]
-            rows.append((g, WORD, shard, _dump((_small(counts), _small(follows), back, p.astype(np.float32)))))
-        return _answers(rows)
-
-    tables = model.words.select(F.lit(WORD).alias("kind"), "shard", "blob")
-    for order, grams in model.grams.items():
-        tables = tables.unionByName(grams.select(F.lit(order).alias("kind"), "shard", "blob"))
-    return asked.groupBy("kind", "shard").cogroup(tables.groupBy("kind", "shard")).applyInArrow(run, _ANSWERS)
-
-
-def _answers(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else ((), (), (), ())
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["g", "kind", "shard", "blob"])
+def train(docs: DataFrame, order: int = 2) -> Model:
+    return Model(docs.select(text_column().cast("string").alias("text")), order)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = dict(zip(
+    (c.split()[0] for c in _SCORES.split(", ")), (_LONG, pa.bool_(), _LONG, _LONG, _LONG, pa.float64(), pa.float64())
+))
+
 
+def _scored(coded: DataFrame, answers: DataFrame, order: int, total: int, types: int, tallies: dict, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
+    upper, split = {}, {}
+    for n in range(2, order + 1):
+        upper[n] = discounts(tallies[n].get(-1, [0] * 4))
+        keys = np.array(sorted(k for k in tallies[n] if k >= 0), dtype=np.uint64)
+        split[n] = keys, np.array([tallies[n][int(k)] for k in keys], dtype=np.float64).reshape(-1, 4)
+    *low, more, n_all = tallies[1].get(-1, [0] * 6)
+    lower = discounts(low)
+    rest = (lower[0] * low[0] + lower[1] * low[1] + lower[2] * more) / n_all if n_all else 1.0
 
-def _score(docs: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    total, types = model.tokens, model.types
-    order, upper, split = model.order, model.upper, model.split
-    shards, word_shards, hot = model.shards, model.word_shards, model.hot
+    def cut(count: np.ndarray, by: list[float]) -> np.ndarray:
+        return np.array([0.0, *by])[np.minimum(count, 3).astype(np.int64)]
 
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.table([pa.array([], k) for k in kinds], names=[c.split()[0] for c in _SCORES.split(", ")])
-        tokens, counts, words, grams = _distinct_of_group([t.as_py().encode() for t in table.column("text")], order)
-        known = np.zeros(len(words), np.int64)
-        follows, back, p = np.zeros(len(words)), np.ones(len(words)), np.zeros(len(words))
-        replies = {(k, s): b for k, s, b in zip(*(answered.column(c).to_pylist() for c in ("kind", "shard", "blob")))}
-        for shard, at in _by(_shard_of_word(words >> np.uint64(16), word_shards)):
-            known[at], follows[at], back[at], p[at] = _load(replies[WORD, shard])
-        place = np.searchsorted(words, tokens)
-        held = np.searchsorted(words, _histories(tokens, counts))
-        probability = p[place]
-        for n, (u, w, at_token) in grams.items():
-            number, c_u, g_u = np.zeros(len(u)), np.zeros(len(u)), np.ones(len(u))
-            for shard, at in _by(_shard_of_pair(u, w, shards, hot)):
-                reply = _load(replies[n, shard])
-                number[at[np.argsort(_pair(u[at], w[at]) & _LOW40, kind="stable")]] = reply[0]
-                if n > 2:
-                    _, asked = np.unique(u[at] & _LOW40, return_inverse=True)
-                    c_u[at], g_u[at] = reply[1][asked], reply[2][asked]
-            if n > 2:
-                keys, follow, left = split[n]
-                at, there = _found(keys, u)
-                c_u[there], g_u[there] = follow[at[there]], left[at[there]]
-                c_u, g_u = c_u[at_token], g_u[at_token]
-            else:
-                c_u, g_u = follows[held], back[held]
-            c_uw = number[at_token]
-            cut = np.choose(np.minimum(c_uw.astype(np.int64), 3), (0.0, *upper[n]))
-            probability = np.where(c_u > 0, (c_uw - cut) / np.maximum(c_u, 1), 0.0) + g_u * probability
-        base = np.log10((known[place] + 1) / (total + (types + 1)))
-        heads = np.cumsum(counts) - counts
-        return pa.table({
-            "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(counts.astype(np.int64)),
-            "n_known": pa.array(np.add.reduceat((known[place] > 0).astype(np.int64), heads)), "train_tokens": pa.array(np.full(len(counts), total, dtype=np.int64)),
-            "base_score": pa.array(np.add.reduceat(base, heads)), "score": pa.array(np.add.reduceat(np.log10(probability), heads)),
-        })
-
-    return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, _SCORES)
+        portion = _Portion(table.column("blob")[0].as_py()) if table.num_rows else None
+        if portion is None or not portion.asked:
+            return _table(_SCORED, [])
+        replies = {(k, s): b for k, s, b in zip(*(answered.column(c).to_pylist() for c in ("n", "shard", "blob")))}
+        before = np.zeros(len(portion.numbers) - 1)
+        for shard, at in _by((portion.numbers[1:] % np.uint64(word_shards)).astype(np.int64)):
+            before[at] = _numbers(_load(replies[1, shard]))
+        p = (before - cut(before, lower)) / max(1, n_all) + rest / (types + 1)
+        probability = p[portion.tokens - 1]
+        for n, history, here, histories, words, columns in portion.grams(order):
+            number, figures = np.zeros(len(words)), np.zeros((len(columns[0]), 4))
+            keys = _history(columns)
+            for shard, at in _by(_shards(keys[histories], portion.numbers[words], shards, hot)):
+                counts, of_histories = _load(replies[n, shard])
+                number[at] = _numbers(counts)
+                of = histories[at]
+                figures[of[np.flatnonzero(np.diff(of, prepend=-1))]] = np.stack([_numbers(f) for f in of_histories], axis=1)
+            if len(split[n][0]):
+                place = np.minimum(np.searchsorted(split[n][0], keys), len(split[n][0]) - 1)
+                there = split[n][0][place] == keys
+                figures[there] = split[n][1][place[there]]
+            follows = figures[:, 0]
+            left = np.where(follows > 0, figures[:, 1:] @ np.array(upper[n]) / np.maximum(follows, 1), 1.0)
+            own = (number - cut(number, upper[n])) / np.maximum(follows, 1)[histories]
+            probability = own[here] + left[history] * probability
+        count = portion.known[portion.tokens - 1]
+        base, heads = np.log10((count + 1) / (total + (types + 1))), portion.heads
+        columns = (
+            list(portion.ids), list(portion.held), portion.counts, np.add.reduceat((count > 0).astype(np.int64), heads),
+            np.full(len(heads), total, dtype=np.int64), np.add.reduceat(base, heads), np.add.reduceat(np.log10(probability), heads),
+        )
+        return pa.table([pa.array(c, k) for c, k in zip(columns, _SCORED.values())], names=list(_SCORED))
+
+    return coded.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, _SCORES)
+
+
+def _scores(docs: DataFrame, order: int) -> DataFrame:
+    """Scores of the rows ``(doc_id, held_out, train, asked, text)`` that are asked for, by a model of those to train on."""
+    with short_lived_shuffles(docs.sparkSession):
+        portions = stage(_portions(docs), "lm-portions")
+        total = portions.agg(F.sum("size")).first()[0] or 0
+        shards, word_shards = max(32, total // SHARD), max(32, total // WORD_SHARD)
+        numbered, sizes = stage_split(_numbered(portions, word_shards), "kind", [ANSWER, TALLY], "lm-words")
+        tokens, types = (s or 0 for s in sizes.agg(F.sum(F.col("figures")[0]), F.sum(F.col("figures")[1])).first())
+        coded = stage(_coded(portions, numbered, word_shards), "lm-coded")
+        for table in (portions, numbered, sizes):
+            discard(table)
+        hot, answers, tallies, passed = frequent(coded, order), [], {}, None
+        for n in range(order, 0, -1):
+            sent = _sent(coded, n, order, shards, hot) if n > 1 else _sent_words(coded, word_shards)
+            if passed is not None:
+                sent = sent.unionByName(passed.select("shard", "g", "blob"))
+            given = _counted(sent, n, shards, word_shards, hot) if n > 1 else _counted_words(sent)
+            kinds = [ANSWER, TALLY, PASSED] if n > 1 else [ANSWER, TALLY]
+            answered, tally, *below = stage_split(given, "kind", kinds, "lm-counts")
+            answers.append(answered.select(F.lit(n).alias("n"), "shard", "g", "blob"))
+            tallies[n] = _sums(tally, 4 if n > 1 else 6)
+            for table in [tally] + ([passed] if passed is not None else []):
+                discard(table)
+            passed = below[0] if below else None
+    whole = answers[0]
+    for more in answers[1:]:
+        whole = whole.unionByName(more)
+    return _scored(coded, whole, order, tokens, types, tallies, shards, word_shards, hot)
+
+
+def _rows(docs: DataFrame, held_out: Column, trains: Column) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), trains.alias("train"), F.lit(True).alias("asked"),
+        text_column().cast("string").alias("text"),
+    )
 
 
 def scores(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_column().cast("string").alias("text")
+    none = F.lit(None)
+    learnt = model.texts.select(
+        none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), F.lit(True).alias("train"), F.lit(False).alias("asked"), "text"
     )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(32, total // PORTION)
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    with short_lived_shuffles(docs.sparkSession):
-        answers = stage(_answer(_ask(rows, model), model), "lm-answers")
-    return _score(rows, answers, model)
+    return _scores(_rows(docs, held_out, F.lit(False)).unionByName(learnt), model.order)
+
+
+def split_scores(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
+    """What ``scores`` gives by a model of the rows that are not held out; these are counted and asked for at once."""
+    return _scores(_rows(docs, held_out, ~F.coalesce(held_out, F.lit(False))), order)

@@ -59,8 +59,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = documents(spark, sf_dir), crc_mod(7) == 2
-    return kneser_ney.scores(docs, kneser_ney.train(docs.where(~held_out), kneser_ney.ORDER), held_out)
+    return kneser_ney.split_scores(documents(spark, sf_dir), crc_mod(7) == 2, kneser_ney.ORDER)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

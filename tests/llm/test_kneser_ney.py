@@ -146,3 +146,44 @@ def test_the_registered_query_is_of_order_three(spark):
     assert kneser_ney.ORDER >= 3
     empty = spark.createDataFrame([], FIELDS)
     assert kneser_ney.train(empty, kneser_ney.ORDER).order == kneser_ney.ORDER
+
+
+def _zipf(rows, seed=5):
+    random.seed(seed)
+    return [(i, " ".join(f"w{int(random.paretovariate(0.8))}" for _ in range(random.randint(0, 400)))) for i in range(rows)]
+
+
+def test_counting_and_asking_at_once_gives_the_scores_of_the_model(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([*_zipf(60), (None, None), (7, "w1 w2 new")], "doc_id long, text string").repartition(3)
+    held_out = crc_mod(7) == 2
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
+    at_once = sorted(map(tuple, kneser_ney.split_scores(docs, held_out, 3).collect()), key=key)
+    model = kneser_ney.train(docs.where(~held_out), 3)
+    apart = sorted(map(tuple, kneser_ney.scores(docs, model, held_out).collect()), key=key)
+    assert len(at_once) == len(apart) == 62
+    for a, b in zip(at_once, apart):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
+
+
+def test_an_ngram_is_sent_in_few_bytes(spark):
+    """Three 48-bit hashes and a count took 19."""
+    prepare(spark)
+    docs = spark.createDataFrame(_zipf(400), "doc_id long, text string").coalesce(1)
+    rows = docs.selectExpr("doc_id", "false AS held_out", "true AS train", "true AS asked", "text")
+    portions = kneser_ney._portions(rows).localCheckpoint()
+    numbered = kneser_ney._numbered(portions, 2).where(F.col("kind") == kneser_ney.ANSWER)
+    coded = kneser_ney._coded(portions, numbered, 2)
+    sent = kneser_ney._sent(coded, 3, 3, 2, kneser_ney.frequent(coded, 3)).collect()
+    assert sum(len(r.blob) for r in sent) < 8 * sum(len(kneser_ney._unpacked(r.blob)[2]) for r in sent)
+
+
+def test_numbers_too_large_for_one_sort_are_told_apart():
+    import numpy as np
+
+    x = np.array([1 << 63, 5, (1 << 63) + 1, 5, 1 << 63], dtype=np.uint64)
+    keys, first, place = kneser_ney._distinct(x)
+    assert keys.tolist() == [5, 1 << 63, (1 << 63) + 1] and first.tolist() == [1, 0, 2] and keys[place].tolist() == x.tolist()
+    rows = [np.array([1 << 40, 3, 1 << 40, 3], dtype=np.uint64), np.array([2, 1 << 41, 2, 0], dtype=np.uint64)]
+    assert kneser_ney._distinct(kneser_ney._key(rows))[2].tolist() == [2, 1, 2, 0]
+    assert kneser_ney._numbers(kneser_ney._planes(x)).tolist() == x.tolist()
