@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from galley.operators import body
+from galley.operators import body, captions, structure
 from galley.plans import reports
 from galley.rules import default_rules
 from galley.schema import conform
@@ -75,3 +75,20 @@ def test_revise_orders_the_body(spark):
     assert {"1 Методы исследования", "2 Результаты работы"} <= breaks and "Вывод." not in breaks
     assert [r.idx for r in revised] == list(range(len(revised)))
     assert [r.old_idx for r in revised if r.old_idx is not None] == sorted(set(range(12)) - {2})
+
+
+def test_captions_are_numbered_without_reading_the_texts_again(spark):
+    layout = ["1 Методы", "Рисунок 4 — Схема", "Текст.", "ПРИЛОЖЕНИЕ А", "Листинг 3 — Код", "def f(): return 1"]
+    rows = reports.zoned(conform(paragraphs(spark, 1, layout))).withColumn("in_title", F.lit(False))
+    heads = spark.createDataFrame([(1, 0, 1, "1 Методы", "1")], "doc_id long, idx int, level int, text string, number string")
+    for kind in ("figure", "listing"):
+        numbered = captions.captions(rows, kind, captions.chapter_segments(heads.selectExpr("doc_id", "idx", "1L AS chapter")), RULES)
+        read = {f.rpartition("/")[0].rpartition("/")[2] for f in numbered.inputFiles()}
+        assert not any(name.startswith("features") for name in read)
+        assert numbered.count() == 1
+
+
+def test_manuscripts_that_may_hold_malformed_headings(spark):
+    asked = ["Введение ........ 3", "Текст."], ["Введение", "Текст 3"], ["Заключение\t12"]
+    given = paragraphs(spark, 1, asked[0]).unionByName(paragraphs(spark, 2, asked[1])).unionByName(paragraphs(spark, 3, asked[2]))
+    assert sorted(r.doc_id for r in structure.may_hold_malformed(conform(given), RULES).collect()) == [1, 3]
