@@ -11,7 +11,7 @@ of jobs only follows the number of levels.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,30 +54,53 @@ def states_before(items: DataFrame, key: str, start: int, width: int = WIDTH) ->
     ``place`` orders the items of a key and is not negative; all keys begin with the state ``start``.
     """
     kind = dict(items.dtypes)[key]
-    blocks = items.withColumn("block", F.expr(f"place div {width}"))
+    blocks = items.select(key, "place", F.expr(f"place div {width}").alias("block"), "upto", "gives")
     highest = items.agg(F.max("place")).first()[0]
 
-    def walk(pdf: pd.DataFrame, state: int) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
+    def handed_down(pdf: pd.DataFrame) -> pd.DataFrame:
         before = []
-        for upto, gives in zip(pdf["upto"], pdf["gives"]):
-            before.append(state)
-            state = apply(upto, gives, state)
+        for first, state, upto, gives in zip(_opens(pdf, key), pdf["state"], pdf["upto"], pdf["gives"]):
+            now = int(state) if first else now
+            before.append(now)
+            now = apply(upto, gives, now)
         return pd.DataFrame({key: pdf[key], "place": pdf["place"], "before": np.array(before, dtype=np.int64)})
 
-    result = f"{key} {kind}, place long, before long"
-    if highest is None or highest < width:
-        return blocks.groupBy(key).applyInPandas(lambda pdf: walk(pdf, start), result)
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        upto, gives = compose(zip(pdf["upto"], pdf["gives"]))
-        return pd.DataFrame({key: pdf[key].iloc[:1], "place": pdf["block"].iloc[:1], "upto": [upto], "gives": [gives]})
-
-    whole = stage(blocks.groupBy(key, "block").applyInPandas(summary, f"{key} {kind}, {_ITEM}"), "composed")
-    above = states_before(whole, key, start, width).select(key, F.col("place").alias("block"), "before")
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.flatnonzero(_opens(pdf, key))
+        parts = [list(zip(pdf["upto"].iloc[a:b], pdf["gives"].iloc[a:b])) for a, b in zip(at, [*at[1:], len(pdf)])]
+        upto, gives = zip(*map(compose, parts))
+        return pd.DataFrame({key: pdf[key].to_numpy()[at], "place": pdf["block"].to_numpy()[at], "upto": upto, "gives": gives})
 
-    def hand_down(held: pd.DataFrame, upper: pd.DataFrame) -> pd.DataFrame:
-        return walk(held, int(upper["before"].iloc[0]))
-
-    return blocks.groupBy(key, "block").cogroup(above.groupBy(key, "block")).applyInPandas(hand_down, result)
+    if highest is None or highest < width:
+        blocks = blocks.withColumn("state", F.lit(start).cast("long"))
+    else:
+        whole = stage(_by_blocks(blocks, key, composed, f"{key} {kind}, {_ITEM}"), "composed")
+        above = states_before(whole, key, start, width).select(key, F.col("place").alias("block"), F.col("before").alias("state"))
+        blocks = blocks.join(above, [key, "block"])
+    return _by_blocks(blocks, key, handed_down, f"{key} {kind}, place long, before long")
+
+
+def _opens(pdf: pd.DataFrame, key: str) -> np.ndarray:
+    """Rows, in order, that begin another block."""
+    names, numbers = pdf[key].to_numpy(), pdf["block"].to_numpy()
+    return np.append(True, (names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1]))
+
+
+def _by_blocks(blocks: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over whole blocks in order, many at a time: most hold few rows, and a call for each would cost more than its work."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_block = []
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([*open_block, pdf], ignore_index=True)
+            # The last block may go on in the next batch.
+            cut = int(np.flatnonzero(_opens(pdf, key))[-1])
+            if cut:
+                yield run(pdf.iloc[:cut].reset_index(drop=True))
+            open_block = [pdf.iloc[cut:]]
+        if open_block:
+            yield run(open_block[0].reset_index(drop=True))
+
+    return blocks.repartition(key, "block").sortWithinPartitions(key, "block", "place").mapInPandas(batches, schema)

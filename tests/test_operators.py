@@ -295,3 +295,29 @@ def test_short_cuts_in_text_functions_change_nothing(spark):
     upper = t.rlike(r"\p{Lu}") & ~t.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")
     wrong = df.where((tx.norm_text(t) != plain) | (t.rlike(zones._TEN_SMALL) != small) | (tx.letters_all_upper(t) != upper))
     assert rows(wrong) == []
+
+
+def test_guards_of_text_functions_change_nothing(spark):
+    edges = [a + "x" + b for a in ("", " ", "​", " ", ".") for b in ("", "\t", "​ ", "7", "7. ")]
+    texts = [*edges, "", " ", "Глава 1. Итоги", "ГЛАВА", "section IV Ends", "1.2) Раздел", "1", "1 ", "Ёж, ёлка — ѐђ №5/a`{", "\U0001f600 a😀b", "АБВ 1", "ABC", "Àß"]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "t string")
+    tail = F.right(F.rtrim(t, F.lit(tx._WHITE + ".")), F.lit(1)).rlike(r"(?U)\d")
+    caps = ~t.rlike("[a-zа-яё]") & (tx.upper(t) == t) & (tx.lower(t) != t)
+    squashed = F.trim(F.regexp_replace(tx.lower(F.coalesce(t, F.lit(""))), "[^0-9a-zа-яё]+", " "))
+    same = [
+        (tx.strip_blank(t), F.trim(t, F.lit(tx._EDGES))), (tx.ends_with_number(t), tail), (tx.is_all_caps(t), caps), (tx.squash_text(t), squashed),
+    ]
+    assert rows(df.where(tx.any_of([~a.eqNullSafe(b) for a, b in same]))) == []
+    prefixes = {r.t: (r.p.kind, r.p.tokens, r.p.title) for r in df.select("t", tx.heading_prefix(t).alias("p")).collect() if r.p}
+    assert prefixes == {
+        "Глава 1. Итоги": ("chapter_word", [1], "Итоги"), "section IV Ends": ("chapter_word", [4], "Ends"), "1.2) Раздел": ("number", [1, 2], "Раздел"),
+    }
+    assert "[^0-9" not in str(tx.squash_text(t))
+
+
+def test_names_are_looked_up_among_texts_of_few_words_only(spark):
+    df = features.basic_features(spark.createDataFrame([(t,) for t in (" Список   литературы ", "введение", "введение в тему", "", None)], "text string"))
+    names = ["список литературы", "введение"]
+    assert rows(df.where(~tx.is_name(names).eqNullSafe(F.col("norm").isin(names))).select("text")) == []
+    assert rows(df.where(tx.is_name([])).select("text")) == []

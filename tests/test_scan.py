@@ -82,3 +82,24 @@ def test_composed_choices_equal_the_plain_walk(spark):
     for width in (4, 37, 256, 5000):
         assert rows(compose.states_before(table, "doc_id", 0, width).select("doc_id", "place", "before")) == sorted(want, key=repr)
     assert compose.states_before(table.limit(0), "doc_id", 0).collect() == []
+
+
+def test_blocks_are_composed_many_at_a_time_and_may_span_batches(spark, monkeypatch):
+    """One Python call a key cost a hundred times the work; a block that a batch cuts is still one block."""
+    data = [(d, p, [p % 7 + d, p + 1], [p % 7 + d, p + 1]) for d in range(5) for p in range(0, 40, 1 + d)]
+    table = spark.createDataFrame(data, "doc_id long, place long, upto array<long>, gives array<long>")
+    want = []
+    for d in range(5):
+        state = 0
+        for _, place, upto, _ in sorted(r for r in data if r[0] == d):
+            want.append((d, place, state))
+            state = next((u for u in upto if u >= state), state)
+    monkeypatch.setattr(compose, "stage", lambda df, label: df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for width in (4, 8, 64):
+            got = compose.states_before(table, "doc_id", 0, width)
+            assert "FlatMap" not in got._jdf.queryExecution().toString()
+            assert rows(got) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
