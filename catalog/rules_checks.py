@@ -55,7 +55,7 @@ def _(f):
 
 
 def _positions(f):
-    return f._written("sections", lambda: structure.section_positions(f.zoned, f.headings, f.hidden_texts, RULES))
+    return f._written("sections", lambda: structure.section_positions(f.features, f.headings, f.hidden_texts, RULES, f.marks))
 
 
 _WIDE = """SELECT d.doc_id, max(pos) FILTER (section = 'contents') AS c, max(pos) FILTER (section = 'introduction') AS i,
@@ -210,7 +210,7 @@ def _(f):
 def _caption_query(name, kind):
     @query(name, "doc_id:l idx:l original_number:s title:s text:s", f"SELECT doc_id, idx, original_number, title, text FROM caps_raw WHERE kind = '{kind}'")
     def _(f):
-        return captions.caption_rows(f.zoned, kind)
+        return captions.caption_rows(f.features, kind, marks=f.marks)
 
 
 _caption_query("K1_figure_captions", "figure")
@@ -220,7 +220,7 @@ _caption_query("K3_listing_captions", "listing")
 
 @query("K4_number_by_chapter", "doc_id:l idx:l kind:s new_number:s", "SELECT doc_id, idx, kind, new_number FROM caps WHERE kind <> 'listing'")
 def _(f):
-    return captions.all_captions(f.zoned, f.headings, RULES)
+    return captions.all_captions(f.features, f.headings, RULES, marks=f.marks)
 
 
 @query("K5_number_in_appendix", "doc_id:l idx:l kind:s new_number:s", "SELECT doc_id, idx, kind, new_number FROM caps WHERE kind = 'listing'")
@@ -237,21 +237,21 @@ def _(f):
 
 
 def _shown(f):
-    return f.caps.where("kind <> 'listing'")
+    return f.shown
 
 
 @query("K7_reference_spans", "doc_id:l idx:l span_no:l num_no:l kind:s num:s phrase:s", "SELECT doc_id, idx, span_no, num_no, kind, num, phrase FROM refs")
 def _(f):
-    return captions.text_references(f.zoned, _shown(f))
+    return captions.text_references(f.features, _shown(f), f.marks)
 
 
 def _resolved(f):
-    return f._written("resolved", lambda: captions.resolve_references(captions.text_references(f.zoned, _shown(f)), _shown(f)))
+    return f._written("resolved", lambda: captions.resolve_references(captions.text_references(f.features, _shown(f), f.marks), _shown(f)))
 
 
 @query("K8_resolve_refs", "doc_id:l kind:s resolved:s idx:l phrase:s", "SELECT doc_id, kind, resolved, idx, phrase FROM resolved")
 def _(f):
-    return captions.resolve_references(captions.text_references(f.zoned, _shown(f)), _shown(f))
+    return captions.resolve_references(captions.text_references(f.features, _shown(f), f.marks), _shown(f))
 
 
 @query("K9_not_referenced", FINDING, """

@@ -2,11 +2,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from galley import rules as ru
 from galley.functions import text as tx
-from galley.operators import bibliography, captions, citations, features, formulas, headings, quality, revision, tables, zones
+from galley.operators import bibliography, captions, citations, features, formulas, headings, quality, revision, structure, tables, zones
 from galley.operators.labels import TYPE_CATEGORIES
 from galley.plans import reports
 from galley.rules import default_rules
+from galley.scan import scan
 from tests.conftest import rows
 
 RULES = default_rules()
@@ -321,3 +323,41 @@ def test_names_are_looked_up_among_texts_of_few_words_only(spark):
     names = ["список литературы", "введение"]
     assert rows(df.where(~tx.is_name(names).eqNullSafe(F.col("norm").isin(names))).select("text")) == []
     assert rows(df.where(tx.is_name([])).select("text")) == []
+
+
+def test_captions_references_and_sections_take_zones_from_marks_and_move_no_texts(spark, blocks, monkeypatch):
+    base = _small_corpus(spark)
+    long = base.select(*base.columns).withColumn("text", F.when(F.col("idx") % 10 == 4, "см. рисунок 1, таблицы 2 и 3.1").otherwise(F.col("text")))
+    layout = {"has_image": F.col("idx") % 9 == 3, "next_is_table": F.col("idx") % 2 == 0, "run_fonts": F.array(F.lit("courier new"))}
+    given = long.select("doc_id", "idx", "text", "alignment", "bold_ratio", "style_name", "modal_font_size_pt", "in_table", *[v.alias(k) for k, v in layout.items()])
+    extra = spark.createDataFrame([(1, 90, "Рисунок 1 — Схема", "left"), (1, 91, "Листинг 2 — Код", "left"), (1, 92, "def f(x):", "left"), (2, 0, "Рисунок 2 — Титул", "left")], "doc_id long, idx int, text string, alignment string")
+    corpus = features.stored(features.enrich(given.where("NOT (doc_id = 2 AND idx = 0)").unionByName(extra, allowMissingColumns=True).fillna(False)), "caption-corpus")
+    marks = corpus.select("doc_id", "idx", (F.col("idx") < F.col("doc_id") - 1).alias("in_title"))
+    zoned = zones.with_marks(corpus, marks)
+    for kind in captions.WORDS:
+        want = rows(captions.caption_rows(zoned, kind))
+        assert want and rows(captions.caption_rows(corpus, kind, marks=marks)) == want
+    heads = corpus.where("idx % 5 = 2").select("doc_id", "idx", F.lit(1).alias("level"), F.col("stripped").alias("text"), F.lit("").alias("title_only"), F.lit("1").alias("derived_number"))
+    shown = captions.all_captions(zoned, heads, RULES)
+    want = rows(captions.text_references(zoned, shown))
+    assert want and rows(captions.text_references(corpus, shown, marks)) == want
+    hidden = spark.createDataFrame([(3, "содержание")], "doc_id long, norm string")
+    want = rows(structure.section_positions(zoned, heads, hidden, RULES))
+    scanned = []
+    monkeypatch.setattr(structure, "scan", lambda df, *a, **k: (scanned.append(df), scan(df, *a, **k))[1])
+    assert want and rows(structure.section_positions(corpus, heads, hidden, RULES, marks)) == want
+    assert {r.norm for r in scanned[0].where("norm IS NOT NULL").select("norm").collect()} <= set(ru.aliases(RULES, *ru.CANONICAL_SECTIONS))
+
+
+def test_source_list_starts_and_ends_as_by_the_plain_tests(spark):
+    corpus = _small_corpus(spark).unionByName(
+        features.stored(features.enrich(spark.createDataFrame([(8, 0, "НАША ЛИТЕРАТУРА"), (8, 1, "Библиография"), (9, 0, "итог"), (9, 1, None), (10, 3, "источники " + "и " * 60)], "doc_id long, idx int, text string")), "sources-corpus"),
+        allowMissingColumns=True,
+    )
+    heads = corpus.where("idx % 4 = 1").select("doc_id", "idx")
+    stems = (F.length("norm") < 80) & tx.any_of([F.col("norm").contains(s) for s in zones.SOURCE_STEMS])
+    starts = corpus.where(~F.col("is_empty") & (F.col("norm").isin(ru.aliases(RULES, "references")) | stems)).groupBy("doc_id").agg(F.min("idx").alias("at"))
+    ends = heads.join(starts, "doc_id").where("idx > at").groupBy("doc_id").agg(F.min("idx").alias("end"))
+    want = rows(starts.join(ends, "doc_id", "left").select("doc_id", F.col("at") + 1, "end"))
+    got = zones.references_range(corpus, heads, RULES)
+    assert {r[0] for r in want} >= {1, 8} and rows(got) == want
