@@ -369,3 +369,18 @@ def test_pieces_that_are_no_key_of_their_manuscript_stay(spark):
     entries = spark.createDataFrame([(1, 0, "введение", "введение"), (1, 1, text[7:40], text[7:19])], "doc_id long, idx int, wanted string, _key string")
     keys = [r._key for r in revision._line_pieces(lines, entries).collect()]
     assert "введение" in keys and text[7:19] in keys and len(keys) < 40
+
+
+def test_blanks_and_appendix_titles_are_found_without_moving_texts(spark, blocks, monkeypatch):
+    corpus = _small_corpus(spark).withColumn("elem_no", F.col("idx") + F.when(F.col("idx") > 6, 1).otherwise(0)).withColumn("in_title", F.lit(False))
+    corpus = corpus.withColumn("has_image", F.lit(False)).withColumn("has_section_break", F.lit(False))
+    scanned = []
+    monkeypatch.setattr(revision, "scan", lambda df, *a, **k: (scanned.append(df.columns), scan(df, *a, **k))[1])
+    left = corpus.where("NOT is_empty OR idx = 7").select("doc_id", "idx", "text").collect()
+    want = []
+    for d in {r.doc_id for r in left}:
+        want += [(d, n, r.idx, r.text) for n, r in enumerate(sorted((r for r in left if r.doc_id == d), key=lambda r: r.idx))]
+    assert rows(revision.drop_empty_paragraphs(corpus).select("doc_id", "idx", "old_idx", "text")) == sorted(want, key=repr)
+    titles = {(r.doc_id, r.new_text) for r in revision.appendix_title_rows(corpus).collect()}
+    assert titles and all(text == "Таблица 1 — Итоги" for _, text in titles)
+    assert not {"text", "stripped"} & {c for columns in scanned for c in columns}
